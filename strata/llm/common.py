@@ -62,25 +62,23 @@ class Bitmap:
         return (self.data[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1
 
 
-def bitmap_of(df: DataFrame, col: str, bits: int = 1 << 25) -> Bitmap:
-    """A Bitmap of a binary column of packed little-endian uint64 hashes, gathered as compressed bit sets (one for each partition, of bits / 8 bytes at most)."""
+def bitmap_of_longs(df: DataFrame, bits: int = 1 << 25) -> Bitmap:
+    """A Bitmap of a one-column table of 64-bit values; each task sends its bit set, compressed, and the driver keeps one."""
     import zlib
 
     def pack(batches):
         import pyarrow as pa
 
-        held = Bitmap(bits)
-        some = False
+        held, some = Bitmap(bits), False
         for b in batches:
-            for x in b.column(0):
-                if x.is_valid:
-                    held.add_slots(np.unique(held.slots(np.frombuffer(x.as_buffer(), np.uint64))))
-                    some = True
+            if len(b):
+                held.add_slots(np.unique(held.slots(np.asarray(b.column(0)).view(np.uint64))))
+                some = True
         if some:
             yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(held.data.tobytes(), 1)], pa.binary())], ["bits"])
 
     out = Bitmap(bits)
-    for row in df.select(col).coalesce(16).mapInArrow(pack, "bits binary").toLocalIterator():
+    for row in df.mapInArrow(pack, "bits binary").toLocalIterator():
         out.data |= np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
     return out
 

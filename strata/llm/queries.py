@@ -23,6 +23,18 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm import jaccard
+
+    return jaccard.components(documents(spark, sf_dir))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm import substring
+
+    return substring.deduplicate(documents(spark, sf_dir)).drop("kept_text")
+
+
 def op5_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strata.llm import tiff
 
@@ -42,7 +54,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op1_language_id, op5_tiff_media, op6_source_mixing, op9_best_fit_packing]
+    every = [op1_language_id, op2_ngram_jaccard, op4_substring_dedup, op5_tiff_media, op6_source_mixing, op9_best_fit_packing]
     return {f.__name__: f for f in every}
 
 
