@@ -47,6 +47,12 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))[0].select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_winnowing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm import winnow
+
+    return winnow.edited_pairs(documents(spark, sf_dir))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strata.llm import packing
 
@@ -54,7 +60,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op1_language_id, op2_ngram_jaccard, op4_substring_dedup, op5_tiff_media, op6_source_mixing, op9_best_fit_packing]
+    every = [op1_language_id, op2_ngram_jaccard, op4_substring_dedup, op5_tiff_media, op6_source_mixing, op8_winnowing_fingerprints, op9_best_fit_packing]
     return {f.__name__: f for f in every}
 
 
