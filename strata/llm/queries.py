@@ -59,8 +59,14 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm import pii
+
+    return pii.report(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op1_language_id, op2_ngram_jaccard, op4_substring_dedup, op5_tiff_media, op6_source_mixing, op8_winnowing_fingerprints, op9_best_fit_packing]
+    every = [op1_language_id, op2_ngram_jaccard, op4_substring_dedup, op5_tiff_media, op6_source_mixing, op8_winnowing_fingerprints, op9_best_fit_packing, op10_pii]
     return {f.__name__: f for f in every}
 
 
