@@ -47,6 +47,12 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))[0].select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_brown_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm import brown
+
+    return brown.score(documents(spark, sf_dir), crc_of_id() % 5 == 1)
+
+
 def op8_winnowing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strata.llm import winnow
 
@@ -66,7 +72,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op1_language_id, op2_ngram_jaccard, op4_substring_dedup, op5_tiff_media, op6_source_mixing, op8_winnowing_fingerprints, op9_best_fit_packing, op10_pii]
+    every = [op1_language_id, op2_ngram_jaccard, op4_substring_dedup, op5_tiff_media, op6_source_mixing, op7_brown_scoring, op8_winnowing_fingerprints, op9_best_fit_packing, op10_pii]
     return {f.__name__: f for f in every}
 
 
