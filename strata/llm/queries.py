@@ -29,6 +29,12 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(documents(spark, sf_dir))
 
 
+def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm import licences
+
+    return licences.scan(documents(spark, sf_dir))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strata.llm import substring
 
@@ -72,7 +78,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op1_language_id, op2_ngram_jaccard, op4_substring_dedup, op5_tiff_media, op6_source_mixing, op7_brown_scoring, op8_winnowing_fingerprints, op9_best_fit_packing, op10_pii]
+    every = [op1_language_id, op2_ngram_jaccard, op3_licence_scan, op4_substring_dedup, op5_tiff_media, op6_source_mixing, op7_brown_scoring, op8_winnowing_fingerprints, op9_best_fit_packing, op10_pii]
     return {f.__name__: f for f in every}
 
 
