@@ -20,6 +20,11 @@ def shared_dir(spark: SparkSession) -> str:
     return kept.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts are long: fewer rows in an Arrow batch keep what each Python worker and its JVM side hold small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df once to the shared folder and reads it back: lineage ends here, and a lost executor costs no recomputation."""
     spark = df.sparkSession

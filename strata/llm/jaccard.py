@@ -36,7 +36,7 @@ from strata.llm.common import Bitmap, bitmap_of_longs, fragments, materialize
 from strata.llm.graph import contract
 
 #: Shingles that a task holds before it sends them on.
-CHUNK = 1_200_000
+CHUNK = 600_000
 #: Bits of a fragment's part of the order that pairs' overlaps are counted in: 2 ** PARTS fragments.
 PARTS = 2
 SKETCH = 32
@@ -166,7 +166,7 @@ def shared_counts(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFram
     """doc_id, n (size of the set), node (hash of the set), shared (how many of the set other rows have too; never too few)."""
     rows = df.select(F.col(id_col), F.col(text_col))
     kind = rows.schema[0].dataType.simpleString()
-    parts = fragments(rows, 12, least=4)
+    parts = fragments(rows, 6, least=4)
     from pyspark.sql.pandas.types import to_arrow_type
 
     asked = rows.mapInArrow(_requests(k, parts, to_arrow_type(rows.schema[0].dataType)), f"frag int, chunk long, tokens binary, runs binary, many binary, ids array<{kind}>, n array<long>, node array<long>, seen array<long>")
