@@ -88,6 +88,25 @@ def bitmap_of_longs(df: DataFrame, bits: int = 1 << 25) -> Bitmap:
     return out
 
 
+def split_by(df: DataFrame, key: Column, bitmap: Bitmap) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is surely not in the bitmap, the others); no shuffle. The bitmap is held by each task (bits / 8 bytes)."""
+    held = df.sparkSession.sparkContext.broadcast(bitmap.data)
+
+    def choose(wanted: bool):
+        def apply(batches):
+            import pyarrow as pa
+
+            own = Bitmap(bitmap.bits, held.value)
+            for b in batches:
+                found = own.has(np.asarray(b.column(b.num_columns - 1)).view(np.uint64))
+                yield b.filter(pa.array(found == wanted)).select(b.schema.names[:-1])
+
+        return apply
+
+    rows = df.select(*df.columns, key.alias("_split"))
+    return tuple(rows.mapInArrow(choose(x), df.schema) for x in (False, True))
+
+
 def running_sum(df: DataFrame, group: list[str], key: str, value: str, out: str, buckets: int) -> DataFrame:
     """Adds `out`: the sum of `value` over the rows of the group that come before by `key`, a column of hash values that is unique in its group.
 

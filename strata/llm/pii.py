@@ -235,16 +235,34 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", kind_name(s.getField("kind")), s.getField("start").cast("string"), s.getField("end").cast("string"))), ",")
 
 
-def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
-    """doc_id, base and all: arrays of struct(start, end, kind) of the base spans, and of those and the ones that the classifier adds."""
-    held = materialize(candidates(df, id_col, text_col))
+def fit(held: DataFrame) -> list[float]:
+    """The classifier's weights, from a table of candidates."""
     one = held.select(F.explode(F.concat("base", "more")).alias("s")).groupBy("s.kind", "s.votes").count()
     counts = {(r["kind"], r["votes"]): r["count"] for r in one.collect()}  # at most kinds x 3 ** labelers rows
-    posterior, _ = estimate(counts)
-    weights = train(counts, posterior)
+    return train(counts, estimate(counts)[0])
+
+
+def decided(weights: list[float], threshold: float = 0.8) -> Column:
+    """Of the columns base and more: the base spans and the loose ones that the classifier adds, none overlapping one before."""
     added = F.filter("more", lambda s: probability(s, weights) >= threshold)
     clear = F.aggregate(added, F.array().cast("array<struct<start:int,end:int,kind:int,votes:string>>"), lambda acc, s: F.when(F.exists(acc, lambda t: (t.getField("start") < s.getField("end")) & (s.getField("start") < t.getField("end"))), acc).otherwise(F.concat(acc, F.array(s))))
-    return held.select("doc_id", "base", F.concat("base", clear).alias("all"))
+    return F.concat("base", clear)
+
+
+def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+    """doc_id, base and all: arrays of struct(start, end, kind, votes) of the base spans, and of those and the ones that the classifier adds."""
+    held = materialize(candidates(df, id_col, text_col))
+    return held.select("doc_id", "base", decided(fit(held), threshold).alias("all"))
+
+
+def redacted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+    """df with each span of its text replaced by its kind in brackets; null texts stay null."""
+    weights = fit(materialize(candidates(df, id_col, text_col)))
+    names = df.columns
+    rows = candidates(df.select(F.struct(*names).alias("_row"), F.col(text_col).alias("_text")), "_row", "_text").select(F.col("doc_id").alias("_row"), decided(weights, threshold).alias("_all"))
+    own = F.col("_row").getField(text_col)
+    text = F.when(own.isNull() | (F.size("_all") == 0), own).otherwise(redact(own, F.col("_all")))
+    return rows.select(*(text.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in names))
 
 
 def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm import textvec as tv
-from strata.llm.common import Bitmap, bitmap_of_longs, fragments, materialize
+from strata.llm.common import Bitmap, bitmap_of_longs, fragments, materialize, split_by
 
 U64 = np.uint64
 CHUNK = 1_200_000
@@ -264,17 +264,9 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """doc_id, n_words, n_removed, kept_sha256, kept_text (the kept words, joined by one space)."""
     spans = materialize(repeated_spans(df, id_col, text_col, size, gram))
     touched = bitmap_of_longs(spans.select("key"))
-
-    def choose(wanted: bool):
-        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield b.filter(pa.array(touched.has(np.asarray(b.column(2)).view(U64)) == wanted))
-
-        return apply
-
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("key"))
-    schema = f"doc_id {kind}, text string, key long"
-    whole = rows.mapInArrow(choose(False), schema).select("doc_id", "text", F.lit(None).cast("binary").alias("spans"))
-    some = rows.mapInArrow(choose(True), schema).join(spans.dropDuplicates(["key"]), "key", "left").select("doc_id", "text", "spans")
+    clear, open_ = split_by(rows, F.col("key"), touched)
+    whole = clear.select("doc_id", "text", F.lit(None).cast("binary").alias("spans"))
+    some = open_.join(spans.dropDuplicates(["key"]), "key", "left").select("doc_id", "text", "spans")
     return whole.unionByName(some).mapInArrow(_keep, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")
