@@ -1,6 +1,73 @@
-STAGES = []
+"""From raw documents to packed sequences, by the operators of strata.llm.
+
+Each stage takes (spark, docs, sf_dir) and returns a table that is written as Parquet
+and read again as the next one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strata.llm import jaccard, langid, mixing, packing, pii
+from strata.llm.common import bitmap_of_longs, crc_of_id, materialize, small_batches, split_by
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language (null, or no letter) go; `lang` becomes the predicted one where it is null."""
+    small_batches(spark)
+    model = langid.fit(docs, crc_of_id() % 4 != 2)
+    kept = langid.predict(docs, model, lang_out="_lang", score_out="_score").where("_lang <> 'und'")
+    return kept.withColumn("lang", F.coalesce("lang", "_lang")).select(*docs.columns)
+
+
+def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates stays: that with the least id (one row of it, if it repeats)."""
+    small_batches(spark)
+    groups = materialize(jaccard.components(docs).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.max("component_id").alias("last"), F.count("*").alias("n")))
+    doubtful = materialize(groups.where("component_id <> doc_id or last <> doc_id or n > 1").select("doc_id", (F.col("component_id") != F.col("doc_id")).alias("goes")))
+    clear, some = split_by(docs, F.xxhash64("doc_id"), bitmap_of_longs(doubtful.select(F.xxhash64("doc_id"))))
+    gone = doubtful.where("goes").select("doc_id")
+    return clear.unionByName(some.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind in brackets."""
+    return pii.redacted(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target takes it, whole: words taken / size, rounded up."""
+    small_batches(spark)
+    keyed = docs.withColumn("_key", F.xxhash64(*docs.columns))
+    taken, _ = mixing.mix(keyed, id_col="_key")
+    uses = taken.where("taken > 0").groupBy(F.col("doc_id").alias("_key")).agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).alias("_uses"))
+    rows = keyed.dropDuplicates(["_key"]).join(uses, "_key")
+    return rows.withColumn("_use", F.explode(F.expr("sequence(1, _uses)"))).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokenised pieces and their places in sequences of 1024 tokens."""
+    small_batches(spark)
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_duplicates", remove_near_duplicates),
+    ("pii", redact_personal_data),
+    ("source_mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: The stages have no SQL form; tests compare them with brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = materialize(docs)
+    return docs
