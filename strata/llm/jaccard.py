@@ -8,13 +8,17 @@ all), then for each candidate pair (its overlap).
 
 1. A document whose shingles occur in other documents for less than `percent` of its set
    can't be linked with any; this drops nearly all, and moves four bytes a shingle.
-2. Equal sets become one node; only one text of each is read again.
-3. Nodes that share one of their least shingles are verified against one pivot of that
+2. Equal sets become one node; only one text of each is read again. The same count over
+   the nodes leaves of each set what other nodes have too, and drops more nodes.
+3. Nodes that share one of their least hashes are verified against one pivot of that
    bucket, and linked ones contracted, for a few rounds, so that a group of near copies
    costs a few pairs a member.
-4. What is left is exact: by prefix filtering, any two linked nodes share a shingle among
+4. What is left is exact: by prefix filtering, any two linked nodes share a hash among
    the first n - ceil(n * percent / 100) + 1 of either under one global order (frequent
-   shingles last). Only pairs across components are verified, and contracted.
+   hashes last). Only pairs across components are verified, and contracted.
+
+Candidates of 3 and 4 must pass a bound that loses no link: sets differ in at least as
+many hashes as the parities of their hashes modulo 64 * BITS do.
 
 Null or empty texts have the empty set: no links, and the component is their own id. Rows
 that repeat an id are returned one by one. Other columns are ignored. An empty table
@@ -39,7 +43,6 @@ from strata.llm.graph import contract
 CHUNK = 600_000
 #: Bits of a fragment's part of the order that pairs' overlaps are counted in: 2 ** PARTS fragments.
 PARTS = 2
-SKETCH = 32
 U64 = np.uint64
 
 
@@ -205,7 +208,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
         for node, n, held in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
-            cuts = [0, *np.searchsorted(np.frombuffer(held, "<u8"), edges).tolist(), n]
+            cuts = [0, *np.searchsorted(np.frombuffer(held, "<u8"), edges).tolist(), len(held) // 8]
             out += [(node, p, n, held[8 * cuts[p] : 8 * cuts[p + 1]]) for p in range(1 << PARTS)]
             if len(out) >= 4096:
                 yield _rows(out)
@@ -244,52 +247,136 @@ def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     return summed.where(F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * percent).select("a", "b")
 
 
-def _buckets(keys: int):
-    """node, n, comp, tokens -> bucket, node, n, comp, sketch: the least shingles of a set name its buckets."""
+def _ask_shared(parts: int):
+    """node, n, tokens -> frag, tokens, nodes, ns, many; and rows (node, n, own) with what a batch shares within itself."""
+    names = ["frag", "tokens", "nodes", "ns", "many", "node", "n", "own"]
+    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for node, n, comp, held in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                least = np.frombuffer(held[: 8 * keys], "<i8").tolist()
-                out += [(x, node, n, comp, held[: 8 * SKETCH]) for x in least]
-            if out:
-                columns = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(),) * 4 + (pa.binary(),), strict=True)], ["bucket", "node", "n", "comp", "sketch"])
+            if not len(b):
+                continue
+            node, n = (np.asarray(b.column(c)) for c in (0, 1))
+            sets = [np.frombuffer(x, "<u8") for x in b.column(2).to_pylist()]
+            s = np.concatenate(sets)
+            at = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            order = np.argsort(s)
+            starts = tv.group_starts(s[order])
+            count = np.diff(np.r_[starts, len(s)])
+            once = np.zeros(len(s), dtype=bool)
+            once[order] = np.repeat(count == 1, count)
+            many = s[order][starts[count > 1]]
+            own, own_at = s[~once], at[~once]
+            edges = np.searchsorted(own_at, np.arange(len(sets) + 1))
+            alone, alone_at = s[once], at[once]
+            frag = _frag(alone, parts)
+            by = np.argsort(frag.astype(np.int32), kind="stable")
+            cuts = np.searchsorted(frag[by], np.arange(parts + 1))
+            many_cuts = np.searchsorted(_frag(many, parts), np.arange(parts + 1))
+            pick = [by[cuts[f] : cuts[f + 1]] for f in range(parts)]
+            none, blank = [None] * parts, [None] * len(sets)
+            columns = [[*range(parts), *(int(x) % parts for x in node)], [*(alone[x].tobytes() for x in pick), *blank], [*(node[alone_at[x]].tobytes() for x in pick), *blank], [*(n[alone_at[x]].tobytes() for x in pick), *blank], [*(many[many_cuts[f] : many_cuts[f + 1]].tobytes() for f in range(parts)), *blank], [*none, *node.tolist()], [*none, *n.tolist()], [*none, *(own[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:], strict=True))]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
     return apply
 
 
-def _alike(percent: int):
-    """Rows (a, b, x, y) whose sketches x and y suggest a link; what this loses, the exact step finds."""
+def _frag(h: np.ndarray, parts: int) -> np.ndarray:
+    return (((h >> U64(40)) * U64(parts)) >> U64(24)).astype(np.int64)
+
+
+def _tell_shared(table: pa.Table) -> pa.Table:
+    """One fragment: node, n, own: those hashes of each node that other nodes have too; rows of batches pass."""
+    passed = table.filter(pa.compute.is_valid(table["node"])).select(["node", "n", "own"])
+    asked = table.filter(pa.compute.is_valid(table["tokens"]))
+    token, node, n, many = (np.frombuffer(b"".join(asked[c].to_pylist()), k) for c, k in (("tokens", "<u8"), ("nodes", "<i8"), ("ns", "<i8"), ("many", "<u8")))
+    both = np.concatenate([token, many, many])
+    order = np.argsort(both)
+    starts = tv.group_starts(both[order])
+    count = np.diff(np.r_[starts, len(both)])
+    shared = np.zeros(len(both), dtype=bool)
+    shared[order] = np.repeat(count > 1, count)
+    shared = shared[: len(token)]
+    token, node, n = token[shared], node[shared], n[shared]
+    by = np.argsort(node, kind="stable")
+    token, node, n = token[by], node[by], n[by]
+    first = tv.group_starts(node)
+    ends = np.r_[first[1:], len(node)][: len(first)]
+    found = pa.table({"node": pa.array(node[first]), "n": pa.array(n[first]), "own": pa.array([token[x:y].tobytes() for x, y in zip(first, ends, strict=True)], pa.binary())})
+    return pa.concat_tables([found, passed])
+
+
+BITS = 16  # words of 64 bits of a node's parity bitmap
+
+
+def _kept(percent: int):
+    """node, n, pieces -> node, n, m, b0.., tokens of the nodes that keep enough of their set: m hashes, sorted, and their parity bitmap."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                both = np.concatenate([np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")])
-                both.sort()
-                same = both[1:][both[1:] == both[:-1]]
-                edge = np.unique(both)[:SKETCH][-1]
-                keep.append(np.count_nonzero(same <= edge) * 100 >= (percent - 12) * min(SKETCH, len(np.unique(both))))
-            yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+            rows, bits = [], []
+            for node, n, pieces in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                t = np.sort(np.frombuffer(b"".join(pieces), "<u8"))
+                if len(t) * 100 >= n * percent:
+                    odd = np.bincount((t % U64(64 * BITS)).astype(np.int64), minlength=64 * BITS) & 1
+                    rows.append((node, n, len(t), t.tobytes()))
+                    bits.append(np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8"))
+            if rows:
+                node, n, m, held = zip(*rows, strict=True)
+                words = np.stack(bits)
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(m, pa.int64()), *(pa.array(words[:, i].copy()) for i in range(BITS)), pa.array(held, pa.binary())], ["node", "n", "m", *(f"b{i}" for i in range(BITS)), "tokens"])
 
     return apply
 
 
-def _near_pivots(tokens: DataFrame, comps: DataFrame, percent: int, seed: int, keys: int = 2) -> DataFrame:
-    """Pairs (a, b) of nodes in different components: each node of a bucket with the bucket's pivot."""
-    rows = tokens.join(comps, "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp"), "tokens")
-    rows = rows.mapInArrow(_buckets(keys), "bucket long, node long, n long, comp long, sketch binary")
-    rank = F.xxhash64("node", F.lit(seed))
-    pivots = rows.groupBy("bucket").agg(F.min(F.struct(rank.alias("rank"), "node", "n", "comp", "sketch")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket", "p")
-    near = rows.join(pivots, "bucket").where("comp <> p.comp and 100 * least(n, p.n) >= %d * greatest(n, p.n)" % percent)
-    near = near.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"), F.col("sketch").alias("x"), F.col("p.sketch").alias("y")).dropDuplicates(["a", "b"])
-    return near.mapInArrow(_alike(percent), "a long, b long")
+def prune(tokens: DataFrame, percent: int) -> DataFrame:
+    """node, n, m, b0.., tokens: nodes with those of their hashes that other nodes have too (m of n); nodes with too few to be linked go."""
+    parts = fragments(tokens, 6, least=4)
+    asked = tokens.select("node", "n", "tokens").mapInArrow(_ask_shared(parts), "frag int, tokens binary, nodes binary, ns binary, many binary, node long, n long, own binary")
+    told = asked.groupBy("frag").applyInArrow(_tell_shared, "node long, n long, own binary")
+    whole = told.groupBy("node", "n").agg(F.collect_list("own").alias("pieces"))
+    words = "".join(f"b{i} long, " for i in range(BITS))
+    return whole.mapInArrow(_kept(percent), f"node long, n long, m long, {words}tokens binary")
+
+
+def _may_link(x: str, y: str, percent: int) -> str:
+    """SQL: whether nodes x and y can link, by their bitmaps: their kept sets differ in at least as many hashes as their parities do."""
+    differ = " + ".join(f"bit_count({x}.b{i} ^ {y}.b{i})" for i in range(BITS))
+    most = f"least({x}.m, {y}.m, ({x}.m + {y}.m - ({differ})) div 2)"
+    return f"100 * {most} >= {percent} * ({x}.n + {y}.n - {most})"
+
+
+def _marks(nodes: DataFrame, comps: DataFrame) -> DataFrame:
+    """node, comp, n, m, b0..: what candidates are judged by, without the hashes."""
+    return nodes.drop("tokens").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
+def _buckets(keys: int):
+    """node, tokens -> bucket, node: the least hashes of a set name its buckets."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            least = [np.frombuffer(x[: 8 * keys], "<i8") for x in b.column(1).to_pylist()]
+            if least:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(least)), b.column(0).take(pa.array(np.repeat(np.arange(len(b)), [len(x) for x in least])))], ["bucket", "node"])
+
+    return apply
+
+
+def _near_pivots(nodes: DataFrame, comps: DataFrame, percent: int, seed: int, keys: int = 2) -> DataFrame:
+    """Pairs (a, b) of nodes in different components that may link: each node of a bucket with the bucket's pivot, which changes with the seed."""
+    marks = _marks(nodes, comps)
+    rows = nodes.select("node", "tokens").mapInArrow(_buckets(keys), "bucket long, node long")
+    turn = F.lit(seed * 0x5851F42D4C957F2D % (1 << 63)).cast("long")
+    pivots = rows.groupBy("bucket").agg(F.min(F.col("node").bitwiseXOR(turn)).bitwiseXOR(turn).alias("pivot"))
+    pairs = rows.join(pivots, "bucket").where("node <> pivot").select("node", "pivot").distinct()
+    near = pairs.withColumnRenamed("node", "own").join(marks.alias("x"), F.expr("own = x.node"))
+    near = near.join(marks.alias("y"), F.expr(f"pivot = y.node and x.comp <> y.comp and {_may_link('x', 'y', percent)}"))
+    return near.select(F.least("own", "pivot").alias("a"), F.greatest("own", "pivot").alias("b")).distinct()
 
 
 def _frequent_requests(parts: int):
-    """node, n, comp, tokens -> frag, pairs: distinct (shingle, component) by fragment."""
+    """node, m, comp, tokens -> frag, pairs: distinct (shingle, component) by fragment."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -323,35 +410,39 @@ def _frequent(least: int):
 
 
 def _prefixes(percent: int, frequent: Bitmap):
-    """node, n, comp, tokens -> token, node, n, comp of the prefix under the order (frequent or not, hash)."""
+    """node, n, comp, tokens -> token, node, comp of the prefix under the order (not shared, shared by few, frequent; hash)."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out, who, size = [], [], np.zeros(len(b), dtype=np.int64)
+            out, size = [], np.zeros(len(b), dtype=np.int64)
             for r, (n, held) in enumerate(zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)):
                 t = np.frombuffer(held, "<u8")
-                p = n + (-n * percent) // 100 + 1
+                p = n + (-n * percent) // 100 + 1 - (n - len(t))  # those that no other node has come first, and are in no list
                 size[r] = p
                 out.append(t[np.argsort(frequent.has(t), kind="stable")[:p]])
-            who = np.repeat(np.arange(len(b)), size)
+            who = pa.array(np.repeat(np.arange(len(b)), size))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), *(b.column(c).take(pa.array(who)) for c in range(3))], ["token", "node", "n", "comp"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), b.column(0).take(who), b.column(2).take(who)], ["token", "node", "comp"])
 
     return apply
 
 
-def _across(tokens: DataFrame, comps: DataFrame, percent: int, least: int = 8) -> DataFrame:
-    """All pairs (a, b) of nodes in different components that share a shingle of their prefixes and could link by size."""
-    rows = tokens.join(comps, "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp"), "tokens")
-    parts = fragments(tokens, 24, least=4)
-    often = rows.mapInArrow(_frequent_requests(parts), "frag int, pairs binary").groupBy("frag").applyInArrow(_frequent(least), "token long")
-    prefix = rows.mapInArrow(_prefixes(percent, bitmap_of_longs(often)), "token long, node long, n long, comp long")
+def _across(nodes: DataFrame, comps: DataFrame, percent: int, least: int = 8) -> DataFrame:
+    """All pairs (a, b) of nodes in different components that share a hash of their prefixes and may link.
+
+    In the list of each hash, nodes of the list's main component meet only the nodes of others.
+    """
+    rows = nodes.select("node", "n", "m", "tokens").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    parts = fragments(nodes, 24, least=4)
+    often = rows.select("node", "m", "comp", "tokens").mapInArrow(_frequent_requests(parts), "frag int, pairs binary").groupBy("frag").applyInArrow(_frequent(least), "token long")
+    prefix = materialize(rows.select("node", "n", "comp", "tokens").mapInArrow(_prefixes(percent, bitmap_of_longs(often)), "token long, node long, comp long"))
     by_comp = prefix.groupBy("token", "comp").agg(F.count("*").alias("c"))
     mixed = by_comp.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("token", "main")
-    lists = materialize(prefix.join(mixed, "token"))
-    few = lists.where("comp <> main").select("token", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-    pairs = lists.join(few, "token").where("comp <> cx and (comp = main or node < x) and 100 * least(n, nx) >= %d * greatest(n, nx)" % percent)
-    return pairs.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+    marks = _marks(nodes, comps).drop("comp")
+    lists = materialize(prefix.join(mixed, "token").join(marks, "node"))
+    few = lists.where("comp <> main").alias("x")
+    pairs = lists.alias("y").join(few, F.expr(f"x.token = y.token and x.comp <> y.comp and (y.comp = y.main or y.node < x.node) and {_may_link('x', 'y', percent)}"))
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def _merge(comps: DataFrame, links: DataFrame) -> DataFrame:
@@ -374,13 +465,14 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     texts = df.select(F.xxhash64(F.col(id_col)).alias("key"), F.col(text_col))
     found = texts.mapInArrow(_token_rows(k, bitmap_of_longs(chosen.select("key"))), "key long, node long, n long, tokens binary")
     tokens = materialize(found.join(chosen, ["key", "node"], "left_semi").dropDuplicates(["key", "node"]).select("node", "n", "tokens"))
+    nodes = materialize(prune(tokens, percent))
     comps = chosen.select("node", F.col("node").alias("comp")).limit(0)
     for r in range(rounds):
-        links = materialize(verified(materialize(_near_pivots(tokens, comps, percent, seed=r)), tokens, percent))
+        links = materialize(verified(materialize(_near_pivots(nodes, comps, percent, seed=r)), nodes, percent))
         if not links.head(1):
             break
         comps = _merge(comps, links)
-    links = materialize(verified(materialize(_across(tokens, comps, percent)), tokens, percent))
+    links = materialize(verified(materialize(_across(nodes, comps, percent)), nodes, percent))
     comps = _merge(comps, links)
     labelled = stats.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = labelled.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
