@@ -40,7 +40,7 @@ from strata.llm.common import Bitmap, bitmap_of_longs, fragments, materialize
 from strata.llm.graph import contract
 
 #: Shingles that a task holds before it sends them on.
-CHUNK = 600_000
+CHUNK = 400_000
 #: Bits of a fragment's part of the order that pairs' overlaps are counted in: 2 ** PARTS fragments.
 PARTS = 2
 U64 = np.uint64

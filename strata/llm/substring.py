@@ -29,7 +29,7 @@ from strata.llm import textvec as tv
 from strata.llm.common import Bitmap, bitmap_of_longs, fragments, materialize, split_by
 
 U64 = np.uint64
-CHUNK = 1_200_000
+CHUNK = 600_000
 ANCHOR_BITS = 1 << 26
 OTHER_BASE = 0xD1342543DE82EF95
 

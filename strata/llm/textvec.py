@@ -6,6 +6,7 @@ and character runs are the same in UTF-8. Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +23,16 @@ _BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, d
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
 #: Bytes of text that are hashed at once; a longer single text is taken whole.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+
+
+def release() -> None:
+    """Gives freed memory back to the system; a Python worker lives for many tasks, and else keeps its peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no glibc
+        pass
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -117,6 +127,7 @@ def slices(texts: pa.Array, lower: bool) -> Iterator[tuple[int, int, Words]]:
         j = min(j, n)
         yield i, j, split_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower)
         i = j
+    release()
 
 
 def runs(first: np.ndarray, k: int) -> np.ndarray:
