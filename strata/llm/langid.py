@@ -36,21 +36,30 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+Counts = tuple[list[str], np.ndarray]
+
+
+def logs(counts: np.ndarray) -> np.ndarray:
+    """Smoothed log frequencies of a table of counts, one column for each language."""
+    return np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * (len(counts) + 1))).astype(np.float32)
+
+
 class Model:
     """Log frequencies by word and by n-gram, one column for each language."""
 
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], tables: list[dict[str, np.ndarray]], memo: int = 300_000):
+    def __init__(self, langs: list[str], words: Counts, tables: list[Counts], memo: int = 200_000):
         self.langs, self.memo = langs, memo
-        self.tables = [self._logs(t) for t in tables]
-        known = self._logs(words)
-        self.first = dict(zip(known, range(len(known)), strict=True))
-        self.rows0 = np.array([*known.values()], dtype=np.float32).reshape(-1, len(langs))
+        self.grams = [(dict(zip(names, range(len(names)), strict=True)), logs(counts)) for names, counts in tables]
+        self.first = dict(zip(words[0], range(len(words[0])), strict=True))
+        self.rows0 = logs(words[1])
         self.reset()
 
-    def _logs(self, table: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        total = sum(table.values(), np.zeros(len(self.langs)))
-        size = len(table) + 1
-        return {k: np.log((v + 0.5) / (total + 0.5 * size)).astype(np.float32) for k, v in table.items()}
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("row", "rows")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.reset()
 
     def reset(self) -> None:
         self.row = dict(self.first)
@@ -59,9 +68,9 @@ class Model:
 
     def unseen(self, word: str) -> np.ndarray:
         for n in range(LONGEST_GRAM, 0, -1):
-            table = self.tables[n - 1]
-            if known := [table[g] for g in grams(word, n) if g in table]:
-                return np.mean(known, axis=0)
+            index, rows = self.grams[n - 1]
+            if known := [index[g] for g in grams(word, n) if g in index]:
+                return rows[known].mean(axis=0)
         return np.zeros(len(self.langs), np.float32)
 
     def add(self, word: str) -> int:
@@ -88,7 +97,7 @@ class Model:
         return self.langs[best], float(1.0 / np.exp(z).sum())
 
 
-def fit(df: DataFrame, labelled: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = 12_000, max_words: int = 150_000, max_grams: int = 40_000) -> Model:
+def fit(df: DataFrame, labelled: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = 12_000, max_words: int = 80_000, max_grams: int = 25_000) -> Model:
     """A Model of the rows that are `labelled` and have a language.
 
     max_rows: about how many rows are read; of more, those with the lowest hashes of id.
@@ -124,19 +133,18 @@ def fit(df: DataFrame, labelled: Column, text_col: str = "text", lang_col: str =
                 some = part[i : i + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in some], pa.string()), pa.array([k[1] for k, _ in some], pa.string()), pa.array([k[2] for k, _ in some], pa.int32()), pa.array([v for _, v in some], pa.int64())], ["lang", "word", "size", "n"])
 
-    def top(counted: DataFrame, most: int) -> dict[str, dict[str, int]]:
-        """word -> lang -> count of the `most` most frequent."""
-        sums = counted.groupBy("word").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-        return {r["word"]: r["by"] for r in sums.orderBy(F.desc("all"), "word").limit(most).collect()}
-
     langs = sorted(r["lang"] for r in words.select("lang").distinct().collect())
 
-    def vectors(table: dict[str, dict[str, int]]) -> dict[str, np.ndarray]:
-        return {w: np.array([by.get(lang, 0) for lang in langs], dtype=float) for w, by in table.items()}
+    def top(counted: DataFrame, most: int) -> Counts:
+        """The `most` most frequent with their counts by language."""
+        by = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, lang in enumerate(langs)]
+        rows = counted.groupBy("word").agg(F.sum("n").alias("all"), *by).orderBy(F.desc("all"), "word").limit(most).toArrow()
+        counts = [np.asarray(rows[f"n{i}"], dtype=float) for i in range(len(langs))]
+        return rows["word"].to_pylist(), np.stack(counts, axis=1) if counts else np.zeros((0, 0))
 
     gram = materialize(words.mapInArrow(cut, "lang string, word string, size int, n long").groupBy("size", "lang", "word").agg(F.sum("n").alias("n")))
-    tables = [vectors(top(gram.where(F.col("size") == size).drop("size"), max_grams)) for size in range(1, LONGEST_GRAM + 1)]
-    return Model(langs, vectors(top(words, max_words)), tables)
+    tables = [top(gram.where(F.col("size") == size).drop("size"), max_grams) for size in range(1, LONGEST_GRAM + 1)]
+    return Model(langs, top(words, max_words), tables)
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
