@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -23,6 +24,11 @@ GLOSSARY = [
 ]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once for each row, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim_ws(s: Column) -> Column:
     """s without white space at its ends."""
     return F.regexp_replace(s, f"^{SPACE}+|{SPACE}+$", "")
@@ -37,6 +43,11 @@ def or_else(s: Column, *others: Column) -> Column:
     return F.coalesce(*(F.when(~blank(x), x) for x in (s, *others)))
 
 
+def or_empty(*values: Column) -> Column:
+    """The first that is neither null nor blank, else ''."""
+    return F.coalesce(or_else(*values), F.lit(""))
+
+
 def lines(s: Column) -> Column:
     return F.split(s, "\n", -1)
 
@@ -54,49 +65,70 @@ def first_heading(s: Column) -> Column:
 
 def split_heading(s: Column) -> Column:
     """struct<heading, body>: a leading heading line and the trimmed rest; heading '' if the first line is none."""
-    first = trim_ws(F.get(lines(s), F.lit(0)))
-    rest = trim_ws(F.array_join(F.slice(lines(s), F.lit(2), F.greatest(F.size(lines(s)) - 1, F.lit(0))), "\n"))
-    has = first.rlike(HEADING)
-    return F.struct(F.when(has, first).otherwise("").alias("heading"), F.when(has, rest).otherwise(trim_ws(s)).alias("body"))
+
+    def parts(held: Column) -> Column:
+        first = trim_ws(F.get(held, F.lit(0)))
+        rest = trim_ws(F.array_join(F.slice(held, F.lit(2), F.greatest(F.size(held) - 1, F.lit(0))), "\n"))
+        has = first.rlike(HEADING)
+        return F.struct(F.when(has, first).otherwise("").alias("heading"), F.when(has, rest).otherwise(trim_ws(s)).alias("body"))
+
+    return let(lines(s), parts)
 
 
 def intro(s: Column) -> Column:
     """What stands before the first heading, trimmed; all of s if it has none."""
-    flags = F.transform(lines(s), lambda x: trim_ws(x).rlike(HEADING))
-    at = F.array_position(flags, F.lit(True))
-    return trim_ws(F.when(at > 0, F.array_join(F.slice(lines(s), F.lit(1), (at - 1).cast("int")), "\n")).otherwise(s))
+
+    def before(held: Column) -> Column:
+        at = F.array_position(F.transform(held, lambda x: trim_ws(x).rlike(HEADING)), F.lit(True))
+        return let(at, lambda n: F.when(n > 0, F.array_join(F.slice(held, F.lit(1), (n - 1).cast("int")), "\n")).otherwise(s))
+
+    return trim_ws(let(lines(s), before))
 
 
 def truncate_bytes(s: Column, most: int) -> Column:
     """The longest prefix of whole characters of at most `most` bytes; s itself if most <= 0."""
     if most <= 0:
         return s
-    raw = F.encode(s, "UTF-8")
-    cuts = [F.try_validate_utf8(F.substring(raw, 1, most - k).cast("string")) for k in range(min(4, most + 1))]
-    return F.when(F.octet_length(raw) <= most, s).otherwise(F.coalesce(*cuts, F.lit("")))
+
+    def cut(whole: Column) -> Column:
+        raw = F.encode(whole, "UTF-8")
+        cuts = [F.try_validate_utf8(F.substring(raw, 1, most - k).cast("string")) for k in range(min(4, most + 1))]
+        return F.when(F.octet_length(whole) <= most, whole).otherwise(F.coalesce(*cuts, F.lit("")))
+
+    return let(s, cut)
 
 
 def snippet(s: Column, most: int) -> Column:
     """At most `most` characters and an ellipsis; cut after the last sentence end in the last 60 %, else at the last white space there."""
-    full = trim_ws(s)
-    cut = F.substring(full, 1, most)
     least = int(most * 0.4)
-    by_sentence = F.regexp_extract(cut, rf"(?s)^(.{{{least},}}[.?!。\n])", 1)
-    by_space = F.regexp_extract(cut, rf"(?s)^(.{{{least},}}){SPACE}", 1)
-    found = or_else(by_sentence, by_space, cut)
-    return F.when(F.length(full) <= most, full).otherwise(F.concat(trim_ws(found), F.lit("…")))
+
+    def shorten(full: Column) -> Column:
+        def end(cut: Column) -> Column:
+            by_sentence = F.regexp_extract(cut, rf"(?s)^(.{{{least},}}[.?!。\n])", 1)
+            by_space = F.regexp_extract(cut, rf"(?s)^(.{{{least},}}){SPACE}", 1)
+            return trim_ws(or_else(by_sentence, by_space, cut))
+
+        return F.when(F.length(full) <= most, full).otherwise(F.concat(let(F.substring(full, 1, most), end), F.lit("…")))
+
+    return let(trim_ws(s), shorten)
 
 
 def breadcrumb(title: Column, heading: Column, document: str = "문서", section: str = "섹션") -> Column:
     """[document: title] > [section: heading], with marks for what is blank."""
-    return F.concat(F.lit(f"[{document}: "), or_else(trim_ws(title), F.lit("(untitled)")), F.lit(f"] > [{section}: "), or_else(trim_ws(heading), F.lit("(section)")), F.lit("]"))
+    return F.concat(F.lit(f"[{document}: "), F.coalesce(or_else(trim_ws(title)), F.lit("(untitled)")), F.lit(f"] > [{section}: "), F.coalesce(or_else(trim_ws(heading)), F.lit("(section)")), F.lit("]"))
 
 
 def annotate_terms(s: Column, glossary: list[tuple[str, str]] | None = None) -> Column:
     """S and, in brackets, the English words of the glossary's terms that it contains (also inside other words)."""
-    words = [F.when(s.contains(k), F.lit(v)) for k, v in (GLOSSARY if glossary is None else glossary)]
-    found = F.array_compact(F.array(*words)) if words else F.array().cast("array<string>")
-    return F.when(F.size(found) == 0, s).otherwise(F.concat(s, F.lit(" [en: "), F.array_join(found, " "), F.lit("]")))
+    terms = GLOSSARY if glossary is None else glossary
+    if not terms:
+        return s
+
+    def added(whole: Column) -> Column:
+        found = F.array_join(F.array_compact(F.array(*(F.when(whole.contains(k), F.lit(v)) for k, v in terms))), " ")
+        return let(found, lambda f: F.when(f == "", whole).otherwise(F.concat(whole, F.lit(" [en: "), f, F.lit("]"))))
+
+    return let(s, added)
 
 
 def sentences(s: Column) -> Column:
@@ -107,9 +139,11 @@ def sentences(s: Column) -> Column:
 
 def summary_of_section(title: Column, path: Column, text: Column, most: int = 400) -> Column:
     """Title | path — the first two sentences (or the body), annotated and cut at `most` bytes."""
-    body = trim_ws(strip_headings(text))
-    first_two = F.array_join(F.slice(sentences(body), 1, 2), ". ")
-    short = truncate_bytes(annotate_terms(or_else(trim_ws(first_two), body, F.lit(""))), most)
+
+    def start(body: Column) -> Column:
+        return let(F.array_join(F.slice(sentences(body), 1, 2), ". "), lambda two: or_empty(trim_ws(two), body))
+
+    short = truncate_bytes(annotate_terms(let(trim_ws(strip_headings(text)), start)), most)
     head = F.concat_ws(" | ", F.when(~blank(title), trim_ws(title)), F.when(path != "", path))
     return F.when(head == "", short).otherwise(F.concat(head, F.lit(" — "), short))
 
@@ -187,17 +221,21 @@ def format_block(section_id: Column, block_type: Column, headers: Column, separa
     kind, code = F.lower(F.coalesce(block_type, F.lit(""))), F.substring(F.coalesce(section_id, F.lit("")), 1, 1)
     is_code = (code == "c") | (kind == "code")
     held = F.filter(atoms, lambda x: ~blank(x))
-    kept = F.when(is_code, F.transform(held, lambda x: F.regexp_replace(x, r"[\r\n]+$", ""))).otherwise(F.transform(held, trim_ws))
-    first = F.coalesce(F.get(kept, F.lit(0)), F.lit(""))
-    rest = F.array_join(F.slice(kept, F.lit(2), F.greatest(F.size(kept) - 1, F.lit(0))), " ")
-    prose = F.when(first.startswith("#"), F.when(F.size(kept) > 1, F.concat(first, F.lit("\n\n"), rest)).otherwise(first)).otherwise(F.array_join(kept, " "))
-    return (
-        F.when((code == "t") | (kind == "table"), format_table(headers, separator, kept))
-        .when(is_code, format_code(language, kept))
-        .when((code == "i") | (kind == "image"), F.array_join(kept, "\n"))
-        .when(code.isin("s", "o") | kind.isin("heading", "ordered"), prose)
-        .otherwise(F.array_join(kept, "\n\n"))
-    )
+    trimmed = F.when(is_code, F.transform(held, lambda x: F.regexp_replace(x, r"[\r\n]+\z", ""))).otherwise(F.transform(held, trim_ws))
+
+    def block(kept: Column) -> Column:
+        first = F.coalesce(F.get(kept, F.lit(0)), F.lit(""))
+        rest = F.array_join(F.slice(kept, F.lit(2), F.greatest(F.size(kept) - 1, F.lit(0))), " ")
+        prose = F.when(first.startswith("#"), F.when(F.size(kept) > 1, F.concat(first, F.lit("\n\n"), rest)).otherwise(first)).otherwise(F.array_join(kept, " "))
+        return (
+            F.when((code == "t") | (kind == "table"), format_table(headers, separator, kept))
+            .when(is_code, format_code(language, kept))
+            .when((code == "i") | (kind == "image"), F.array_join(kept, "\n"))
+            .when(code.isin("s", "o") | kind.isin("heading", "ordered"), prose)
+            .otherwise(F.array_join(kept, "\n\n"))
+        )
+
+    return let(trimmed, block)
 
 
 def join_rows(rows: Column, source_type: Column) -> Column:
@@ -233,26 +271,39 @@ def embedding_text(title: Column, content: Column, most: int = 500) -> Column:
 
 def clauses(s: Column) -> Column:
     """A sentence's parts between , | ; unless it is short (under 120 bytes, no pipe, one comma at most)."""
-    text = trim_ws(s)
+    return let(trim_ws(s), _clauses)
+
+
+def _clauses(text: Column) -> Column:
     commas = F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))
     short = (F.octet_length(text) < 120) & ~text.contains("|") & (commas <= 1)
     parts = F.filter(F.transform(F.split(text, r"[,|;]", -1), trim_ws), lambda x: x != "")
-    return F.when(text == "", F.array().cast("array<string>")).when(short | (F.size(parts) <= 1), F.array(text)).otherwise(parts)
+    several = let(parts, lambda p: F.when(F.size(p) <= 1, F.array(text)).otherwise(p))
+    return F.when(text == "", F.array().cast("array<string>")).when(short, F.array(text)).otherwise(several)
 
 
 def table_rows(markdown: Column) -> Column:
     """U8: the data rows of a pipe table, up to the first line without a pipe; the whole text if there are none."""
-    text = trim_ws(markdown)
-    all_lines = F.transform(lines(text), trim_ws)
-    data = F.slice(all_lines, F.lit(3), F.greatest(F.size(all_lines) - 2, F.lit(0)))
-    stop = F.array_position(F.transform(data, lambda x: ~x.contains("|")), F.lit(True))
-    rows = F.when(stop > 0, F.slice(data, F.lit(1), (stop - 1).cast("int"))).otherwise(data)
-    return F.when(text == "", F.array().cast("array<string>")).when(F.size(rows) == 0, F.array(text)).otherwise(rows)
+
+    def rows(text: Column) -> Column:
+        data = let(F.transform(lines(text), trim_ws), lambda x: F.slice(x, F.lit(3), F.greatest(F.size(x) - 2, F.lit(0))))
+
+        def first(held: Column) -> Column:
+            stop = F.array_position(F.transform(held, lambda x: ~x.contains("|")), F.lit(True))
+            return let(stop, lambda n: F.when(n > 0, F.slice(held, F.lit(1), (n - 1).cast("int"))).otherwise(held))
+
+        found = let(let(data, first), lambda r: F.when(F.size(r) == 0, F.array(text)).otherwise(r))
+        return F.when(text == "", F.array().cast("array<string>")).otherwise(found)
+
+    return let(trim_ws(markdown), rows)
 
 
 def code_fragments(code: Column) -> Column:
     """Non-blank lines without the outer fences, indentation kept."""
-    body = F.filter(lines(F.regexp_replace(code, "\r\n?", "\n")), lambda x: ~blank(x))
+    return let(F.filter(lines(F.regexp_replace(code, "\r\n?", "\n")), lambda x: ~blank(x)), _without_fences)
+
+
+def _without_fences(body: Column) -> Column:
     open_ = F.coalesce(F.get(body, F.lit(0)), F.lit("")).rlike(r"^\s*```")
     close = F.coalesce(F.try_element_at(body, F.lit(-1)), F.lit("")).rlike(r"^\s*```\s*$")
     first = F.when(open_, 2).otherwise(1)

@@ -20,7 +20,7 @@ def code_lines(df: DataFrame, key: str, content: str) -> DataFrame:
     Any other line, blank ones too, points to the anchor before it (its index from 0), or to -1.
     """
     unified = F.regexp_replace(F.coalesce(content, F.lit("")), "\r\n?", "\n")
-    held = F.when(unified == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(unified, "\n$", ""), "\n", -1))
+    held = F.when(unified == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(unified, r"\n\z", ""), "\n", -1))
     rows = df.select(key, F.posexplode(held).alias("_i", "content"))
     line = F.col("content")
     kind = F.when(X.blank(line), "empty_line").when(line.rlike(DEF), "function_definition").when(line.rlike(CLASS), "class_definition").when(line.rlike(FUNC), "function_declaration").otherwise("expression_statement")

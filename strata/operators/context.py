@@ -61,6 +61,6 @@ def rich_context(hits: DataFrame, l1: DataFrame, l2: DataFrame, l3: DataFrame, w
     around = F.array_join("_near", "\n\n")
     if level == 2 and max_tokens is None:
         around = X.or_else(X.trim_ws(F.concat_ws("\n\n", F.when(~X.blank(F.col("l2_summary")), F.col("l2_summary")), "matched_content")), around, F.lit(""))
-    name = X.or_else(F.try_element_at("source_metadata", F.lit("name")), F.try_element_at("source_metadata", F.lit("project_id")), F.lit(""))
+    name = X.or_empty(F.try_element_at("source_metadata", F.lit("name")), F.try_element_at("source_metadata", F.lit("project_id")))
     extra = [F.col("l1_summary"), F.col("toc")] if level >= 3 else []
     return rows.select("l1_id", "l2_id", "l3_id", F.col("doc_key").alias("doc_id"), "project_id", "score", "l1_title", "section_id", heading.alias("section_heading"), "matched_content", "l2_summary", F.when(F.col("source_type") == "code", F.col("path")).otherwise("").alias("source_path"), name.alias("doc_name"), crumb.alias("breadcrumb"), F.coalesce(around, F.lit("")).alias("surrounding_context"), *extra)

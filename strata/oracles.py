@@ -120,7 +120,7 @@ CODE = r"""sup AS (SELECT s_nationkey, string_agg('def ' || lower(regexp_replace
 ORACLES: dict[str, str] = {
     "sentence_explode": f"WITH {SENTENCES} SELECT * FROM good",
     "sentence_dedup_rank": f"WITH {SENTENCES} SELECT doc_id, sort_order, sentence FROM ranked",
-    "sentence_chain": f"WITH {SENTENCES} SELECT doc_id, sort_order, lag(sort_order) OVER (PARTITION BY doc_id ORDER BY sort_order) AS parent_order, sha256(sentence) AS content_hash FROM ranked",
+    "sentence_chain": f"WITH {SENTENCES} SELECT doc_id, sort_order, coalesce(lag(sort_order) OVER (PARTITION BY doc_id ORDER BY sort_order), -1) AS parent_order, sha256(sentence) AS content_hash FROM ranked",
     "content_hash": "SELECT doc_id, sha256(text) AS content_hash FROM documents",
     "dup_documents": "SELECT sha256(text) AS content_hash, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1",
     "ingest_anti_join": "SELECT doc_id, source, sha256(text) AS content_hash FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents e WHERE e.text = d.text AND e.doc_id < d.doc_id)",
@@ -163,7 +163,7 @@ ORACLES: dict[str, str] = {
     "latest_revision": "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC NULLS LAST, event_id DESC) = 1",
     "head_revision": "WITH dear AS (SELECT o_custkey, o_orderkey FROM orders WHERE o_totalprice > 300000 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey DESC) = 1), last AS (SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey DESC) = 1) SELECT c_custkey AS o_custkey, coalesce(d.o_orderkey, l.o_orderkey) AS head FROM customer LEFT JOIN dear d ON d.o_custkey = c_custkey LEFT JOIN last l ON l.o_custkey = c_custkey",
     "exists_chain": f"WITH {TABLES} SELECT l1_id, project_id FROM t_l1 WHERE l1_id IN (SELECT l1_id FROM t_l2 WHERE l2_id IN (SELECT l2_id FROM t_l3))",
-    "upsert_documents": "WITH o AS (SELECT c_custkey AS k, c_name AS t, CAST(c_nationkey AS BIGINT) AS p FROM customer WHERE c_acctbal > 0), n AS (SELECT c_custkey AS k, upper(c_name) AS t FROM customer WHERE c_mktsegment = 'BUILDING') SELECT coalesce(n.k, o.k) AS machine_id, coalesce(n.t, o.t) AS title, o.p AS project_id, CASE WHEN n.k IS NOT NULL AND o.k IS NOT NULL THEN 2 ELSE 1 END AS version FROM o FULL JOIN n ON o.k = n.k",
+    "upsert_documents": "WITH o AS (SELECT c_custkey AS k, c_name AS t, CAST(c_nationkey AS BIGINT) AS p FROM customer WHERE c_acctbal > 0), n AS (SELECT c_custkey AS k, upper(c_name) AS t FROM customer WHERE c_mktsegment = 'BUILDING') SELECT coalesce(n.k, o.k) AS machine_id, coalesce(n.t, o.t) AS title, coalesce(o.p, -1) AS project_id, CASE WHEN n.k IS NOT NULL AND o.k IS NOT NULL THEN 2 ELSE 1 END AS version FROM o FULL JOIN n ON o.k = n.k",
     "project_meta_merge": "SELECT s_name AS root_path, CAST(s_nationkey AS VARCHAR) AS nation, CASE WHEN s_acctbal < 0 THEN 'debt' ELSE 'old' END AS state, CASE WHEN s_acctbal < 0 THEN 'call' END AS note, CASE WHEN s_acctbal < 0 THEN 3 ELSE 2 END AS entries FROM supplier",
     "metadata_flat": "SELECT event_id, k AS key, v AS value FROM (SELECT event_id, unnest(json_keys(props)) AS k, props FROM events), LATERAL (SELECT json_extract_string(props, '$.' || k) AS v) WHERE v IS NOT NULL",
     "ingest_log_summary": "SELECT count(*) FILTER (event_type = 'click') AS md, count(*) FILTER (event_type = 'view') AS code, count(*) FILTER (value > 50) AS ok FROM events",

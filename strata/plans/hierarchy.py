@@ -99,7 +99,7 @@ def normalise(records: DataFrame) -> DataFrame:
     The key of a document is its project and path, or its title where metadata has no path.
     """
     meta = F.coalesce("source_metadata", F.create_map().cast("map<string,string>"))
-    path = X.or_else(F.try_element_at(meta, F.lit("path")), F.col("title"), F.lit(""))
+    path = X.or_empty(F.try_element_at(meta, F.lit("path")), F.col("title"))
     project = F.coalesce(F.col("project_id"), F.lit(0).cast("bigint"))
     rows = records.select(F.coalesce("title", F.lit("")).alias("title"), F.coalesce("content", F.lit("")).alias("content"), meta.alias("source_metadata"), record_domain(F.col("domain"), meta).alias("domain"), project.alias("project_id"), path.alias("path"))
     kind = F.when(F.col("domain") == "code", "code").otherwise(X.or_else(F.try_element_at("source_metadata", F.lit("source_type")), F.lit("md")))

@@ -53,7 +53,7 @@ def sentence_dedup_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sentence_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ranked_sentences(spark, sf_dir)
     parent = F.lag("sort_order").over(Window.partitionBy("doc_id").orderBy("sort_order"))
-    return rows.select("doc_id", "sort_order", parent.alias("parent_order"), ids.sha_hex(F.col("sentence")).alias("content_hash"))
+    return rows.select("doc_id", "sort_order", F.coalesce(parent, F.lit(-1)).alias("parent_order"), ids.sha_hex(F.col("sentence")).alias("content_hash"))
 
 
 # Hashes, identity, no-op detection
@@ -438,7 +438,7 @@ def upsert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer")
     old = rows.where("c_acctbal > 0").select(F.col("c_custkey").alias("machine_id"), F.col("c_name").alias("title"), F.col("c_nationkey").cast("bigint").alias("project_id"), F.lit(1).alias("version"))
     new = rows.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("machine_id"), F.upper("c_name").alias("title"), F.lit(None).cast("bigint").alias("project_id"), F.lit(1).alias("version"))
-    return admin.upsert_versions(old, new, "machine_id")
+    return admin.upsert_versions(old, new, "machine_id").withColumn("project_id", F.coalesce("project_id", F.lit(-1).cast("bigint")))
 
 
 @query
