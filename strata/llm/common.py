@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from strata.llm.textvec import tidy
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -83,7 +84,7 @@ def bitmap_of_longs(df: DataFrame, bits: int = 1 << 25) -> Bitmap:
             yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(held.data.tobytes(), 1)], pa.binary())], ["bits"])
 
     out = Bitmap(bits)
-    for row in df.mapInArrow(pack, "bits binary").toLocalIterator():
+    for row in df.mapInArrow(tidy(pack), "bits binary").toLocalIterator():
         out.data |= np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
     return out
 
@@ -104,7 +105,7 @@ def split_by(df: DataFrame, key: Column, bitmap: Bitmap) -> tuple[DataFrame, Dat
         return apply
 
     rows = df.select(*df.columns, key.alias("_split"))
-    return tuple(rows.mapInArrow(choose(x), df.schema) for x in (False, True))
+    return tuple(rows.mapInArrow(tidy(choose(x)), df.schema) for x in (False, True))
 
 
 def running_sum(df: DataFrame, group: list[str], key: str, value: str, out: str, buckets: int) -> DataFrame:

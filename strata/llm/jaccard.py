@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from strata.llm import textvec as tv
 from strata.llm.common import Bitmap, bitmap_of_longs, fragments, materialize
 from strata.llm.graph import contract
+from strata.llm.textvec import tidy, tidy_group
 
 #: Shingles that a task holds before it sends them on.
 CHUNK = 400_000
@@ -172,9 +173,9 @@ def shared_counts(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFram
     parts = fragments(rows, 6, least=4)
     from pyspark.sql.pandas.types import to_arrow_type
 
-    asked = rows.mapInArrow(_requests(k, parts, to_arrow_type(rows.schema[0].dataType)), f"frag int, chunk long, tokens binary, runs binary, many binary, ids array<{kind}>, n array<long>, node array<long>, seen array<long>")
-    replies = asked.groupBy("frag").applyInArrow(_count_shared, f"chunk long, at binary, count binary, ids array<{kind}>, n array<long>, node array<long>, seen array<long>")
-    return replies.groupBy("chunk").applyInArrow(_sum_shared, f"doc_id {kind}, n long, node long, shared long")
+    asked = rows.mapInArrow(tidy(_requests(k, parts, to_arrow_type(rows.schema[0].dataType))), f"frag int, chunk long, tokens binary, runs binary, many binary, ids array<{kind}>, n array<long>, node array<long>, seen array<long>")
+    replies = asked.groupBy("frag").applyInArrow(tidy_group(_count_shared), f"chunk long, at binary, count binary, ids array<{kind}>, n array<long>, node array<long>, seen array<long>")
+    return replies.groupBy("chunk").applyInArrow(tidy_group(_sum_shared), f"doc_id {kind}, n long, node long, shared long")
 
 
 def _token_rows(k: int, wanted: Bitmap):
@@ -194,29 +195,23 @@ def _token_rows(k: int, wanted: Bitmap):
     return apply
 
 
-def _only(nodes: Bitmap):
+def _segments(wanted: Bitmap):
+    """node, n, tokens -> node, part, n, segment of the nodes in a bitmap: the set cut at fixed places of the global order."""
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.arange(1, 1 << PARTS, dtype=np.uint64) << U64(64 - PARTS)
         for b in batches:
-            yield b.filter(pa.array(nodes.has(np.asarray(b.column(0)).view(U64))))
+            b = b.filter(pa.array(wanted.has(np.asarray(b.column(0)).view(U64))))
+            out = []
+            for node, n, held in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                cuts = [0, *np.searchsorted(np.frombuffer(held, "<u8"), edges).tolist(), len(held) // 8]
+                out += [(node, p, n, held[8 * cuts[p] : 8 * cuts[p + 1]]) for p in range(1 << PARTS)]
+            if out:
+                yield _rows(out)
 
     return apply
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, n, tokens -> node, part, n, segment: the set cut at fixed places of the global order."""
-    edges = np.arange(1, 1 << PARTS, dtype=np.uint64) << U64(64 - PARTS)
-    for b in batches:
-        out = []
-        for node, n, held in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
-            cuts = [0, *np.searchsorted(np.frombuffer(held, "<u8"), edges).tolist(), len(held) // 8]
-            out += [(node, p, n, held[8 * cuts[p] : 8 * cuts[p + 1]]) for p in range(1 << PARTS)]
-            if len(out) >= 4096:
-                yield _rows(out)
-                out = []
-        if out:
-            yield _rows(out)
-
-
 def _rows(out: list[tuple]) -> pa.RecordBatch:
     columns = zip(*out, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["node", "part", "n", "segment"])
@@ -236,13 +231,12 @@ def _partial_overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) of nodes that link: overlaps are counted in each fragment of the order and summed."""
     involved = bitmap_of_longs(pairs.select(F.explode(F.array("a", "b")).alias("node")))
-    kept = tokens.select("node", "n", "tokens").mapInArrow(_only(involved), "node long, n long, tokens binary")
-    cut = kept.mapInArrow(_segments, "node long, part int, n long, segment binary")
+    cut = tokens.select("node", "n", "tokens").mapInArrow(tidy(_segments(involved)), "node long, part int, n long, segment binary")
     left = cut.select(F.col("node").alias("a"), "part", F.col("n").alias("na"), F.col("segment").alias("sa"))
     right = cut.select(F.col("node").alias("b"), F.col("part"), F.col("n").alias("nb"), F.col("segment").alias("sb"))
     rows = pairs.select("a", "b").withColumn("part", F.explode(F.lit([*range(1 << PARTS)])))
     rows = rows.join(left, ["a", "part"]).join(right, ["b", "part"]).select("a", "b", "na", "nb", "sa", "sb")
-    counted = rows.mapInArrow(_partial_overlap, "a long, b long, na long, nb long, overlap long")
+    counted = rows.mapInArrow(tidy(_partial_overlap), "a long, b long, na long, nb long, overlap long")
     summed = counted.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
     return summed.where(F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * percent).select("a", "b")
 
@@ -332,11 +326,11 @@ def _kept(percent: int):
 def prune(tokens: DataFrame, percent: int) -> DataFrame:
     """node, n, m, b0.., tokens: nodes with those of their hashes that other nodes have too (m of n); nodes with too few to be linked go."""
     parts = fragments(tokens, 6, least=4)
-    asked = tokens.select("node", "n", "tokens").mapInArrow(_ask_shared(parts), "frag int, tokens binary, nodes binary, ns binary, many binary, node long, n long, own binary")
-    told = asked.groupBy("frag").applyInArrow(_tell_shared, "node long, n long, own binary")
+    asked = tokens.select("node", "n", "tokens").mapInArrow(tidy(_ask_shared(parts)), "frag int, tokens binary, nodes binary, ns binary, many binary, node long, n long, own binary")
+    told = asked.groupBy("frag").applyInArrow(tidy_group(_tell_shared), "node long, n long, own binary")
     whole = told.groupBy("node", "n").agg(F.collect_list("own").alias("pieces"))
     words = "".join(f"b{i} long, " for i in range(BITS))
-    return whole.mapInArrow(_kept(percent), f"node long, n long, m long, {words}tokens binary")
+    return whole.mapInArrow(tidy(_kept(percent)), f"node long, n long, m long, {words}tokens binary")
 
 
 def _may_link(x: str, y: str, percent: int) -> str:
@@ -366,7 +360,7 @@ def _buckets(keys: int):
 def _near_pivots(nodes: DataFrame, comps: DataFrame, percent: int, seed: int, keys: int = 2) -> DataFrame:
     """Pairs (a, b) of nodes in different components that may link: each node of a bucket with the bucket's pivot, which changes with the seed."""
     marks = _marks(nodes, comps)
-    rows = nodes.select("node", "tokens").mapInArrow(_buckets(keys), "bucket long, node long")
+    rows = nodes.select("node", "tokens").mapInArrow(tidy(_buckets(keys)), "bucket long, node long")
     turn = F.lit(seed * 0x5851F42D4C957F2D % (1 << 63)).cast("long")
     pivots = rows.groupBy("bucket").agg(F.min(F.col("node").bitwiseXOR(turn)).bitwiseXOR(turn).alias("pivot"))
     pairs = rows.join(pivots, "bucket").where("node <> pivot").select("node", "pivot").distinct()
@@ -434,8 +428,8 @@ def _across(nodes: DataFrame, comps: DataFrame, percent: int, least: int = 8) ->
     """
     rows = nodes.select("node", "n", "m", "tokens").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     parts = fragments(nodes, 24, least=4)
-    often = rows.select("node", "m", "comp", "tokens").mapInArrow(_frequent_requests(parts), "frag int, pairs binary").groupBy("frag").applyInArrow(_frequent(least), "token long")
-    prefix = materialize(rows.select("node", "n", "comp", "tokens").mapInArrow(_prefixes(percent, bitmap_of_longs(often)), "token long, node long, comp long"))
+    often = rows.select("node", "m", "comp", "tokens").mapInArrow(tidy(_frequent_requests(parts)), "frag int, pairs binary").groupBy("frag").applyInArrow(tidy_group(_frequent(least)), "token long")
+    prefix = materialize(rows.select("node", "n", "comp", "tokens").mapInArrow(tidy(_prefixes(percent, bitmap_of_longs(often))), "token long, node long, comp long"))
     by_comp = prefix.groupBy("token", "comp").agg(F.count("*").alias("c"))
     mixed = by_comp.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("token", "main")
     marks = _marks(nodes, comps).drop("comp")
@@ -463,7 +457,7 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     open_ = sets.where(F.col("shared") * 100 >= F.col("n") * percent)
     chosen = materialize(open_.select("node", F.xxhash64("key").alias("key")))
     texts = df.select(F.xxhash64(F.col(id_col)).alias("key"), F.col(text_col))
-    found = texts.mapInArrow(_token_rows(k, bitmap_of_longs(chosen.select("key"))), "key long, node long, n long, tokens binary")
+    found = texts.mapInArrow(tidy(_token_rows(k, bitmap_of_longs(chosen.select("key")))), "key long, node long, n long, tokens binary")
     tokens = materialize(found.join(chosen, ["key", "node"], "left_semi").dropDuplicates(["key", "node"]).select("node", "n", "tokens"))
     nodes = materialize(prune(tokens, percent))
     comps = chosen.select("node", F.col("node").alias("comp")).limit(0)

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from strata.llm.textvec import tidy
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST_GRAM = 5
@@ -47,7 +48,7 @@ def logs(counts: np.ndarray) -> np.ndarray:
 class Model:
     """Log frequencies by word and by n-gram, one column for each language."""
 
-    def __init__(self, langs: list[str], words: Counts, tables: list[Counts], memo: int = 200_000):
+    def __init__(self, langs: list[str], words: Counts, tables: list[Counts], memo: int = 100_000):
         self.langs, self.memo = langs, memo
         self.grams = [(dict(zip(names, range(len(names)), strict=True)), logs(counts)) for names, counts in tables]
         self.first = dict(zip(words[0], range(len(words[0])), strict=True))
@@ -97,7 +98,7 @@ class Model:
         return self.langs[best], float(1.0 / np.exp(z).sum())
 
 
-def fit(df: DataFrame, labelled: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = 12_000, max_words: int = 80_000, max_grams: int = 25_000) -> Model:
+def fit(df: DataFrame, labelled: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = 12_000, max_words: int = 60_000, max_grams: int = 25_000) -> Model:
     """A Model of the rows that are `labelled` and have a language.
 
     max_rows: about how many rows are read; of more, those with the lowest hashes of id.
@@ -120,7 +121,7 @@ def fit(df: DataFrame, labelled: Column, text_col: str = "text", lang_col: str =
 
     from strata.llm.common import materialize
 
-    words = materialize(rows.select(lang_col, text_col).mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    words = materialize(rows.select(lang_col, text_col).mapInArrow(tidy(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -142,7 +143,7 @@ def fit(df: DataFrame, labelled: Column, text_col: str = "text", lang_col: str =
         counts = [np.asarray(rows[f"n{i}"], dtype=float) for i in range(len(langs))]
         return rows["word"].to_pylist(), np.stack(counts, axis=1) if counts else np.zeros((0, 0))
 
-    gram = materialize(words.mapInArrow(cut, "lang string, word string, size int, n long").groupBy("size", "lang", "word").agg(F.sum("n").alias("n")))
+    gram = materialize(words.mapInArrow(tidy(cut), "lang string, word string, size int, n long").groupBy("size", "lang", "word").agg(F.sum("n").alias("n")))
     tables = [top(gram.where(F.col("size") == size).drop("size"), max_grams) for size in range(1, LONGEST_GRAM + 1)]
     return Model(langs, top(words, max_words), tables)
 
@@ -160,7 +161,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", lang_out: str =
 
     from pyspark.sql.types import DoubleType, StringType, StructType
 
-    return df.mapInArrow(apply, StructType(list(df.schema.fields)).add(lang_out, StringType()).add(score_out, DoubleType()))
+    return df.mapInArrow(tidy(apply), StructType(list(df.schema.fields)).add(lang_out, StringType()).add(score_out, DoubleType()))
 
 
 def accuracy(pairs: list[tuple[str, str]]) -> float:

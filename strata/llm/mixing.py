@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.common import running_sum
-from strata.llm.textvec import slices
+from strata.llm.textvec import slices, tidy
 
 WEIGHTS = (5, 2, 1)
 
@@ -40,7 +40,7 @@ def word_counts(df: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFr
 
     rows = df.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col))
     kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(count, f"{kinds}size long")
+    return rows.mapInArrow(tidy(count), f"{kinds}size long")
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> dict[str | None, float]:
@@ -92,7 +92,7 @@ def schedule(spark, slots: list[int]) -> DataFrame:
             rank = points_below(n, edges[source + 1], bits) - points_below(n, edges[source], bits)
             yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(source.astype(np.int32)), pa.array(rank)], ["slot", "source_no", "rank"])
 
-    return spark.range(1 << bits if total else 0).mapInArrow(name, "slot long, source_no int, rank long")
+    return spark.range(1 << bits if total else 0).mapInArrow(tidy(name), "slot long, source_no int, rank long")
 
 
 def mix(df: DataFrame, block_words: int = 1024, most: int = 3, weights: tuple[int, ...] = WEIGHTS, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", buckets: int = 256) -> tuple[DataFrame, DataFrame]:

@@ -22,12 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.common import materialize, running_sum
+from strata.llm.textvec import tidy
 
 #: The split pattern of the public byte-level BPE vocabulary.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PROBE = "Probe: they'll  see 1234 naïve\n\n\tžluťoučký <|endoftext|> 你好 ... _x_y "
 
-_loaded: dict[str, object] = {}
+_loaded: dict[tuple[str, bool], object] = {}
 
 
 def default_tokenizer() -> str:
@@ -36,41 +37,48 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encoder(path: str):
-    """text -> list of ids, by the vocabulary at `path` (tokenizers' JSON); strings of special tokens are ordinary text.
+def merge_ranks(path: str) -> dict[bytes, int]:
+    """bytes -> id of a byte-level BPE vocabulary whose ids are in merge order."""
+    with open(path) as f:
+        held = json.load(f)
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in set(plain)]
+    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
+    special = {x["content"] for x in held.get("added_tokens", [])}
+    return {bytes(byte[c] for c in k): v for k, v in held["model"]["vocab"].items() if k not in special}
 
-    A byte-level BPE whose ids are in merge order can be run by tiktoken, several times
-    faster; that is used only after both have given the same ids for a probe.
-    """
-    if path not in _loaded:
-        from tokenizers import Tokenizer
 
-        slow = Tokenizer.from_file(path)
-        slow.encode_special_tokens = True
-        _loaded[path] = lambda text: slow.encode(text, add_special_tokens=False).ids
-        try:
+def encoder(path: str, fast: bool):
+    """text -> list of ids, by the vocabulary at `path` (tokenizers' JSON); strings of special tokens are ordinary text. fast: by tiktoken, several times faster."""
+    if (path, fast) not in _loaded:
+        if fast:
             import tiktoken
 
-            model = json.load(open(path))["model"]
-            plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-            other = [b for b in range(256) if b not in set(plain)]
-            byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
-            ranks = {bytes(byte[c] for c in k): v for k, v in model["vocab"].items() if all(c in byte for c in k)}
-            special = {x["content"] for x in json.load(open(path)).get("added_tokens", [])}
-            ranks = {k: v for k, v in ranks.items() if k.decode("utf-8", "replace") not in special}
-            fast = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-            if fast.encode_ordinary(PROBE) == _loaded[path](PROBE):
-                _loaded[path] = fast.encode_ordinary
-        except (ImportError, KeyError, ValueError):
-            pass
-    return _loaded[path]
+            _loaded[path, fast] = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=merge_ranks(path), special_tokens={}).encode_ordinary
+        else:
+            from tokenizers import Tokenizer
+
+            slow = Tokenizer.from_file(path)
+            slow.encode_special_tokens = True
+            _loaded[path, fast] = lambda text: slow.encode(text, add_special_tokens=False).ids
+    return _loaded[path, fast]
+
+
+def can_be_fast(path: str) -> bool:
+    """Whether tiktoken has the vocabulary's ids for a probe; else the tokenizers library is used throughout."""
+    try:
+        return encoder(path, True)(PROBE) == encoder(path, False)(PROBE)
+    except (ImportError, KeyError, ValueError):
+        return False
 
 
 def pieces(df: DataFrame, capacity: int, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenised documents cut into pieces of `capacity` tokens, of which the first may be shorter."""
 
+    fast = can_be_fast(path)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path, fast)
         for b in batches:
             docs, number, start, length, crc = [], [], [], [], []
             for row, text in enumerate(b.column(1)):
@@ -87,7 +95,7 @@ def pieces(df: DataFrame, capacity: int, path: str, end_id: int, id_col: str = "
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(docs, pa.int64())), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(tidy(cut), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 Pattern = tuple[tuple[int, ...], int]
@@ -240,4 +248,4 @@ def pack(df: DataFrame, capacity: int = 1024, tokenizer: str | None = None, end_
     ranked = running_sum(cut.withColumns({"_key": F.xxhash64("doc_id", "piece", "ids_crc32"), "_one": F.lit(1).cast("long")}), ["length"], "_key", "_one", "rank", buckets)
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
     kind = cut.schema["doc_id"].dataType.simpleString()
-    return ranked.mapInArrow(assign, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(assign), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

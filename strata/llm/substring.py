@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from strata.llm import textvec as tv
 from strata.llm.common import Bitmap, bitmap_of_longs, fragments, materialize, split_by
+from strata.llm.textvec import tidy, tidy_group
 
 U64 = np.uint64
 CHUNK = 600_000
@@ -251,13 +252,13 @@ def repeated_spans(df: DataFrame, id_col: str, text_col: str, size: int, gram: i
     spark = df.sparkSession
     text = df.select(F.col(text_col))
     parts = fragments(text, 12, least=4)
-    asked = text.mapInArrow(_anchor_requests(size, gram, parts), "frag int, once binary, many binary")
-    found = bitmap_of_longs(asked.groupBy("frag").applyInArrow(_repeated_anchors, "anchor long"), ANCHOR_BITS)
+    asked = text.mapInArrow(tidy(_anchor_requests(size, gram, parts)), "frag int, once binary, many binary")
+    found = bitmap_of_longs(asked.groupBy("frag").applyInArrow(tidy_group(_repeated_anchors), "anchor long"), ANCHOR_BITS)
     held = spark.sparkContext.broadcast(found.data)  # ANCHOR_BITS / 8 bytes at any size
     keyed = df.select(F.xxhash64(id_col, text_col).alias("key"), F.col(text_col))
-    asked = keyed.mapInArrow(_window_requests(size, gram, parts, held), "frag int, chunk long, hashes binary, at binary, many binary, keys binary, first binary, length binary, own binary")
-    replies = asked.groupBy("frag").applyInArrow(_count_windows, "chunk long, at binary, keys binary, first binary, length binary, own binary")
-    return replies.groupBy("chunk").applyInArrow(_intervals(size), "key long, spans binary")
+    asked = keyed.mapInArrow(tidy(_window_requests(size, gram, parts, held)), "frag int, chunk long, hashes binary, at binary, many binary, keys binary, first binary, length binary, own binary")
+    replies = asked.groupBy("frag").applyInArrow(tidy_group(_count_windows), "chunk long, at binary, keys binary, first binary, length binary, own binary")
+    return replies.groupBy("chunk").applyInArrow(tidy_group(_intervals(size)), "key long, spans binary")
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 35, gram: int = 8) -> DataFrame:
@@ -269,4 +270,4 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     clear, open_ = split_by(rows, F.col("key"), touched)
     whole = clear.select("doc_id", "text", F.lit(None).cast("binary").alias("spans"))
     some = open_.join(spans.dropDuplicates(["key"]), "key", "left").select("doc_id", "text", "spans")
-    return whole.unionByName(some).mapInArrow(_keep, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return whole.unionByName(some).mapInArrow(tidy(_keep), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")

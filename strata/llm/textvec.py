@@ -35,6 +35,34 @@ def release() -> None:
         pass
 
 
+def tidy(f):
+    """A function over batches that gives its memory back when a task ends."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return run
+
+
+def tidy_group(f):
+    """The same for functions over groups; arguments are one table, or two of a cogroup."""
+
+    def one(table):
+        out = f(table)
+        release()
+        return out
+
+    def two(left, right):
+        out = f(left, right)
+        release()
+        return out
+
+    return two if f.__code__.co_argcount == 2 else one
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (bijective)."""
     x = x ^ (x >> U64(30))

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from strata.llm.textvec import tidy
 
 # Fixed values of the TIFF 6.0 format: field types' sizes, tags, compressions.
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
@@ -280,7 +281,7 @@ def decode(df: DataFrame, media_col: str, id_col: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(row, 1), *(pa.array([v], k) for v, k in zip(values, kinds[1:], strict=True))], names)
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col), F.col(media_col)).mapInArrow(apply, f"id {kind}, page int, width int, height int, samples int, compression int, pixels binary, error string")
+    return df.select(F.col(id_col), F.col(media_col)).mapInArrow(tidy(apply), f"id {kind}, page int, width int, height int, samples int, compression int, pixels binary, error string")
 
 
 PAGE_ROWS = 16_384
@@ -321,4 +322,4 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", *names])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(apply, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, pages int, feature string")
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(tidy(apply), f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, pages int, feature string")
