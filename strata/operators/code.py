@@ -13,14 +13,15 @@ CLASS = r"^class\s+\w+"
 FUNC = r"^func\s+"
 
 
-def code_lines(df: DataFrame, key: str, content: str) -> DataFrame:
+def code_lines(df: DataFrame, key: str, content: str, whole_file: bool = True) -> DataFrame:
     """Key, line_num (from 1), content, node_type, is_anchor, is_block_start, parent_idx.
 
     Anchors are unindented def, async def and class lines, and lines that start with `func `.
     Any other line, blank ones too, points to the anchor before it (its index from 0), or to -1.
+    A newline at the end of a whole file ends its last line; elsewhere a blank line follows it.
     """
     unified = F.regexp_replace(F.coalesce(content, F.lit("")), "\r\n?", "\n")
-    held = F.when(unified == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(unified, r"\n\z", ""), "\n", -1))
+    held = F.when(unified == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(unified, r"\n\z", "") if whole_file else unified, "\n", -1))
     rows = df.select(key, F.posexplode(held).alias("_i", "content"))
     line = F.col("content")
     kind = F.when(X.blank(line), "empty_line").when(line.rlike(DEF), "function_definition").when(line.rlike(CLASS), "class_definition").when(line.rlike(FUNC), "function_declaration").otherwise("expression_statement")

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # Patterns of spans in which a full stop ends no sentence.
 LINK = re.compile(r"!?\[[^\]]*\]\([^)]*\)")
@@ -82,13 +83,13 @@ def split_keeping_ends(text: str | None, hangul_from: float = 0.12, segmenter: C
     return [s for part in parts if part and (s := unmask(part.strip(), held).strip())]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _dropping(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for t in texts:
         yield t.map(split_dropping_ends, na_action=None)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _keeping(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for t in texts:
         yield t.map(split_keeping_ends, na_action=None)

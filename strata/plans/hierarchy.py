@@ -144,7 +144,7 @@ def code_atoms_of(chunks: DataFrame) -> DataFrame:
     code = chunks.where("section_type = 'code'")
     filed = code.where("source_type = 'code'")
     offset = F.coalesce(F.get_json_object("metadata", "$.first_line").cast("int"), F.lit(1)) - 1
-    lines = code_ops.code_lines(filed.select("l1_id", F.struct("l1_id", "l2_id", offset.alias("offset")).alias("k"), "text").select("k", "text"), "k", "text")
+    lines = code_ops.code_lines(filed.select("l1_id", F.struct("l1_id", "l2_id", offset.alias("offset")).alias("k"), "text").select("k", "text"), "k", "text", whole_file=False)
     atoms = code_ops.code_atoms(lines, "k")
     own = atoms.select(F.col("k.l1_id").alias("l1_id"), F.col("k.l2_id").alias("l2_id"), (F.col("sort_order") + F.col("k.offset") * STEP).alias("sort_order"), "content", "content_hash", "embedded", "source_metadata", (F.col("parent_line") + F.col("k.offset")).alias("_parent"))
     own = own.withColumns({"l3_id": ids.natural_id(F.col("l2_id"), F.col("sort_order")), "parent_id": F.when(F.col("_parent").isNotNull(), ids.natural_id(F.col("l2_id"), F.col("_parent") * STEP))})

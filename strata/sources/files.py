@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StringType
 
 # Extensions that are read.
 MARKDOWN = ("md", "markdown")
@@ -46,7 +47,7 @@ def parse_head(head: str | None) -> dict[str, str]:
     return {str(k): str(v) for k, v in held.items() if v is not None} if isinstance(held, dict) else {}
 
 
-@F.pandas_udf("map<string,string>")
+@F.pandas_udf(MapType(StringType(), StringType()))
 def _heads(heads: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for h in heads:
         yield h.map(parse_head, na_action=None)
