@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from strata.functions.text import trim_ws
+from strata.functions.text import let, trim_ws
 
 
 def sha_hex(s: Column) -> Column:
@@ -38,14 +38,20 @@ def clean_path(path: Column) -> Column:
 
 def project_id(path: Column, prefix: str = "project:") -> Column:
     """H3: of a cleaned path; 0 for an empty one, never 0 otherwise."""
-    cleaned = clean_path(path)
-    n = folded(F.substring(sha_hex(F.concat(F.lit(prefix), cleaned)), 1, 16))
-    return F.when(cleaned == "", F.lit(0).cast("bigint")).otherwise(F.greatest(n, F.lit(1).cast("bigint")))
+
+    def number(cleaned: Column) -> Column:
+        n = folded(F.substring(sha_hex(F.concat(F.lit(prefix), cleaned)), 1, 16))
+        return F.when(cleaned == "", F.lit(0).cast("bigint")).otherwise(F.greatest(n, F.lit(1).cast("bigint")))
+
+    return let(clean_path(path), number)
 
 
 def uuid_of(s: Column) -> Column:
     """H4: SHA-256 in the form of a name-based UUID (version 5, RFC variant)."""
-    h = sha_hex(s)
+    return let(sha_hex(s), _as_uuid)
+
+
+def _as_uuid(h: Column) -> Column:
     variant = F.lower(F.lpad(F.hex(F.conv(F.substring(h, 17, 2), 16, 10).cast("int").bitwiseAND(0x3F).bitwiseOR(0x80).cast("long")), 2, "0"))
     return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 19, 2), F.lit("-"), F.substring(h, 21, 12))
 

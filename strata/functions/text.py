@@ -35,12 +35,12 @@ def trim_ws(s: Column) -> Column:
 
 
 def blank(s: Column) -> Column:
-    return s.isNull() | (trim_ws(s) == "")
+    return F.coalesce(trim_ws(s), F.lit("")) == ""
 
 
 def or_else(s: Column, *others: Column) -> Column:
     """The first that is neither null nor blank."""
-    return F.coalesce(*(F.when(~blank(x), x) for x in (s, *others)))
+    return F.try_element_at(F.filter(F.array(s, *others), lambda x: ~blank(x)), F.lit(1))
 
 
 def or_empty(*values: Column) -> Column:
@@ -186,8 +186,8 @@ def join_path(parts: Column) -> Column:
 
 def directory(path: Column) -> Column:
     """POSIX directory of a path (backslashes count as slashes); / if there is none."""
-    slashed = F.translate(path, "\\", "/")
-    return F.coalesce(F.nullif(F.regexp_extract(slashed, r"^(/*.*?)/+[^/]*$", 1), F.lit("")), F.lit("/"))
+    found = F.regexp_extract(F.translate(path, "\\", "/"), r"^(/*.*?)/+[^/]*$", 1)
+    return F.when(path.isNotNull(), F.regexp_replace(found, "^$", "/"))
 
 
 def pipe_cells(line: Column) -> Column:

@@ -11,8 +11,8 @@ from strata.functions.coerce import merge_maps
 def merkle(rows: DataFrame, project: str, machine_id: str, child_hash: str) -> DataFrame:
     """Project, content_hash: SHA-256 over machine_id (8 bytes, big-endian) and hash (hex) of its documents in order of machine_id; projects without hashes are left out."""
     pair = F.struct(F.col(machine_id).alias("m"), F.col(child_hash).alias("h"))
-    held = rows.where(F.col(child_hash).isNotNull()).groupBy(project).agg(F.array_sort(F.collect_list(pair)).alias("p"))
-    text = F.array_join(F.transform("p", lambda x: F.concat(F.lpad(F.hex(x.getField("m")), 16, "0"), x.getField("h"))), "")
+    held = rows.where(F.col(child_hash).isNotNull()).groupBy(project).agg(F.array_sort(F.collect_list(pair)).alias("_pairs"))
+    text = F.array_join(F.transform("_pairs", lambda x: F.concat(F.lpad(F.hex(x.getField("m")), 16, "0"), x.getField("h"))), "")
     return held.select(project, F.sha2(F.unhex(text), 256).alias("content_hash"))
 
 
