@@ -170,7 +170,7 @@ def shared_counts(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFram
     """doc_id, n (size of the set), node (hash of the set), shared (how many of the set other rows have too; never too few)."""
     rows = df.select(F.col(id_col), F.col(text_col))
     kind = rows.schema[0].dataType.simpleString()
-    parts = fragments(rows, 6, least=4)
+    parts = fragments(rows, 6, least=16)
     from pyspark.sql.pandas.types import to_arrow_type
 
     asked = rows.mapInArrow(tidy(_requests(k, parts, to_arrow_type(rows.schema[0].dataType))), f"frag int, chunk long, tokens binary, runs binary, many binary, ids array<{kind}>, n array<long>, node array<long>, seen array<long>")
@@ -325,7 +325,7 @@ def _kept(percent: int):
 
 def prune(tokens: DataFrame, percent: int) -> DataFrame:
     """node, n, m, b0.., tokens: nodes with those of their hashes that other nodes have too (m of n); nodes with too few to be linked go."""
-    parts = fragments(tokens, 6, least=4)
+    parts = fragments(tokens, 6, least=16)
     asked = tokens.select("node", "n", "tokens").mapInArrow(tidy(_ask_shared(parts)), "frag int, tokens binary, nodes binary, ns binary, many binary, node long, n long, own binary")
     told = asked.groupBy("frag").applyInArrow(tidy_group(_tell_shared), "node long, n long, own binary")
     whole = told.groupBy("node", "n").agg(F.collect_list("own").alias("pieces"))
@@ -333,11 +333,15 @@ def prune(tokens: DataFrame, percent: int) -> DataFrame:
     return whole.mapInArrow(tidy(_kept(percent)), f"node long, n long, m long, {words}tokens binary")
 
 
-def _may_link(x: str, y: str, percent: int) -> str:
-    """SQL: whether nodes x and y can link, by their bitmaps: their kept sets differ in at least as many hashes as their parities do."""
+def _may_link(x: str, y: str, percent: int, placed: bool = False) -> str:
+    """SQL: whether nodes x and y can link, by their bitmaps: their kept sets differ in at least as many hashes as their parities do.
+
+    placed: x and y stand in the list of a hash, `place` by place in their order. If it is the first that they share, no more than what follows is shared; of a pair that links, the first shared hash passes.
+    """
     differ = " + ".join(f"bit_count({x}.b{i} ^ {y}.b{i})" for i in range(BITS))
-    most = f"least({x}.m, {y}.m, ({x}.m + {y}.m - ({differ})) div 2)"
-    return f"100 * {most} >= {percent} * ({x}.n + {y}.n - {most})"
+    left = f"least({x}.m - {x}.place, {y}.m - {y}.place)" if placed else f"least({x}.m, {y}.m)"
+    enough = "100 * {0} >= %d * (%s.n + %s.n - {0})" % (percent, x, y)
+    return f"{enough.format(left)} and {enough.format(f'(({x}.m + {y}.m - ({differ})) div 2)')}"
 
 
 def _marks(nodes: DataFrame, comps: DataFrame) -> DataFrame:
@@ -357,14 +361,20 @@ def _buckets(keys: int):
     return apply
 
 
-def _near_pivots(nodes: DataFrame, comps: DataFrame, percent: int, seed: int, keys: int = 2) -> DataFrame:
-    """Pairs (a, b) of nodes in different components that may link: each node of a bucket with the bucket's pivot, which changes with the seed."""
+def _near_pivots(nodes: DataFrame, comps: DataFrame, percent: int, seed: int) -> DataFrame:
+    """Pairs (a, b) of nodes in different components that may link: each node of a bucket with pivots of the bucket, which change with the seed.
+
+    The first round joins most nodes of most groups with one pivot of two buckets; later
+    ones try four of four for the nodes that are left.
+    """
+    many = 1 if seed == 0 else 4
     marks = _marks(nodes, comps)
-    rows = nodes.select("node", "tokens").mapInArrow(tidy(_buckets(keys)), "bucket long, node long")
-    turn = F.lit(seed * 0x5851F42D4C957F2D % (1 << 63)).cast("long")
-    pivots = rows.groupBy("bucket").agg(F.min(F.col("node").bitwiseXOR(turn)).bitwiseXOR(turn).alias("pivot"))
-    pairs = rows.join(pivots, "bucket").where("node <> pivot").select("node", "pivot").distinct()
-    near = pairs.withColumnRenamed("node", "own").join(marks.alias("x"), F.expr("own = x.node"))
+    rows = nodes.select("node", "tokens").mapInArrow(tidy(_buckets(2 if seed == 0 else 4)), "bucket long, node long")
+    turns = [F.lit((seed * 4 + k) * 0x5851F42D4C957F2D % (1 << 63)).cast("long") for k in range(many)]
+    least = [F.min(F.col("node").bitwiseXOR(t)).bitwiseXOR(t) for t in turns]
+    pivots = rows.groupBy("bucket").agg(F.array_distinct(F.array(*least)).alias("pivots"))
+    pairs = rows.join(pivots, "bucket").select(F.col("node").alias("own"), F.explode("pivots").alias("pivot")).where("own <> pivot").distinct()
+    near = pairs.join(marks.alias("x"), F.expr("own = x.node"))
     near = near.join(marks.alias("y"), F.expr(f"pivot = y.node and x.comp <> y.comp and {_may_link('x', 'y', percent)}"))
     return near.select(F.least("own", "pivot").alias("a"), F.greatest("own", "pivot").alias("b")).distinct()
 
@@ -404,7 +414,7 @@ def _frequent(least: int):
 
 
 def _prefixes(percent: int, frequent: Bitmap):
-    """node, n, comp, tokens -> token, node, comp of the prefix under the order (not shared, shared by few, frequent; hash)."""
+    """node, n, comp, tokens -> token, node, comp, place of the prefix under the order (not shared, shared by few, frequent; hash)."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -416,7 +426,8 @@ def _prefixes(percent: int, frequent: Bitmap):
                 out.append(t[np.argsort(frequent.has(t), kind="stable")[:p]])
             who = pa.array(np.repeat(np.arange(len(b)), size))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), b.column(0).take(who), b.column(2).take(who)], ["token", "node", "comp"])
+                place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), b.column(0).take(who), b.column(2).take(who), pa.array(place)], ["token", "node", "comp", "place"])
 
     return apply
 
@@ -427,15 +438,15 @@ def _across(nodes: DataFrame, comps: DataFrame, percent: int, least: int = 8) ->
     In the list of each hash, nodes of the list's main component meet only the nodes of others.
     """
     rows = nodes.select("node", "n", "m", "tokens").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    parts = fragments(nodes, 24, least=4)
+    parts = fragments(nodes, 6, least=16)
     often = rows.select("node", "m", "comp", "tokens").mapInArrow(tidy(_frequent_requests(parts)), "frag int, pairs binary").groupBy("frag").applyInArrow(tidy_group(_frequent(least)), "token long")
-    prefix = materialize(rows.select("node", "n", "comp", "tokens").mapInArrow(tidy(_prefixes(percent, bitmap_of_longs(often))), "token long, node long, comp long"))
+    prefix = materialize(rows.select("node", "n", "comp", "tokens").mapInArrow(tidy(_prefixes(percent, bitmap_of_longs(often))), "token long, node long, comp long, place long"))
     by_comp = prefix.groupBy("token", "comp").agg(F.count("*").alias("c"))
     mixed = by_comp.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("token", "main")
     marks = _marks(nodes, comps).drop("comp")
     lists = materialize(prefix.join(mixed, "token").join(marks, "node"))
     few = lists.where("comp <> main").alias("x")
-    pairs = lists.alias("y").join(few, F.expr(f"x.token = y.token and x.comp <> y.comp and (y.comp = y.main or y.node < x.node) and {_may_link('x', 'y', percent)}"))
+    pairs = lists.alias("y").join(few, F.expr(f"x.token = y.token and x.comp <> y.comp and (y.comp = y.main or y.node < x.node) and {_may_link('x', 'y', percent, placed=True)}"))
     return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
