@@ -35,14 +35,20 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the plan's input size."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's estimate of the plan's input size; where it has none (tables that aren't files), the bytes of its texts and blobs, added up."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < 1 << 60:
+        return size
+    long = [F.coalesce(F.octet_length(f.name), F.lit(0)).cast("long") for f in df.schema if f.dataType.simpleString() in ("string", "binary")]
+    total = F.lit(8).cast("long")
+    for c in long:
+        total = total + c
+    return df.agg(F.coalesce(F.sum(total), F.lit(0)).alias("n")).first()["n"]
 
 
 def fragments(df: DataFrame, each_mb: float, least: int = 1) -> int:
     """How many fragments a hash space is cut into, so that each gets about each_mb of the input; grows with the input."""
-    size = min(input_bytes(df), 1 << 50)
-    return int(max(least, -(-size // int(each_mb * (1 << 20)))))
+    return int(max(least, -(-input_bytes(df) // int(each_mb * (1 << 20)))))
 
 
 def crc_of_id(col: str = "doc_id") -> Column:
