@@ -59,7 +59,7 @@ def normalise_hits(raw: DataFrame, snippet: int = SNIPPET) -> DataFrame:
         return X.or_empty(*(col(n) for n in names))
 
     rows = raw.withColumn("_l3", X.or_else(col("l3_id"), col("matched_l3_id"))).where(F.col("_l3").isNotNull())
-    return rows.select(text("doc_id").alias("doc_id"), col("project_id", "bigint").alias("project_id"), text("doc_name").alias("doc_name"), text("l1_id").alias("l1_id"), text("l2_id").alias("l2_id"), F.col("_l3").alias("l3_id"), F.coalesce(col("score", "double"), col("qdrant_score", "double") if "qdrant_score" in raw.columns else F.lit(None).cast("double"), F.lit(0.0)).alias("score"), text("title", "l1_title").alias("title"), text("section_heading").alias("section_heading"), X.snippet(text("snippet", "matched_content", "surrounding_context"), snippet).alias("snippet"), text("source_path").alias("source_path"), text("breadcrumb").alias("breadcrumb"), text("surrounding_context").alias("surrounding_context"))
+    return rows.select(text("doc_id").alias("doc_id"), col("project_id", "bigint").alias("project_id"), text("doc_name").alias("doc_name"), text("l1_id").alias("l1_id"), text("l2_id").alias("l2_id"), F.col("_l3").alias("l3_id"), F.coalesce(col("score", "double"), col("vector_score", "double"), F.lit(0.0)).alias("score"), text("title", "l1_title").alias("title"), text("section_heading").alias("section_heading"), X.snippet(text("snippet", "matched_content", "surrounding_context"), snippet).alias("snippet"), text("source_path").alias("source_path"), text("breadcrumb").alias("breadcrumb"), text("surrounding_context").alias("surrounding_context"))
 
 
 def as_json(hits: DataFrame, names: list[str]) -> DataFrame:
