@@ -13,6 +13,7 @@ packed one by one. Other columns are ignored. An empty table gives an empty resu
 from __future__ import annotations
 
 import json
+import random
 import zlib
 from collections.abc import Iterator
 
@@ -101,25 +102,37 @@ def pieces(df: DataFrame, capacity: int, path: str, end_id: int, id_col: str = "
 Pattern = tuple[tuple[int, ...], int]
 
 
-def best_fit(counts: np.ndarray, capacity: int) -> int:
-    """Number of bins that best-fit decreasing opens, on counts by length."""
-    room = np.zeros(capacity + 1, dtype=np.int64)
-    bins = 0
+def best_fit(counts: np.ndarray, capacity: int) -> list[Pattern]:
+    """Best-fit decreasing on counts by length: each length goes to the fullest open bins that have room for it."""
+    open_: dict[int, list[Pattern]] = {}
+    done: list[Pattern] = []
+
+    def put(room: int, pattern: Pattern) -> None:
+        (done if room == 0 else open_.setdefault(room, [])).append(pattern)
+
     for length in range(capacity, 0, -1):
         left = int(counts[length])
         while left:
-            fits = np.flatnonzero(room[length:]) + length
-            if len(fits):
-                r, used = int(fits[0]), 1
-                times = min(left, int(room[r]))
-                room[r] -= times
+            r = min((x for x in open_ if x >= length), default=None)
+            if r is not None:
+                held, times = open_[r].pop()
+                used = min(left, times)
+                if used < times:
+                    open_[r].append((held, times - used))
+                if not open_[r]:
+                    del open_[r]
+                put(r - length, ((*held, length), used))
+                left -= used
             else:
-                r, used = capacity, min(capacity // length, left)
-                times = left // used
-                bins += times
-            room[r - used * length] += times
-            left -= used * times
-    return bins
+                each = min(capacity // length, left)
+                times = left // each
+                put(capacity - each * length, ((length,) * each, times))
+                left -= each * times
+    return done + [p for held in open_.values() for p in held]
+
+
+def bins_of(patterns: list[Pattern]) -> int:
+    return sum(times for _, times in patterns)
 
 
 def fillings(counts: np.ndarray, largest: int, room: int, keep: int, nodes: int) -> list[tuple[int, ...]]:
@@ -176,48 +189,45 @@ def _pair(counts: np.ndarray, largest: int, room: int) -> tuple[int, ...] | None
     return None
 
 
-def bin_completion(counts: np.ndarray, capacity: int, tries: int = 24, nodes: int = 3000) -> list[Pattern]:
+def bin_completion(counts: np.ndarray, capacity: int, steps: int = 30_000, nodes: int = 3000, seed: int = 1) -> list[Pattern]:
     """Patterns (lengths, times) that use up all counts, in as few bins as the search finds.
 
-    Each try is one dive; dive k takes the second-best filling at its k-th branching
-    and the best elsewhere. A dive ends as soon as its waste shows that it can't beat the
-    incumbent, and the search ends at the lower bound of bins.
+    The incumbent is best-fit decreasing. Each dive completes the largest length that is
+    left by the filling of least waste, as often as counts allow. Dive k takes the
+    second-best one at its k-th completion, half as often; dives after the 24th do so now and then (seeded). A dive ends as soon as its waste shows that it
+    can't beat the incumbent; the search ends at the lower bound of bins or after `steps` completions.
     """
     counts = counts.astype(np.int64)
     total = int((counts * np.arange(len(counts))).sum())
     bound = -(-total // capacity)
-    most = best_fit(counts, capacity)
-    best: list[Pattern] | None = None
-    for k in range(tries):
-        left, out, waste, bins = counts.copy(), [], 0, 0
-        allowed = (most if best is None else most - 1) * capacity - total
-        step = 0
-        while len(some := np.flatnonzero(left)):
+    best = best_fit(counts, capacity)
+    chance = random.Random(seed)
+    taken = dive = 0
+    while bins_of(best) > bound and taken < steps:
+        left, out, waste = counts.copy(), [], 0
+        allowed = (bins_of(best) - 1) * capacity - total
+        while waste <= allowed and len(some := np.flatnonzero(left)):
             large = int(some[-1])
             left[large] -= 1
             options = fillings(left, large, capacity - large, 2, nodes)
-            pick = options[min(1, len(options) - 1)] if k and step == k - 1 else options[0]
+            second = len(options) > 1 and (len(out) == dive - 1 if dive <= 24 else chance.random() < 0.05)
+            pick = options[1 if second else 0]
             left[large] += 1
             need: dict[int, int] = {}
             for x in (large, *pick):
                 need[x] = need.get(x, 0) + 1
             times = min(int(left[x]) // n for x, n in need.items())
-            if k and step == k - 1:
-                times = max(1, times // 2)
+            if times > 1 and (len(out) == dive - 1 if dive <= 24 else chance.random() < 0.2):
+                times //= 2
             for x, n in need.items():
                 left[x] -= n * times
             out.append(((large, *pick), times))
-            bins += times
             waste += times * (capacity - large - sum(pick))
-            step += 1
-            if best is not None and waste > allowed:
-                break
-        else:
-            if best is None or bins < most:
-                best, most = out, bins
-        if most <= bound:
-            break
-    return best or []
+            taken += 1
+        if waste <= allowed:
+            best = out
+        dive += 1
+    return best
 
 
 def pack(df: DataFrame, capacity: int = 1024, tokenizer: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", buckets: int = 64) -> DataFrame:

@@ -156,7 +156,7 @@ def test_bin_completion(lengths):
         for x in p:
             used[x] += times
     assert (used == counts).all()
-    assert -(-sum(lengths) // 50) <= sum(t for _, t in patterns) <= packing.best_fit(counts, 50)
+    assert -(-sum(lengths) // 50) <= sum(t for _, t in patterns) <= packing.bins_of(packing.best_fit(counts, 50))
 
 
 def winnowed(text, k=5, window=16):
