@@ -183,4 +183,11 @@ ORACLES: dict[str, str] = {
     "path_functions": f"WITH {EDGES} SELECT file AS page_id, dir_path AS directory, 'python' AS language, CASE WHEN file % 2 = 0 THEN 'code' ELSE 'wiki' END AS domain FROM edges",
     "declared_names": "SELECT p_partkey, replace(p_name, ' ', '_') AS name FROM part",
     "block_formats": "SELECT r_regionkey, '| x | y |' || chr(10) || '| --- | --- |' || chr(10) || '# ' || r_name || chr(10) || 'a' || chr(10) || 'b' AS as_table, '```sql' || chr(10) || '# ' || r_name || chr(10) || ' a ' || chr(10) || 'b' || chr(10) || '```' AS as_code, '# ' || r_name || chr(10) || 'a' || chr(10) || 'b' AS as_image, '# ' || r_name || chr(10) || chr(10) || 'a b' AS as_heading, '# ' || r_name || chr(10) || chr(10) || 'a' || chr(10) || chr(10) || 'b' AS as_plain FROM region",
+    "point_lookup": "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_custkey = 42",
+    "batch_lookup": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')",
+    "sample_and_count": "SELECT vec_id, label, (SELECT count(*) FROM embeddings) AS total FROM embeddings ORDER BY vec_id LIMIT 3",
+    "code_atoms": f"WITH {CODE} SELECT doc, line_num * 1000 AS sort_order, sha256(line_num || '|' || content) AS content_hash, is_anchor AS embedded, parent_idx + 1 AS parent_line FROM code",
+    "code_fragments": "SELECT DISTINCT p_brand AS doc, pos, fragment FROM part, (VALUES (0, 'select 1'), (1, '  from t')) AS f(pos, fragment)",
+    "symbol_chunks": f"WITH {REGION_MD} SELECT doc, section_id, text FROM toc WHERE parent_section_id IS NULL",
+    "atom_hashes": f"WITH {ATOMS} SELECT l2_id, sha256(string_agg(l, chr(10) ORDER BY l)) AS l3_child_hash FROM (SELECT l2_id, l2_id || '#' || sort_order || '|' || sha256(content) AS l FROM atoms) GROUP BY 1",
 }

@@ -643,6 +643,58 @@ def hierarchy_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built.l3.groupBy("embedded").agg(F.count("*").alias("atoms"), F.countDistinct("l1_id").alias("documents"))
 
 
+# Lookups and the rest of the atom functions
+
+
+@query
+def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One customer by key; the filter reaches the scan."""
+    return table(spark, sf_dir, "customer").where("c_custkey = 42").select("c_custkey", "c_name", "c_mktsegment")
+
+
+@query
+def batch_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders that a table of ids names (those of lineitems returned), as a semi join."""
+    wanted = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, sf_dir, "orders").join(wanted, "o_orderkey", "left_semi").select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
+@query
+def sample_and_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many vectors there are, with the first three."""
+    rows = table(spark, sf_dir, "embeddings")
+    n = rows.agg(F.count("*").alias("total"))
+    return rows.select("vec_id", "label").orderBy("vec_id").limit(3).crossJoin(n)
+
+
+@query
+def code_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as atoms, anchors embedded."""
+    lines = code.code_lines(nation_code(spark, sf_dir), "doc", "content")
+    atoms = code.code_atoms(lines, "doc")
+    return atoms.select("doc", "sort_order", "content_hash", "embedded", F.coalesce("parent_line", F.lit(0)).alias("parent_line"))
+
+
+@query
+def code_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fenced lines of each brand's document."""
+    fence = F.regexp_extract("content", r"(?s)(```.*```)", 1)
+    return part_markdown(spark, sf_dir).select("doc", F.posexplode(X.code_fragments(fence)).alias("pos", "fragment"))
+
+
+@query
+def symbol_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One chunk for each root heading."""
+    return markdown.symbol_chunks(markdown.headings(region_markdown(spark, sf_dir), "doc", "content"), "doc").select("doc", "section_id", "text")
+
+
+@query
+def atom_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3: the hash over the atoms of each turn."""
+    atoms = conversation_atoms(spark, sf_dir).withColumn("l2_id", F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    return hierarchy.atom_hash(atoms.withColumn("l3_id", F.concat_ws("#", "l2_id", F.col("sort_order").cast("string"))))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of documents, ranked by terms, the best with their document and neighbours."""
     docs = table(spark, sf_dir, "documents")
