@@ -55,7 +55,17 @@ def encoder(path: str, fast: bool):
         if fast:
             import tiktoken
 
-            _loaded[path, fast] = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=merge_ranks(path), special_tokens={}).encode_ordinary
+            quick = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=merge_ranks(path), special_tokens={}).encode_ordinary
+
+            def encode(text: str) -> list[int]:
+                try:
+                    return quick(text)
+                except BaseException as e:  # its panics are no Exceptions; a run of a million spaces is one
+                    if type(e).__name__ != "PanicException":
+                        raise
+                    return encoder(path, False)(text)
+
+            _loaded[path, fast] = encode
         else:
             from tokenizers import Tokenizer
 

@@ -141,7 +141,7 @@ def test_packing(frame, empty):
 def test_fast_and_slow_tokenizers_agree():
     path = packing.default_tokenizer()
     assert packing.can_be_fast(path)
-    for text in ("", " a  b\n\n c", "naïve 한국어 <|endoftext|> x" * 5, "a" * 3000, "\t\t 12345 don't"):
+    for text in ("", " a  b\n\n c", "naïve 한국어 <|endoftext|> x" * 5, "a" * 3000, "\t\t 12345 don't", "x" + " " * 1_200_000 + "y"):
         assert packing.encoder(path, True)(text) == packing.encoder(path, False)(text)
 
 
