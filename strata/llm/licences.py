@@ -1,9 +1,10 @@
 """Licence scans: a trained paragraph classifier, applied with DataFrame functions only.
 
 A paragraph is a line, or a sentence of a line of more than 8 * MOST_WORDS characters; of a
-longer one, each MOST_WORDS words from every STEP-th word on. Those with one of the
-CUES are classified by a sparse multinomial logistic regression on their word n-grams
-(1 to 3): a licence family or `unknown`. The model is trained on the notices below,
+longer one, each MOST_WORDS words from every STEP-th word on. They are classified
+by a sparse multinomial logistic regression on their word n-grams (1 to 3): a licence
+family or `unknown`. A paragraph is skipped only if the model's weights show that it can't
+reach `threshold` for any family (see `keys`). The model is trained on the notices below,
 varied at random (fixed seed), against other uses of the same words and a bounded sample of
 the corpus' own paragraphs (`max_rows` documents); its probabilities are calibrated by a temperature that is
 fitted on held-out variations, and a family needs `threshold`. A prediction is confirmed when
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -24,24 +26,24 @@ from pyspark.sql import functions as F
 
 # Short notices of licence families, as they stand in public licence texts.
 NOTICES: dict[str, list[str]] = {
-    "mit": ["Released under the MIT License", "Licensed under the MIT license", "This project is licensed under the terms of the MIT license", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"],
+    "mit": ["Released under the MIT License", "Licensed under the MIT license", "This project is licensed under the terms of the MIT license", "SPDX-License-Identifier: MIT", "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"],
     "apache": ["Licensed under the Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License", "SPDX-License-Identifier: Apache-2.0", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Released under the Apache License"],
-    "gpl": ["This work is licensed under the GNU General Public License, version 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "Licensed under the GPL version 2 or later", "SPDX-License-Identifier: GPL-3.0-or-later", "You should have received a copy of the GNU General Public License along with this program", "Released under the GNU GPL v3"],
-    "lgpl": ["Licensed under the GNU Lesser General Public License, version 2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "SPDX-License-Identifier: LGPL-2.1-or-later", "Released under the GNU LGPL v3"],
-    "agpl": ["Licensed under the GNU Affero General Public License, version 3", "SPDX-License-Identifier: AGPL-3.0-only", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
-    "bsd": ["Licensed under the BSD 3-Clause License", "Released under the BSD license", "SPDX-License-Identifier: BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"],
-    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Licensed under the Mozilla Public License, version 2.0", "SPDX-License-Identifier: MPL-2.0"],
-    "isc": ["Licensed under the ISC License", "SPDX-License-Identifier: ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+    "gpl": ["This work is licensed under the GNU General Public License, version 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "Licensed under the GPL version 2 or later", "SPDX-License-Identifier: GPL-3.0-or-later", "GPLv3", "License: GPLv2 or later", "You should have received a copy of the GNU General Public License along with this program", "Released under the GNU GPL v3"],
+    "lgpl": ["Licensed under the GNU Lesser General Public License, version 2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "SPDX-License-Identifier: LGPL-2.1-or-later", "LGPLv3", "License: LGPLv2 or later", "Released under the GNU LGPL v3"],
+    "agpl": ["Licensed under the GNU Affero General Public License, version 3", "SPDX-License-Identifier: AGPL-3.0-only", "AGPLv3", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
+    "bsd": ["Licensed under the BSD 3-Clause License", "Released under the BSD license", "SPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause", "This software is provided by the copyright holders and contributors as is and any express or implied warranties are disclaimed", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"],
+    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Licensed under the Mozilla Public License, version 2.0", "SPDX-License-Identifier: MPL-2.0", "MPL 2.0"],
+    "isc": ["Licensed under the ISC License", "SPDX-License-Identifier: ISC", "The software is provided as is and the author disclaims all warranties with regard to this software", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
     "cc-by": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", "Available under the Creative Commons Attribution license"],
     "cc-by-sa": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Text is available under the Creative Commons Attribution-ShareAlike License"],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "Licensed under CC BY-NC-SA 4.0"],
     "cc-by-nd": ["Licensed under CC BY-ND 4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"],
-    "public-domain": ["Released under CC0 1.0 Universal", "This work is dedicated to the public domain", "This is free and unencumbered software released into the public domain", "SPDX-License-Identifier: Unlicense"],
+    "public-domain": ["Released under CC0 1.0 Universal", "CC0", "This work is dedicated to the public domain", "This is free and unencumbered software released into the public domain", "SPDX-License-Identifier: Unlicense"],
     "proprietary": ["All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher", "Copyright 2020 Example Inc. All rights reserved", "This software is proprietary and confidential; unauthorized copying is strictly prohibited"],
 }
 # Other uses of the same words.
 OTHERS = ["The driver's license was renewed last week", "He asked for permission to leave the room", "The licence fee rose again this year", "Permission denied while opening the file", "The warranty covers parts and labour for two years", "She applied for a fishing license at the office", "The pub lost its license to sell alcohol", "Copyright law is a broad subject of study", "The shop offers a warranty on all phones", "They released the album under a new label", "A general public meeting about the version of events", "The apache helicopter landed", "The public domain of private life", "version 2.0 of the program was released", "students of MIT released a statement", "work under general conditions", "the license of the doctor was revoked", "software version 3 requires a license key"]
-#: Parts of lower-cased text of which every paragraph that is classified has one.
+#: Parts of lower-cased text that speak of licences: a paragraph without a family counts as `unknown` if it has one.
 CUES = ["licen", "copyright", "permission", "redistribut", "public domain", "creative commons", "all rights reserved", "proprietary and confidential", "cc by", "cc-by", "cc0 1.0"]
 MOST_WORDS, STEP = 80, 60
 UNKNOWN = "unknown"
@@ -82,7 +84,7 @@ class Model:
 
 
 def train(background: list[str], each: int = 12, steps: int = 250, sparsity: float = 2e-4, most: int = 1500) -> Model:
-    """The regression, by proximal gradient descent (so that most weights are 0), then its temperature."""
+    """The regression, by accelerated proximal gradient descent (so that most weights are 0 and short notices get their full weights), then its temperature."""
     classes = [*NOTICES, UNKNOWN]
     data = variations(background, each, seed=1)
     seen: dict[str, int] = {}
@@ -102,12 +104,15 @@ def train(background: list[str], each: int = 12, steps: int = 250, sparsity: flo
     x, y = matrix(data)
     w = np.zeros((x.shape[1], len(classes)), np.float32)
     rate = 4.0 / max(1.0, float((x * x).sum(axis=1).mean()))
+    ahead, pace = w, 1.0
     for _ in range(steps):
-        z = x @ w
+        z = x @ ahead
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        w -= rate * (x.T @ (p - y)) / len(x)
+        last, w = w, ahead - rate * (x.T @ (p - y)) / len(x)
         w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - rate * sparsity, 0)
+        before, pace = pace, (1 + (1 + 4 * pace * pace) ** 0.5) / 2
+        ahead = w + np.float32((before - 1) / pace) * (w - last)
     held_x, held_y = matrix(variations(background[::3], 4, seed=2))
     z = held_x @ w
 
@@ -121,19 +126,51 @@ def train(background: list[str], each: int = 12, steps: int = 250, sparsity: flo
     return Model(classes, kept, [float(v) for v in w[-1]], temperature)
 
 
-def paragraphs(text: Column) -> Column:
-    """The paragraphs of a text that have a cue, as array<struct<no, words>>."""
+def keys(model: Model, threshold: float, background: list[str]) -> list[str] | None:
+    """Words of which every paragraph has one that reaches the threshold for a family; None if it takes none.
+
+    A family f has probability t only if its logit is log(t / (1 - t)) temperatures above
+    that of `unknown`. Words are left out, those that are frequent in the background first,
+    as long as all n-grams without a key together stay below that for each family.
+    """
+    unknown = model.classes.index(UNKNOWN)
+    bias = np.array(model.bias)
+    t = min(max(threshold, 1e-9), 1 - 1e-9)
+    need = np.delete(model.temperature * np.log(t / (1 - t)) - bias + bias[unknown], unknown) - 1e-3
+    if (need <= 0).any():
+        return None
+    gains = {g: np.delete(np.maximum(np.array(w) - w[unknown], 0), unknown) for g, w in model.weights.items()}
+    of: dict[str, list[str]] = {}
+    for g in gains:
+        for word in set(g.split()):
+            of.setdefault(word, []).append(g)
+    seen = Counter(w for line in background for w in tokens(line))
+    kept, rest = set(of), np.zeros(len(need))
+    for word in sorted(of, key=lambda w: (-seen[w], w)):
+        kept.discard(word)
+        more = rest + sum((gains[g] for g in of[word] if kept.isdisjoint(g.split())), np.zeros(len(need)))
+        if (more < need).all():
+            rest = more
+        else:
+            kept.add(word)
+    return sorted(kept)
+
+
+def paragraphs(text: Column, key_words: list[str] | None) -> Column:
+    """The paragraphs of a text that have a cue or a key word, as array<struct<no, cue, words>>."""
     lines = F.split(F.lower(text), r"\n+")
     cut = F.flatten(F.transform(lines, lambda s: F.when(F.length(s) > 8 * MOST_WORDS, F.split(s, r"(?<=[.!?;])\s+")).otherwise(F.array(s))))
     numbered = F.transform(cut, lambda s, i: F.struct(i.alias("no"), s.alias("s")))
-    cued = F.filter(numbered, lambda p: has_cue(p.getField("s")))
-    worded = F.transform(cued, lambda p: F.struct(p.getField("no").alias("no"), F.regexp_extract_all(p.getField("s"), F.lit(WORD), F.lit(0)).alias("words")))
+    worded = F.transform(numbered, lambda p: F.struct(p.getField("no").alias("no"), has_cue(p.getField("s")).alias("cue"), F.regexp_extract_all(p.getField("s"), F.lit(WORD), F.lit(0)).alias("words")))
+
+    def open_(p: Column) -> Column:
+        return p.getField("cue") | (F.lit(True) if key_words is None else F.exists(p.getField("words"), lambda w: w.isin(key_words)))
 
     def windows(p: Column) -> Column:
         last = F.floor(F.greatest(F.size(p.getField("words")) - (MOST_WORDS - STEP + 1), F.lit(0)) / STEP).cast("int")
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(p.getField("no").alias("no"), F.slice(p.getField("words"), i * STEP + 1, F.lit(MOST_WORDS)).alias("words")))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(p.getField("no").alias("no"), p.getField("cue").alias("cue"), F.slice(p.getField("words"), i * STEP + 1, F.lit(MOST_WORDS)).alias("words")))
 
-    return F.flatten(F.transform(worded, windows))
+    return F.flatten(F.transform(F.filter(worded, open_), windows))
 
 
 def has_cue(lowered: Column) -> Column:
@@ -156,7 +193,8 @@ def classify(words: Column, model: Model, confirm: float) -> Column:
     def gram(size: int) -> Column:
         return F.transform(F.slice(words, F.lit(1), F.greatest(n - (size - 1), F.lit(0))), lambda x, i: F.concat_ws(" ", x, *(F.get(words, i + j) for j in range(1, size))))
 
-    grams = F.array_distinct(F.concat(words, gram(2), gram(3)))
+    # a map is searched key by key, a list of literals is hashed
+    grams = F.filter(F.array_distinct(F.concat(words, gram(2), gram(3))), lambda g: g.isin([*model.weights]))
     start = F.lit(model.bias).cast("array<double>")
     logits = F.aggregate(grams, start, lambda acc, g: bind(F.try_element_at(table, g), lambda w: F.when(w.isNull(), acc).otherwise(F.zip_with(acc, w, lambda a, b: a + b))))
 
@@ -190,18 +228,20 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshol
 
     licence: the family of the document's surest paragraph (confirmed ones first), `unknown`
     if it has paragraphs with cues but no family, null without any. paragraphs: no:family:score
-    of each classified paragraph.
+    of each paragraph with a cue or a family.
     """
-    model = train(background_of(df, id_col, text_col, max_rows))
+    background = background_of(df, id_col, text_col, max_rows)
+    model = train(background)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    none = F.array().cast("array<struct<no:int,words:array<string>>>")
-    found = F.when(has_cue(F.lower(text)), paragraphs(text)).otherwise(none)
-    judged = F.transform(found, lambda p: F.struct(p.getField("no").alias("no"), classify(p.getField("words"), model, confirm).alias("c")))
-    rows = df.select(F.col(id_col).alias("doc_id"), judged.alias("judged"))
 
     def known(p: Column) -> Column:
         return (p.getField("c").getField("family") != UNKNOWN) & (p.getField("c").getField("score") >= threshold)
 
+    found = paragraphs(text, keys(model, threshold, background))
+    judged = F.transform(found, lambda p: F.struct(p.getField("no").alias("no"), p.getField("cue").alias("cue"), classify(p.getField("words"), model, confirm).alias("c")))
+    judged = F.filter(judged, lambda p: p.getField("cue") | known(p))
+    rows = df.select(F.col(id_col).alias("doc_id"), judged.alias("judged"))
+
     def summary(j: Column) -> Column:
         sure = F.array_sort(F.transform(F.filter(j, known), lambda p: F.struct((~p.getField("c").getField("confirmed")).alias("open"), (-p.getField("c").getField("score")).alias("minus"), p.getField("no").alias("no"), p.getField("c").getField("family").alias("family"))))
         listed = F.array_join(F.transform(j, lambda p: F.concat_ws(":", p.getField("no").cast("string"), F.when(known(p), p.getField("c").getField("family")).otherwise(UNKNOWN), F.round(p.getField("c").getField("score"), 4).cast("string"))), ",")

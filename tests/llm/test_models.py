@@ -48,6 +48,25 @@ def test_licences(spark, empty):
     assert licences.scan(empty).count() == 0
 
 
+def test_licences_without_cues(spark):
+    lines = [(family, line) for family, own in licences.NOTICES.items() for line in own]
+    lines += [("gpl", "GPLv3"), ("mpl", "MPL 2.0"), ("bsd", "BSD-3-Clause"), ("public-domain", "CC0"), ("mit", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED')]
+    rows = [(i, f"intro words\n{line}\nmore words") for i, (_, line) in enumerate(lines)] + [(len(lines), "nothing of the kind\nthe work is all yours")]
+    out = {r["doc_id"]: r["licence"] for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(f, line, out[i]) for i, (f, line) in enumerate(lines) if out[i] != f] == [] and out[len(lines)] is None
+
+
+def test_licence_keys_lose_nothing():
+    background = ["the work of all the people under one roof", "you should list the terms without any doubt"]
+    model = licences.train(background)
+    held, at, unknown = set(licences.keys(model, 0.6, background)), np.array(model.bias), model.classes.index("unknown")
+    free = [g for g in model.weights if held.isdisjoint(g.split())]
+    assert free and len(held) < 400
+    for f in range(len(model.classes)):
+        z = at + sum((np.array(model.weights[g]) for g in free if model.weights[g][f] > model.weights[g][unknown]), np.zeros(len(at)))
+        assert f == unknown or 1 / (1 + math.exp((z[unknown] - z[f]) / model.temperature)) < 0.6
+
+
 def test_base_score_and_model(frame, docs, empty):
     rows = [(r["doc_id"], r["text"]) for r in frame.collect()]
     tokens = [(i, [*lowered(t), None]) for i, t in rows]
