@@ -1,14 +1,17 @@
 """Licence scans: a trained paragraph classifier, applied with DataFrame functions only.
 
-A paragraph is a line, or a sentence of a line of more than 8 * MOST_WORDS characters; of a
-longer one, each MOST_WORDS words from every STEP-th word on. They are classified
+A paragraph is a run of lines that aren't blank. Its lines are judged one by one (a line of
+more than 8 * MOST_WORDS characters by sentences), since each may be a notice of its own,
+and all of them joined, since a notice may be wrapped. Of more than MOST_WORDS
+words, each MOST_WORDS from every STEP-th word on are judged. What a line confirms isn't
+told again for its paragraph, nor what a paragraph confirms for its lines. They are classified
 by a sparse multinomial logistic regression on their word n-grams (1 to 3): a licence
 family or `unknown`. A paragraph is skipped only if the model's weights show that it can't
 reach `threshold` for any family (see `keys`). The model is trained on the notices below,
 varied at random (fixed seed), against other uses of the same words and a bounded sample of
 the corpus' own paragraphs (`max_rows` documents); its probabilities are calibrated by a temperature that is
 fitted on held-out variations, and a family needs `threshold`. A prediction is confirmed when
-the paragraph holds most words of one of the family's templates.
+the line or the joined lines hold most words of one of the family's templates.
 
 Null and empty texts have no paragraphs. Rows that repeat are scanned one by one. Other
 columns are ignored. An empty table gives an empty result.
@@ -126,12 +129,12 @@ def train(background: list[str], each: int = 12, steps: int = 250, sparsity: flo
     return Model(classes, kept, [float(v) for v in w[-1]], temperature)
 
 
-def keys(model: Model, threshold: float, background: list[str]) -> list[str] | None:
-    """Words of which every paragraph has one that reaches the threshold for a family; None if it takes none.
+def keys(model: Model, threshold: float, background: list[str]) -> dict[str, float] | None:
+    """Words and bounds: a paragraph whose distinct words' bounds sum to less than 1 reaches the threshold for no family; None if any may.
 
     A family f has probability t only if its logit is log(t / (1 - t)) temperatures above
-    that of `unknown`. Words are left out, those that are frequent in the background first,
-    as long as all n-grams without a key together stay below that for each family.
+    that of `unknown`. Each n-gram's share of that is laid to the one of its words that is
+    rarest in the background, and a word bounds the sum of its shares for each family.
     """
     unknown = model.classes.index(UNKNOWN)
     bias = np.array(model.bias)
@@ -139,38 +142,94 @@ def keys(model: Model, threshold: float, background: list[str]) -> list[str] | N
     need = np.delete(model.temperature * np.log(t / (1 - t)) - bias + bias[unknown], unknown) - 1e-3
     if (need <= 0).any():
         return None
-    gains = {g: np.delete(np.maximum(np.array(w) - w[unknown], 0), unknown) for g, w in model.weights.items()}
-    of: dict[str, list[str]] = {}
-    for g in gains:
-        for word in set(g.split()):
-            of.setdefault(word, []).append(g)
     seen = Counter(w for line in background for w in tokens(line))
-    kept, rest = set(of), np.zeros(len(need))
-    for word in sorted(of, key=lambda w: (-seen[w], w)):
-        kept.discard(word)
-        more = rest + sum((gains[g] for g in of[word] if kept.isdisjoint(g.split())), np.zeros(len(need)))
-        if (more < need).all():
-            rest = more
-        else:
-            kept.add(word)
-    return sorted(kept)
-
-
-def paragraphs(text: Column, key_words: list[str] | None) -> Column:
-    """The paragraphs of a text that have a cue or a key word, as array<struct<no, cue, words>>."""
-    lines = F.split(F.lower(text), r"\n+")
-    cut = F.flatten(F.transform(lines, lambda s: F.when(F.length(s) > 8 * MOST_WORDS, F.split(s, r"(?<=[.!?;])\s+")).otherwise(F.array(s))))
-    numbered = F.transform(cut, lambda s, i: F.struct(i.alias("no"), s.alias("s")))
-    worded = F.transform(numbered, lambda p: F.struct(p.getField("no").alias("no"), has_cue(p.getField("s")).alias("cue"), F.regexp_extract_all(p.getField("s"), F.lit(WORD), F.lit(0)).alias("words")))
+    shares: dict[str, np.ndarray] = {}
+    for g, w in model.weights.items():
+        word = min(g.split(), key=lambda x: (seen[x], x))
+        shares[word] = shares.get(word, 0) + np.delete(np.maximum(np.array(w) - w[unknown], 0), unknown) / need
+    # rounded up to few levels
+    return {x: max(1 / 64, float(1.25 ** np.ceil(np.log(min(1.0, v.max())) / np.log(1.25)))) for x, v in sorted(shares.items()) if v.max() > 0}
+
+
+def could(words: Column, bounds: dict[str, float] | None) -> Column:
+    """Whether a paragraph of these words may reach the threshold, by the bounds of `keys`."""
+    if bounds is None:
+        return F.lit(True)
+    if not bounds:
+        return F.lit(False)
+    levels: dict[float, list[str]] = {}
+    for word, v in bounds.items():
+        levels.setdefault(v, []).append(word)
+
+    def level(w: Column) -> Column:
+        out = F
+        for v in sorted(levels):
+            out = out.when(w.isin(levels[v]), F.lit(v))
+        return out.otherwise(F.lit(0.0))
+
+    return F.aggregate(F.array_distinct(F.filter(words, lambda w: w.isin([*bounds]))), F.lit(0.0), lambda acc, w: acc + level(w)) >= 1 - 1e-6
+
+
+def paragraphs(text: Column, bounds: dict[str, float] | None) -> Column:
+    """The lines and wrapped paragraphs of a text that have a cue or could have a family, as array<struct<run, no, wrapped, cue, words>>.
+
+    run: which run of non-blank lines; no: which line (or sentence of a long one) it is or starts in.
+    """
+    runs = F.split(F.lower(text), r"\n(?:\s*\n)+")
+
+    def pieces(run: Column) -> Column:
+        return F.flatten(F.transform(F.split(run, r"\n+"), lambda s: F.when(F.length(s) > 8 * MOST_WORDS, F.split(s, r"(?<=[.!?;])\s+")).otherwise(F.array(s))))
 
     def open_(p: Column) -> Column:
-        return p.getField("cue") | (F.lit(True) if key_words is None else F.exists(p.getField("words"), lambda w: w.isin(key_words)))
+        return p.getField("cue") | could(p.getField("words"), bounds)
+
+    def windows(words: Column, one) -> Column:
+        last = F.floor(F.greatest(F.size(words) - (MOST_WORDS - STEP + 1), F.lit(0)) / STEP).cast("int")
+        return F.filter(F.transform(F.sequence(F.lit(0), last), lambda i: one(F.slice(words, i * STEP + 1, F.lit(MOST_WORDS)), i * STEP)), open_)
+
+    def item(run: Column, no: Column, wrapped: bool, cue: Column, words: Column) -> Column:
+        return F.struct(run.alias("run"), no.cast("int").alias("no"), F.lit(wrapped).alias("wrapped"), cue.alias("cue"), words.alias("words"))
+
+    def of_line(p: Column) -> Column:
+        return windows(p.getField("words"), lambda w, _: item(p.getField("run"), p.getField("no"), False, p.getField("cue"), w))
+
+    def of_run(p: Column) -> Column:
+        """Windows over all words of a run of several lines; none of a single line."""
+
+        def no(start: Column) -> Column:
+            zero = F.struct(start.cast("int").alias("left"), p.getField("no").cast("int").alias("no"))
+            step = lambda acc, s: F.when(acc.getField("left") < F.size(s), F.struct(F.lit(-1).alias("left"), acc.getField("no").alias("no"))).otherwise(F.struct((acc.getField("left") - F.size(s)).alias("left"), (acc.getField("no") + 1).alias("no")))
+            return F.aggregate(p.getField("lines"), zero, step, lambda acc: acc.getField("no"))
 
-    def windows(p: Column) -> Column:
-        last = F.floor(F.greatest(F.size(p.getField("words")) - (MOST_WORDS - STEP + 1), F.lit(0)) / STEP).cast("int")
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(p.getField("no").alias("no"), p.getField("cue").alias("cue"), F.slice(p.getField("words"), i * STEP + 1, F.lit(MOST_WORDS)).alias("words")))
+        def one(w: Column, start: Column) -> Column:
+            return item(p.getField("run"), start, True, has_cue(F.array_join(w, " ")), w)
 
-    return F.flatten(F.transform(F.filter(worded, open_), windows))
+        found = bind(F.flatten(p.getField("lines")), lambda words: windows(words, one))
+        placed = F.transform(found, lambda x: item(x.getField("run"), no(x.getField("no")), True, x.getField("cue"), x.getField("words")))
+        return F.when(F.size(p.getField("lines")) > 1, placed).otherwise(F.array().cast(ITEMS))
+
+    def both(p: Column) -> Column:
+        lines = F.transform(p.getField("lines"), lambda words, i: F.struct(p.getField("run").alias("run"), (p.getField("no") + i).alias("no"), F.get(p.getField("cues"), i).alias("cue"), words.alias("words")))
+        return F.concat(F.flatten(F.transform(lines, of_line)), of_run(p))
+
+    def worded(s: Column, i: Column) -> Column:
+        words = F.transform(s, lambda x: F.regexp_extract_all(x, F.lit(WORD), F.lit(0)))
+        return F.struct(i.alias("run"), words.alias("lines"), F.transform(s, has_cue).alias("cues"))
+
+    def numbered(held: Column) -> Column:
+        before = lambda i: F.aggregate(F.slice(held, F.lit(1), i), F.lit(0), lambda acc, r: acc + F.size(r.getField("lines")))
+        return F.transform(F.filter(held, hot), lambda r: F.struct(r.getField("run").alias("run"), before(r.getField("run")).alias("no"), r.getField("lines").alias("lines"), r.getField("cues").alias("cues")))
+
+    def hot(r: Column) -> Column:
+        """Whether the run may have a paragraph; a cue may be wrapped."""
+        cue = F.exists(r.getField("cues"), lambda c: c)
+        return bind(F.flatten(r.getField("lines")), lambda words: cue | could(words, bounds) | has_cue(F.array_join(words, " ")))
+
+    held = F.transform(F.transform(runs, pieces), worded)
+    return bind(held, lambda h: F.flatten(F.transform(numbered(h), both)))
+
+
+ITEMS = "array<struct<run:int,no:int,wrapped:boolean,cue:boolean,words:array<string>>>"
 
 
 def has_cue(lowered: Column) -> Column:
@@ -228,7 +287,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshol
 
     licence: the family of the document's surest paragraph (confirmed ones first), `unknown`
     if it has paragraphs with cues but no family, null without any. paragraphs: no:family:score
-    of each paragraph with a cue or a family.
+    (no: of the line it is or starts in) of each line or wrapped paragraph with a cue or a family.
     """
     background = background_of(df, id_col, text_col, max_rows)
     model = train(background)
@@ -238,9 +297,29 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshol
         return (p.getField("c").getField("family") != UNKNOWN) & (p.getField("c").getField("score") >= threshold)
 
     found = paragraphs(text, keys(model, threshold, background))
-    judged = F.transform(found, lambda p: F.struct(p.getField("no").alias("no"), p.getField("cue").alias("cue"), classify(p.getField("words"), model, confirm).alias("c")))
+    judged = F.transform(found, lambda p: F.struct(*(p.getField(c).alias(c) for c in ("run", "no", "wrapped", "cue")), classify(p.getField("words"), model, confirm).alias("c")))
     judged = F.filter(judged, lambda p: p.getField("cue") | known(p))
-    rows = df.select(F.col(id_col).alias("doc_id"), judged.alias("judged"))
+
+    def listed(j: Column) -> Column:
+        """Each notice once: a wrapped paragraph beside lines that say less than it, lines otherwise."""
+
+        def other(p: Column, test) -> Column:
+            return F.exists(j, lambda q: (q.getField("run") == p.getField("run")) & (q.getField("wrapped") != p.getField("wrapped")) & test(q))
+
+        def same(p: Column, q: Column) -> Column:
+            return known(q) & (p.getField("c").getField("family") == q.getField("c").getField("family"))
+
+        def sure(p: Column) -> Column:
+            return p.getField("c").getField("confirmed")
+
+        def stays(p: Column) -> Column:
+            whole = F.when(known(p), ~other(p, lambda q: same(p, q) & (sure(q) | ~sure(p)))).otherwise(~other(p, lambda q: F.lit(True)))
+            line = ~known(p) | sure(p) | ~other(p, lambda q: same(p, q) & sure(q))
+            return F.when(p.getField("wrapped"), whole).otherwise(line)
+
+        return F.filter(j, stays)
+
+    rows = df.select(F.col(id_col).alias("doc_id"), bind(judged, listed).alias("judged"))
 
     def summary(j: Column) -> Column:
         sure = F.array_sort(F.transform(F.filter(j, known), lambda p: F.struct((~p.getField("c").getField("confirmed")).alias("open"), (-p.getField("c").getField("score")).alias("minus"), p.getField("no").alias("no"), p.getField("c").getField("family").alias("family"))))

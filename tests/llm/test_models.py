@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -56,15 +57,37 @@ def test_licences_without_cues(spark):
     assert [(f, line, out[i]) for i, (f, line) in enumerate(lines) if out[i] != f] == [] and out[len(lines)] is None
 
 
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+}
+
+
+def test_wrapped_licences(spark):
+    wrapped = [(f, w, "\n\n".join(textwrap.fill(p, w) for p in body.split("\n\n"))) for f, body in WRAPPED.items() for w in (40, 72, 79)]
+    rows = [(i, f"Some title\nwords\n\n{text}\n  \nmore words") for i, (_, _, text) in enumerate(wrapped)] + [(90, "Released under the MIT License.\nLicensed under the Apache License, Version 2.0.\nend"), (91, "the general public\nlicence of a\nboat"), (92, "a\n\nb\nReleased under the MIT\nLicense")]
+    out = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(f, w, out[i]) for i, (f, w, _) in enumerate(wrapped) if (out[i]["licence"], out[i]["confirmed"]) != (f, True)] == []
+    assert [p.split(":")[:2] for p in out[90]["paragraphs"].split(",")] == [["0", "mit"], ["1", "apache"]]
+    assert out[91]["licence"] == "unknown" and out[92]["licence"] == "mit" and out[92]["paragraphs"].startswith("2:mit:")
+
+
 def test_licence_keys_lose_nothing():
     background = ["the work of all the people under one roof", "you should list the terms without any doubt"]
     model = licences.train(background)
-    held, at, unknown = set(licences.keys(model, 0.6, background)), np.array(model.bias), model.classes.index("unknown")
-    free = [g for g in model.weights if held.isdisjoint(g.split())]
-    assert free and len(held) < 400
-    for f in range(len(model.classes)):
-        z = at + sum((np.array(model.weights[g]) for g in free if model.weights[g][f] > model.weights[g][unknown]), np.zeros(len(at)))
-        assert f == unknown or 1 / (1 + math.exp((z[unknown] - z[f]) / model.temperature)) < 0.6
+    bounds, table = licences.keys(model, 0.6, background), {g: np.array(w) for g, w in model.weights.items()}
+    unknown, found = model.classes.index("unknown"), Counter()
+    for words, _ in licences.variations(background, 30, seed=7):
+        words = words[: licences.MOST_WORDS]
+        z = np.array(model.bias) + sum((table[g] for g in licences.ngrams(words) if g in table), np.zeros(len(model.bias)))
+        p = np.exp((z - z.max()) / model.temperature)
+        surely, may = np.delete(p / p.sum(), unknown).max() >= 0.6, sum(bounds.get(w, 0) for w in set(words)) >= 1
+        assert may or not surely, words
+        found[bool(surely), bool(may)] += 1
+    assert found[True, True] > 1000 and found[False, False] > 50
 
 
 def test_base_score_and_model(frame, docs, empty):
