@@ -39,9 +39,10 @@ LOOSE = {
     "card": r"(?<![0-9A-Za-z.+-])[3-6][0-9]{3}+(?:[\x20.-]?[0-9]{4}+){2}+[\x20.-]?[0-9]{1,4}+(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z.+-])(?:00[1-9][0-9]{0,2}+[\x20.-])?(?:\([0-9]{2,4}+\)\x20?|[0-9]{2,4}+[\x20.-])[0-9]{3,4}+[\x20.-][0-9]{4}+(?![0-9A-Za-z])",
 }
+#: As HINT: every match of the loose pattern passes.
 LOOSE_HINT = {
-    "email": r"(?i)(?:\(at\)|\[at\]|\{at\}|@\x20|\x20@)",
-    "ip": r"[0-9](?:\x20\.|\.\x20|\x20?\[\.\])\x20?[0-9]",
+    "email": r"(?i)(?:\(at\)|\[at\]|\{at\}|@)\x20?[A-Za-z0-9-]{1,63}+\x20?(?:\(dot\)|\[dot\]|\{dot\}|\.)",
+    "ip": r"[0-9]\x20?\[?\.\]?\x20?[0-9]{1,3}\x20?\[?\.",
     "card": r"[3-6][0-9]{3}[\x20.-]?[0-9]{4}[\x20.-]?[0-9]{4}",
     "phone": r"[0-9)][\x20.-]?[0-9]{3,4}[\x20.-][0-9]{4}",
 }

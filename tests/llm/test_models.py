@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import textwrap
 import zlib
@@ -165,6 +166,24 @@ def test_base_spans(spark, frame, empty):
     assert pii.report(empty).count() == 0 and pii.report(frame).count() == frame.count()
 
 
+def test_hints_pass_every_match(spark):
+    r = random.Random(4)
+    parts = {
+        "email": [["joe", "a.b"], ["", " "], ["(at)", "[AT]", "{at}", "@"], ["", " "], ["mail", "x-1"], ["", " "], ["(dot)", "[dot]", "{DOT}", "."], ["", " "], ["com", "org"]],
+        "ip": [["10", "999"], *[["", " "], ["", "["], ["."], ["", "]"], ["", " "], ["1", "255"]] * 3],
+        "card": [["4111"], *[["", " ", ".", "-"], ["1111"]] * 3],
+        "phone": [["", "0049 "], ["(212) ", "212-", "(030)", "0171 "], ["555", "5555"], [" ", ".", "-"], ["0199"]],
+    }
+    for strict, tables in ((False, (pii.LOOSE, pii.LOOSE_HINT)), (True, (PATTERNS, pii.HINT))):
+        for kind, choices in parts.items():
+            made = ["".join(map(r.choice, choices)) for _ in range(3000)]
+            found = [t for t in made if any(not strict or base_spans(m.group()) for m in re.finditer(tables[0][kind], t))]
+            assert (found or strict) and [t for t in found if not re.search(tables[1][kind], t)] == []
+    texts = ["joe@mail(dot)com", "joe@mail [dot] com", "joe@mail .com", "999.1.1.1", "10[.1.1.1"]
+    rows = pii.candidates(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), "doc_id", "text").collect()
+    assert {x["doc_id"]: [s["end"] for s in x["more"]] for x in rows} == {i: [len(t)] for i, t in enumerate(texts)}
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "to a@b.co and 10.0.0.1.", "k"), (2, None, "k"), (3, "clean text 12", "k")], "doc_id long, text string, base string")
     assert {r["doc_id"]: (r["text"], r["base"]) for r in pii.redacted(df).collect()} == {1: ("to [email] and [ip].", "k"), 2: (None, "k"), 3: ("clean text 12", "k")}
