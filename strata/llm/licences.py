@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -49,6 +50,7 @@ OTHERS = ["The driver's license was renewed last week", "He asked for permission
 #: Parts of lower-cased text that speak of licences: a paragraph without a family counts as `unknown` if it has one.
 CUES = ["licen", "copyright", "permission", "redistribut", "public domain", "creative commons", "all rights reserved", "proprietary and confidential", "cc by", "cc-by", "cc0 1.0"]
 MOST_WORDS, STEP = 80, 60
+BUCKETS = 64
 UNKNOWN = "unknown"
 WORD = r"[a-z0-9]+"
 
@@ -202,7 +204,7 @@ def paragraphs(text: Column, bounds: dict[str, float] | None) -> Column:
             return F.aggregate(p.getField("lines"), zero, step, lambda acc: acc.getField("no"))
 
         def one(w: Column, start: Column) -> Column:
-            return item(p.getField("run"), start, True, has_cue(F.array_join(w, " ")), w)
+            return item(p.getField("run"), start, True, p.getField("across") & has_cue(F.array_join(w, " ")), w)
 
         found = bind(F.flatten(p.getField("lines")), lambda words: windows(words, one))
         placed = F.transform(found, lambda x: item(x.getField("run"), no(x.getField("no")), True, x.getField("cue"), x.getField("words")))
@@ -214,16 +216,16 @@ def paragraphs(text: Column, bounds: dict[str, float] | None) -> Column:
 
     def worded(s: Column, i: Column) -> Column:
         words = F.transform(s, lambda x: F.regexp_extract_all(x, F.lit(WORD), F.lit(0)))
-        return F.struct(i.alias("run"), words.alias("lines"), F.transform(s, has_cue).alias("cues"))
+        return F.struct(i.alias("run"), words.alias("lines"), F.transform(s, lambda x: has_cue(x)).alias("cues"), has_cue(F.array_join(F.flatten(words), " "), [c for c in CUES if " " in c]).alias("across"))
 
     def numbered(held: Column) -> Column:
         before = lambda i: F.aggregate(F.slice(held, F.lit(1), i), F.lit(0), lambda acc, r: acc + F.size(r.getField("lines")))
-        return F.transform(F.filter(held, hot), lambda r: F.struct(r.getField("run").alias("run"), before(r.getField("run")).alias("no"), r.getField("lines").alias("lines"), r.getField("cues").alias("cues")))
+        return F.transform(F.filter(held, hot), lambda r: F.struct(r.getField("run").alias("run"), before(r.getField("run")).alias("no"), r.getField("lines").alias("lines"), r.getField("cues").alias("cues"), r.getField("across").alias("across")))
 
     def hot(r: Column) -> Column:
         """Whether the run may have a paragraph; a cue may be wrapped."""
         cue = F.exists(r.getField("cues"), lambda c: c)
-        return bind(F.flatten(r.getField("lines")), lambda words: cue | could(words, bounds) | has_cue(F.array_join(words, " ")))
+        return bind(F.flatten(r.getField("lines")), lambda words: cue | r.getField("across") | could(words, bounds))
 
     held = F.transform(F.transform(runs, pieces), worded)
     return bind(held, lambda h: F.flatten(F.transform(numbered(h), both)))
@@ -232,9 +234,9 @@ def paragraphs(text: Column, bounds: dict[str, float] | None) -> Column:
 ITEMS = "array<struct<run:int,no:int,wrapped:boolean,cue:boolean,words:array<string>>>"
 
 
-def has_cue(lowered: Column) -> Column:
-    out = lowered.contains(CUES[0])
-    for c in CUES[1:]:
+def has_cue(lowered: Column, cues: list[str] = CUES) -> Column:
+    out = lowered.contains(cues[0])
+    for c in cues[1:]:
         out = out | lowered.contains(c)
     return out
 
@@ -246,16 +248,19 @@ def bind(value: Column, body) -> Column:
 def classify(words: Column, model: Model, confirm: float) -> Column:
     """struct<family, score, confirmed> of a paragraph's words."""
     k = len(model.classes)
-    table = F.map_from_arrays(F.lit([*model.weights]), F.array(*(F.lit(v) for v in model.weights.values()))) if model.weights else F.expr(f"map('', array_repeat(0D, {k}))")
+    # a map is searched key by key, so the weights are dealt over small ones; a list of literals is hashed
+    dealt: list[dict[str, list[float]]] = [{"": [0.0] * k} for _ in range(BUCKETS)]
+    for g, w in model.weights.items():
+        dealt[zlib.crc32(g.encode()) % BUCKETS][g] = w
+    table = F.array(*(F.map_from_arrays(F.lit([*t]), F.array(*map(F.lit, t.values()))) for t in dealt))
     n = F.size(words)
 
     def gram(size: int) -> Column:
         return F.transform(F.slice(words, F.lit(1), F.greatest(n - (size - 1), F.lit(0))), lambda x, i: F.concat_ws(" ", x, *(F.get(words, i + j) for j in range(1, size))))
 
-    # a map is searched key by key, a list of literals is hashed
     grams = F.filter(F.array_distinct(F.concat(words, gram(2), gram(3))), lambda g: g.isin([*model.weights]))
     start = F.lit(model.bias).cast("array<double>")
-    logits = F.aggregate(grams, start, lambda acc, g: bind(F.try_element_at(table, g), lambda w: F.when(w.isNull(), acc).otherwise(F.zip_with(acc, w, lambda a, b: a + b))))
+    logits = F.aggregate(grams, start, lambda acc, g: bind(F.try_element_at(F.get(table, (F.crc32(g.cast("binary")) % BUCKETS).cast("int")), g), lambda w: F.when(w.isNull(), acc).otherwise(F.zip_with(acc, w, lambda a, b: a + b))))
 
     def decide(z: Column) -> Column:
         top = F.array_max(z)

