@@ -3,9 +3,15 @@
 Lengths are whole numbers up to the capacity, so everything that the search needs to
 know of any corpus is one count per length. Bin completion branch and bound works on
 those counts: it takes the largest length that is left, enumerates undominated fillings
-of the rest of its bin, and uses a filling as often as the counts allow. Pieces then
+of the rest of its bin, and branches on which one is used and how often. A branch ends
+when its waste shows that it can't beat the incumbent, which is best-fit decreasing's
+packing at first; the search ends at a lower bound of bins, when all branches are done,
+or when `budget` is spent (bin packing is NP-hard; the incumbent then stands). Pieces
 look up their place by their rank among pieces of equal length.
 
+Ids are those of the tokenizers library with its defaults: strings of special tokens
+(`<|endoftext|>`) become their ids.
+
 Null texts are empty and still give one piece (the end token). Rows that repeat an id are
 packed one by one. Other columns are ignored. An empty table gives an empty result.
 """
@@ -13,7 +19,6 @@ packed one by one. Other columns are ignored. An empty table gives an empty resu
 from __future__ import annotations
 
 import json
-import random
 import zlib
 from collections.abc import Iterator
 
@@ -50,14 +55,18 @@ def merge_ranks(path: str) -> dict[bytes, int]:
 
 
 def encoder(path: str, fast: bool):
-    """text -> list of ids, by the vocabulary at `path` (tokenizers' JSON); strings of special tokens are ordinary text. fast: by tiktoken, several times faster."""
+    """text -> list of ids, by the vocabulary at `path` (tokenizers' JSON). fast: by tiktoken, several times faster; texts with a special token's string go to the tokenizers library."""
     if (path, fast) not in _loaded:
         if fast:
             import tiktoken
 
+            with open(path) as f:
+                special = [x["content"] for x in json.load(f).get("added_tokens", [])]
             quick = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=merge_ranks(path), special_tokens={}).encode_ordinary
 
             def encode(text: str) -> list[int]:
+                if any(s in text for s in special):
+                    return encoder(path, False)(text)
                 try:
                     return quick(text)
                 except BaseException as e:  # its panics are no Exceptions; a run of a million spaces is one
@@ -70,7 +79,6 @@ def encoder(path: str, fast: bool):
             from tokenizers import Tokenizer
 
             slow = Tokenizer.from_file(path)
-            slow.encode_special_tokens = True
             _loaded[path, fast] = lambda text: slow.encode(text, add_special_tokens=False).ids
     return _loaded[path, fast]
 
@@ -145,99 +153,187 @@ def bins_of(patterns: list[Pattern]) -> int:
     return sum(times for _, times in patterns)
 
 
-def fillings(counts: np.ndarray, largest: int, room: int, keep: int, nodes: int) -> list[tuple[int, ...]]:
-    """Up to `keep` fillings of `room` with the lengths that are left, least waste first.
+def lower_bound(counts: np.ndarray, capacity: int) -> int:
+    """Bins that any packing needs: for each a, lengths over capacity - a and over half of it are alone or apart, and what those of a or more don't find room for takes more bins."""
+    n = np.r_[np.cumsum(counts[::-1])[::-1], 0].astype(np.int64)  # how many of at least each length
+    size = np.r_[np.cumsum((counts * np.arange(len(counts)))[::-1])[::-1], 0].astype(np.int64)
+    half = capacity // 2 + 1
+    a = np.arange(capacity // 2 + 1)
+    alone = n[np.minimum(capacity - a + 1, len(n) - 1)]
+    apart, apart_size = n[half] - alone, size[half] - size[np.minimum(capacity - a + 1, len(n) - 1)]
+    small = size[np.minimum(a, half)] - size[half]
+    return int((n[half] + np.maximum(0, -(-(small - (apart * capacity - apart_size)) // capacity))).max())
+
+
+class Spent(Exception):
+    """The search's budget is used up."""
+
+
+class Meter:
+    def __init__(self, budget: int):
+        self.left = budget
 
-    Depth first over decreasing lengths. A filling is dominated if one of its items or
-    groups of items could be swapped for one larger item that is left and still fits; as
-    larger lengths are tried first and a sum that was reached with fewer items is not
-    reached again, such fillings are passed over. A branch ends when even the waste that
-    is left if everything smaller fitted cannot beat the incumbents.
+    def take(self, n: int = 1) -> None:
+        self.left -= n
+        if self.left < 0:
+            raise Spent
+
+
+def dominated(chosen: tuple[int, ...], room: int, left: dict[int, int], order: np.ndarray) -> bool:
+    """Whether some items of a filling (or none) could give way to one item that is left, as large as they are together or larger, and still fit.
+
+    left: how often each length is left beside the filling; order: the lengths, rising.
     """
-    found: dict[int, tuple[int, ...]] = {}
-    budget = [nodes]
-    lengths = np.flatnonzero(counts[: min(largest, room) + 1])[::-1]
-    left = {int(x): int(counts[x]) for x in lengths}
-    order = [int(x) for x in lengths]
-
-    def go(i: int, rest: int, chosen: tuple[int, ...]) -> None:
-        if (old := found.get(rest)) is None or len(chosen) < len(old):
-            found[rest] = chosen
-        if rest == 0 or budget[0] <= 0:
+    slack = room - sum(chosen)
+    sums: dict[int, int] = {0: 0}  # each sum of some of the items, and the most items that give it
+    for x in chosen:
+        for s, n in list(sums.items()):
+            sums[s + x] = max(sums.get(s + x, 0), n + 1)
+    for s, n in sums.items():
+        at = int(np.searchsorted(order, max(1, s if n > 1 else s + 1)))
+        while at < len(order) and order[at] <= s + slack:
+            if left[int(order[at])] > 0:
+                return True
+            at += 1
+    return False
+
+
+def fillings(counts: np.ndarray, largest: int, room: int, waste: int, meter: Meter) -> Iterator[tuple[int, ...]]:
+    """The undominated fillings of `room` with lengths that are left and waste no more than `waste`: for each waste from 0, those of large lengths first."""
+    order = np.flatnonzero(counts[: min(largest, room) + 1])
+    left = {int(x): int(counts[x]) for x in order}
+    falling = [int(x) for x in order[::-1]]
+    reach: list[int] = []  # for each place, a bit for each sum that lengths from there on can make; known once it pays
+    seen = 0
+
+    def sums() -> Iterator[int]:
+        every, mask = 1, (1 << room + 1) - 1
+        yield every
+        for x in falling[::-1]:
+            times, step = min(left[x], room // x), 1
+            while times > 0:  # 1, 2, 4, .. and the rest of them make any number of times
+                step = min(step, times)
+                every |= (every << x * step) & mask
+                times -= step
+                step *= 2
+            yield every
+
+    def go(i: int, need: int, chosen: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        """Those that fill `need` exactly, with lengths from place i on."""
+        nonlocal seen
+        if need == 0:
+            if not dominated(chosen, room, left, order):
+                yield chosen
             return
-        while i < len(order) and order[i] > rest:
-            i += 1
-        for j in range(i, len(order)):
-            budget[0] -= 1
-            x = order[j]
-            if budget[0] <= 0 or (0 in found and len(found[0]) <= len(chosen) + 1):
+        for j in range(i, len(falling)):
+            if seen == 50 and not reach:
+                for x in chosen:
+                    left[x] += 1
+                reach.extend([*sums()][::-1])
+                for x in chosen:
+                    left[x] -= 1
+            x = falling[j]
+            if reach and not reach[j] >> need & 1:
                 return
-            if left[x]:
-                left[x] -= 1
-                go(j, rest - x, (*chosen, x))
-                left[x] += 1
-
-    if rest_exact := (room > 0 and room <= largest and counts[room] > 0):
-        found[0] = (room,)
-    if not rest_exact:
-        exact = _pair(counts, largest, room)
-        if exact:
-            found[0] = exact
-        else:
-            go(0, room, ())
-    if not found:
-        found[room] = ()
-    return [found[w] for w in sorted(found)[:keep]]
-
+            if x > need or not left[x] or (reach and not reach[j] >> (need - x) & 1):
+                continue
+            seen += 1
+            meter.take()
+            left[x] -= 1
+            yield from go(j, need - x, (*chosen, x))
+            left[x] += 1
 
-def _pair(counts: np.ndarray, largest: int, room: int) -> tuple[int, ...] | None:
-    """Two lengths that fill the room exactly, the larger one as large as can be."""
-    for x in range(min(room - 1, largest), (room - 1) // 2, -1):
-        y = room - x
-        if counts[x] and counts[y] and (x != y or counts[x] > 1):
-            return x, y
-    return None
+    for w in range(min(waste, room) + 1):
+        meter.take()
+        yield from go(0, room - w, ())
 
 
-def bin_completion(counts: np.ndarray, capacity: int, steps: int = 30_000, nodes: int = 3000, seed: int = 1) -> list[Pattern]:
+def bin_completion(counts: np.ndarray, capacity: int, budget: int = 2_000_000, dives: int = 12) -> list[Pattern]:
     """Patterns (lengths, times) that use up all counts, in as few bins as the search finds.
 
-    The incumbent is best-fit decreasing. Each dive completes the largest length that is
-    left by the filling of least waste, as often as counts allow. Dive k takes the
-    second-best one at its k-th completion, half as often; dives after the 24th do so now and then (seeded). A dive ends as soon as its waste shows that it
-    can't beat the incumbent; the search ends at the lower bound of bins or after `steps` completions.
+    A branch completes the largest length that is left by a filling, as often as counts
+    allow first, then less often. Depth first, it changes its last completions before its
+    first ones, so the budget (visited items of fillings) is shared by `dives`: the first
+    is free, in each other one a completion at an early place takes its second branch.
     """
     counts = counts.astype(np.int64)
     total = int((counts * np.arange(len(counts))).sum())
-    bound = -(-total // capacity)
     best = best_fit(counts, capacity)
-    chance = random.Random(seed)
-    taken = dive = 0
-    while bins_of(best) > bound and taken < steps:
-        left, out, waste = counts.copy(), [], 0
-        allowed = (bins_of(best) - 1) * capacity - total
-        while waste <= allowed and len(some := np.flatnonzero(left)):
-            large = int(some[-1])
-            left[large] -= 1
-            options = fillings(left, large, capacity - large, 2, nodes)
-            second = len(options) > 1 and (len(out) == dive - 1 if dive <= 24 else chance.random() < 0.05)
-            pick = options[1 if second else 0]
-            left[large] += 1
+    bound = lower_bound(counts, capacity)
+    depth = len(best)
+    for dive in range(dives):
+        if bins_of(best) <= bound:
+            break
+        meter = Meter(budget // dives)
+        try:
+            best, done = _search(counts, capacity, total, bound, best, meter, (dive - 1) * depth // dives if dive else -1)
+        except Spent:
+            continue
+        if done and not dive:
+            break
+    return best
+
+
+def _search(counts: np.ndarray, capacity: int, total: int, bound: int, best: list[Pattern], meter: Meter, skip_at: int) -> tuple[list[Pattern], bool]:
+    """(the best packing, True) once all branches are done; as far as the meter goes, what was found is kept. At depth skip_at the first branch is passed over."""
+    found = best
+    left = counts.copy()
+    out: list[Pattern] = []
+
+    def branches(allowed: int) -> Iterator[tuple[Pattern, int]]:
+        large = int(np.flatnonzero(left)[-1])
+        left[large] -= 1
+        some = fillings(left.copy(), large, capacity - large, allowed, meter)
+        left[large] += 1
+        for pick in some:
             need: dict[int, int] = {}
             for x in (large, *pick):
                 need[x] = need.get(x, 0) + 1
-            times = min(int(left[x]) // n for x, n in need.items())
-            if times > 1 and (len(out) == dive - 1 if dive <= 24 else chance.random() < 0.2):
-                times //= 2
-            for x, n in need.items():
-                left[x] -= n * times
-            out.append(((large, *pick), times))
-            waste += times * (capacity - large - sum(pick))
-            taken += 1
-        if waste <= allowed:
-            best = out
-        dive += 1
-    return best
+            most = min(int(left[x]) // n for x, n in need.items())
+            lost = capacity - large - sum(pick)
+            for times in range(most if not lost else min(most, allowed // lost), 0, -1):
+                yield ((large, *pick), times), lost * times
+
+    def use(p: Pattern, sign: int) -> None:
+        for x in p[0]:
+            left[x] -= sign * p[1]
+
+    def allowed(waste: int) -> int:
+        return (bins_of(found) - 1) * capacity - total - waste
+
+    waste = 0
+    stack: list[tuple[Iterator[tuple[Pattern, int]], Pattern | None, int]] = []
+    try:
+        stack.append((branches(allowed(0)), None, 0))
+        if skip_at == 0:
+            next(stack[0][0], None)
+        while stack:
+            steps, held, lost = stack[-1]
+            if held is not None:
+                use(held, -1)
+                out.pop()
+                waste -= lost
+            step = next(steps, None)
+            if step is None or waste + step[1] > allowed(0):
+                stack.pop()
+                continue
+            p, lost = step
+            use(p, 1)
+            out.append(p)
+            waste += lost
+            stack[-1] = (steps, p, lost)
+            if left.any():
+                more = branches(allowed(waste))
+                if len(stack) == skip_at:
+                    next(more, None)
+                stack.append((more, None, 0))
+            else:
+                found = list(out)
+                if bins_of(found) <= bound:
+                    break
+    except Spent:
+        return found, False
+    return found, True
 
 
 def pack(df: DataFrame, capacity: int = 1024, tokenizer: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", buckets: int = 64) -> DataFrame:

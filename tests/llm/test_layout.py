@@ -145,6 +145,66 @@ def test_fast_and_slow_tokenizers_agree():
         assert packing.encoder(path, True)(text) == packing.encoder(path, False)(text)
 
 
+def test_ids_are_the_library_s(spark):
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "plain", "x <|endoftext|>" * 200]
+    rows = packing.pack(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), capacity=64).collect()
+    for i, t in enumerate(texts):
+        ids = np.array([*Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids, 2], dtype="<u4")
+        assert (50256 in ids) == ("endoftext" in t)
+        own = sorted((r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows if r["doc_id"] == i)
+        assert [c for *_, c in own] == [zlib.crc32(ids[at : at + n].tobytes()) for _, at, n, _ in own] and sum(n for *_, n, _ in own) == len(ids)
+
+
+def fewest_bins(lengths, capacity):
+    """By trying every bin for every item."""
+    best = [len(lengths)]
+
+    def place(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(rooms)
+            return
+        for room in {r for r in rooms if r >= lengths[i]}:
+            rest = list(rooms)
+            rest[rest.index(room)] -= lengths[i]
+            place(i + 1, rest)
+        place(i + 1, [*rooms, capacity - lengths[i]])
+
+    place(0, [])
+    return best[0]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=11))
+def test_bin_completion_is_optimal_on_small_inputs(lengths):
+    counts = np.bincount(lengths, minlength=31)
+    best = fewest_bins(sorted(lengths, reverse=True), 30)
+    assert packing.lower_bound(counts, 30) <= best == packing.bins_of(packing.bin_completion(counts, 30))
+
+
+def test_bin_completion_beats_best_fit():
+    counts = np.zeros(101, int)
+    for x, n in ((51, 60), (27, 60), (26, 60), (23, 120)):  # 51 + 26 + 23 and 27 + 27 + 23 + 23 fill all bins
+        counts[x] = n
+    assert packing.bins_of(packing.bin_completion(counts, 100)) == 90 < packing.bins_of(packing.best_fit(counts, 100))
+
+
+def test_fillings_are_undominated():
+    counts = np.zeros(21, int)
+    for x in (2, 3, 5, 7, 8, 12):
+        counts[x] = 1
+    found = [*packing.fillings(counts, 20, 12, 12, packing.Meter(10**6))]
+    # 12 alone takes the place of any of them; without it, 7 + 5 is not one length that is left
+    assert found == [(12,)]
+    counts[12] = 0
+    found = [*packing.fillings(counts, 20, 12, 12, packing.Meter(10**6))]
+    assert found[0] == (7, 5) and (8, 3) in found and (7, 3, 2) not in found and (8, 2) not in found
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(1, 50), min_size=1, max_size=60))
 def test_bin_completion(lengths):
