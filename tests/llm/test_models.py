@@ -76,6 +76,58 @@ def test_wrapped_licences(spark):
     assert out[91]["licence"] == "unknown" and out[92]["licence"] == "mit" and out[92]["paragraphs"].startswith("2:mit:")
 
 
+# Notices in words that neither the training lines nor the held-out ones have.
+UNSEEN = {
+    "mit": ["You can use this under the MIT License, see LICENSE", "Dual use: MIT license", "Copyright (c) 2014 Jane Roe. Licensed under the MIT license."],
+    "apache": ["Sources are available under the Apache License v2.0", "Licensed to the foundation under the Apache License, Version 2.0", "apache 2.0 license"],
+    "gpl": ["This package may be distributed under the GNU General Public License", "licensed GPL v2", "It comes under the terms of the GNU General Public License version 2"],
+    "lgpl": ["The library comes under the GNU Lesser General Public License v3", "license: LGPL 2.1"],
+    "agpl": ["The server is under the GNU Affero General Public License v3", "license: AGPL v3"],
+    "bsd": ["All code here is under the 2-clause BSD license", "BSD licensed"],
+    "mpl": ["Files are under the Mozilla Public License, 2.0", "license: MPL v2"],
+    "isc": ["The tool is under the ISC license", "ISC license (ISC)"],
+    "cc-by": ["Photos are licensed under CC BY 2.0", "under a Creative Commons Attribution 3.0 License"],
+    "cc-by-sa": ["Photos are licensed under CC BY-SA 2.0", "a Creative Commons Attribution-ShareAlike 3.0 License applies"],
+    "cc-by-nc": ["Photos are licensed under CC BY-NC 2.0", "a Creative Commons Attribution-NonCommercial 2.0 License applies"],
+    "cc-by-nd": ["Photos are licensed under CC BY-ND 2.0", "a Creative Commons Attribution-NoDerivatives 2.0 License applies"],
+    "public-domain": ["All data here are in the public domain, under CC0", "We have released it into the public domain"],
+    "proprietary": ["(c) 2021 Foo GmbH. All rights reserved.", "Copyright 1999 by the author, all rights reserved"],
+}
+PLAIN = ["The public library is open from nine to five", "He has a license to drive trucks and a permit for the harbour", "All the rights of the child were discussed", "The general version of the theorem is due to others", "The warranty of this phone is void", "The commons debated the creative industries", "They provided copies of the source to the court", "She reserved all rooms of the house", "The software of the car was updated to version 3", "The foundation published a free book"]
+
+
+def test_licences_unseen(spark):
+    lines = [(f, line) for f, own in UNSEEN.items() for line in own]
+    rows = [(i, f"intro\n{line}\nmore words") for i, (_, line) in enumerate(lines)] + [(1000 + i, line) for i, line in enumerate(PLAIN)]
+    out = {r["doc_id"]: r["licence"] for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    right = sum(out[i] == f for i, (f, _) in enumerate(lines))
+    assert right / len(lines) > 0.9, [(f, line, out[i]) for i, (f, line) in enumerate(lines) if out[i] != f]
+    assert [line for i, line in enumerate(PLAIN) if out[1000 + i] not in (None, "unknown")] == []
+
+
+def test_licence_probabilities(spark):
+    model = licences.train(["the work of all the people under one roof"])
+    lines = [licences.tokens(line) for own in UNSEEN.values() for line in own] + [[], ["license"], licences.tokens("all rights reserved " * 20)]
+    rows = spark.createDataFrame([*enumerate(lines)], "i int, words array<string>").select("i", licences.classify(F.col("words"), model, 0.7).alias("c")).collect()
+    table = {g: np.array(w) for g, w in model.weights.items()}
+    for r in rows:
+        words = lines[r["i"]]
+        z = np.array(model.bias) + sum((table[g] for g in licences.ngrams(words) if g in table), np.zeros(len(model.bias)))
+        p = np.exp((z - z.max()) / model.temperature)
+        assert r["c"]["family"] == model.classes[int(z.argmax())] and abs(r["c"]["score"] - p.max() / p.sum()) < 1e-6
+        own = [set(licences.tokens(x)) for x in licences.NOTICES.get(r["c"]["family"], [])]
+        assert r["c"]["confirmed"] == any(len(t & set(words)) / len(t) >= 0.7 for t in own)
+
+
+def test_licences_of_odd_tables(spark, frame):
+    out = licences.scan(frame).collect()
+    assert len(out) == frame.count() and sorted(str(r["doc_id"]) for r in out) == sorted(str(r["doc_id"]) for r in frame.collect())
+    assert {r["licence"] for r in out} == {None}
+    rows = [(None, "Released under the MIT License", "x"), (7, "Released under the MIT License", "y"), (7, "Released under the MIT License", "y"), (8, "word " * 60_000 + "\n\nReleased under the MIT License\n" + "word " * 60_000, "z")]
+    out = licences.scan(spark.createDataFrame(rows, "doc_id long, text string, licence string")).collect()
+    assert sorted((r["doc_id"] or 0, r["licence"]) for r in out) == [(0, "mit"), (7, "mit"), (7, "mit"), (8, "mit")]
+
+
 def test_licence_keys_lose_nothing():
     background = ["the work of all the people under one roof", "you should list the terms without any doubt"]
     model = licences.train(background)
