@@ -5,12 +5,17 @@ cut into n-grams of its marked form `<word>`: of the longest n for which one is
 the known ones' log frequencies are averaged. A text's score for a language is
 the sum over its words.
 
-The model is fitted on a bounded sample of labelled rows (`max_rows`, drawn by a hash of
-the id), and keeps the `max_words` most frequent words and `max_grams` n-grams of each
-length, so that it may be broadcast whatever the input's size.
+The model is fitted on a bounded sample of labelled rows: `max_rows` in all, shared evenly
+among languages as far as they have rows (those with the lowest hashes of id), so that
+rare languages are learned at any size. Of the sample's words and n-grams those stay
+that occur `least_word` and `least_gram` times in a language; a word seen less often, or
+longer than LONGEST_WORD, teaches by its n-grams. There is no other limit, so the model
+is bounded by the sample.
 
 Texts that are null or have no letter are `und` with score 0, as are all texts if nothing
-was learned. Rows that repeat are predicted one by one. Other columns are ignored.
+was learned. Rows that repeat are predicted one by one; ties go to the first language by
+code point. Columns with the names of the results give way to them; others pass. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -98,15 +103,29 @@ class Model:
         return self.langs[best], float(1.0 / np.exp(z).sum())
 
 
-def fit(df: DataFrame, labelled: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = 12_000, max_words: int = 60_000, max_grams: int = 25_000) -> Model:
+def quotas(sizes: dict[str, int], most: int) -> dict[str, int]:
+    """Rows of each language, `most` in all: the same number of each, or all that it has."""
+    out: dict[str, int] = {}
+    left = most
+    for i, (lang, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(n, max(1, left // (len(sizes) - i)))
+        left -= out[lang]
+    return out
+
+
+def fit(df: DataFrame, labelled: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = 12_000, least_word: int = 2, least_gram: int = 2) -> Model:
     """A Model of the rows that are `labelled` and have a language.
 
-    max_rows: about how many rows are read; of more, those with the lowest hashes of id.
+    max_rows: about how many rows are read, see above; at least one of each language.
     """
-    rows = df.where(labelled & F.col(lang_col).isNotNull())
-    n = rows.count()
-    if n > max_rows:
-        rows = rows.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * max_rows / n))
+    from strata.llm.common import materialize
+
+    spark = df.sparkSession
+    rows = df.where(labelled & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1 << 30)).alias("at"))
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if sum(sizes.values()) > max_rows:
+        limits = [(lang, int((1 << 30) * min(1.0, n / sizes[lang]))) for lang, n in quotas(sizes, max_rows).items()]
+        rows = rows.join(F.broadcast(spark.createDataFrame(limits, "lang string, below long")), "lang").where("at < below")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[str, Counter] = {}
@@ -114,14 +133,12 @@ def fit(df: DataFrame, labelled: Column, text_col: str = "text", lang_col: str =
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if text:
                     by.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
-        out = [(lang, w, c) for lang, counter in by.items() for w, c in counter.items() if len(w) <= LONGEST_WORD]
+        out = [(lang, w, c) for lang, counter in by.items() for w, c in counter.items()]
         for i in range(0, len(out), 50_000):
             langs, words, counts = zip(*out[i : i + 50_000], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(counts, pa.int64())], ["lang", "word", "n"])
 
-    from strata.llm.common import materialize
-
-    words = materialize(rows.select(lang_col, text_col).mapInArrow(tidy(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    words = materialize(rows.select("lang", "text").mapInArrow(tidy(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -136,20 +153,25 @@ def fit(df: DataFrame, labelled: Column, text_col: str = "text", lang_col: str =
 
     langs = sorted(r["lang"] for r in words.select("lang").distinct().collect())
 
-    def top(counted: DataFrame, most: int) -> Counts:
-        """The `most` most frequent with their counts by language."""
-        by = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, lang in enumerate(langs)]
-        rows = counted.groupBy("word").agg(F.sum("n").alias("all"), *by).orderBy(F.desc("all"), "word").limit(most).toArrow()
-        counts = [np.asarray(rows[f"n{i}"], dtype=float) for i in range(len(langs))]
-        return rows["word"].to_pylist(), np.stack(counts, axis=1) if counts else np.zeros((0, 0))
+    def table(counted: DataFrame, least: int) -> Counts:
+        """Those with `least` in a language, with their counts by language."""
+        if not langs:
+            return [], np.zeros((0, 0))
+        often = counted.groupBy("word").agg(*(F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, lang in enumerate(langs)))
+        rows = often.where(F.greatest(*(F.col(f"n{i}") for i in range(len(langs))), F.lit(0)) >= least).toArrow()
+        names = rows["word"].to_pylist()
+        order = sorted(range(len(names)), key=names.__getitem__)
+        counts = [np.asarray(rows[f"n{i}"], dtype=float)[order] for i in range(len(langs))]
+        return [names[i] for i in order], np.stack(counts, axis=1) if counts else np.zeros((0, 0))
 
     gram = materialize(words.mapInArrow(tidy(cut), "lang string, word string, size int, n long").groupBy("size", "lang", "word").agg(F.sum("n").alias("n")))
-    tables = [top(gram.where(F.col("size") == size).drop("size"), max_grams) for size in range(1, LONGEST_GRAM + 1)]
-    return Model(langs, top(words, max_words), tables)
+    tables = [table(gram.where(F.col("size") == size).drop("size"), least_gram) for size in range(1, LONGEST_GRAM + 1)]
+    return Model(langs, table(words.where(F.char_length("word") <= LONGEST_WORD), least_word), tables)
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """df's columns and the predicted language and its score."""
+    df = df.select(*(F.col(c) for c in df.columns if c not in (lang_out, score_out)))
     held = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text_col)
 

@@ -30,8 +30,29 @@ def test_language_id(frame, docs, empty):
     assert langid.predict(empty, model).count() == 0
     nothing = langid.fit(empty, F.lit(True))
     assert {r["lang_pred"] for r in langid.predict(frame.select("text"), nothing).collect()} == {"und"}
-    bounded = langid.fit(frame, ~held, max_rows=20, max_words=30, max_grams=20)
-    assert len(bounded.first) <= 30 and all(len(index) <= 20 for index, _ in bounded.grams)
+    bounded = langid.fit(frame, ~held, max_rows=20)
+    assert len(bounded.first) < len(model.first) and bounded.langs == model.langs
+    clash = langid.predict(frame, model)
+    assert clash.columns.count("score") == 1 and {r["score"] for r in clash.collect()} != {"x"}
+
+
+def test_rare_languages_and_long_words(spark):
+    """A language with one row in 500 is learned from a small sample, and a word of 60 letters by its n-grams."""
+    r = random.Random(3)
+    word = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    rows = [(i, " ".join(word("abcdef", 5) for _ in range(30)), "aa") for i in range(1500)] + [(5000 + i, word("uvwxyz", 60), "zz") for i in range(3)] + [(6000, "x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, F.lit(True), max_rows=40)
+    assert model.langs == ["aa", "zz"] and not any(len(w) > langid.LONGEST_WORD for w in model.first)
+    assert model.predict(word("uvwxyz", 60))[0] == "zz" and model.predict(word("abcdef", 60))[0] == "aa" and model.predict("uv xy wz")[0] == "zz"
+    assert langid.quotas({"a": 10, "b": 1, "c": 100}, 30) == {"b": 1, "a": 10, "c": 19} and langid.quotas({"a": 1, "b": 5}, 1) == {"a": 1, "b": 1}
+
+
+def test_long_texts_have_one_language(spark):
+    model = langid.fit(spark.createDataFrame([(1, "le chat et la souris " * 5, "fr"), (2, "the cat and the mouse " * 5, "en")], "doc_id long, text string, lang string"), F.lit(True))
+    rows = spark.createDataFrame([(1, "the cat " * 200_000), (2, "x" * 1_000_000), (3, "la souris " * 100_000 + "the")], "doc_id long, text string")
+    out = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(rows, model).collect()}
+    assert out[1][0] == "en" and out[3][0] == "fr" and all(0 <= s <= 1 for _, s in out.values())
 
 
 def test_backoff_uses_the_longest_known_grams():
