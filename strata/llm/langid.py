@@ -46,8 +46,9 @@ Counts = tuple[list[str], np.ndarray]
 
 
 def logs(counts: np.ndarray) -> np.ndarray:
-    """Smoothed log frequencies of a table of counts, one column for each language."""
-    return np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * (len(counts) + 1))).astype(np.float32)
+    """Log frequencies of a table of counts, one column for each language; what one has not seen has the same floor in all, below whatever any has seen."""
+    total = np.maximum(counts.sum(axis=0), 1.0)
+    return np.log(counts / total + 0.5 / total.max(initial=1.0)).astype(np.float32)
 
 
 class Model:
