@@ -22,6 +22,46 @@ def test_tiff_round_trip(compression, predictor):
     assert len(out) == 3 and all((a == b.pixels).all() for a, b in zip(pages, out, strict=True))
 
 
+@pytest.mark.parametrize("form", tiff.FORMS)
+def test_tiff_forms(form):
+    compression, predictor, tile = form
+    r = np.random.default_rng(1)
+    pages = [r.integers(0, 5, (70, 64)).astype(np.uint8), r.integers(0, 256, (3, 50)).astype(np.uint8), np.zeros((200, 64), np.uint8)]
+    out = list(tiff.read_pages(tiff.write_pages(pages, compression, predictor, tile=tile)))
+    assert len(out) == 3 and all((a == b.pixels).all() for a, b in zip(pages, out, strict=True))
+
+
+def test_every_form_stores_some_text():
+    assert {tiff.FORMS[zlib.crc32(str(i).encode()) % len(tiff.FORMS)] for i in range(400)} == set(tiff.FORMS)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.sampled_from(range(len(tiff.FORMS))), st.lists(st.tuples(st.floats(0, 1), st.integers(0, 255)), min_size=1, max_size=6), st.floats(0.1, 1))
+def test_malformed_media_are_errors(form, edits, share):
+    compression, predictor, tile = tiff.FORMS[form]
+    data = bytearray(tiff.write_pages([np.arange(640, dtype=np.uint8).reshape(10, 64)] * 2, compression, predictor, tile=tile))
+    for place, value in edits:
+        data[min(len(data) - 1, int(place * len(data)))] = value
+    try:
+        for page in tiff.read_pages(bytes(data[: int(share * len(data)) + 1])):
+            assert page.pixels.nbytes <= 1 << 24
+    except (tiff.TiffError, struct.error, IndexError, ValueError):
+        pass
+
+
+def test_bad_codes_are_errors(spark):
+    codes = 0
+    for c in (256, 300, 257):
+        codes = codes << 9 | c
+    with pytest.raises(tiff.TiffError):
+        tiff.unpack_lzw((codes << 5).to_bytes(4, "big"))
+    bad = bytearray(tiff.write_pages([np.ones((4, 64), np.uint8)]))
+    at = struct.unpack_from("<I", bad, 4)[0]
+    struct.pack_into("<I", bad, at + 2 + 4, 0)  # a count of 0 for the width
+    rows = tiff.decode(spark.createDataFrame([(1, bytes(bad)), (2, tiff.write_pages([np.ones((4, 64), np.uint8)]))], "k int, media binary"), "media", "k").collect()
+    assert sorted((r["id"], r["error"]) for r in rows if r["error"]) == [(1, "no width or height")] and len(rows) == 2
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=3000))
 def test_tiff_codecs(data):
@@ -55,7 +95,7 @@ def test_tiff_errors_and_rows(spark):
     good = tiff.write_pages([np.ones((4, 64), np.uint8)] * 2)
     loop = bytearray(tiff.write_pages([np.ones((1, 64), np.uint8)]))
     at = struct.unpack_from("<I", loop, 4)[0]
-    struct.pack_into("<I", loop, at + 2 + 12 * 10, at)
+    struct.pack_into("<I", loop, at + 2 + 12 * struct.unpack_from("<H", loop, at)[0], at)
     rows = [(1, good), (2, b"nope"), (3, None), (4, bytes(loop)), (5, good[: len(good) // 2]), (6, b"")]
     out = tiff.decode(spark.createDataFrame(rows, "k int, media binary"), "media", "k").collect()
     assert sorted((r["id"], r["page"], r["error"] is None) for r in out) == [(1, 0, True), (1, 1, True), (2, 0, False), (4, 0, True), (4, 1, False), *sorted((r["id"], r["page"], r["error"] is None) for r in out if r["id"] == 5), (6, 0, False)]
