@@ -1,10 +1,13 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-Words (runs of characters other than white space) are hashed, k of them combine to a
-k-gram hash, and of each `window` consecutive k-grams the least hash is chosen, the rightmost one of
-ties. A chosen hash and its place are one 63-bit number: 37 bits of hash above the
-complement of the place, so that the least number is the least hash furthest right. Two
-texts that share window + k - 1 consecutive words share a fingerprint hash.
+Words (runs of characters other than white space) have hashes in two prime fields. k-gram
+hashes are Rabin-Karp polynomials over them, rolled by doubling: the hash of 2m words is that of
+its first m times base^m plus that of its last m, so that neighbouring grams share the hashes
+of all their parts and a gram costs about log2(k) steps. (A hash that gives up its first word for the
+next one needs a running state along the array, which array functions don't have.) Of each
+`window` consecutive k-grams the one with the least hash is chosen, the rightmost of
+ties; minima of windows are found by doubling too, on places, so places have no limit but
+an array's. Two texts that share window + k - 1 consecutive words share a fingerprint hash.
 
 A text with fewer than k words has one gram of all its words; fewer than `window` grams are one window;
 a text without words (null, empty) has the empty fingerprint. Two empty fingerprints are
@@ -18,8 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PLACE_BITS = 26
 K, WINDOW = 5, 16
+# Two primes under 2 ** 31, so that products fit, and a base in each field.
+FIELDS = ((2147483647, 1103515245), (2147483629, 69069069))
 #: Space and the characters 0x09 to 0x0D.
 BLANKS = " \t\n\x0b\x0c\r"
 #: Most places at which the order of ids is cut; they are sent to every task.
@@ -31,37 +35,81 @@ def bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def pair(a: Column, b: Column) -> Column:
+    """Two numbers under 2 ** 31 as one."""
+    return F.shiftleft(a, 31).bitwiseOR(b)
+
+
+def joined(left: Column, right: Column, length: int) -> Column:
+    """The hash of a run of words followed by one of `length` words."""
+    low = (1 << 31) - 1
+    (p, x), (q, y) = ((p, pow(base, length, p)) for p, base in FIELDS)
+    return pair((F.shiftright(left, 31) * F.lit(x).cast("long") + F.shiftright(right, 31)) % p, (left.bitwiseAND(low) * F.lit(y).cast("long") + right.bitwiseAND(low)) % q)
+
+
+def rolled(h: Column, k: int) -> Column:
+    """The hashes of each k consecutive words, of an array of words' hashes (k or more)."""
+
+    def appended(left: Column, right: Column, have: int, more: int) -> Column:
+        """Hashes of `have` words, each followed by `more` words."""
+        return F.transform(F.slice(left, F.lit(1), F.size(left) - more), lambda x, i: joined(x, F.get(right, i + have), more))
+
+    def go(power: Column, m: int, out: Column | None, have: int) -> Column:
+        """power: the hashes of m words; out: those of `have` words, as many as the bits of k below m say."""
+
+        def on(done: Column | None, n: int) -> Column:
+            return done if n == k else bind(appended(power, power, m, m), lambda twice: go(twice, 2 * m, done, n))
+
+        if not k & m:
+            return on(out, have)
+        return on(power, m) if out is None else bind(appended(out, power, have, m), lambda done: on(done, have + m))
+
+    return go(h, 1, None, 0)
+
+
+def least_places(v: Column, window: int) -> Column:
+    """The place of the least value of each `window` consecutive ones, the rightmost of ties; of an array of `window` or more."""
+
+    def doubled(at: Column, have: int) -> Column:
+        if have == window:
+            return at
+        step = min(have, window - have)  # windows may overlap: a least value stays one
+        return bind(F.transform(F.slice(at, F.lit(1), F.size(at) - step), lambda a, i: bind(F.get(at, i + step), lambda b: F.when(F.get(v, b) <= F.get(v, a), b).otherwise(a))), lambda x: doubled(x, have + step))
+
+    return bind(F.sequence(F.lit(0), F.size(v) - 1), lambda at: doubled(at, 1))
+
+
+CHOICES = "array<struct<hash:bigint,place:int>>"
+
+
 def selected(text: Column, k: int = K, window: int = WINDOW) -> Column:
-    """The chosen numbers of a text, in text order; array<bigint>."""
-    top = (1 << PLACE_BITS) - 1
+    """The chosen grams of a text, in text order; array<struct<hash, place>>."""
     trimmed = F.btrim(text, F.lit(BLANKS))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
 
-    def pack(gram: Column, place: Column) -> Column:
-        high = F.shiftleft(F.shiftrightunsigned(gram, PLACE_BITS + 1), PLACE_BITS)
-        return high.bitwiseOR((F.lit(top) - place).cast("long"))
+    def word(w: Column) -> Column:
+        return bind(F.xxhash64(w), lambda h: pair(F.pmod(h, F.lit(FIELDS[0][0])), F.pmod(F.shiftrightunsigned(h, 32), F.lit(FIELDS[1][0]))))
 
     def grams(h: Column) -> Column:
-        one = F.array(pack(F.xxhash64(h), F.lit(0)))
-        many = F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - (k - 1), F.lit(0))), lambda x, i: pack(F.xxhash64(x, *(F.get(h, i + j) for j in range(1, k))), i))
-        return F.when(F.size(h) == 0, F.array().cast("array<bigint>")).when(F.size(h) < k, one).otherwise(many)
+        few = F.aggregate(h, F.size(h).cast("long"), lambda acc, w: joined(acc, w, 1))
+        return F.when(F.size(h) == 0, F.array().cast("array<bigint>")).when(F.size(h) < k, F.array(few)).otherwise(rolled(h, k))
 
     def least(v: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(v) - (window - 1), F.lit(1)))
-        return F.when(F.size(v) == 0, v).otherwise(F.array_distinct(F.transform(starts, lambda i: F.array_min(F.slice(v, i, F.lit(window))))))
+        last = F.size(v) - 1
+        whole = F.aggregate(F.sequence(F.lit(0), last), F.lit(0), lambda acc, i: F.when(F.get(v, i) <= F.get(v, acc), i).otherwise(acc))
+        places = F.when(F.size(v) < window, F.array(whole)).otherwise(F.array_distinct(least_places(v, window)))
+        return F.when(F.size(v) == 0, F.array().cast(CHOICES)).otherwise(F.transform(places, lambda i: F.struct(F.get(v, i).alias("hash"), i.alias("place"))))
 
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    return bind(bind(hashed, grams), least)
+    return bind(bind(F.transform(words, word), grams), least)
 
 
 def hashes(chosen: Column) -> Column:
-    return F.array_distinct(F.transform(chosen, lambda x: F.shiftright(x, PLACE_BITS)))
+    return F.array_distinct(F.transform(chosen, lambda x: x.getField("hash")))
 
 
 def as_text(chosen: Column) -> Column:
     """`hash@place` of each choice, joined by spaces: hash in hex, place in words."""
-    top = (1 << PLACE_BITS) - 1
-    return F.array_join(F.transform(chosen, lambda x: F.concat(F.lower(F.hex(F.shiftright(x, PLACE_BITS))), F.lit("@"), (F.lit(top) - x.bitwiseAND(top)).cast("string"))), " ")
+    return F.array_join(F.transform(chosen, lambda x: F.concat(F.lower(F.hex(x.getField("hash"))), F.lit("@"), x.getField("place").cast("string"))), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:

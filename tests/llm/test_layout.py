@@ -259,8 +259,53 @@ def test_bin_completion(lengths):
     assert -(-sum(lengths) // 50) <= sum(t for _, t in patterns) <= packing.bins_of(packing.best_fit(counts, 50))
 
 
-def winnowed(text, k=5, window=16):
-    return [tuple(words(text)[i : i + k]) for i in range(max(0, len(words(text)) - k + 1))]
+def gram_hash(words_of, few=None):
+    """By the polynomials' definition, word by word from the left."""
+    out = []
+    for (p, base), at in zip(winnow.FIELDS, (0, 32), strict=True):
+        total = 0 if few is None or at == 0 else few
+        for h in words_of:
+            total = (total * base + ((h if at == 0 else (h % 2**64) >> 32) % p)) % p
+        out.append(total)
+    return out[0] << 31 | out[1]
+
+
+def winnowed(word_hashes, k, window):
+    """Brute force: each window's least gram, the rightmost of ties, with its place."""
+    n = len(word_hashes)
+    grams = [gram_hash(word_hashes[i : i + k]) for i in range(n - k + 1)] if n >= k else [gram_hash(word_hashes, n)] if n else []
+    chosen = []
+    for start in range(max(1, len(grams) - window + 1) if grams else 0):
+        own = [(grams[i], -i) for i in range(start, min(start + window, len(grams)))]
+        value, place = min(own)
+        if (value, -place) not in chosen:
+            chosen.append((value, -place))
+    return chosen
+
+
+@pytest.mark.parametrize(("k", "window"), [(5, 16), (1, 1), (2, 3), (3, 7), (7, 4), (6, 10)])
+def test_choices_match_brute_force(spark, k, window):
+    from pyspark.sql import functions as F
+
+    import random
+
+    r = random.Random(k * 100 + window)
+    texts = [" ".join(r.choice("abcdefgh" if i % 2 else "ab") for _ in range(r.randint(0, 60))) for i in range(40)] + [None, "", " \t\n", "x", "loop " * 70, "a b c d e f"]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    hashed = F.transform(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+    for row in df.select("text", hashed.alias("h"), winnow.selected(F.coalesce("text", F.lit("")), k, window).alias("c")).collect():
+        assert [(x["hash"], x["place"]) for x in row["c"]] == winnowed(row["h"] or [], k, window), row["text"]
+
+
+def test_likenesses_and_long_texts(spark):
+    texts = ["a b c d e f g h " * 30, "", "z " * 200_000, "the same words here " * 20, "the same words here " * 20]
+    rows = winnow.edited_pairs(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).orderBy("doc_id").collect()
+    prints = [{p.split("@")[0] for p in r["fingerprint"].split()} for r in rows]
+    edits = [{p.split("@")[0] for p in r["edited_fingerprint"].split()} for r in rows]
+    like = lambda a, b: 1.0 if not a | b else len(a & b) / len(a | b)
+    assert [(r["near_edited"], r["near_next"]) for r in rows] == [(like(prints[i], edits[i]), like(prints[i], prints[(i + 1) % 5])) for i in range(5)]
+    # 200,000 equal words: the rightmost place of each window, up to the last gram
+    assert rows[2]["fingerprint"].endswith(f"@{200_000 - winnow.K}") and rows[3]["near_next"] == 1.0 and rows[1]["fingerprint"] == ""
 
 
 def test_fingerprints(frame, docs, empty):
