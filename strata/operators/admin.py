@@ -100,6 +100,22 @@ def roots(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id") -
     return nodes.join(known, F.col(parent_col) == F.col("_p"), "left").withColumn("is_root", F.col("_known").isNull()).drop("_p", "_known")
 
 
+def nodes(l1: DataFrame, project_id: int) -> DataFrame:
+    """Id, title, source_type, document of a project's snapshots, by creation, then id."""
+    own = l1.where(F.col("project_id") == project_id)
+    return own.orderBy("created_at", "l1_id").select(F.col("l1_id").alias("id"), "title", "source_type", F.col("doc_key").alias("document_id"), "created_at")
+
+
+def unsynced(l1: DataFrame) -> DataFrame:
+    """snapshots that a graph hasn't been given."""
+    return l1.where(F.col("synced_at").isNull())
+
+
+def audit(documents: DataFrame, projects: DataFrame) -> DataFrame:
+    """Documents with their project's root path and machine id."""
+    return documents.join(projects.select(F.col("id").alias("project_id"), "root_path", F.col("machine_id").alias("project_machine_id")), "project_id").select("doc_key", "project_id", "root_path", "project_machine_id")
+
+
 def tree(nodes: list[dict]) -> list[dict]:
     """Nodes (id, parent_id, ..) of one project nested by `children`, in their order; unknown parents make roots."""
     by_id = {n["id"]: {**n, "children": []} for n in nodes}

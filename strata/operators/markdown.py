@@ -67,6 +67,23 @@ def toc_json(chunks: DataFrame, key: str) -> DataFrame:
     return chunks.groupBy(key).agg(F.to_json(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x.getField("e"))).alias("toc"))
 
 
+def toc_tree(marks: DataFrame, key: str) -> DataFrame:
+    """P10: key, toc: headings (as of `headings`) as nested JSON: text, level, and children where there are some.
+
+    A heading's depth and its follower's say which lists open and close after it, so each
+    is one piece of text and no tree is built.
+    """
+    order = Window.partitionBy(key).orderBy("line_no")
+    depth = F.when(F.col("parent_section_id").isNull(), 0).otherwise(F.size(F.split("path", " > ")) - 1)
+    rows = marks.withColumn("_d", depth).withColumn("_next", F.lead("_d").over(order))
+    node = F.concat(F.lit('{"text":'), F.to_json(F.struct("text")).substr(F.lit(9), F.length(F.to_json(F.struct("text"))) - 9), F.lit(',"level":'), F.col("level").cast("string"))
+    down = F.col("_next") > F.col("_d")
+    closing = F.concat(F.lit("}"), F.repeat(F.lit("]}"), F.col("_d") - F.coalesce("_next", F.lit(0))))
+    piece = F.concat(node, F.when(down, ',"children":[').otherwise(F.concat(closing, F.when(F.col("_next").isNull(), "").otherwise(","))))
+    held = rows.withColumn("_p", piece).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line_no", "_p"))).alias("_l"))
+    return held.select(key, F.concat(F.lit("["), F.array_join(F.transform("_l", lambda x: x.getField("_p")), ""), F.lit("]")).alias("toc"))
+
+
 FENCE = "```"
 IMAGE = re.compile(r"^!\[([^\]]*)\]\(([^)]+)\)$")
 ORDERED = re.compile(r"^\s{0,3}\d+\.\s+\S")

@@ -40,7 +40,8 @@ def dense_top_each(vectors: DataFrame, queries: DataFrame, k: int, id_col: str,
     """T1 for a table of queries: query, id, score, rank.
 
     Queries go in blocks of about BLOCK rows, whatever their number, so that what is
-    broadcast is bounded; each task keeps the k best of its rows for each query before the shuffle.
+    broadcast is bounded. The rank is filtered, so Spark keeps the k best of each query in each
+    task (WindowGroupLimit) before scores are shuffled.
     """
     blocks = -(-queries.count() // BLOCK)
     order = Window.partitionBy(query_col).orderBy(F.desc("score"), id_col)
@@ -48,9 +49,7 @@ def dense_top_each(vectors: DataFrame, queries: DataFrame, k: int, id_col: str,
     for b in range(max(1, blocks)):
         part = queries.where(F.pmod(F.xxhash64(query_col), F.lit(max(1, blocks))) == b)
         rows = vectors.crossJoin(F.broadcast(part)).select(query_col, id_col, cosine(F.col(vector_col), F.col(query_vector)).alias("score"))
-        best = rows.groupBy(query_col, F.spark_partition_id().alias("_p")).agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("m"), F.col(id_col).alias("id")))), 1, k).alias("b"))
-        flat = best.select(query_col, F.explode("b").alias("b")).select(query_col, F.col("b.id").alias(id_col), (-F.col("b.m")).alias("score"))
-        found = flat if found is None else found.unionByName(flat)
+        found = rows if found is None else found.unionByName(rows)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

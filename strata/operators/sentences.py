@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from strata.functions.text import SPACE, sentences, trim_ws
+
 # Patterns of spans in which a full stop ends no sentence.
 LINK = re.compile(r"!?\[[^\]]*\]\([^)]*\)")
 URL = re.compile(r"https?://[^\s\]>]+")
@@ -20,6 +23,9 @@ LIST_MARK = re.compile(r"^\s{0,3}\d+\.", re.MULTILINE)
 FLOAT = re.compile(r"\d+\.\d+")
 ABBREVIATION = re.compile(r"(?<![A-Za-z0-9_])(?:e\.g\.|i\.e\.|etc\.)", re.IGNORECASE)
 
+#: A cheap test that every text with a span passes.
+MAY_PROTECT = r"(?i)\]\(|https?://|\p{Nd}\.|\.(?:md|go|py|txt|yml|yaml|json|proto)|e\.g\.|i\.e\.|etc\."
+
 END = re.compile("[.!?。！？…]+")
 KEEPING_END = re.compile(r"(?<=[.!?。！？…])\s+|\n{2,}")
 
@@ -42,11 +48,12 @@ def _allowed(text: str, pattern: re.Pattern, a: int, b: int) -> bool:
 def protected_spans(text: str) -> list[tuple[int, int]]:
     """Spans that stay whole: the longest first (of equal ones the leftmost), none overlapping one taken before; by place."""
     found = [m.span() for p in (LINK, URL, VERSION, SECTION, FILE, LIST_MARK, FLOAT, ABBREVIATION) for m in p.finditer(text) if _allowed(text, p, *m.span())]
-    taken: list[tuple[int, int]] = []
+    taken: list[tuple[int, int]] = []  # by place
     for a, b in sorted(set(found), key=lambda s: (s[0] - s[1], s[0])):
-        if all(b <= x or y <= a for x, y in taken):
-            taken.append((a, b))
-    return sorted(taken)
+        at = bisect(taken, (a, b))
+        if (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or b <= taken[at][0]):
+            taken.insert(at, (a, b))
+    return taken
 
 
 def mask(text: str) -> tuple[str, dict[str, str]]:
@@ -96,5 +103,9 @@ def _keeping(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def masked_sentences(text: Column, keep_ends: bool = False) -> Column:
-    """The sentences of a text column; null texts have none."""
-    return (_keeping if keep_ends else _dropping)(F.coalesce(text, F.lit("")))
+    """The sentences of a text column; null texts have none. Texts that may have a protected span go to Python, others stay native."""
+    full = F.coalesce(text, F.lit(""))
+    spans = full.rlike(MAY_PROTECT) | full.rlike("[\x02\x03]")
+    ends = F.filter(F.transform(F.split(F.regexp_replace(full, "\r\n?", "\n"), rf"(?<=[.!?。！？…]){SPACE}+|\n{{2,}}"), trim_ws), lambda s: s != "")
+    native = ends if keep_ends else sentences(full)
+    return F.when(spans, (_keeping if keep_ends else _dropping)(F.when(spans, full))).otherwise(native)

@@ -1,4 +1,6 @@
-"""Ingest: records into documents, snapshots (L1), sections (L2), atoms (L3), keywords, vectors and edges, in one lazy plan.
+"""Ingest: records into documents, snapshots (L1), sections (L2), atoms (L3), keywords, vectors and edges.
+
+Chunks and atoms, which all tables are made of, are written once; the tables are lazy.
 
 All ids are hashes of natural keys, so that ingesting again, or a retried task, gives the same rows.
 """
@@ -16,6 +18,7 @@ from strata.functions import text as X
 from strata.operators import code as code_ops
 from strata.operators import markdown as md
 from strata.operators.sentences import masked_sentences
+from strata.sources.scratch import held
 
 STEP = 1000
 SPLITTER = "masked-1"
@@ -155,6 +158,13 @@ def code_atoms_of(chunks: DataFrame) -> DataFrame:
     return own.select(*names).unionByName(blocks.select(*names))
 
 
+def versioned(chunks: DataFrame) -> DataFrame:
+    """Chunks with section_version: of chunks of a snapshot with the same section id, one whose text is that of the one before goes, and another is the next version."""
+    order = Window.partitionBy("l1_id", "section_id").orderBy("chunk_no")
+    rows = chunks.withColumn("_same", F.col("text").eqNullSafe(F.lag("text").over(order)) & (F.row_number().over(order) > 1)).where("not _same").drop("_same")
+    return rows.withColumn("section_version", F.row_number().over(order))
+
+
 def atom_hash(atoms: DataFrame) -> DataFrame:
     """A3: l2_id, l3_child_hash: SHA-256 over the sorted lines l3_id|sha256(text)."""
     line = F.concat_ws("|", "l3_id", F.sha2(F.col("content").cast("binary"), 256))
@@ -187,8 +197,8 @@ def mention_edges(l3: DataFrame) -> DataFrame:
     return l3.select(F.col("l3_id").alias("src"), F.explode(keyword_ids(F.col("content"))).alias("dst"), F.lit("mentions").alias("rel")).distinct()
 
 
-def build(records: DataFrame, stored: DataFrame | None = None, registry: Registry | None = None, embed: Embedder = hashed_bag, semantic: bool = False) -> Hierarchy:
-    """The tables of a batch of records (title, content, source_metadata, domain, project_id); unchanged documents give no rows."""
+def build(records: DataFrame, stored: DataFrame | None = None, registry: Registry | None = None, embed: Embedder = hashed_bag, semantic: bool = False, at: Column | None = None) -> Hierarchy:
+    """The tables of a batch of records (title, content, source_metadata, domain, project_id); unchanged documents give no rows. at: the time of creation (now)."""
     registry = registry or Registry()
     all_rows = latest_records(normalise(records))
     rows = unchanged(all_rows, stored)
@@ -196,8 +206,8 @@ def build(records: DataFrame, stored: DataFrame | None = None, registry: Registr
     l1_id = ids.natural_id(F.lit("l1"), F.col("doc_key"), F.col("content_hash"), F.lit(SPLITTER))
     heads = good.withColumn("l1_id", l1_id)
     chunks = registry.chunks(good).join(heads.select("doc_key", "l1_id", "title", "source_type", "project_id"), "doc_key")
-    chunks = chunks.withColumn("l2_id", ids.natural_id(F.col("l1_id"), F.col("section_id")))
-    l3 = atoms_of(chunks, semantic).unionByName(code_atoms_of(chunks))
+    chunks = held(versioned(chunks).withColumn("l2_id", ids.natural_id(F.col("l1_id"), F.col("section_id"), F.nullif(F.col("section_version"), F.lit(1)))))
+    l3 = held(atoms_of(chunks, semantic).unionByName(code_atoms_of(chunks)))
     parent = F.when(F.col("parent_section_id").isNotNull(), ids.natural_id(F.col("l1_id"), F.col("parent_section_id")))
     title_id = F.when((F.col("section_type") == "heading") & (X.first_heading(F.col("text")) != ""), ids.natural_id(F.col("l2_id"), F.lit(0)))
     l2 = chunks.select("l1_id", "l2_id", "section_id", parent.alias("parent_id"), ((F.col("chunk_no") + 1) * STEP).alias("sort_order"), "section_type", "path", "text", F.col("metadata").alias("source_metadata"), ids.sha_hex(F.col("text")).alias("summary_hash"), X.summary_of_section(F.col("title"), F.col("path"), F.col("text")).alias("summary"), title_id.alias("title_id"))
@@ -206,7 +216,7 @@ def build(records: DataFrame, stored: DataFrame | None = None, registry: Registr
     hashes = md.chunk_hash(chunks, "l1_id")
     toc = md.toc_json(chunks, "l1_id")
     l1 = heads.join(summaries, "l1_id", "left").join(hashes, "l1_id", "left").join(toc, "l1_id", "left")
-    l1 = l1.select("doc_key", "l1_id", "project_id", "title", "path", "source_type", "source_metadata", "content_hash", X.summary_of_document(F.col("title"), F.coalesce("_s", F.array().cast("array<string>"))).alias("summary"), "l2_child_hash", F.coalesce("toc", F.lit("[]")).alias("toc"))
+    l1 = l1.select("doc_key", "l1_id", "project_id", "title", "path", "source_type", "source_metadata", "content_hash", X.summary_of_document(F.col("title"), F.coalesce("_s", F.array().cast("array<string>"))).alias("summary"), "l2_child_hash", F.coalesce("toc", F.lit("[]")).alias("toc"), (F.current_timestamp() if at is None else at).cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("synced_at"))
     documents = heads.select("doc_key", ids.folded(F.substring(ids.sha_hex(F.col("doc_key")), 1, 16)).alias("machine_id"), "project_id", "title", "path", "source_type", "source_metadata", "content_hash", F.col("l1_id").alias("current_l1_id"))
     l1_vectors = heads.select("l1_id", "project_id", embed(X.passage(X.embedding_text(F.col("title"), F.col("content")))).alias("vector"))
     points = l3.where("embedded").join(l2.select("l2_id", "section_id", "section_type"), "l2_id").join(heads.select("l1_id", "project_id", "source_type"), "l1_id")

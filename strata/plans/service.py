@@ -145,7 +145,8 @@ def retrieve(store: Store, q: str, project_id: int | None = None, limit: int = 5
     best = best.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("l3_id", "score", "rank")
     if how.expand and project_id is not None:
         own = best.join(l3.select("l3_id", "l1_id"), "l3_id")
-        both = graphs.expand(own, store.read("edges"), l2, l3, project_id, how.max_siblings, how.max_graph_results)
+        edges = store.read("edges").where("dst_type = 'file'").join(head.select(F.col("l1_id").alias("dst")), "dst", "left_semi")
+        both = graphs.expand(own, edges, l2, l3, project_id, how.max_siblings, how.max_graph_results)
         added = both.where("source = 'graph_expansion'").withColumn("rank", F.row_number().over(Window.orderBy("l1_id")) + limit)
         best = best.withColumn("source", F.lit("search")).unionByName(added.select("l3_id", "score", "rank", "source"))
     else:
@@ -198,7 +199,7 @@ def answer(store: Store, q: str, llm: Turn, project_id: int | None = None, turns
             return {"status": "answered" if tool == "answer" else "not_found", "answer": args.get("text", ""), "sources": args.get("sources", []), "turns": turn, "messages": messages}
         if tool == "search":
             raw = retrieve(store, args.get("query", q), project_id, how=how)
-            shown = for_agent(rank.first_per_section(raw.withColumnRenamed("l1_title", "title"), "rank")).collect()
+            shown = for_agent(rank.first_per_section(raw.withColumnRenamed("l1_title", "title"), "rank").orderBy("rank")).collect()
             out: object = [r.asDict() for r in shown]
         elif tool in ("restore_l2", "restore_l1"):
             which, most = ("l2_id", 3000) if tool == "restore_l2" else ("l1_id", 5000)
@@ -257,9 +258,9 @@ def ingest_records(store: Store, records: DataFrame, registry: hierarchy.Registr
     if written:
         for name, df in tables:
             store.merge(name, df)
-        store.replace("documents", admin.upsert_versions(stored, new.select(*stored.columns), "doc_key"))
-        version = store.spark.createDataFrame([(1, hierarchy.SPLITTER, "{}")], SCHEMAS["versions"])
-        store.replace("versions", store.read("versions").unionByName(version).distinct())
+        known = stored.join(new.select("doc_key"), "doc_key", "left_semi")
+        store.merge("documents", admin.upsert_versions(known, new.select(*stored.columns), "doc_key"))
+        store.merge("versions", store.spark.createDataFrame([(1, hierarchy.SPLITTER, "{}")], SCHEMAS["versions"]))
     return {"written": written, "skipped": total - written - failed, "failed": failed}
 
 

@@ -519,9 +519,9 @@ def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def structured_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of each brand's document (no SQL form)."""
+    """Blocks of each brand's document."""
     chunks = markdown.expand_blocks(markdown.sections(part_markdown(spark, sf_dir), "doc", "content"), "doc")
-    return chunks.select("doc", "chunk_no", "section_id", "section_type", "path", "parent_section_id", ids.sha_hex(F.col("text")).alias("text_hash"))
+    return chunks.select("doc", "chunk_no", "section_id", "section_type", "path", "parent_section_id", ids.sha_hex(F.col("text")).alias("text_hash"), "metadata")
 
 
 @query

@@ -20,8 +20,14 @@ def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = MARKDOWN
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(extensions) + "}").load(root)
     below = relative(F.col("path"), root)
     rows = rows.select(below.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+    return readable(rows, extensions)
+
+
+def readable(rows: DataFrame, extensions: tuple[str, ...] = MARKDOWN + CODE) -> DataFrame:
+    """Of path and content, with the extension: files with one of the extensions, in no directory whose name starts with a dot."""
     rows = rows.where(~F.concat(F.lit("/"), F.col("path")).rlike(r"/\.[^/]+/"))
-    return rows.withColumn("extension", F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1))).select("path", "extension", "content")
+    rows = rows.withColumn("extension", F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1)))
+    return rows.where(F.col("extension").isin(*extensions)).select("path", "extension", "content")
 
 
 def relative(path: Column, root: str) -> Column:
@@ -68,7 +74,11 @@ def front_matter(files: DataFrame) -> DataFrame:
 
 def records(spark: SparkSession, root: str, project_id: int = 0) -> DataFrame:
     """Ingest records of a folder: Markdown files go to the wiki domain, code files, titled by path, to the code domain."""
-    files = scan(spark, root)
+    return as_records(scan(spark, root), project_id)
+
+
+def as_records(files: DataFrame, project_id: int = 0) -> DataFrame:
+    """The same for files (path, extension, content)."""
     pages = front_matter(files.where(F.col("extension").isin(*MARKDOWN))).withColumn("domain", F.lit("wiki"))
     empty = F.create_map().cast("map<string,string>")
     code = files.where(F.col("extension").isin(*CODE)).select("path", F.col("path").alias("title"), "content", empty.alias("source_metadata"), F.lit("code").alias("domain"))

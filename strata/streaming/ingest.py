@@ -21,10 +21,7 @@ def start(spark: SparkSession, folder: str, store: Store, checkpoint: str, proje
     """Ingests what is there and ends (availableNow). A batch that is run again skips what it has written."""
 
     def add(batch: DataFrame, _: int) -> None:
-        pages = files.front_matter(batch.where(F.col("path").rlike(r"\.(md|markdown)$")))
-        meta = F.map_concat(F.map_filter("source_metadata", lambda k, v: k != "path"), F.create_map(F.lit("path"), F.col("path")))
-        rows = pages.select("title", "content", meta.alias("source_metadata"), F.lit("wiki").alias("domain"), F.lit(project_id).cast("bigint").alias("project_id"))
-        service.ingest_records(store, rows)
+        service.ingest_records(store, files.as_records(files.readable(batch), project_id))
 
     return file_stream(spark, folder).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

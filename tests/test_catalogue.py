@@ -3,7 +3,10 @@ import os
 import duckdb
 import pytest
 
-from strata import oracles, queries
+from strata import oracles, queries, store_oracles, store_queries
+
+ORACLES = oracles.ORACLES | store_oracles.STORE_ORACLES
+QUERIES = store_queries.QUERIES
 
 SF = os.environ.get("STRATA_TEST_SF", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -21,20 +24,20 @@ def plain(v):
     return repr(round(v, 6)) if isinstance(v, float) else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(oracles.ORACLES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_sql(spark, duck, name):
-    df = queries.QUERIES[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     got = sorted(tuple(plain(r[c]) for c in columns) for r in df.collect())
-    rel = duck.sql(oracles.ORACLES[name])
+    rel = duck.sql(ORACLES[name])
     assert sorted(rel.columns) == columns
     at = [rel.columns.index(c) for c in columns]
     assert got == sorted(tuple(plain(r[i]) for i in at) for r in rel.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(oracles.ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_other_queries_run(spark, name):
-    assert queries.QUERIES[name](spark, SF).count() > 0
+    assert QUERIES[name](spark, SF).count() > 0
 
 
 def test_entry(spark):

@@ -151,3 +151,44 @@ def test_reset_last(store):
     assert service.reset(store, pid, dry_run=True)["documents"] == 4 and store.read("l3").count() > 0
     service.reset(store, pid)
     assert store.read("l3").count() == 0 and store.read("l3_vectors").count() == 0 and store.read("keywords").count() > 0
+
+
+def test_stream_takes_code(spark, tmp_path):
+    """Code files too; nothing below a directory whose name starts with a dot."""
+    (tmp_path / "in" / ".git").mkdir(parents=True)
+    (tmp_path / "in" / "m.py").write_text(CODE)
+    (tmp_path / "in" / "p.md").write_text("# P\ntext\n")
+    (tmp_path / "in" / ".git" / "z.md").write_text("# hidden\n")
+    s = Store(spark, str(tmp_path / "store"), buckets=2)
+    streaming.start(spark, str(tmp_path / "in"), s, str(tmp_path / "ck")).awaitTermination(200)
+    assert sorted((r["path"], r["source_type"]) for r in s.read("documents").collect()) == [("m.py", "code"), ("p.md", "md")]
+
+
+def test_expansion_shows_heads_only(spark, tmp_path):
+    """After a file changes, its old snapshot is no sibling, not even of itself."""
+    s = Store(spark, str(tmp_path / "store"), buckets=2)
+    rows = [("a", "# A\nred apples\n", {"path": "d/a.md"}, "", 5), ("b", "# B\ngreen pears\n", {"path": "d/b.md"}, "", 5)]
+    service.ingest_records(s, hierarchy.records_of(spark, rows))
+    service.ingest_records(s, hierarchy.records_of(spark, [("a", "# A\nred apples and plums\n", {"path": "d/a.md"}, "", 5)]))
+    heads = {r["current_l1_id"] for r in s.read("documents").collect()}
+    hits = service.retrieve(s, "red apples and plums", 5, 1, service.Search(expand=True)).collect()
+    assert len(hits) == 2 and {h["l1_id"] for h in hits} == heads
+    assert {r["version"] for r in s.read("documents").collect()} == {1, 2}
+
+
+def test_merge_touches_buckets(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "store"), buckets=8)
+    rows = lambda ks, v: spark.createDataFrame([(k, f"{v}{k}") for k in ks], "machine_id bigint, canonical_name string")
+    s.merge("keywords", rows(range(100), "a"))
+    before = s._heads("keywords")[2]
+    s.merge("keywords", rows([3], "b"))
+    after = s._heads("keywords")[2]
+    assert sum(before[b] != after[b] for b in before) == 1
+    assert {r["machine_id"]: r["canonical_name"] for r in s.read("keywords").collect()} == {k: f"{'b' if k == 3 else 'a'}{k}" for k in range(100)}
+
+
+def test_reset_lets_a_folder_be_ingested_again(spark, wiki, tmp_path):
+    s = Store(spark, str(tmp_path / "store"), buckets=2)
+    first = service.ingest(s, str(wiki / "sub"))
+    service.reset(s, first["project_id"])
+    assert service.ingest(s, str(wiki / "sub"))["written"] == first["written"] == 2
