@@ -2,11 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a table that is written as Parquet
 and read again as the next one's docs. All but the last return the columns of documents.
+
+An empty table goes through every stage. Null texts and ids, repeated rows and ties: see
+each stage. Texts are taken whole, however long.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.llm import jaccard, langid, mixing, packing, pii
@@ -14,7 +17,7 @@ from strata.llm.common import bitmap_of_longs, crc_of_id, materialize, small_bat
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null, or no letter) go; `lang` becomes the predicted one where it is null."""
+    """Documents without a language (null, or no letter) go; `lang` becomes the predicted one where it is null. Null ids and repeated rows are judged row by row; a tie of languages goes to the first by code point."""
     small_batches(spark)
     model = langid.fit(docs, crc_of_id() % 4 != 2)
     kept = langid.predict(docs, model, lang_out="_lang", score_out="_score").where("_lang <> 'und'")
@@ -22,22 +25,32 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates stays: that with the least id (one row of it, if it repeats)."""
+    """One document of each component of near duplicates stays: that with the least id (null ids first; of rows with the same id and component the one with the least hash of text, then of the row). Rows with a null or empty text are linked with nothing and stay."""
     small_batches(spark)
-    groups = materialize(jaccard.components(docs).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.max("component_id").alias("last"), F.count("*").alias("n")))
-    doubtful = materialize(groups.where("component_id <> doc_id or last <> doc_id or n > 1").select("doc_id", (F.col("component_id") != F.col("doc_id")).alias("goes")))
-    clear, some = split_by(docs, F.xxhash64("doc_id"), bitmap_of_longs(doubtful.select(F.xxhash64("doc_id"))))
-    gone = doubtful.where("goes").select("doc_id")
-    return clear.unionByName(some.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns))
+    own = F.struct(F.col("doc_id").alias("i"), F.xxhash64("text").alias("h"))
+    joined = jaccard.components(docs.select(own.alias("_own"), "text"), "_own")
+    groups = joined.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n"))
+    doubtful = materialize(groups.where("component_id <> doc_id or n > 1").select(F.col("doc_id.i").alias("_i"), F.col("doc_id.h").alias("_h"), (F.col("component_id") != F.col("doc_id")).alias("goes")))
+    clear, some = split_by(docs, F.xxhash64("doc_id", F.xxhash64("text")), bitmap_of_longs(doubtful.select(F.xxhash64("_i", "_h"))))
+    keyed = some.withColumns({"_h": F.xxhash64("text"), "_row": F.xxhash64(*docs.columns)})
+    gone = doubtful.where("goes").withColumnRenamed("_h", "_g")
+    left = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["_i"]) & (F.col("_h") == F.col("_g")), "left_anti")
+    # a repeated row of a document that stays: one of them, told by a hash of all its columns
+    repeated = doubtful.where("not goes").withColumnRenamed("_h", "_g")
+    several = left.join(repeated, left["doc_id"].eqNullSafe(repeated["_i"]) & (F.col("_h") == F.col("_g")), "left_semi")
+    single = left.join(repeated, left["doc_id"].eqNullSafe(repeated["_i"]) & (F.col("_h") == F.col("_g")), "left_anti")
+    first = Window.partitionBy("doc_id", "_h").orderBy("_row")
+    one = several.withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    return clear.unionByName(single.select(*docs.columns)).unionByName(one.select(*docs.columns))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind in brackets."""
+    """Personal data is replaced by its kind in brackets, row by row. Null texts stay null; of overlapping spans the first counts."""
     return pii.redacted(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target takes it, whole: words taken / size, rounded up."""
+    """Each document as often as its source's target takes it, whole: words taken / size, rounded up. A null source is one; repeated rows count once; null and empty texts have no words and aren't taken."""
     small_batches(spark)
     keyed = docs.withColumn("_key", F.xxhash64(*docs.columns))
     taken, _ = mixing.mix(keyed, id_col="_key")
@@ -47,7 +60,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokenised pieces and their places in sequences of 1024 tokens."""
+    """Tokenised pieces and their places in sequences of 1024 tokens; null texts are empty, repeated rows are packed one by one."""
     small_batches(spark)
     return packing.pack(docs)
 

@@ -1,17 +1,19 @@
 """Scoring by a class-based bigram model (Brown classes by exchange clustering).
 
-Words (lower-cased A-Z) are known by a 64-bit hash whose low bits name one of SUFFIXES
-groups of word ends. The `class_words` most frequent words are symbols of their own; all
-others share the symbol of their group. Exchange clustering moves the `cluster`
-most frequent symbols between classes as long as that raises the likelihood of
-the class bigrams; the other symbols then join the class that fits their neighbours
-best. A word's probability is that of its class after the class before, times that of
-its symbol in its class, times (for words that share a symbol) that of the word in its
-group, by its count. All counts are over all training documents.
-
-Counts of the `known` most frequent words are sent to every task; the others are looked
-up by fragments of the hash space, to which tasks send their words and which answer with
-sums for each document.
+Words (lower-cased A-Z) are known by a 64-bit hash, and every word of the training texts
+has a class. Exchange clustering moves the `cluster` most frequent words between `classes`
+classes as long as that raises the likelihood of the class bigrams. The other ones of the
+`class_words` most frequent words join the class that fits the classes beside them best,
+and so then does each remaining word, whatever the vocabulary's size: tasks send the classes beside
+its occurrences to the fragment of the hash space that holds its count. (A word with
+no classed neighbour joins the largest class; a word that training lacks counts as one
+of the class with most rare words.) A word's probability is that of its class after the class
+before, times that of the word in its class by its smoothed count. All counts are over all
+training documents.
+
+Scores take two passes: a chunk of documents asks the fragments once for the classes and
+counts of its words that aren't in the lexicon, and gets its class sequences; the class
+bigrams of the training ones give the transitions, by which all sequences are scored.
 
 Null texts are empty: one end token. Rows that repeat are scored one by one. Other columns
 are ignored. An empty table gives an empty result; without training documents every
@@ -31,22 +33,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm import textvec as tv
-from strata.llm.common import fragments, materialize
+from strata.llm.common import folded_up, fragments, materialize
 from strata.llm.textvec import tidy, tidy_group
 
 U64 = np.uint64
-SUFFIXES = 512
 CHUNK = 600_000
 HIST = 512  # bins of counts: 16 for each doubling
 
 
-def word_ids(words: tv.Words) -> np.ndarray:
-    h = words.hashes()
-    last = words.data[words.end - 1].astype(U64)
-    before = np.where(words.end - words.start > 1, words.data[np.maximum(words.end - 2, 0)], 0).astype(U64)
-    return (h & ~U64(1023)) | (tv.mix(last * U64(256) + before) % U64(SUFFIXES))
-
-
 def frag_of(h: np.ndarray, parts: int) -> np.ndarray:
     return (((h >> U64(40)) * U64(parts)) >> U64(24)).astype(np.int64)
 
@@ -70,7 +64,7 @@ def _count_words(parts: int):
         held, n = [], 0
         for b in batches:
             for _, _, words in tv.slices(b.column(0), lower=True):
-                held.append(word_ids(words))
+                held.append(words.hashes())
                 n += len(held[-1])
                 if n >= CHUNK:
                     yield flush(held)
@@ -88,12 +82,8 @@ def _sum_words(table: pa.Table) -> pa.Table:
     ids, counts = ids[order], counts[order]
     starts = tv.group_starts(ids)
     ids, counts = ids[starts], np.add.reduceat(counts, starts) if len(starts) else counts
-    group = (ids & U64(1023)).astype(np.int64)
-    tokens = np.bincount(group, counts, minlength=SUFFIXES).astype(np.int64)
-    types = np.bincount(group, minlength=SUFFIXES)
     hist = np.bincount(bin_of(counts), minlength=HIST)
-    lists = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (tokens, types, hist)]
-    return pa.table([table["frag"].combine_chunks()[:1], pa.array([ids.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary()), *lists], ["frag", "ids", "counts", "tokens", "types", "hist"])
+    return pa.table([table["frag"].combine_chunks()[:1], pa.array([ids.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary()), pa.array([int(counts.sum())], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([hist.tolist()], pa.list_(pa.int64()))], ["frag", "ids", "counts", "tokens", "types", "hist"])
 
 
 def _summed(counts: DataFrame, col: str, size: int) -> np.ndarray:
@@ -124,38 +114,35 @@ def frequent(counts: DataFrame, hist: np.ndarray, most: int) -> tuple[np.ndarray
 
 @dataclass
 class Lexicon:
-    """Sorted ids and counts of known words, and the symbol of each; symbols: own ones, then groups, then the end."""
+    """Sorted ids of the frequent words, and the symbol of each; symbols: these, then one for all other words, then the end."""
 
     ids: np.ndarray
-    counts: np.ndarray
     symbol: np.ndarray
-    own: int
+
+    @property
+    def other(self) -> int:
+        return len(self.ids)
 
     @property
     def end(self) -> int:
-        return self.own + SUFFIXES
+        return len(self.ids) + 1
 
-    def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(symbol of each word, index of its count or -1)."""
-        group = self.own + (words & U64(1023)).astype(np.int32)
+    def find(self, words: np.ndarray) -> np.ndarray:
+        """The symbol of each word."""
         if not len(self.ids):
-            return group, np.full(len(words), -1)
+            return np.full(len(words), self.other, dtype=np.int32)
         at = np.minimum(np.searchsorted(self.ids, words), len(self.ids) - 1)
-        at[self.ids[at] != words] = -1
-        own = np.where(at >= 0, self.symbol[at], -1)
-        return np.where(own >= 0, own, group), at
+        return np.where(self.ids[at] == words, self.symbol[at], self.other).astype(np.int32)
 
 
-def sequences(words: tv.Words, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols with an end after each text, where texts end, word ids, index of known counts, position of words in the symbols)."""
-    ids = word_ids(words)
-    symbol, at = lexicon.find(ids)
+def sequences(words: tv.Words, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols with an end after each text, where texts end, word ids, position of words in the symbols)."""
+    ids = words.hashes()
     n = len(words.first) - 1
     place = np.arange(len(ids)) + words.doc
     out = np.full(len(ids) + n, lexicon.end, dtype=np.int32)
-    out[place] = symbol
-    ends = words.first[1:] + np.arange(n)
-    return out, ends, ids, at, place
+    out[place] = lexicon.find(ids)
+    return out, words.first[1:] + np.arange(n), ids, place
 
 
 def _pairs(rows: np.ndarray, columns: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
@@ -179,7 +166,7 @@ def _matrix_pass(df: DataFrame, count, shape: tuple[int, int]) -> np.ndarray:
         return pa.table([table["band"].combine_chunks()[:1], pa.array([zlib.compress(held.tobytes(), 1)], pa.binary())], ["band", "cells"])
 
     out = np.zeros(shape, dtype=np.int64)
-    for r in df.mapInArrow(tidy(apply), "band int, cells binary").groupBy("band").applyInArrow(tidy_group(add), "band int, cells binary").toLocalIterator():
+    for r in folded_up(df.mapInArrow(tidy(apply), "band int, cells binary"), ["band"], add, "band int, cells binary").toLocalIterator():
         out[bands[r["band"]] : bands[r["band"] + 1]] = np.frombuffer(zlib.decompress(r["cells"]), "<i8").reshape(-1, shape[1])
     return out
 
@@ -241,57 +228,119 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = 8) -> np.ndarray:
 
 
 @dataclass
-class Scorer:
+class Classes:
+    """Classes 0 to k - 1 are of words, k is the end's. `of`: the class of each symbol (k + 1 for other words)."""
+
     lexicon: Lexicon
-    cls: np.ndarray  # class of each symbol; the end has its own, the last
-    after: np.ndarray  # log10 P(class | class before); the last row is a text's start
-    emit: np.ndarray  # log10 P(symbol | class)
-    group_base: np.ndarray  # log10 of (N_b + 0.5 (V_b + 1)) of each group of words without a symbol
+    k: int
+    of: np.ndarray
+    p_after: np.ndarray  # k x (k + 1): log P(class after | class)
+    p_before: np.ndarray  # k x k: log P(class before | class)
+    largest: int
+
+
+@dataclass
+class Scorer:
+    classes: Classes
+    count: np.ndarray  # of each symbol but the one of other words
+    unseen: int  # the class of words that training lacks
+    norm: np.ndarray  # log10 of N_c + 0.5 (V_c + 1) of each class
     base: float  # log10 of N + 0.5 (V + 1)
-    known_end: int
 
 
-def fit(df: DataFrame, training: Column, text_col: str = "text", classes: int = 40, cluster: int = 1000, class_words: int = 8192, known: int = 65_536) -> tuple[Scorer, DataFrame, int, int]:
-    """(scorer, counts by fragment, number of fragments, training tokens)."""
+def _beside_requests(parts: int, held):
+    """text -> frag, ids, before, after: each occurrence of a word outside the lexicon, with the classes on either side (k + 1: none known)."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c: Classes = held.value
+        none = c.k + 1
+        for b in batches:
+            for _, _, words in tv.slices(b.column(0), lower=True):
+                s, ends, ids, place = sequences(words, c.lexicon)
+                own = c.of[s].astype(np.uint8)
+                before = np.r_[np.uint8(none), own[:-1]] if len(own) else own
+                before[ends[:-1] + 1] = none
+                after = np.r_[own[1:], np.uint8(none)] if len(own) else own
+                rare = s[place] == c.lexicon.other
+                word, at = ids[rare], place[rare]
+                by = np.argsort(frag_of(word, parts).astype(np.int32), kind="stable")
+                cuts = np.searchsorted(frag_of(word[by], parts), np.arange(parts + 1))
+                filled = np.flatnonzero(np.diff(cuts))
+                columns = [word[by], before[at[by]], after[at[by]]]
+                yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), *(pa.array([x[cuts[f] : cuts[f + 1]].tobytes() for f in filled], pa.binary()) for x in columns)], ["frag", "ids", "before", "after"])
+
+    return apply
+
+
+def best_classes(index: np.ndarray, n: int, before: np.ndarray, after: np.ndarray, c: Classes) -> np.ndarray:
+    """Of n words, the class under which the classes beside their occurrences (`index` names the word) are likeliest; the first of ties."""
+    out = np.full(n, c.largest, dtype=np.uint8)
+    width = c.k + 2
+    order = np.argsort(index, kind="stable")
+    index, before, after = index[order], before[order].astype(np.int64), after[order].astype(np.int64)
+    for start in range(0, n, 20_000):
+        stop = min(n, start + 20_000)
+        x, y = np.searchsorted(index, [start, stop])
+        rows = (index[x:y] - start) * width
+        a = np.bincount(rows + after[x:y], minlength=(stop - start) * width).reshape(-1, width)[:, : c.k + 1]
+        b = np.bincount(rows + before[x:y], minlength=(stop - start) * width).reshape(-1, width)[:, : c.k]
+        told = (a.sum(axis=1) + b.sum(axis=1)) > 0
+        out[start:stop][told] = (a @ c.p_after.T + b @ c.p_before.T).argmax(axis=1)[told]
+    return out
+
+
+def _classify(held, own: np.ndarray):
+    """One fragment: its words outside the lexicon with counts and classes, and the tokens and types of each class."""
+
+    def apply(asked: pa.Table, counts: pa.Table) -> pa.Table:
+        c: Classes = held.value
+        if not len(counts):
+            return pa.table({"frag": pa.array([], pa.int32()), **{x: pa.array([], pa.binary()) for x in ("ids", "counts", "cls")}, **{x: pa.array([], pa.list_(pa.int64())) for x in ("tokens", "types")}})
+        ids, n = np.frombuffer(counts["ids"][0].as_py(), "<u8"), np.frombuffer(counts["counts"][0].as_py(), "<i8")
+        rest = ~np.isin(ids, c.lexicon.ids)
+        ids, n = ids[rest], n[rest]
+        word, before, after = (np.frombuffer(b"".join(asked[x].to_pylist()), kind) for x, kind in (("ids", "<u8"), ("before", "u1"), ("after", "u1")))
+        cls = best_classes(np.searchsorted(ids, word), len(ids), before, after, c)
+        tokens, types = np.bincount(cls, n, minlength=c.k).astype(np.int64), np.bincount(cls, minlength=c.k)
+        return pa.table({"frag": counts["frag"].combine_chunks()[:1], **{x: pa.array([y.tobytes()], pa.binary()) for x, y in (("ids", ids), ("counts", n), ("cls", cls))}, **{x: pa.array([y.tolist()], pa.list_(pa.int64())) for x, y in (("tokens", tokens), ("types", types))}})
+
+    return apply
+
+
+def fit(df: DataFrame, training: Column, text_col: str = "text", classes: int = 40, cluster: int = 1000, class_words: int = 8192) -> tuple[Scorer, DataFrame, int, int]:
+    """(scorer, table of other words by fragment, number of fragments, training tokens).
+
+    cluster and class_words say how many words are clustered and placed on the driver and
+    sent to every task; all others are classed by fragments.
+    """
     train = df.where(training).select(text_col)
     parts = fragments(df.select(text_col), 12, least=4)
-    counts = materialize(train.mapInArrow(tidy(_count_words(parts)), "frag int, ids binary, counts binary").groupBy("frag").applyInArrow(tidy_group(_sum_words), "frag int, ids binary, counts binary, tokens array<long>, types array<long>, hist array<long>"))
+    counts = materialize(train.mapInArrow(tidy(_count_words(parts)), "frag int, ids binary, counts binary").groupBy("frag").applyInArrow(tidy_group(_sum_words), "frag int, ids binary, counts binary, tokens long, types long, hist array<long>"))
     docs = train.count()
-    tokens, types, hist = (_summed(counts, c, n) for c, n in (("tokens", SUFFIXES), ("types", SUFFIXES), ("hist", HIST)))
-    total = int(tokens.sum()) + docs
-    distinct = int(types.sum()) + (docs > 0)
-    ids, n = frequent(counts, hist, known)
-    rank = np.empty(len(ids), dtype=np.int64)
+    sums = counts.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
+    total, distinct = sums["n"] + docs, sums["v"] + (docs > 0)
+    ids, n = frequent(counts, _summed(counts, "hist", HIST), class_words)
     by = np.lexsort((ids, -n))
+    rank = np.empty(len(ids), dtype=np.int32)
     rank[by] = np.arange(len(ids))
-    own = min(class_words, len(ids))
-    lexicon = Lexicon(ids, n, np.where(rank < own, rank, -1).astype(np.int32), own)
-    named = rank < own
-    group = (ids & U64(1023)).astype(np.int64)
-    rest_n = tokens - np.bincount(group[named], n[named], minlength=SUFFIXES).astype(np.int64)
-    rest_v = types - np.bincount(group[named], minlength=SUFFIXES)
-    symbols = own + SUFFIXES + 1
-    size = np.r_[n[by][:own], rest_n, docs]
-    dense = np.argsort(-size[: symbols - 1], kind="stable")[:cluster]  # the end stays apart
-    slot = np.full(symbols, len(dense), dtype=np.int64)
-    slot[dense] = np.arange(len(dense))
+    lexicon = Lexicon(ids, rank)
+    symbols = len(ids) + 2
+    dense = min(cluster, len(ids))
     spark = df.sparkSession
-    held = spark.sparkContext.broadcast((lexicon, slot))
+    held = spark.sparkContext.broadcast(lexicon)
 
     def near(words: tv.Words) -> np.ndarray:
-        lex, to = held.value
-        s, ends, *_ = sequences(words, lex)
-        s = to[s]
-        s[ends] = len(dense)
-        return _pairs(s[:-1], s[1:], (len(dense) + 1,) * 2) if len(s) else np.zeros((len(dense) + 1,) * 2, np.int64)
+        s, *_ = sequences(words, held.value)
+        s = np.minimum(s, dense)
+        return _pairs(s[:-1], s[1:], (dense + 1,) * 2) if len(s) else np.zeros((dense + 1,) * 2, np.int64)
 
-    bigrams = _matrix_pass(train, near, (len(dense) + 1,) * 2)[:-1, :-1]
+    bigrams = _matrix_pass(train, near, (dense + 1,) * 2)[:-1, :-1]  # ends and other words are apart
     first = exchange(bigrams, classes)
     k = int(first.max()) + 1 if len(first) else 1
-    cls = np.full(symbols, -1, dtype=np.int64)
-    cls[dense] = first
-    cls[symbols - 1] = k
-    held_classes = spark.sparkContext.broadcast((lexicon, np.where(cls < 0, k + 1, cls)))
+    cls = np.full(symbols, k + 1, dtype=np.int64)
+    cls[:dense] = first
+    cls[lexicon.end] = k
+    held_classes = spark.sparkContext.broadcast((lexicon, cls.copy()))
 
     def beside(words: tv.Words) -> np.ndarray:
         """Counts of each symbol with the class after it, and before it (none before a start)."""
@@ -309,140 +358,172 @@ def fit(df: DataFrame, training: Column, text_col: str = "text", classes: int =
 
     table = _matrix_pass(train, beside, (symbols, 2 * (k + 2)))
     after, before = table[:, : k + 2], table[:, k + 2 :]
-    placed = cls >= 0
-    between = np.zeros((k + 2, k + 2))
-    np.add.at(between, cls[placed], after[placed])
-    p_after = np.log((between[:k, : k + 1] + 0.5) / (between[:k, : k + 1] + 0.5).sum(axis=1, keepdims=True))
-    p_before = np.log((between[:k, :k].T + 0.5) / (between[:k, :k].T + 0.5).sum(axis=1, keepdims=True))
-    fit_ = after[:, : k + 1] @ p_after.T + before[:, :k] @ p_before.T
-    cls = np.where(placed, cls, fit_.argmax(axis=1))
-    # class bigrams with all symbols placed; a start is a class of its own, k + 1, on the left side only
-    final = spark.sparkContext.broadcast((lexicon, cls))
-
-    def moves(words: tv.Words) -> np.ndarray:
-        lex, of = final.value
-        s, ends, *_ = sequences(words, lex)
-        c = of[s]
-        prev = np.r_[k + 1, c[:-1]]
-        prev[ends[:-1] + 1] = k + 1
-        return _pairs(prev, c, (k + 2, k + 1)) if len(s) else np.zeros((k + 2, k + 1), np.int64)
-
-    seen = _matrix_pass(train, moves, (k + 2, k + 1))
-    p = np.log10((seen + 0.5) / (seen + 0.5).sum(axis=1, keepdims=True))
-    mass = np.bincount(cls, size + 0.5, minlength=k + 1)
-    emit = np.log10((size + 0.5) / mass[cls])
-    scorer = Scorer(lexicon, cls, p, emit, np.log10(rest_n + 0.5 * (rest_v + 1)), float(np.log10(total + 0.5 * (distinct + 1))), docs)
-    return scorer, counts, parts, total
-
-
-def _score_requests(parts: int, held, id_kind: pa.DataType):
-    """id, flag, text -> frag, chunk, ids, runs; and a row for each chunk with what its documents get without the rare words."""
-    names = ["frag", "chunk", "words", "runs", "ids", "flags", "tokens", "known", "base", "model"]
-    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(id_kind), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64())]
-
-    def flush(chunk: int, ids: list, flags: list, rare: list, docs: list, sums: list) -> pa.RecordBatch:
-        n = sum(map(len, ids))
-        word, doc = np.concatenate(rare), np.concatenate(docs)
-        frag = frag_of(word, parts)
-        by = np.argsort(frag.astype(np.int32), kind="stable")
-        cuts = np.searchsorted(frag[by], np.arange(parts + 1))
-        runs = np.bincount(frag * n + doc, minlength=parts * n).reshape(parts, n).astype("<u4")
-        word = word[by]
-        none = [None] * parts
-        tail = [np.concatenate(x).tolist() for x in zip(*sums, strict=True)]
-        columns = [[*range(parts), chunk % parts], [chunk] * (parts + 1), [*(word[cuts[f] : cuts[f + 1]].tobytes() for f in range(parts)), None], [*(runs[f].tobytes() for f in range(parts)), None], [*none, pa.concat_arrays(ids).to_pylist()], [*none, pa.concat_arrays(flags).to_pylist()], *([*none, x] for x in tail)]
+    placed = np.zeros(symbols, dtype=bool)
+    placed[:dense] = True
+
+    def log_rows(x: np.ndarray) -> np.ndarray:
+        return np.log((x + 0.5) / (x + 0.5).sum(axis=1, keepdims=True))
+
+    def odds() -> tuple[np.ndarray, np.ndarray]:
+        between, back = np.zeros((k, k + 1)), np.zeros((k, k))
+        np.add.at(between, cls[placed], after[placed][:, : k + 1])
+        np.add.at(back, cls[placed], before[placed][:, :k])
+        return log_rows(between), log_rows(back)
+
+    p_after, p_before = odds()
+    rest = np.arange(dense, len(ids))
+    cls[rest] = (after[rest][:, : k + 1] @ p_after.T + before[rest][:, :k] @ p_before.T).argmax(axis=1)
+    placed[: len(ids)] = True
+    p_after, p_before = odds()
+    size = np.r_[n[by], 0, docs]
+    mass = np.bincount(cls[: len(ids)], size[: len(ids)], minlength=k)
+    known = Classes(lexicon, k, cls, p_after, p_before, int(mass.argmax()))
+    held_known = spark.sparkContext.broadcast(known)
+    asked = train.mapInArrow(tidy(_beside_requests(parts, held_known)), "frag int, ids binary, before binary, after binary")
+    others = materialize(asked.groupBy("frag").cogroup(counts.select("frag", "ids", "counts").groupBy("frag")).applyInArrow(tidy_group(_classify(held_known, ids)), "frag int, ids binary, counts binary, cls binary, tokens array<long>, types array<long>"))
+    tokens, types = (_summed(others, c, k) for c in ("tokens", "types"))
+    tokens_of = np.r_[mass + tokens, docs]
+    types_of = np.r_[np.bincount(cls[: len(ids)], minlength=k) + types, docs > 0]
+    scorer = Scorer(known, size, int(types.argmax()), np.log10(tokens_of + 0.5 * (types_of + 1)), float(np.log10(total + 0.5 * (distinct + 1))))
+    return scorer, others, parts, total
+
+
+SEQUENCE = ["chunk", "frag", "cls", "counts", "ids", "flags", "lengths", "symbols"]
+
+
+def _ask_classes(parts: int, held, id_kind: pa.DataType):
+    """id, flag, text -> frag, chunk, words: the words outside the lexicon that a chunk asks for, each once; and a row for each chunk with its documents' symbols, in which -j stands for the j-th word asked for."""
+    names = ["frag", "chunk", "words", "ids", "flags", "lengths", "symbols"]
+    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.list_(id_kind), pa.list_(pa.bool_()), pa.binary(), pa.binary()]
+
+    def flush(chunk: int, ids: list, flags: list, lengths: list, symbols: list, words: list, other: int) -> pa.RecordBatch:
+        s, word = np.concatenate(symbols), np.concatenate(words)
+        unique, which = np.unique(word, return_inverse=True)  # rising hashes are rising fragments
+        s[s == other] = -1 - which
+        cuts = np.searchsorted(frag_of(unique, parts), np.arange(parts + 1))
+        filled = np.flatnonzero(np.diff(cuts))
+        none = [None] * len(filled)
+        columns = [[*filled.tolist(), chunk % parts], [chunk] * (len(filled) + 1), [*(unique[cuts[f] : cuts[f + 1]].tobytes() for f in filled), None], [*none, pa.concat_arrays(ids).to_pylist()], [*none, pa.concat_arrays(flags).to_pylist()], [*none, np.concatenate(lengths).astype("<u4").tobytes()], [*none, s.astype("<i4").tobytes()]]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Scorer = held.value
-        lex = m.lexicon
-        log_known = np.log10(np.r_[lex.counts, 0] + 0.5)
-        log_end = np.log10(m.known_end + 0.5)
-        chunk, n, rows = TaskContext.get().partitionId() << 24, 0, 0
+        lexicon: Lexicon = held.value.classes.lexicon
+        chunk, n = TaskContext.get().partitionId() << 24, 0
         parts_of: list[list] = [[], [], [], [], []]
         for b in batches:
             for i, j, words in tv.slices(b.column(2), lower=True):
-                s, ends, ids, at, place = sequences(words, lex)
-                count = np.diff(words.first)
-                c = m.cls[s]
-                prev = np.r_[len(m.after) - 1, c[:-1]] if len(c) else c
-                prev[ends[:-1] + 1] = len(m.after) - 1
-                step = m.after[prev, c] + m.emit[s]
-                group = s[place] - lex.own
-                shared = group >= 0
-                held_log = np.where(at >= 0, log_known[at], 0.0)
-                step[place[shared]] += held_log[shared] - m.group_base[group[shared]]
-                sums = np.r_[0.0, np.cumsum(step)]
-                first = np.r_[0, ends[:-1] + 1]
-                logs = np.r_[0.0, np.cumsum(held_log)]
-                found = np.r_[0, np.cumsum(at >= 0)]
-                base = logs[words.first[1:]] - logs[words.first[:-1]] + log_end - (count + 1) * m.base
-                known = found[words.first[1:]] - found[words.first[:-1]] + (m.known_end > 0)
-                rare = at < 0
-                for x, y in zip(parts_of, (b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), ids[rare], words.doc[rare] + rows, (count + 1, known, base, sums[ends + 1] - sums[first])), strict=True):
+                s, _, ids, place = sequences(words, lexicon)
+                for x, y in zip(parts_of, (b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), np.diff(words.first) + 1, s, ids[s[place] == lexicon.other]), strict=True):
                     x.append(y)
-                n += int(rare.sum()) + 20 * (j - i)
-                rows += j - i
-                if n >= CHUNK:
-                    yield flush(chunk, *parts_of)
-                    chunk, n, rows, parts_of = chunk + 1, 0, 0, [[], [], [], [], []]
-        if rows:
-            yield flush(chunk, *parts_of)
+                n += len(s)
+                if n >= 2 * CHUNK:
+                    yield flush(chunk, *parts_of, lexicon.other)
+                    chunk, n, parts_of = chunk + 1, 0, [[], [], [], [], []]
+        if n:
+            yield flush(chunk, *parts_of, lexicon.other)
 
     return apply
 
 
-REPLY = ["chunk", "at", "logs", "found", "ids", "flags", "tokens", "known", "base", "model"]
-
-
-def _answer(table: pa.Table, counts: pa.Table) -> pa.Table:
-    """One fragment: sums of log10(count + 0.5) and numbers of known words, by chunk and document."""
-    asked = table.filter(pa.compute.is_valid(table["words"]))
-    passed = table.filter(pa.compute.is_null(table["words"])).select([c for c in REPLY if c in table.column_names])
-    ids = np.frombuffer(counts["ids"][0].as_py(), "<u8") if len(counts) else np.zeros(0, "<u8")
-    n = np.frombuffer(counts["counts"][0].as_py(), "<i8") if len(counts) else np.zeros(0, "<i8")
-    out: dict[str, list] = {"chunk": [], "at": [], "logs": [], "found": []}
-    for chunk, words, runs in zip(*(asked[c].to_pylist() for c in ("chunk", "words", "runs")), strict=True):
-        words, runs = np.frombuffer(words, "<u8"), np.frombuffer(runs, "<u4").astype(np.int64)
-        if not len(words):
-            continue
-        count = np.zeros(len(words), dtype=np.int64)
-        if len(ids):
-            at = np.minimum(np.searchsorted(ids, words), len(ids) - 1)
-            count = np.where(ids[at] == words, n[at], 0)
-        logs, found = np.r_[0.0, np.cumsum(np.log10(count + 0.5))], np.r_[0, np.cumsum(count > 0)]
-        has = np.flatnonzero(runs)
-        ends = np.cumsum(runs)[has]
-        out["chunk"].append(chunk)
-        out["at"].append(has.astype("<u4").tobytes())
-        out["logs"].append((logs[ends] - logs[ends - runs[has]]).tobytes())
-        out["found"].append((found[ends] - found[ends - runs[has]]).astype("<u4").tobytes())
-    replies = pa.table({"chunk": pa.array(out["chunk"], pa.int64()), **{c: pa.array(out[c], pa.binary()) for c in ("at", "logs", "found")}})
-    return pa.concat_tables([replies, passed], promote_options="default").select(REPLY)
-
-
-def _finish(table: pa.Table) -> pa.Table:
-    head = table.filter(pa.compute.is_valid(table["tokens"]))
-    known, base, model = (np.array(head[c][0].as_py()) for c in ("known", "base", "model"))
-    for r in table.filter(pa.compute.is_valid(table["at"])).select(["at", "logs", "found"]).to_pylist():
-        at, logs = np.frombuffer(r["at"], "<u4"), np.frombuffer(r["logs"], "<f8")
-        known[at] += np.frombuffer(r["found"], "<u4")
-        base[at] += logs
-        model[at] += logs
-    ids, flags, tokens = (head[c].combine_chunks().flatten() for c in ("ids", "flags", "tokens"))
-    return pa.table({"doc_id": ids, "held_out": flags, "n_tokens": tokens, "n_known": pa.array(known.astype(np.int64)), "base_score": pa.array(base), "score": pa.array(model)})
+def _tell_classes(unseen_class):
+    def apply(table: pa.Table, others: pa.Table) -> pa.Table:
+        """One fragment: the class and count of each word asked for; rows of chunks pass."""
+        asked = table.filter(pa.compute.is_valid(table["words"]))
+        passed = table.filter(pa.compute.is_null(table["words"])).select(["chunk", "frag", "ids", "flags", "lengths", "symbols"])
+        unseen = unseen_class.value.unseen
+        ids, n, cls = (np.frombuffer(others[c][0].as_py() if len(others) else b"", kind) for c, kind in (("ids", "<u8"), ("counts", "<i8"), ("cls", "u1")))
+        out: dict[str, list] = {"chunk": [], "frag": [], "cls": [], "counts": []}
+        for frag, chunk, words in zip(*(asked[c].to_pylist() for c in ("frag", "chunk", "words")), strict=True):
+            words = np.frombuffer(words, "<u8")
+            own, count = np.full(len(words), unseen, dtype=np.uint8), np.zeros(len(words), dtype="<u4")
+            if len(ids):
+                at = np.minimum(np.searchsorted(ids, words), len(ids) - 1)
+                hit = ids[at] == words
+                own[hit], count[hit] = cls[at[hit]], np.minimum(n[at[hit]], 2**32 - 1)
+            for c, v in (("chunk", chunk), ("frag", frag), ("cls", own.tobytes()), ("counts", count.tobytes())):
+                out[c].append(v)
+        replies = pa.table({"chunk": pa.array(out["chunk"], pa.int64()), "frag": pa.array(out["frag"], pa.int32()), "cls": pa.array(out["cls"], pa.binary()), "counts": pa.array(out["counts"], pa.binary())})
+        return pa.concat_tables([replies, passed], promote_options="default").select(SEQUENCE)
 
+    return apply
 
-def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learnt from the rows that aren't held out."""
-    scorer, counts, parts, total = fit(df, ~held_out, text_col, **options)
-    rows = df.select(F.col(id_col), held_out.alias("held_out"), F.col(text_col))
+
+def _sequence(held):
+    def apply(table: pa.Table) -> pa.Table:
+        """One chunk: for each document the numbers that its words give on their own, and its classes, a byte for each token."""
+        m: Scorer = held.value
+        head = table.filter(pa.compute.is_valid(table["symbols"]))
+        replies = table.filter(pa.compute.is_valid(table["cls"])).select(["frag", "cls", "counts"]).sort_by("frag")
+        cls, counts = (np.frombuffer(b"".join(replies[c].to_pylist()), kind) for c, kind in (("cls", "u1"), ("counts", "<u4")))
+        s = np.frombuffer(head["symbols"][0].as_py(), "<i4")
+        lengths = np.frombuffer(head["lengths"][0].as_py(), "<u4").astype(np.int64)
+        asked = s < 0
+        c, n = np.zeros(len(s), dtype=np.uint8), np.zeros(len(s), dtype=np.int64)
+        c[asked], n[asked] = cls[-1 - s[asked]], counts[-1 - s[asked]]
+        c[~asked], n[~asked] = m.classes.of[s[~asked]], m.count[s[~asked]]
+        log_n = np.log10(n + 0.5)
+        sums, emits, known = (np.r_[0, np.cumsum(x)] for x in (log_n, log_n - m.norm[c], n > 0))
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
+        held_classes = c.tobytes()
+        columns = {"n_known": pa.array(known[ends] - known[starts], pa.int64()), "base_score": pa.array(sums[ends] - sums[starts] - lengths * m.base), "emit": pa.array(emits[ends] - emits[starts]), "classes": pa.array([held_classes[x:y] for x, y in zip(starts, ends, strict=True)], pa.binary())}
+        return pa.table({"doc_id": head["ids"].combine_chunks().flatten(), "held_out": head["flags"].combine_chunks().flatten(), "n_tokens": pa.array(lengths), **columns})
+
+    return apply
+
+
+def _steps(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class before, class, document) of each token; before a text's first one stands k + 1."""
+    c = np.frombuffer(b"".join(column.to_pylist()), "u1").astype(np.int64)
+    ends = np.flatnonzero(c == k)
+    before = np.r_[k + 1, c[:-1]] if len(c) else c
+    before[ends[:-1] + 1] = k + 1
+    return before, c, np.repeat(np.arange(len(ends)), np.diff(np.r_[-1, ends]))
+
+
+def transitions(rows: DataFrame, k: int) -> np.ndarray:
+    """log10 P(class | class before), by the class sequences of training documents; the last row is a text's start."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k + 2, k + 1), dtype=np.int64)
+        for b in batches:
+            if len(b):
+                before, c, _ = _steps(b.column(0), k)
+                total += _pairs(before, c, total.shape)
+        x, y = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()), pa.array(y, pa.int32()), pa.array(total[x, y])], ["x", "y", "n"])
+
+    seen = np.zeros((k + 2, k + 1))
+    for x, y, n in rows.where("not held_out").select("classes").mapInArrow(tidy(count), "x int, y int, n long").groupBy("x", "y").agg(F.sum("n")).collect():  # one for each pair of classes
+        seen[x, y] = n
+    return np.log10((seen + 0.5) / (seen + 0.5).sum(axis=1, keepdims=True))
+
+
+def class_sequences(df: DataFrame, held_out: Column, scorer: Scorer, others: DataFrame, parts: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, base_score, emit, classes."""
     from pyspark.sql.pandas.types import to_arrow_type
 
+    rows = df.select(F.col(id_col), held_out.alias("held_out"), F.col(text_col))
     kind = rows.schema[0].dataType
     held = df.sparkSession.sparkContext.broadcast(scorer)
-    lists = f"ids array<{kind.simpleString()}>, flags array<boolean>, tokens array<long>, known array<long>, base array<double>, model array<double>"
-    asked = rows.mapInArrow(tidy(_score_requests(parts, held, to_arrow_type(kind))), f"frag int, chunk long, words binary, runs binary, {lists}")
-    replies = asked.groupBy("frag").cogroup(counts.select("frag", "ids", "counts").groupBy("frag")).applyInArrow(tidy_group(_answer), f"chunk long, at binary, logs binary, found binary, {lists}")
-    done = replies.groupBy("chunk").applyInArrow(tidy_group(_finish), f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    lists = f"ids array<{kind.simpleString()}>, flags array<boolean>, lengths binary, symbols binary"
+    asked = rows.mapInArrow(tidy(_ask_classes(parts, held, to_arrow_type(kind))), f"frag int, chunk long, words binary, {lists}")
+    told = asked.groupBy("frag").cogroup(others.select("frag", "ids", "counts", "cls").groupBy("frag")).applyInArrow(tidy_group(_tell_classes(held)), f"chunk long, frag int, cls binary, counts binary, {lists}")
+    return materialize(told.groupBy("chunk").applyInArrow(tidy_group(_sequence(held)), f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, emit double, classes binary"))
+
+
+def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learnt from the rows that aren't held out."""
+    scorer, others, parts, total = fit(df, ~held_out, text_col, **options)
+    rows = class_sequences(df, held_out, scorer, others, parts, id_col, text_col)
+    k = scorer.classes.k
+    after = df.sparkSession.sparkContext.broadcast(transitions(rows, k))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            before, c, doc = _steps(b.column(6), k)
+            model = np.asarray(b.column(5)) + np.bincount(doc, after.value[before, c], minlength=len(b))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(np.full(len(b), total, np.int64)), b.column(4), pa.array(model)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(tidy(add), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

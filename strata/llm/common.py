@@ -8,7 +8,7 @@ import uuid
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from strata.llm.textvec import tidy
+from strata.llm.textvec import tidy, tidy_group
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -74,8 +74,29 @@ class Bitmap:
         return (self.data[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1
 
 
+def folded_up(df: DataFrame, keys: list[str], add, schema: str, at_once: int = 32) -> DataFrame:
+    """One row for each key: `add` (table -> table of one row) over the rows of df, of which each task has one for each key.
+
+    Rows are added up in a tree, at most about `at_once` of a key in one task.
+    """
+    tasks = df.rdd.getNumPartitions()
+    rows = df.withColumn("_task", F.spark_partition_id())
+    while tasks > at_once:
+        tasks = -(-tasks // at_once)
+        rows = rows.withColumn("_task", F.pmod("_task", F.lit(tasks)))
+
+        def some(table):
+            import pyarrow as pa
+
+            out = add(table.drop_columns(["_task"]))
+            return out.append_column("_task", pa.chunked_array([table["_task"].combine_chunks()[:1]]))
+
+        rows = rows.groupBy(*keys, "_task").applyInArrow(tidy_group(some), f"{schema}, _task int")
+    return rows.drop("_task").groupBy(*keys).applyInArrow(tidy_group(add), schema)
+
+
 def bitmap_of_longs(df: DataFrame, bits: int = 1 << 25) -> Bitmap:
-    """A Bitmap of a one-column table of 64-bit values; each task sends its bit set, compressed, and the driver keeps one."""
+    """A Bitmap of a one-column table of 64-bit values; the tasks' bit sets are joined in a tree, and the driver gets one."""
     import zlib
 
     def pack(batches):
@@ -87,10 +108,18 @@ def bitmap_of_longs(df: DataFrame, bits: int = 1 << 25) -> Bitmap:
                 held.add_slots(np.unique(held.slots(np.asarray(b.column(0)).view(np.uint64))))
                 some = True
         if some:
-            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(held.data.tobytes(), 1)], pa.binary())], ["bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([zlib.compress(held.data.tobytes(), 1)], pa.binary())], ["k", "bits"])
+
+    def join(table):
+        import pyarrow as pa
+
+        out = np.zeros(bits // 8, np.uint8)
+        for x in table["bits"]:
+            out |= np.frombuffer(zlib.decompress(x.as_py()), np.uint8)
+        return pa.table([pa.array([0], pa.int32()), pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())], ["k", "bits"])
 
     out = Bitmap(bits)
-    for row in df.mapInArrow(tidy(pack), "bits binary").toLocalIterator():
+    for row in folded_up(df.mapInArrow(tidy(pack), "k int, bits binary"), ["k"], join, "k int, bits binary").collect():
         out.data |= np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
     return out
 

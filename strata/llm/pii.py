@@ -257,10 +257,10 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshol
 
 
 def redacted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
-    """df with each span of its text replaced by its kind in brackets; null texts stay null."""
-    weights = fit(materialize(candidates(df, id_col, text_col)))
+    """df with each span of its text replaced by its kind in brackets; null texts stay null. Candidates are found once and kept with their rows."""
     names = df.columns
-    rows = candidates(df.select(F.struct(*names).alias("_row"), F.col(text_col).alias("_text")), "_row", "_text").select(F.col("doc_id").alias("_row"), decided(weights, threshold).alias("_all"))
+    held = materialize(candidates(df.select(F.struct(*names).alias("_row"), F.col(text_col).alias("_text")), "_row", "_text"))
+    rows = held.select(F.col("doc_id").alias("_row"), decided(fit(held), threshold).alias("_all"))
     own = F.col("_row").getField(text_col)
     text = F.when(own.isNull() | (F.size("_all") == 0), own).otherwise(redact(own, F.col("_all")))
     return rows.select(*(text.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in names))

@@ -174,7 +174,7 @@ def test_base_score_and_model(frame, docs, empty):
             c.update(t)
     n, v = sum(c.values()), len(c)
     want = sorted((str(i), held(i), len(t), sum(c[x] > 0 for x in t), round(sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in t), 6)) for i, t in tokens)
-    got = brown.score(frame, crc_of_id() % 5 == 1, known=50, class_words=30, cluster=40, classes=6).collect()
+    got = brown.score(frame, crc_of_id() % 5 == 1, class_words=30, cluster=20, classes=6).collect()
     assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got) == want
     assert {r["train_tokens"] for r in got} == {n}
     assert sum(r["score"] for r in got if not r["held_out"]) > sum(r["base_score"] for r in got if not r["held_out"])
@@ -182,11 +182,54 @@ def test_base_score_and_model(frame, docs, empty):
     assert {r["n_known"] for r in brown.score(frame, F.lit(True)).collect()} == {0}
 
 
-def test_class_model_sums_to_one(frame):
-    s, *_ = brown.fit(frame, F.lit(True), known=60, class_words=40, cluster=50, classes=5)
-    assert np.allclose((10**s.after).sum(axis=1), 1)
-    sums = np.bincount(s.cls, 10**s.emit)
-    assert np.allclose(sums[sums > 0], 1)
+def test_class_model_by_brute_force(frame):
+    """Every word's class, and every score, against plain loops over the texts."""
+    rows = [(str(r["doc_id"]), lowered(r["text"]), not (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1)) for r in frame.collect()]
+    held = crc_of_id() % 5 == 1
+    scorer, others, parts, _ = brown.fit(frame, ~held, class_words=40, cluster=25, classes=5)
+    c = scorer.classes
+    hash_of = {w: int(h) for ws in [sorted({w for _, t, _ in rows for w in t})] for w, h in zip(ws, brown.tv.split_words(np.frombuffer(" ".join(ws).encode(), np.uint8), np.array([0, len(" ".join(ws).encode())]), True).hashes(), strict=True)}
+    counts = Counter(w for _, t, trained in rows if trained for w in t)
+    own = {int(h): int(c.of[s]) for h, s in zip(c.lexicon.ids, c.lexicon.symbol, strict=True)}
+    assert len(own) <= 40 < len(counts)
+    rare, total = {}, {}
+    for r in others.collect():
+        for h, n, k in zip(np.frombuffer(r["ids"], "<u8"), np.frombuffer(r["counts"], "<i8"), np.frombuffer(r["cls"], "u1"), strict=True):
+            rare[int(h)], total[int(h)] = int(k), int(n)
+    assert {w: n for w, n in counts.items() if hash_of[w] not in own} == {w: total[hash_of[w]] for w in counts if hash_of[w] not in own} and len(rare) + len(own) == len(counts)
+    # the class of each word outside the lexicon is the likeliest one by the lexicon's classes beside it
+    fit = {h: np.zeros(c.k) for h in rare}
+    beside = Counter()
+    for _, t, trained in rows:
+        for i, w in enumerate(t if trained else []):
+            if (h := hash_of[w]) in fit:
+                after = c.k if i + 1 == len(t) else own.get(hash_of[t[i + 1]])
+                before = own.get(hash_of[t[i - 1]]) if i else None
+                for x, p in ((after, c.p_after), (before, c.p_before)):
+                    if x is not None:
+                        fit[h] += p[:, x]
+                        beside[h] += 1
+    assert all(rare[h] == c.largest if not beside[h] else fit[h][rare[h]] >= fit[h].max() - 1e-9 for h in fit)
+    # probabilities of the words of a class, with one that is not seen, sum up to 1
+    every = own | rare
+    for k in range(c.k):
+        mine = [n for w, n in counts.items() if every[hash_of[w]] == k]
+        assert abs(sum(n + 0.5 for n in mine) + 0.5 - 10 ** scorer.norm[k]) < 1e-6 * (1 + sum(mine))
+    seen = np.full((c.k + 2, c.k + 1), 0.5)
+    classed = [(i, [*((every.get(hash_of[w], scorer.unseen), counts[w]) for w in t), (c.k, sum(x for *_, x in rows))], trained) for i, t, trained in rows]
+    for _, t, trained in classed:
+        for (a, _), (b, _) in zip([(c.k + 1, 0), *t], t, strict=False):
+            seen[a, b] += trained
+    p = np.log10(seen / seen.sum(axis=1, keepdims=True))
+    want = sorted((i, round(sum(p[a, b] + math.log10(n + 0.5) - scorer.norm[b] for (a, _), (b, n) in zip([(c.k + 1, 0), *t], t, strict=False)), 6)) for i, t, _ in classed)
+    got = brown.score(frame, held, class_words=40, cluster=25, classes=5).collect()
+    assert sorted((str(r["doc_id"]), round(r["score"], 6)) for r in got) == want
+
+
+def test_scores_of_a_long_text(spark):
+    df = spark.createDataFrame([(1, "the cat sat on the mat " * 60_000), (2, "the dog sat"), (6, None)], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in brown.score(df, F.col("doc_id") == 2).collect()}
+    assert out[1]["n_tokens"] == 360_001 and out[2]["n_known"] == 3 and out[6]["n_tokens"] == 1 and out[1]["score"] > out[1]["base_score"]
 
 
 def test_exchange_finds_classes():
