@@ -32,16 +32,12 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     groups = joined.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n"))
     doubtful = materialize(groups.where("component_id <> doc_id or n > 1").select(F.col("doc_id.i").alias("_i"), F.col("doc_id.h").alias("_h"), (F.col("component_id") != F.col("doc_id")).alias("goes")))
     clear, some = split_by(docs, F.xxhash64("doc_id", F.xxhash64("text")), bitmap_of_longs(doubtful.select(F.xxhash64("_i", "_h"))))
-    keyed = some.withColumns({"_h": F.xxhash64("text"), "_row": F.xxhash64(*docs.columns)})
-    gone = doubtful.where("goes").withColumnRenamed("_h", "_g")
-    left = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["_i"]) & (F.col("_h") == F.col("_g")), "left_anti")
+    keyed = some.withColumns({"_key": F.xxhash64("text"), "_row": F.xxhash64(*docs.columns)})
+    left = keyed.join(doubtful, keyed["doc_id"].eqNullSafe(doubtful["_i"]) & (F.col("_key") == F.col("_h")), "left").where("goes is null or not goes")
     # a repeated row of a document that stays: one of them, told by a hash of all its columns
-    repeated = doubtful.where("not goes").withColumnRenamed("_h", "_g")
-    several = left.join(repeated, left["doc_id"].eqNullSafe(repeated["_i"]) & (F.col("_h") == F.col("_g")), "left_semi")
-    single = left.join(repeated, left["doc_id"].eqNullSafe(repeated["_i"]) & (F.col("_h") == F.col("_g")), "left_anti")
-    first = Window.partitionBy("doc_id", "_h").orderBy("_row")
-    one = several.withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    return clear.unionByName(single.select(*docs.columns)).unionByName(one.select(*docs.columns))
+    first = Window.partitionBy("doc_id", "_key").orderBy("_row")
+    one = left.withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    return clear.unionByName(one.select(*docs.columns))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

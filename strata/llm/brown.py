@@ -151,7 +151,7 @@ def _pairs(rows: np.ndarray, columns: np.ndarray, shape: tuple[int, int]) -> np.
 
 def _matrix_pass(df: DataFrame, count, shape: tuple[int, int]) -> np.ndarray:
     """The sum over all texts of count(words), a matrix of a fixed shape; each task adds up its own and sends it by bands of rows."""
-    bands = [*range(0, shape[0], max(1, (1 << 18) // shape[1])), shape[0]]
+    bands = [*range(0, shape[0], max(1, (1 << 16) // shape[1])), shape[0]]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape, dtype=np.int64)

@@ -77,50 +77,36 @@ class Bitmap:
 def folded_up(df: DataFrame, keys: list[str], add, schema: str, at_once: int = 32) -> DataFrame:
     """One row for each key: `add` (table -> table of one row) over the rows of df, of which each task has one for each key.
 
-    Rows are added up in a tree, at most about `at_once` of a key in one task.
+    Rows are added up in a tree of three levels, so that one task holds `at_once` of them, or
+    at the root a thousandth of the tasks'.
     """
-    tasks = df.rdd.getNumPartitions()
-    rows = df.withColumn("_task", F.spark_partition_id())
-    while tasks > at_once:
-        tasks = -(-tasks // at_once)
-        rows = rows.withColumn("_task", F.pmod("_task", F.lit(tasks)))
 
-        def some(table):
-            import pyarrow as pa
+    def some(table):
+        import pyarrow as pa
 
-            out = add(table.drop_columns(["_task"]))
-            return out.append_column("_task", pa.chunked_array([table["_task"].combine_chunks()[:1]]))
+        return add(table.drop_columns(["_task"])).append_column("_task", pa.chunked_array([table["_task"].combine_chunks()[:1]]))
 
-        rows = rows.groupBy(*keys, "_task").applyInArrow(tidy_group(some), f"{schema}, _task int")
+    rows = df.withColumn("_task", F.spark_partition_id())
+    for _ in range(2):
+        rows = rows.withColumn("_task", F.floor(F.col("_task") / at_once).cast("int")).groupBy(*keys, "_task").applyInArrow(tidy_group(some), f"{schema}, _task int")
     return rows.drop("_task").groupBy(*keys).applyInArrow(tidy_group(add), schema)
 
 
 def bitmap_of_longs(df: DataFrame, bits: int = 1 << 25) -> Bitmap:
-    """A Bitmap of a one-column table of 64-bit values; the tasks' bit sets are joined in a tree, and the driver gets one."""
-    import zlib
-
-    def pack(batches):
-        import pyarrow as pa
-
-        held, some = Bitmap(bits), False
-        for b in batches:
-            if len(b):
-                held.add_slots(np.unique(held.slots(np.asarray(b.column(0)).view(np.uint64))))
-                some = True
-        if some:
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([zlib.compress(held.data.tobytes(), 1)], pa.binary())], ["k", "bits"])
-
-    def join(table):
-        import pyarrow as pa
-
-        out = np.zeros(bits // 8, np.uint8)
-        for x in table["bits"]:
-            out |= np.frombuffer(zlib.decompress(x.as_py()), np.uint8)
-        return pa.table([pa.array([0], pa.int32()), pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())], ["k", "bits"])
+    """A Bitmap (of a power of two of bits) of a one-column table of 64-bit values.
 
+    Spark's own bitmap aggregates make it, in pieces of 4 kB that are joined by place, so
+    that the driver gets each piece once.
+    """
+    slot = F.col(df.columns[0]).cast("long").bitwiseAND(bits - 1) + 1
+    slots = df.select(slot.alias("s"))
+    pieces = slots.groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
     out = Bitmap(bits)
-    for row in folded_up(df.mapInArrow(tidy(pack), "k int, bits binary"), ["k"], join, "k int, bits binary").collect():
-        out.data |= np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
+    for row in pieces.toLocalIterator():
+        if row["k"] is not None:
+            piece = np.frombuffer(row["bits"], np.uint8)
+            at = (row["k"] - 1) * len(piece)
+            out.data[at : at + len(piece)] |= piece[: len(out.data) - at]
     return out
 
 
