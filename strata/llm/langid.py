@@ -54,24 +54,13 @@ def logs(counts: np.ndarray) -> np.ndarray:
 class Model:
     """Log frequencies by word and by n-gram, one column for each language."""
 
-    def __init__(self, langs: list[str], words: Counts, tables: list[Counts], memo: int = 100_000):
+    def __init__(self, langs: list[str], words: Counts, tables: list[Counts], memo: int = 20_000):
+        """memo: how many unseen words keep their row for the texts to come."""
         self.langs, self.memo = langs, memo
         self.grams = [(dict(zip(names, range(len(names)), strict=True)), logs(counts)) for names, counts in tables]
         self.first = dict(zip(words[0], range(len(words[0])), strict=True))
-        self.rows0 = logs(words[1])
-        self.reset()
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("row", "rows")}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self.reset()
-
-    def reset(self) -> None:
-        self.row = dict(self.first)
-        self.rows = np.zeros((max(1024, len(self.rows0) * 2), len(self.langs)), np.float32)
-        self.rows[: len(self.rows0)] = self.rows0
+        self.rows = np.concatenate([logs(words[1]), np.zeros((memo, len(langs)), np.float32)]) if langs else np.zeros((0, 0), np.float32)
+        self.later: dict[str, int] = {}
 
     def unseen(self, word: str) -> np.ndarray:
         for n in range(LONGEST_GRAM, 0, -1):
@@ -80,24 +69,33 @@ class Model:
                 return rows[known].mean(axis=0)
         return np.zeros(len(self.langs), np.float32)
 
-    def add(self, word: str) -> int:
-        at = len(self.row)
-        if at >= len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[at] = self.unseen(word)
-        self.row[word] = at
-        return at
+    def scores(self, words: list[str]) -> np.ndarray:
+        """The row of each word."""
+        first, later, at, fresh = self.first.get, self.later, [], []
+        for w in words:
+            r = first(w)
+            if r is None and (r := later.get(w)) is None:
+                r = -1 - len(fresh)
+                fresh.append(w)
+            at.append(r)
+        index = np.array(at, dtype=np.int64)
+        rows = self.rows[np.maximum(index, 0)]  # those below 0 are filled in now
+        if fresh:
+            new = np.array([self.unseen(w) for w in fresh], np.float32)
+            rows[index < 0] = new[-1 - index[index < 0]]
+            if len(later) + len(fresh) > self.memo:
+                later.clear()
+            for w, row in zip(fresh[: self.memo], new, strict=False):
+                later[w] = len(self.first) + len(later)
+                self.rows[later[w]] = row
+        return rows
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = Counter(WORD.findall(text.lower())) if text else None
         if not counts or not self.langs:
             return "und", 0.0
-        if len(self.row) > len(self.first) + self.memo:
-            self.reset()
-        get, add = self.row.get, self.add
-        at = [r if (r := get(w)) is not None else add(w) for w in counts]
         n = np.fromiter(counts.values(), np.float32, len(counts))
-        score = (n[:, None] * self.rows[at]).sum(axis=0, dtype=np.float64)
+        score = (n[:, None] * self.scores([*counts])).sum(axis=0, dtype=np.float64)
         best = int(np.argmax(score))
         # the posterior as if of at most 25 words: longer texts are not more certain without bound
         z = (score - score[best]) / max(1.0, n.sum() / 25.0)
@@ -114,7 +112,7 @@ def quotas(sizes: dict[str, int], most: int) -> dict[str, int]:
     return out
 
 
-def fit(df: DataFrame, labelled: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = 12_000, least_word: int = 2, least_gram: int = 2) -> Model:
+def fit(df: DataFrame, labelled: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = 12_000, least_word: int = 2, least_gram: int = 3) -> Model:
     """A Model of the rows that are `labelled` and have a language.
 
     max_rows: about how many rows are read, see above; at least one of each language.

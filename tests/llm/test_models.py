@@ -48,6 +48,16 @@ def test_rare_languages_and_long_words(spark):
     assert langid.quotas({"a": 10, "b": 1, "c": 100}, 30) == {"b": 1, "a": 10, "c": 19} and langid.quotas({"a": 1, "b": 5}, 1) == {"a": 1, "b": 1}
 
 
+def test_rows_of_unseen_words_are_kept_and_dropped():
+    r = random.Random(8)
+    tables = [(["a", "b"], np.array([[5.0, 1.0], [1.0, 5.0]])), *(([], np.zeros((0, 2))) for _ in range(4))]
+    small, plain = langid.Model(["x", "y"], (["ab"], np.array([[5.0, 1.0]])), tables, memo=3), langid.Model(["x", "y"], (["ab"], np.array([[5.0, 1.0]])), tables, memo=0)
+    for _ in range(60):
+        words = list(dict.fromkeys("".join(r.choice("abc") for _ in range(r.randint(1, 4))) for _ in range(r.randint(1, 12))))
+        want = np.array([plain.rows[0] if w == "ab" else plain.unseen(w) for w in words])
+        assert np.allclose(small.scores(words), want) and np.allclose(plain.scores(words), want)
+
+
 def test_long_texts_have_one_language(spark):
     model = langid.fit(spark.createDataFrame([(1, "le chat et la souris " * 5, "fr"), (2, "the cat and the mouse " * 5, "en")], "doc_id long, text string, lang string"), F.lit(True))
     rows = spark.createDataFrame([(1, "the cat " * 200_000), (2, "x" * 1_000_000), (3, "la souris " * 100_000 + "the")], "doc_id long, text string")
