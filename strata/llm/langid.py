@@ -176,9 +176,12 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", lang_out: str =
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for b in batches:
-            found = [m.predict(t.as_py()) for t in b.column(at)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*b.schema.names, lang_out, score_out])
+        try:
+            for b in batches:
+                found = [m.predict(t.as_py()) for t in b.column(at)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*b.schema.names, lang_out, score_out])
+        finally:
+            held.__dict__.pop("_value", None)  # a worker lives on for other stages; a task that comes loads it again
 
     from pyspark.sql.types import DoubleType, StringType, StructType
 
