@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from strata.llm import jaccard, langid, mixing, packing, pii
 from strata.llm.common import bitmap_of_longs, crc_of_id, materialize, small_batches, split_by
+from strata.llm.textvec import release
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,6 +22,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     small_batches(spark)
     model = langid.fit(docs, crc_of_id() % 4 != 2)
     kept = langid.predict(docs, model, lang_out="_lang", score_out="_score").where("_lang <> 'und'")
+    del model
+    release()
     return kept.withColumn("lang", F.coalesce("lang", "_lang")).select(*docs.columns)
 
 

@@ -102,7 +102,7 @@ def bitmap_of_longs(df: DataFrame, bits: int = 1 << 25) -> Bitmap:
     slots = df.select(slot.alias("s"))
     pieces = slots.groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
     out = Bitmap(bits)
-    for row in pieces.toLocalIterator():
+    for row in pieces.collect():  # bits / 8 bytes in all
         if row["k"] is not None:
             piece = np.frombuffer(row["bits"], np.uint8)
             at = (row["k"] - 1) * len(piece)

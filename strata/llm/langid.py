@@ -172,6 +172,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", lang_out: str =
     """df's columns and the predicted language and its score."""
     df = df.select(*(F.col(c) for c in df.columns if c not in (lang_out, score_out)))
     held = df.sparkSession.sparkContext.broadcast(model)
+    held.__dict__.pop("_value", None)  # the driver's copy is the caller's; tasks load theirs
     at = df.columns.index(text_col)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
