@@ -8,24 +8,27 @@ from pyspark.sql import functions as F
 from strata.llm.common import materialize
 
 
+def _followed(hook: DataFrame) -> DataFrame:
+    """node, comp: each node's hook's hook."""
+    up = hook.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+    return hook.join(up, "comp").select("node", F.col("top").alias("comp"))
+
+
 def contract(edges: DataFrame) -> DataFrame:
     """node, comp: for each node of the edges (a, b) the least node that it is connected with.
 
-    Each round, every vertex hooks to its least neighbour, chains of hooks are followed to
-    their end, and edges are relabelled; edges inside a component go. Nothing is
-    collected but counts. Nulls are not allowed in a and b.
+    Each round, every vertex hooks to its least neighbour or itself, hooks are followed up to
+    four steps, and edges are relabelled by where that ends; edges inside a component go. The
+    ends needn't be roots: a connected set of edges stays connected when its nodes are
+    renamed, and its least node keeps its name. A round is a fixed number of jobs. Nothing is
+    collected. Nulls are not allowed in a and b.
     """
     current = materialize(edges.select("a", "b").where("a <> b").distinct())
     labels: DataFrame | None = None
     while current.head(1):
         both = current.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(current.select(F.col("b").alias("node"), F.col("a").alias("to")))
         hook = materialize(both.groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("comp")))
-        while True:
-            up = hook.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-            jumped = materialize(hook.join(up, "comp").select("node", F.col("top").alias("comp"), (F.col("top") != F.col("comp")).alias("moved")))
-            hook = jumped.select("node", "comp")
-            if not jumped.where("moved").head(1):
-                break
+        hook = materialize(_followed(_followed(hook)))
         if labels is None:
             labels = hook
         else:

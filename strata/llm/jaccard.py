@@ -451,14 +451,8 @@ def _across(nodes: DataFrame, comps: DataFrame, percent: int, least: int = 8) ->
 
 
 def _merge(comps: DataFrame, links: DataFrame) -> DataFrame:
-    """Components after more links between nodes: links are lifted to components and contracted."""
-    a, b = (comps.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
-    lifted = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    step = contract(lifted)
-    up = step.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-    moved = comps.join(up, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
-    fresh = step.join(comps, "node", "left_anti")
-    return materialize(moved.unionByName(fresh))
+    """Components after more links between nodes: a component is a star of its least node, so that both tables are edges of one graph."""
+    return contract(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(links))
 
 
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, rounds: int = 4) -> DataFrame:

@@ -74,6 +74,15 @@ def test_contract(spark):
     assert graph.contract(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("shape", ["path", "star", "stairs"])
+def test_contract_of_long_chains(spark, shape):
+    """Hooks are followed four steps a round only; longer chains take more rounds."""
+    order = np.random.default_rng(4).permutation(60)
+    edges = {"path": list(zip(range(59), range(1, 60), strict=True)), "star": [(59, i) for i in range(59)], "stairs": list(zip(order[:-1].tolist(), order[1:].tolist(), strict=True))}[shape]
+    rows = graph.contract(spark.createDataFrame([*edges, *edges, (100, 101)], "a long, b long")).collect()
+    assert {x["node"]: x["comp"] for x in rows} == {i: 0 for i in range(60)} | {100: 100, 101: 100} and len(rows) == 62
+
+
 def removed(rows, size=35):
     found = Counter(tuple(w[i : i + size]) for _, t in rows for w in [words(t)] for i in range(len(w) - size + 1))
     out = []
