@@ -78,8 +78,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(documents(spark, sf_dir))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm import periodic
+
+    found = periodic.periodic_runs(periodic.planted(documents(spark, sf_dir)))
+    best = periodic.strongest(F.col("runs"))
+    rows = found.withColumn("_best", best)
+    part = [F.col("_best")[c].alias(c) for c in ("start", "length", "period")]
+    milli = F.floor(F.col("_best.length") * 1000 / F.col("_best.period")).alias("exponent_milli")
+    return rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *part, milli, F.sha2(periodic.run_lines(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op1_language_id, op2_ngram_jaccard, op3_licence_scan, op4_substring_dedup, op5_tiff_media, op6_source_mixing, op7_brown_scoring, op8_winnowing_fingerprints, op9_best_fit_packing, op10_pii]
+    every = [op1_language_id, op2_ngram_jaccard, op3_licence_scan, op4_substring_dedup, op5_tiff_media, op6_source_mixing, op7_brown_scoring, op8_winnowing_fingerprints, op9_best_fit_packing, op10_pii, op11_periodic_runs]
     return {f.__name__: f for f in every}
 
 
