@@ -89,8 +89,15 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *part, milli, F.sha2(periodic.run_lines(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm import importance
+
+    docs = documents(spark, sf_dir)
+    return importance.resample(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op1_language_id, op2_ngram_jaccard, op3_licence_scan, op4_substring_dedup, op5_tiff_media, op6_source_mixing, op7_brown_scoring, op8_winnowing_fingerprints, op9_best_fit_packing, op10_pii, op11_periodic_runs]
+    every = [op1_language_id, op2_ngram_jaccard, op3_licence_scan, op4_substring_dedup, op5_tiff_media, op6_source_mixing, op7_brown_scoring, op8_winnowing_fingerprints, op9_best_fit_packing, op10_pii, op11_periodic_runs, op12_importance_resampling]
     return {f.__name__: f for f in every}
 
 
@@ -122,6 +129,28 @@ WITH docs AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM docu
 SELECT d.doc_id, coalesce(n, 0) AS n_words, coalesce(r, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM documents d LEFT JOIN summed s ON s.doc_id = d.doc_id"""
 
 
+#: SQL: the table of crc32, one number for each byte; and the crc32 of the bytes whose hex digits are {0}, with that table in the column `crcs`.
+CRC_TABLE = "SELECT list(r ORDER BY b) AS crcs FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda v, _: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END) AS r FROM (SELECT unnest(range(256)) AS b))"
+CRC_SQL = "xor(4294967295, list_reduce(list_prepend(4294967295, [CAST('0x' || substr({0}, 2 * k + 1, 2) AS BIGINT) FOR k IN range(length({0}) // 2)]), lambda c, x: xor(c >> 8, crcs[1 + (xor(c, x) & 255)])))"
+
+IMPORTANCE_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+  ones AS (SELECT r, unnest(w) AS f FROM docs),
+  aims AS (SELECT unnest(regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS f FROM benchmark),
+  keys AS (SELECT f, {CRC_SQL.format("h")} % 10000 AS b FROM (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM ones UNION SELECT f FROM aims)), ({CRC_TABLE})),
+  source AS (SELECT b, count(*) AS s FROM ones JOIN keys USING (f) GROUP BY b),
+  target AS (SELECT b, count(*) AS t FROM aims JOIN keys USING (f) GROUP BY b),
+  gains AS (SELECT b, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(s), 0) FROM source) + 10000.0::DOUBLE) / ((s + 1.0::DOUBLE) * ((SELECT coalesce(sum(t), 0) FROM target) + 10000.0::DOUBLE)))) AS BIGINT) AS g FROM source LEFT JOIN target USING (b)),
+  weights AS (SELECT r, count(*) AS n, CAST(sum(g) AS BIGINT) AS g FROM ones JOIN keys USING (f) JOIN gains USING (b) GROUP BY r),
+  scored AS (
+    SELECT doc_id, coalesce(n, 0) AS n_features, CASE WHEN n IS NULL THEN 0 ELSE (g - ((g % n) + n) % n) // n END AS weight,
+      CAST('0x' || sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) AS h
+    FROM docs LEFT JOIN weights USING (r)),
+  ranked AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM scored),
+  best AS (SELECT *, n_features >= 20 AS fit, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place FROM ranked)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= (SELECT count(*) * 10 // 100 FROM ranked WHERE n_features >= 20) THEN place END AS rank FROM best"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that have an exact result; the others are tested in tests/llm."""
-    return {"op2_ngram_jaccard": JACCARD_SQL, "op4_substring_dedup": SUBSTRING_SQL}
+    return {"op2_ngram_jaccard": JACCARD_SQL, "op4_substring_dedup": SUBSTRING_SQL, "op12_importance_resampling": IMPORTANCE_SQL}
