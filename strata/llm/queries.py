@@ -96,8 +96,15 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm import simhash
+
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op1_language_id, op2_ngram_jaccard, op3_licence_scan, op4_substring_dedup, op5_tiff_media, op6_source_mixing, op7_brown_scoring, op8_winnowing_fingerprints, op9_best_fit_packing, op10_pii, op11_periodic_runs, op12_importance_resampling]
+    every = [op1_language_id, op2_ngram_jaccard, op3_licence_scan, op4_substring_dedup, op5_tiff_media, op6_source_mixing, op7_brown_scoring, op8_winnowing_fingerprints, op9_best_fit_packing, op10_pii, op11_periodic_runs, op12_importance_resampling, op13_simhash_near_dedup]
     return {f.__name__: f for f in every}
 
 
