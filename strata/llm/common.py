@@ -21,6 +21,17 @@ def shared_dir(spark: SparkSession) -> str:
     return kept.rstrip("/")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores added as it takes to be none of df's."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Texts are long: fewer rows in an Arrow batch keep what each Python worker and its JVM side hold small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -125,7 +136,7 @@ def split_by(df: DataFrame, key: Column, bitmap: Bitmap) -> tuple[DataFrame, Dat
 
         return apply
 
-    rows = df.select(*df.columns, key.alias("_split"))
+    rows = df.select(*df.columns, key.alias(fresh(df, "_split")[0]))
     return tuple(rows.mapInArrow(tidy(choose(x)), df.schema) for x in (False, True))
 
 

@@ -89,6 +89,20 @@ def test_packing_stage(stages, spark, folder):
     assert sorted(map(key, whole)) == sorted(map(key, after))
 
 
+def test_odd_rows_and_columns_that_clash(spark):
+    """Null ids, nulls in all columns, repeated rows; and further columns named as those that the stages and operators use."""
+    own = ["key", "uses", "use", "goes", "place", "text_hash", "row_hash", "predicted", "score", "_row", "_text", "_split", "_key", "_i", "_h", "_n", "_uses", "size", "n", "row", "node", "component_id", "source_no", "Goes_"]
+    rows = [(*r, *[1] * len(own)) for r in [*corpus(12)[::3], (None, "a null id and a few words", "en", "s1", 25), (None, None, None, None, None), (None, "a null id and a few words", "en", "s1", 25)]]
+    docs = spark.createDataFrame(rows, SCHEMA + "".join(f", {c} int" for c in own)).repartition(3)
+    for name, stage in pipeline.STAGES:
+        after = pipeline.materialize(stage(spark, docs, ""))
+        assert after.columns == docs.columns or name == "packing"
+        assert after.count() > 0
+        if name == "near_duplicates":
+            assert [r["text"] for r in after.where("doc_id is null").collect()] == ["a null id and a few words"]
+        docs = after
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
