@@ -8,11 +8,26 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from strata.operators import parse
 from strata.plans import service
 from strata.sources.store import Store
 
 
+def parse_stdin(argv: list[str], spark: SparkSession | None = None) -> int:
+    """Python -m strata parse --lang python|go|typescript < FILE: the file's table of contents and lines as JSON."""
+    parser = argparse.ArgumentParser(prog="strata parse")
+    parser.add_argument("--lang", required=True, choices=["python", "go", "typescript"])
+    a = parser.parse_args(argv)
+    spark = spark or SparkSession.builder.getOrCreate()
+    rows = spark.createDataFrame([(0, sys.stdin.read(), a.lang)], "k int, content string, lang string")
+    print(parse.source_json(rows, "k", "content", "lang").first()["json"])
+    return 0
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
+    argv = sys.argv[1:] if argv is None else argv
+    if argv[:1] == ["parse"]:
+        return parse_stdin(argv[1:], spark)
     parser = argparse.ArgumentParser(prog="strata")
     parser.add_argument("store")
     commands = parser.add_subparsers(dest="command", required=True)

@@ -17,6 +17,7 @@ from strata.functions import ids
 from strata.functions import text as X
 from strata.operators import code as code_ops
 from strata.operators import markdown as md
+from strata.operators import parse
 from strata.operators.sentences import masked_sentences
 from strata.sources.scratch import held
 
@@ -44,7 +45,16 @@ def wiki_chunks(records: DataFrame) -> DataFrame:
 
 
 def code_domain_chunks(records: DataFrame) -> DataFrame:
-    lines = code_ops.code_lines(records, "doc_key", "content")
+    return _code_chunks(records, code_ops.code_lines(records, "doc_key", "content"))
+
+
+def parsed_code_chunks(records: DataFrame) -> DataFrame:
+    """U14 as a chunker (`Registry.register("code", parsed_code_chunks)`): Python and Go files are parsed, by the suffix of their path; each anchor, nested ones too, begins a chunk."""
+    named = records.withColumn("_lang", X.language_of_path(F.col("path")))
+    return _code_chunks(records, parse.source_lines(named, "doc_key", "content", "_lang").drop("scope_idx"))
+
+
+def _code_chunks(records: DataFrame, lines: DataFrame) -> DataFrame:
     chunks = code_ops.code_chunks(records, lines, "doc_key")
     path = F.when(F.col("title") != "", F.col("title")).otherwise(F.col("section_id"))
     return chunks.select("doc_key", "chunk_no", "section_id", path.alias("path"), F.lit(2).alias("level"), F.lit(None).cast("string").alias("parent_section_id"), "text", F.lit("code").alias("section_type"), F.to_json(F.struct(F.lit("code").alias("block_type"), "first_line")).alias("metadata"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from strata import structure_queries
 from strata.oracles import CODE, END, REGION_MD, WS, folded, uuid
 
 SEP = " || chr(31) || "
@@ -146,3 +147,5 @@ STORE_ORACLES: dict[str, str] = {
       UNION ALL SELECT doc, 4, 'i1', 'image', doc || ' > i1', 's0', {IMAGE}, '{{"block_type": "image", "alt": "logo", "url": "https://example.com/a.png"}}' FROM parts)
       SELECT doc, chunk_no, section_id, section_type, path, parent_section_id, sha256(text) AS text_hash, metadata FROM c""",
 }
+
+STORE_ORACLES |= structure_queries.ORACLES

@@ -15,6 +15,7 @@ from strata.functions import coerce, ids
 from strata.functions import text as X
 from strata.operators import admin, code, markdown, rank, sentences
 from strata.plans import hierarchy, restore, service
+from strata import structure_queries  # noqa: F401  registers its queries
 from strata.queries import QUERIES as QUERIES
 from strata.queries import customer_tables, nation_code, part_markdown, query, region_markdown, table
 from strata.sources import files
