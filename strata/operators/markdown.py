@@ -1,16 +1,7 @@
-"""Markdown into sections and blocks.
-
-Headings and sections are native; taking blocks out of a section is a machine over lines
-and runs as a generator over Arrow batches, one document at a time.
-"""
+"""Markdown into sections, blocks and pieces of fixed size, natively."""
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,89 +75,82 @@ def toc_tree(marks: DataFrame, key: str) -> DataFrame:
     return held.select(key, F.concat(F.lit("["), F.array_join(F.transform("_l", lambda x: x.getField("_p")), ""), F.lit("]")).alias("toc"))
 
 
-FENCE = "```"
-IMAGE = re.compile(r"^!\[([^\]]*)\]\(([^)]+)\)$")
-ORDERED = re.compile(r"^\s{0,3}\d+\.\s+\S")
-HEAD = re.compile(r"^#{1,6}\s+.+$")
-
-
-def cells(line: str) -> list[str]:
-    return [c.strip() for c in re.sub(r"^\||\|$", "", line.strip()).split("|")]
-
-
-def separator(line: str) -> bool:
-    return "|" in line and all(not c or re.fullmatch(r"[-:]{3,}", c) for c in cells(line.replace(" ", "")))
-
-
-def take_blocks(body: list[str]) -> tuple[list[str], list[tuple[str, list[str], dict]]]:
-    """(lines of prose, blocks): fenced code, lone images, pipe tables and ordered lists are taken out; each block is (letter, lines, metadata)."""
-    prose: list[str] = []
-    blocks: list[tuple[str, list[str], dict]] = []
-    i, n = 0, len(body)
-
-    def table_at(k: int) -> bool:
-        return "|" in body[k] and k + 1 < n and separator(body[k + 1])
-
-    while i < n:
-        line = body[i].strip()
-        if line.startswith(FENCE):
-            j = next((k for k in range(i + 1, n) if body[k].strip().startswith(FENCE)), n - 1) + 1
-            blocks.append(("c", body[i:j], {"block_type": "code", "language": line[3:].strip()}))
-        elif m := IMAGE.match(line):
-            j = i + 1
-            blocks.append(("i", [line], {"block_type": "image", "alt": m[1], "url": m[2]}))
-        elif table_at(i):
-            j = i + 2
-            while j < n and body[j].strip() and "|" in body[j]:
-                j += 1
-            head = cells(body[i])
-            blocks.append(("t", body[i:j], {"block_type": "table", "headers": head, "column_count": len(head), "separator_row": body[i + 1].strip()}))
-        elif ORDERED.match(body[i]):
-            j = i + 1
-            while j < n and (t := body[j].strip()) and not HEAD.match(t) and not t.startswith(FENCE) and not IMAGE.match(t) and not table_at(j):
-                j += 1
-            blocks.append(("o", [x.strip() for x in body[i:j]], {"block_type": "ordered"}))
-        else:
-            prose.append(body[i])
-            j = i + 1
-        i = j
-    return prose, blocks
-
-
-def expand_document(chunks: list[dict]) -> list[dict]:
-    """Sections of one document, in order, each followed by the blocks that were taken out of it; ids o1, t1, c1, i1 .. count over the whole document."""
-    counts = {"o": 0, "t": 0, "c": 0, "i": 0}
-    names = {"o": "ordered", "t": "table", "c": "code", "i": "image"}
-    out: list[dict] = []
-    for chunk in chunks:
-        all_lines = chunk["text"].strip().split("\n")
-        head = all_lines[:1] if HEAD.match(all_lines[0].strip()) else []
-        body = "\n".join(all_lines[len(head) :]).strip()
-        prose, blocks = take_blocks(body.split("\n")) if body else ([], [])
-        rest = "\n".join(prose).strip()
-        out.append(chunk | {"text": "\n".join([*(h.strip() for h in head), *([rest] if rest else [])]), "section_type": "heading", "metadata": json.dumps({"block_type": "heading"})})
-        for kind, held, meta in blocks:
-            counts[kind] += 1
-            name = f"{kind}{counts[kind]}"
-            path = f"{chunk['path']} > {name}" if chunk["path"] else name
-            out.append(chunk | {"section_id": name, "path": path, "level": 2, "parent_section_id": chunk["section_id"], "text": "\n".join(held), "section_type": names[kind], "metadata": json.dumps(meta, ensure_ascii=False)})
-    return [c | {"chunk_no": i} for i, c in enumerate(out)]
+FENCE = r"^\s*```"
+ORDERED = r"^\s{0,3}[0-9]+\.\s+\S"
+IMAGE = r"^!\[([^\]]*)\]\(([^)]+)\)$"
+KINDS = {"o": "ordered", "t": "table", "c": "code", "i": "image"}
 
 
-COLUMNS = ["chunk_no", "section_id", "path", "level", "parent_section_id", "text"]
+def block_lines(body: Column) -> Column:
+    """U4: (line, kind, no) of each line of a section's body: fenced code (c), lone images (i), pipe tables (t) and ordered lists (o) are blocks, numbered from 1; other lines are prose ('' and 0).
 
+    One fold over the lines. Its state is the block that a line may belong to, and for a
+    table whether the separator is still to come. A fence without an end goes on to the last line.
+    """
+    held = F.when(body == "", F.array().cast("array<string>")).otherwise(X.lines(body))
 
-def expand_blocks(chunks: DataFrame, key: str) -> DataFrame:
-    """U4 for all documents: chunks of `sections`, with section_type and metadata (JSON)."""
-    held = chunks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*COLUMNS))).alias("chunks"))
-    kind = chunks.schema[key].dataType.simpleString()
+    def looked(lines: Column) -> Column:
+        def seen(line: Column, i: Column) -> Column:
+            t = X.trim_ws(line)
+            table = line.contains("|") & F.coalesce(X.is_separator_row(F.get(lines, i + 1)), F.lit(False))
+            return F.struct(line.alias("line"), t.alias("t"), line.rlike(FENCE).alias("fence"), t.rlike(IMAGE).alias("image"), table.alias("table"), line.rlike(ORDERED).alias("ordered"), t.rlike(X.HEADING).alias("head"))
+
+        return F.transform(lines, seen)
+
+    def step(acc: Column, x: Column) -> Column:
+        state = acc["state"]
+        in_list = (state == "o") & (x["t"] != "") & ~x["head"] & ~x["fence"] & ~x["image"] & ~x["table"]
+        goes_on = state.isin("c", "T") | ((state == "t") & (x["t"] != "") & x["line"].contains("|")) | in_list
+        kind = F.when(goes_on, F.lower(state)).when(x["fence"], "c").when(x["image"], "i").when(x["table"], "t").when(x["ordered"], "o").otherwise("")
+        no = acc["no"] + F.when(goes_on | (kind == ""), 0).otherwise(1)
+        after = F.when(goes_on, F.when(state == "T", "t").when((state == "c") & x["fence"], "").otherwise(state)).otherwise(F.when(kind == "t", "T").when(kind == "i", "").otherwise(kind))
+        line = F.array(F.struct(x["line"].alias("line"), kind.alias("kind"), F.when(kind == "", 0).otherwise(no).alias("no")))
+        return F.struct(after.alias("state"), no.alias("no"), F.concat(acc["out"], line).alias("out"))
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [{key: k} | c for k, held_chunks in zip(b[key], b["chunks"], strict=True) for c in expand_document([dict(x) for x in held_chunks])]
-            yield pd.DataFrame(rows, columns=[key, *COLUMNS, "section_type", "metadata"])
+    zero = F.struct(F.lit("").alias("state"), F.lit(0).alias("no"), F.array().cast("array<struct<line:string,kind:string,no:int>>").alias("out"))
+    return F.aggregate(X.let(held, looked), zero, step, lambda acc: acc["out"])
 
-    return held.mapInPandas(apply, f"`{key}` {kind}, chunk_no int, section_id string, path string, level int, parent_section_id string, text string, section_type string, metadata string")
+
+def quoted(s: Column) -> Column:
+    """s as a JSON string."""
+    full = F.to_json(F.struct(s.alias("v")))
+    return F.substring(full, F.lit(6), F.length(full) - 6)
+
+
+def block_metadata(kind: Column, first: Column, second: Column) -> Column:
+    """JSON of a block by its kind, its first line and the one after."""
+    first, second = X.trim_ws(first), X.trim_ws(second)
+    cells = X.pipe_cells(first)
+    code = F.concat(F.lit('{"block_type": "code", "language": '), quoted(X.trim_ws(F.substring(first, F.lit(4), F.length(first)))), F.lit("}"))
+    image = F.concat(F.lit('{"block_type": "image", "alt": '), quoted(F.regexp_extract(first, IMAGE, 1)), F.lit(', "url": '), quoted(F.regexp_extract(first, IMAGE, 2)), F.lit("}"))
+    table = F.concat(F.lit('{"block_type": "table", "headers": ['), F.array_join(F.transform(cells, quoted), ", "), F.lit('], "column_count": '), F.size(cells).cast("string"), F.lit(', "separator_row": '), quoted(second), F.lit("}"))
+    return F.when(kind == "c", code).when(kind == "i", image).when(kind == "t", table).when(kind == "o", '{"block_type": "ordered"}').otherwise('{"block_type": "heading"}')
+
+
+COLUMNS = ["chunk_no", "section_id", "path", "level", "parent_section_id", "text"]
+
+
+def expand_blocks(chunks: DataFrame, key: str) -> DataFrame:
+    """Chunks of `sections`, each followed by the blocks that were taken out of it, with section_type and metadata (JSON); ids o1, t1, c1, i1 .. count over the whole document."""
+    rows = chunks.select(key, *COLUMNS[:-1], X.trim_ws(F.coalesce("text", F.lit(""))).alias("_t"))
+    first = X.trim_ws(F.regexp_extract("_t", r"^([^\n]*)", 1))
+    headed = first.rlike(X.HEADING)
+    rows = rows.withColumn("_head", F.when(headed, first)).withColumn("_body", F.when(headed, X.trim_ws(F.regexp_replace("_t", r"^[^\n]*\n?", ""))).otherwise(F.col("_t")))
+    lined = rows.withColumn("_lines", block_lines(F.col("_body"))).drop("_t", "_body")
+    prose = F.array_join(F.transform(F.filter("_lines", lambda x: x["no"] == 0), lambda x: x["line"]), "\n")
+    whole = F.array_join(F.array_compact(F.array("_head", F.nullif(X.trim_ws(prose), F.lit("")))), "\n")
+    heads = lined.select(key, F.col("chunk_no").alias("_chunk"), F.lit(0).alias("_no"), "section_id", "path", "level", "parent_section_id", whole.alias("text"), F.lit("heading").alias("section_type"), F.lit('{"block_type": "heading"}').alias("metadata"))
+    lines = lined.select(key, "chunk_no", "section_id", "path", F.posexplode("_lines").alias("_pos", "_l")).where("_l.no > 0")
+    held = lines.groupBy(key, "chunk_no", "section_id", "path", F.col("_l.no").alias("_no"), F.col("_l.kind").alias("_kind")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", F.col("_l.line").alias("line")))), lambda x: x["line"]).alias("_held"))
+    name = F.concat("_kind", F.row_number().over(Window.partitionBy(key, "_kind").orderBy("chunk_no", "_no")).cast("string"))
+    text = F.array_join(F.when(F.col("_kind").isin("o", "i"), F.transform("_held", X.trim_ws)).otherwise(F.col("_held")), "\n")
+    kind = F.lit(None).cast("string")
+    for letter, long in KINDS.items():
+        kind = F.when(F.col("_kind") == letter, long).otherwise(kind)
+    named = held.withColumn("_name", name)
+    blocks = named.select(key, F.col("chunk_no").alias("_chunk"), "_no", F.col("_name").alias("section_id"), F.when(F.coalesce("path", F.lit("")) == "", F.col("_name")).otherwise(F.concat("path", F.lit(" > "), "_name")).alias("path"), F.lit(2).alias("level"), F.col("section_id").alias("parent_section_id"), text.alias("text"), kind.alias("section_type"), block_metadata(F.col("_kind"), F.get("_held", F.lit(0)), F.coalesce(F.get("_held", F.lit(1)), F.lit(""))).alias("metadata"))
+    number = F.row_number().over(Window.partitionBy(key).orderBy("_chunk", "_no")) - 1
+    return heads.unionByName(blocks).select(key, number.alias("chunk_no"), "section_id", "path", "level", "parent_section_id", "text", "section_type", "metadata")
 
 
 def chunk_hash(chunks: DataFrame, key: str) -> DataFrame:
@@ -181,42 +165,46 @@ def fragments(section_type: Column, text: Column, prose: Column, semantic: Colum
     return F.when(section_type == "code", X.code_fragments(text)).when(section_type == "image", F.array(X.trim_ws(text))).when(section_type == "table", X.table_rows(text)).otherwise(split)
 
 
-def cut_fixed(text: str | None, most: int = 1000) -> list[str]:
-    """Pieces of at most `most` characters, cut at the last semantic break of each."""
-    s = (text or "").strip()
-    out, start = [], 0
-    while start < len(s):
-        end = len(s) if len(s) - start <= most else _break(s, start, start + most)
-        if piece := s[start:end].strip():
-            out.append(piece)
-        start = end
-        while start < len(s) and s[start].isspace():
-            start += 1
-    return out
-
-
-def _break(s: str, start: int, limit: int) -> int:
-    for end in range(limit, start, -1):
-        c, after = s[end - 1], s[end : end + 1]
-        if c in "\n,|;)}" or (c in ".!?" and (not after or after.isspace())):
-            return end
-        if c in "({" and end - 1 > start:
-            return end - 1
-        if c == "-" and end - 2 >= start and s[end - 2] == "\n":
-            return end
-        if c.isspace() and (end - start) * 2 >= limit - start:
-            return end
-    return limit
+def first_cut(s: Column, most: int) -> Column:
+    """How many characters of s (longer than `most`) the first piece takes: up to the last place, within `most`, behind a line, a list or clause sign or a sentence, behind a dash that begins a line, before an opening bracket, or, in the second half, behind white space; else all `most`."""
+    half = -(-most // 2)
+    place = rf"(?<=[\n,|;)}}])|(?<=[.!?])(?={X.SPACE})|(?<=\n-)|(?<=.[({{])"
+    early = rf"|.{{1,{half - 1}}}(?:{place})" if half > 1 else ""
+    found = F.regexp_extract(F.substring(s, 1, most + 1), rf"(?s)^(?:.{{{half},{most}}}(?:{place}|(?<={X.SPACE})){early})", 0)
+    return F.when(found == "", most).when(F.right(found, F.lit(1)).isin("(", "{"), F.length(found) - 1).otherwise(F.length(found))
 
 
-def fixed_chunks(df: DataFrame, key: str, content: str, most: int = 1000) -> DataFrame:
-    """U11 for all documents: key, section_id (s0, s1, ..), chunk_no, text."""
+def cut_fixed(text: Column, most: int = 1000) -> Column:
+    """Pieces of at most `most` characters, each cut at its last break.
+
+    The text goes by in blocks of 8 x `most`, so that the work is linear: what is not cut
+    yet goes on to the next block.
+    """
+    if most < 2:
+        raise ValueError("a piece has two characters at least")
+
+    def left_trimmed(s: Column) -> Column:
+        return F.regexp_replace(s, rf"^{X.SPACE}+", "")
 
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: cut_fixed(t, most), na_action=None)
+    def cut(acc: Column, _: Column) -> Column:
+        def once(a: Column) -> Column:
+            return X.let(first_cut(a["rest"], most), lambda n: F.struct(left_trimmed(F.substring(a["rest"], n + 1, F.lit(2147483647))).alias("rest"), F.concat(a["out"], F.array(X.trim_ws(F.substring(a["rest"], F.lit(1), n)))).alias("out")))
 
-    rows = df.select(key, F.posexplode(cut(F.coalesce(content, F.lit("")))).alias("chunk_no", "text"))
+        return F.when(F.length(acc["rest"]) > most, once(acc)).otherwise(acc)
+
+    def take(acc: Column, block: Column) -> Column:
+        more = F.struct(left_trimmed(F.concat(acc["rest"], block)).alias("rest"), F.array().cast("array<string>").alias("out"))
+        done = F.aggregate(F.sequence(F.lit(1), F.lit(40)), more, cut)  # two pieces have half of `most` at least
+        return X.let(done, lambda d: F.struct(d["rest"].alias("rest"), F.concat(acc["out"], d["out"]).alias("out")))
+
+    blocks = F.regexp_extract_all(X.trim_ws(F.coalesce(text, F.lit(""))), F.lit(f"(?s).{{1,{8 * most}}}"), 0)
+    zero = F.struct(F.lit("").alias("rest"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(blocks, zero, take, lambda a: F.when(a["rest"] == "", a["out"]).otherwise(F.concat(a["out"], F.array(X.trim_ws(a["rest"])))))
+
+
+def fixed_chunks(df: DataFrame, key: str, content: str, most: int = 1000) -> DataFrame:
+    """U11 for all documents: key, section_id (s0, s1, ..), chunk_no, text."""
+    rows = df.select(key, F.posexplode(cut_fixed(F.col(content), most)).alias("chunk_no", "text"))
     return rows.select(key, F.concat(F.lit("s"), F.col("chunk_no").cast("string")).alias("section_id"), "chunk_no", "text")
 
 

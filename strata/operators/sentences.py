@@ -1,111 +1,136 @@
-"""Sentence splitting with protected spans (Arrow-batched; the spans are packed one after the other, which has no native form)."""
+"""Sentence splitting with protected spans, natively.
 
-from __future__ import annotations
+A span (a link, an address, a version ..) is kept whole by writing the signs in it that could
+end a sentence as noncharacters; after the split they are turned back. Spans are looked
+for in one run of text without white space (or with that of a link) at a time, so the work
+grows with the text and not with its square.
+"""
 
-import re
-from bisect import bisect
-from collections.abc import Callable, Iterator
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
-from strata.functions.text import SPACE, sentences, trim_ws
+from strata.functions.text import SPACE, hangul_ratio, let, sentences, trim_ws
+
+# Spans in which a full stop ends no sentence, and what may not stand before and after them.
+SPANS = [
+    (r"!?\[[^\]]*+\]\([^)]*+\)", "", ""),
+    (r"(?i)(?:[A-Z0-9_.*-]++/)*+[A-Z0-9_.*-]+\.(?:md|go|py|txt|yml|yaml|json|proto)(?![A-Z0-9_])", r"[\p{L}\p{Nd}._-]$", ""),
+    (r"https?://[^\s\]>]++", "", ""),
+    (r"[0-9]++\.[0-9]++\.[0-9]++(?:~[0-9]++\.[0-9]++\.[0-9]++)?+", r"[\p{L}\p{Nd}._]$", r"^[\p{Nd}.]"),
+    (r"(?<![A-Za-z0-9_])v[0-9]+(?:\.[0-9]+)++", "", ""),
+    (r"[0-9]++\.[0-9]++", "", ""),
+    (r"(?i)(?<![A-Z0-9_])(?:e\.g\.|i\.e\.|etc\.)", "", ""),
+]
+LIST_MARK = r"(?m)^(\s{0,3}[0-9]+)\.(?=\s|\z)"
+#: Runs without white space, but for that within links; none of the spans (list marks are apart) goes over the border of two.
+RUN = r"(?:\[[^\]]*+\]\([^)]*+\)|[^\s\[]++|\[++)++"
+#: Runs that may have a span.
+MAY_PROTECT = r"(?i)\]\(|https?://|[0-9]\.[0-9]|\.(?:md|go|py|txt|yml|yaml|json|proto)|e\.g\.|i\.e\.|etc\."
+
+#: Signs at which texts are cut, and the noncharacters that stand for them in protected spans.
+SIGNS = ".!?。！？…\n"
+STAND_INS = "".join(chr(0xFDD0 + i) for i in range(len(SIGNS)))
+ENDS = "[.!?。！？…]"
+CLOSERS = r"[\"'”’»)\]]"
+#: Words before a full stop that ends no sentence (fixed values).
+TITLES = "Mr|Mrs|Ms|Dr|Prof|Sr|Jr|St|vs|No|Fig|Inc|Ltd|Corp|approx|dept|al|cf"
+
 
-# Patterns of spans in which a full stop ends no sentence.
-LINK = re.compile(r"!?\[[^\]]*\]\([^)]*\)")
-URL = re.compile(r"https?://[^\s\]>]+")
-VERSION = re.compile(r"(?<![A-Za-z0-9_])v\d+(?:\.\d+)+")
-SECTION = re.compile(r"\d+\.\d+\.\d+(?:~\d+\.\d+\.\d+)?")
-FILE = re.compile(r"(?:[A-Za-z0-9_.*-]+/)*[A-Za-z0-9_.*-]+\.(?:md|go|py|txt|yml|yaml|json|proto)(?![A-Za-z0-9_])", re.IGNORECASE)
-LIST_MARK = re.compile(r"^\s{0,3}\d+\.", re.MULTILINE)
-FLOAT = re.compile(r"\d+\.\d+")
-ABBREVIATION = re.compile(r"(?<![A-Za-z0-9_])(?:e\.g\.|i\.e\.|etc\.)", re.IGNORECASE)
+def _found(s: Column, pattern: str, not_before: str, not_after: str) -> Column:
+    """Spans (start, end; from 0) of a pattern in s, one after the other."""
+    parts = F.arrays_zip(F.split(s, pattern, -1).alias("gap"), F.regexp_extract_all(s, F.lit(f"({pattern})"), 1).alias("hit"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
-#: A cheap test that every text with a span passes.
-MAY_PROTECT = r"(?i)\]\(|https?://|\p{Nd}\.|\.(?:md|go|py|txt|yml|yaml|json|proto)|e\.g\.|i\.e\.|etc\."
+    def step(acc: Column, p: Column) -> Column:
+        start = acc["at"] + F.length(p["gap"])
+        end = start + F.length(p["hit"])
+        ok = p["hit"].isNotNull()
+        if not_before:
+            ok = ok & ~F.substring(s, F.greatest(start, F.lit(1)), F.when(start > 0, 1).otherwise(0)).rlike(not_before)
+        if not_after:
+            ok = ok & ~F.substring(s, end + 1, F.lit(1)).rlike(not_after)
+        span = F.array(F.struct(start.alias("start"), end.alias("end")))
+        return F.struct(F.coalesce(end, acc["at"]).alias("at"), F.concat(acc["out"], F.when(ok, span).otherwise(none)).alias("out"))
 
-END = re.compile("[.!?。！？…]+")
-KEEPING_END = re.compile(r"(?<=[.!?。！？…])\s+|\n{2,}")
+    return F.aggregate(parts, zero, step, lambda acc: acc["out"])
 
 
-def _word(c: str) -> bool:
-    return c.isalpha() or c.isdigit()
+def spans_of(s: Column) -> Column:
+    """The spans (start, end) of a run that stay whole: the longest first, of equal ones the first, and none that overlaps one before; by place."""
+    every = F.flatten(F.array(*(_found(s, *kind) for kind in SPANS)))
+    by_length = F.array_sort(F.transform(every, lambda x: F.struct((x["start"] - x["end"]).alias("n"), x["start"].alias("start"), x["end"].alias("end"))))
 
+    def step(acc: Column, x: Column) -> Column:
+        over = F.exists(acc, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
+        return F.when(over, acc).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end")))))
 
-def _allowed(text: str, pattern: re.Pattern, a: int, b: int) -> bool:
-    before, after = text[a - 1 : a], text[b : b + 1]
-    if pattern is SECTION:
-        return not (before and (_word(before) or before in "._")) and not (after and (after.isdigit() or after == "."))
-    if pattern is FILE:
-        return not (before and before != "/" and (_word(before) or before in "._-"))
-    if pattern is LIST_MARK:
-        return not after or after.isspace()
-    return True
+    return F.array_sort(F.aggregate(by_length, F.array().cast("array<struct<start:int,end:int>>"), step))
 
 
-def protected_spans(text: str) -> list[tuple[int, int]]:
-    """Spans that stay whole: the longest first (of equal ones the leftmost), none overlapping one taken before; by place."""
-    found = [m.span() for p in (LINK, URL, VERSION, SECTION, FILE, LIST_MARK, FLOAT, ABBREVIATION) for m in p.finditer(text) if _allowed(text, p, *m.span())]
-    taken: list[tuple[int, int]] = []  # by place
-    for a, b in sorted(set(found), key=lambda s: (s[0] - s[1], s[0])):
-        at = bisect(taken, (a, b))
-        if (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or b <= taken[at][0]):
-            taken.insert(at, (a, b))
-    return taken
+def _shielded(s: Column) -> Column:
+    return F.translate(s, SIGNS, STAND_INS)
 
 
-def mask(text: str) -> tuple[str, dict[str, str]]:
-    """Text with its protected spans replaced by marks, and what each mark stands for."""
-    out, held, at = [], {}, 0
-    for i, (a, b) in enumerate(protected_spans(text)):
-        mark = f"\x02{i}\x03"
-        held[mark] = text[a:b]
-        out += [text[at:a], mark]
-        at = b
-    return "".join([*out, text[at:]]), held
+def _protect_run(s: Column) -> Column:
+    """A run with the signs in its spans written as their stand-ins, which leaves all places as they are."""
 
+    def step(acc: Column, x: Column) -> Column:
+        n = x["end"] - x["start"]
+        return F.concat(F.substring(acc, F.lit(1), x["start"]), _shielded(F.substring(acc, x["start"] + 1, n)), F.substring(acc, x["end"] + 1, F.lit(2147483647)))
 
-def unmask(text: str, held: dict[str, str]) -> str:
-    """X22."""
-    return re.sub("\x02\\d+\x03", lambda m: held.get(m.group(), m.group()), text)
+    return F.aggregate(spans_of(s), s, step)
 
 
-def unify(text: str) -> str:
-    return text.replace("\r\n", "\n").replace("\r", "\n")
+def _each(s: Column, pattern: str, change) -> Column:
+    """s with each match of a pattern changed."""
+    parts = F.zip_with(F.split(s, pattern, -1), F.transform(F.regexp_extract_all(s, F.lit(f"({pattern})"), 1), change), lambda gap, hit: F.concat(gap, F.coalesce(hit, F.lit(""))))
+    return F.array_join(parts, "")
 
 
-def split_dropping_ends(text: str | None) -> list[str]:
-    """Sentences without their final punctuation; newlines end none."""
-    masked, held = mask(unify(text or ""))
-    return [s for part in END.split(masked) if (s := unmask(part.strip(), held).strip())]
+def protect(text: Column) -> Column:
+    """The text with the signs in its protected spans, and the stop of a list mark, written as stand-ins."""
+    marked = F.regexp_replace(text, LIST_MARK, f"$1{STAND_INS[0]}")
+    return F.when(marked.rlike(MAY_PROTECT), _each(marked, RUN, lambda run: F.when(run.rlike(MAY_PROTECT), let(run, _protect_run)).otherwise(run))).otherwise(marked)
 
 
-def split_keeping_ends(text: str | None, hangul_from: float = 0.12, segmenter: Callable[[str], list[str]] | None = None) -> list[str]:
-    """Sentences with their punctuation. `segmenter`, if given, splits texts in which Hangul makes up less than `hangul_from`."""
-    masked, held = mask(unify(text or ""))
-    hangul = sum("가" <= c <= "힣" for c in masked) / max(1, len(masked))
-    parts = segmenter(masked) if segmenter and hangul < hangul_from else KEEPING_END.split(masked)
-    return [s for part in parts if part and (s := unmask(part.strip(), held).strip())]
+def restore(text: Column) -> Column:
+    """Stand-ins turned back (those that were in the text already too)."""
+    return F.translate(text, STAND_INS, SIGNS)
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _dropping(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for t in texts:
-        yield t.map(split_dropping_ends, na_action=None)
+def unify(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n")
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _keeping(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for t in texts:
-        yield t.map(split_keeping_ends, na_action=None)
+def _parts(text: Column, pattern: str) -> Column:
+    return F.filter(F.transform(F.split(text, pattern, -1), lambda s: trim_ws(restore(s))), lambda s: s != "")
 
 
 def masked_sentences(text: Column, keep_ends: bool = False) -> Column:
-    """The sentences of a text column; null texts have none. Texts that may have a protected span go to Python, others stay native."""
-    full = F.coalesce(text, F.lit(""))
-    spans = full.rlike(MAY_PROTECT) | full.rlike("[\x02\x03]")
-    ends = F.filter(F.transform(F.split(F.regexp_replace(full, "\r\n?", "\n"), rf"(?<=[.!?。！？…]){SPACE}+|\n{{2,}}"), trim_ws), lambda s: s != "")
-    native = ends if keep_ends else sentences(full)
-    return F.when(spans, (_keeping if keep_ends else _dropping)(F.when(spans, full))).otherwise(native)
+    """The sentences of a text column, without their ends (or with them; then blank lines end sentences too); null texts have none."""
+    whole = unify(text)
+    special = whole.rlike(MAY_PROTECT) | whole.rlike(LIST_MARK) | whole.rlike(f"[{STAND_INS}]")
+    if keep_ends:
+        return let(F.when(special, protect(whole)).otherwise(whole), lambda t: _parts(t, rf"(?<={ENDS}){SPACE}+|\n{{2,}}"))
+    return F.when(special, let(protect(whole), lambda t: _parts(t, f"{ENDS}+"))).otherwise(sentences(F.coalesce(text, F.lit(""))))
+
+
+def segments(text: Column) -> Column:
+    """A rule segmenter: sentences with their ends and the quotes or brackets that close behind them; lines end sentences too.
+
+    No sentence ends within straight quotes on one line, after a title or an initial before a
+    capital letter, or at dots that a small letter follows.
+    """
+    quoted = _each(text, "\"[^\"\n]*+\"", lambda q: F.concat(_shielded(F.substring(q, F.lit(1), F.greatest(F.length(q) - 2, F.lit(0)))), F.right(q, F.least(F.length(q), F.lit(2)))))
+    calm = F.regexp_replace(quoted, rf"(?i)(?<![\p{{L}}\p{{N}}_])({TITLES})\.(?=\s)", f"$1{STAND_INS[0]}")
+    calm = F.regexp_replace(calm, rf"(?<![\p{{L}}\p{{N}}_.])(\p{{Lu}})\.(?=\s+\p{{Lu}})", f"$1{STAND_INS[0]}")
+    calm = F.regexp_replace(calm, r"\.{2,}(?=\s+\p{Ll})", STAND_INS[0] * 3)
+    return F.when(quoted.isNotNull(), _parts(calm, rf"(?<={ENDS}{CLOSERS}{{0,3}}){SPACE}+|\n+"))
+
+
+def language_aware(text: Column, hangul_from: float = 0.12) -> Column:
+    """Sentences with their ends; texts in which Hangul makes up less than `hangul_from` by the rules of `segments`, others at ends and blank lines. Protected spans stay whole."""
+    return let(protect(unify(text)), lambda t: F.when(hangul_ratio(t) >= hangul_from, _parts(t, rf"(?<={ENDS}){SPACE}+|\n{{2,}}")).otherwise(segments(t)))

@@ -533,19 +533,19 @@ def clause_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def masked_sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of documents with protected spans kept whole (no SQL form)."""
+    """Sentences of documents with protected spans kept whole."""
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(sentences.masked_sentences(F.col("text"))).alias("pos", "sentence"))
 
 
 @query
 def language_aware_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences with their punctuation (no SQL form)."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(sentences.masked_sentences(F.col("text"), keep_ends=True)).alias("pos", "sentence"))
+    """Sentences with their punctuation."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(sentences.language_aware(F.col("text"))).alias("pos", "sentence"))
 
 
 @query
 def fixed_size_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1000 characters (no SQL form)."""
+    """Pieces of at most 1000 characters."""
     return markdown.fixed_chunks(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 

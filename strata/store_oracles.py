@@ -114,21 +114,6 @@ STORE_ORACLES: dict[str, str] = {
     "checked_parameters": values("given, taken", ("1", "1"), ("7", "7"), ("0", "5"), ("101", "5"), ("100", "100"), ("x", "5"), ("None", "5"), ("project ", "None"), ("project None", "None"), ("project 12", "12"), ("project x", "bad_request")),
     "settings_cases": values("name, value", ("host", "own"), ("port", "1"), ("collection", "env"), ("vector_name", "None"), ("model", "text-embedding-3-small"), ("first", "b"), ("none", "d"), ("size", "3072"), ("other size", "5"), ("p1", "12"), ("p2", "9"), ("p3", "9"), ("p4", "9")),
     "json_cases": values("id, json, b, summary", (1, '{"a":"x","b":[1,2]}', "[1,2]", "bytes é"), (2, "{}", None, "bad �"), (3, "{}", None, ""), (4, "[1]", None, "")),
-    "protected_spans": values(
-        "id, start, span, restored",
-        (0, 4, "v1.2.3", True), (0, 15, "3.14", True), (1, 5, "https://a.b/c.d", True), (1, 31, "[x.y](p.md)", True), (2, 0, "e.g.", True), (2, 11, "i.e.", True), (3, 0, "1.", True), (4, 0, "core/a.go", True), (4, 14, "b.py", True), (5, 0, "4.1.1~4.1.3", True), (5, 25, "4.1", True),
-    ),
-    "split_cases": values(
-        "id, ends, pos, sentence",
-        (0, False, 0, "See v1.2.3 and 3.14"), (0, False, 1, "Done"), (1, False, 0, "Open https://a.b/c.d now"), (1, False, 1, "Then [x.y](p.md) ok"), (1, False, 2, "Yes"), (2, False, 0, "e.g. this, i.e. that"), (2, False, 1, "End"), (3, False, 0, "1. First item"), (3, False, 1, "2"), (3, False, 2, "more"),
-        (4, False, 0, "core/a.go and b.py"), (4, False, 1, "Next"), (5, False, 0, "4.1.1~4.1.3 is a range"), (5, False, 1, "x4.1"), (5, False, 2, "1y"), (6, False, 0, "no end"), (7, False, 0, "One"), (7, False, 1, "Two"), (7, False, 2, "Three"),
-        (0, True, 0, "See v1.2.3 and 3.14."), (0, True, 1, "Done!"), (1, True, 0, "Open https://a.b/c.d now."), (1, True, 1, "Then [x.y](p.md) ok?"), (1, True, 2, "Yes"), (2, True, 0, "e.g. this, i.e. that."), (2, True, 1, "End"), (3, True, 0, "1. First item."), (3, True, 1, "2."), (3, True, 2, "more"),
-        (4, True, 0, "core/a.go and b.py."), (4, True, 1, "Next"), (5, True, 0, "4.1.1~4.1.3 is a range."), (5, True, 1, "x4.1.1y"), (6, True, 0, "no end"), (7, True, 0, "One."), (7, True, 1, "Two!"), (7, True, 2, "Three"),
-    ),
-    "fixed_cuts": """SELECT id, 's' || chunk_no AS section_id, CAST(chunk_no AS INT) AS chunk_no, text FROM (
-      SELECT 1 AS id, i AS chunk_no, trim(CASE WHEN i < 8 THEN repeat('word ', 24) WHEN i = 8 THEN repeat('word ', 8) || '.' || repeat('next ', 15) WHEN i < 16 THEN repeat('next ', 24) ELSE repeat('next ', 17) END) AS text FROM (SELECT unnest(range(17)) AS i)
-      UNION ALL SELECT 2, i, repeat('x', CASE WHEN i < 2 THEN 120 ELSE 10 END) FROM (SELECT unnest(range(3)) AS i)
-      UNION ALL SELECT 3, i, repeat('a, b;', CASE WHEN i = 0 THEN 24 ELSE 16 END) FROM (SELECT unnest(range(2)) AS i))""",
     "single_toc": "SELECT r_regionkey, 'document' AS text, 1 AS level, 's0' AS section_id, 'document' AS path FROM region",
     "toc_trees": f"""WITH {REGION_MD}, n AS (SELECT n_regionkey, string_agg('{{"text":"' || n_name || '","level":2,"children":[{{"text":"Notes","level":3}}]}}', ',' ORDER BY n_nationkey) AS c FROM nation GROUP BY 1) SELECT r_regionkey AS doc, '[{{"text":"' || r_name || '","level":1' || coalesce(',"children":[' || c || ']', '') || '}}]' AS toc FROM region LEFT JOIN n ON n_regionkey = r_regionkey""",
     "toc_of_code": f"WITH {CODE} SELECT doc, line_num, regexp_extract(content, '^def (\\w+)', 1) AS text, 2 AS level, node_type FROM code WHERE is_anchor",

@@ -367,33 +367,36 @@ def json_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.to_json(coerce.json_or_empty(F.col("s"))).alias("json"), F.try_element_at(coerce.flat_metadata(F.col("s")), F.lit("b")).alias("b"), X.decode_summary(F.col("b")).alias("summary"))
 
 
-# Splitters and trees on fixed texts
+# Splitters and trees
 
-SPLIT = [
-    "See v1.2.3 and 3.14. Done!", "Open https://a.b/c.d now. Then [x.y](p.md) ok? Yes", "e.g. this, i.e. that. End", "1. First item. 2. more", "core/a.go and b.py. Next", "4.1.1~4.1.3 is a range. x4.1.1y", "no end", "One.\n\nTwo! Three", "",
-]
+
+def part_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A note on each part, with spans of every kind that hold its size or key."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("string").alias("n"), F.col("p_partkey").cast("string").alias("k"))
+    text = F.concat(F.lit("1. See v"), "n", F.lit(".2.3 and core/p"), "k", F.lit(".md. Open https://a.b/"), "k", F.lit(".html now! [x. "), "n", F.lit("](y. z) is 1."), "n", F.lit("? Then 4.1."), "n", F.lit("~4.2."), "n", F.lit(", e.g. here.\n\nLast"))
+    return rows.select("p_partkey", text.alias("note"))
 
 
 @query
 def protected_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The protected spans of fixed texts; masking and unmasking gives the text."""
-    rows = [(i, a, t[a:b], sentences.unmask(*sentences.mask(t)) == t) for i, t in enumerate(SPLIT) for a, b in sentences.protected_spans(t)]
-    return spark.createDataFrame(rows, "id int, start int, span string, restored boolean")
+    """The protected spans of notes on parts; what is masked and unmasked is the note."""
+    rows = part_notes(spark, sf_dir).select("p_partkey", "note", (sentences.restore(sentences.protect(F.col("note"))) == F.col("note")).alias("restored"), F.explode(sentences.spans_of(F.col("note"))).alias("s"))
+    return rows.select("p_partkey", F.col("s.start").alias("start"), F.substring("note", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("span"), "restored")
 
 
 @query
 def split_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of fixed texts, without and with their ends."""
-    texts = spark.createDataFrame([*enumerate(SPLIT)], "id int, t string")
-    parts = [texts.select("id", F.lit(keep).alias("ends"), F.posexplode(sentences.masked_sentences(F.col("t"), keep)).alias("pos", "sentence")) for keep in (False, True)]
+    """Sentences of notes on parts, without and with their ends."""
+    texts = part_notes(spark, sf_dir)
+    parts = [texts.select("p_partkey", F.lit(keep).alias("ends"), F.posexplode(sentences.masked_sentences(F.col("note"), keep)).alias("pos", "sentence")) for keep in (False, True)]
     return parts[0].unionByName(parts[1])
 
 
 @query
 def fixed_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A long text in pieces of at most 120 characters, and one without blanks."""
-    rows = spark.createDataFrame([(1, "word " * 200 + "." + "next " * 200), (2, "x" * 250), (3, "a, b;" * 40), (4, "  ")], "id int, text string")
-    return markdown.fixed_chunks(rows, "id", "text", 120)
+    """The turns of conversations in pieces of at most 60 characters."""
+    rows = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
+    return markdown.fixed_chunks(rows, "id", "text", 60)
 
 
 @query

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.operators import parse
-from strata.queries import query, table
+from strata import oracles
+from strata.operators import graphs, index, parse, sentences
+from strata.queries import TERMS, query, rounded, table
 
 ORACLES: dict[str, str] = {}
 
@@ -80,3 +81,125 @@ SELECT doc, 'package main' AS text, 2 AS level, 'package_clause' AS node_type, 1
 UNION ALL SELECT doc, 'import (', 2, 'import_declaration', 3, 5 FROM n
 UNION ALL SELECT doc, 'S' || s_suppkey, 2, 'function_declaration', CAST(a AS INT), CAST(a + 6 AS INT) FROM f
 UNION ALL SELECT doc, 'type ' || array_to_string([upper(w[1]) || lower(w[2:]) FOR w IN string_split(n_name, ' ')], ' ') || ' struct {', 2, 'type_declaration', CAST(7 + 8 * n AS INT), CAST(9 + 8 * n AS INT) FROM n"""
+
+# Traversal and trees
+
+
+@query
+def customer_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Urgent orders as edges from their customer to the one whose key is that of the order by the number of customers; what every 50th customer reaches, and in how many steps."""
+    customers = table(spark, sf_dir, "customer")
+    n = customers.agg(F.max("c_custkey").alias("n")).first()["n"]
+    edges = table(spark, sf_dir, "orders").where("o_orderpriority like '1-%'").select(F.col("o_custkey").alias("src"), F.pmod(F.col("o_orderkey") * 7 + 3, F.lit((n or 0) + 1)).alias("dst"))
+    return graphs.reach(edges, customers.where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("node")))
+
+
+ORACLES["customer_reach"] = """
+WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS src, (o_orderkey * 7 + 3) % (SELECT max(c_custkey) + 1 FROM customer) AS dst FROM orders WHERE o_orderpriority LIKE '1-%'),
+  r(node, distance) USING KEY (node) AS (SELECT c_custkey, 0 FROM customer WHERE c_custkey % 50 = 0
+    UNION SELECT e.dst, min(r.distance) + 1 FROM r JOIN e ON e.src = r.node WHERE NOT EXISTS (SELECT 1 FROM recurring.r AS x WHERE x.node = e.dst) GROUP BY e.dst)
+SELECT node, distance FROM r"""
+
+
+@query
+def nation_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each nation the JSON of its customers, each with its orders by price."""
+    customers = table(spark, sf_dir, "customer")
+    nation = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.lit("none").alias("parent_id"), F.col("n_nationkey").alias("tree"), F.col("n_name").alias("title"), F.lit(0.0).alias("price"))
+    people = customers.select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.concat(F.lit("n"), "c_nationkey").alias("parent_id"), F.col("c_nationkey").alias("tree"), F.col("c_name").alias("title"), F.lit(0.0).alias("price"))
+    orders = table(spark, sf_dir, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey")).select(F.concat(F.lit("o"), "o_orderkey").alias("id"), F.concat(F.lit("c"), "o_custkey").alias("parent_id"), F.col("c_nationkey").alias("tree"), F.col("o_orderstatus").alias("title"), F.col("o_totalprice").cast("double").alias("price"))
+    found = graphs.nested_json(nation.unionByName(people).unionByName(orders), "tree", ["id", "title"], ["price"])
+    return found.select("tree", F.sha2("json", 256).alias("json_hash"), F.length("json").alias("chars"), "nodes")
+
+
+ORACLES["nation_trees"] = """
+WITH o AS (SELECT o_custkey, count(*) AS n, string_agg('{"id":"o' || o_orderkey || '","title":"' || o_orderstatus || '","children":[]}', ',' ORDER BY o_totalprice, 'o' || o_orderkey) AS j FROM orders GROUP BY 1),
+  c AS (SELECT c_nationkey, count(*) + coalesce(sum(n), 0) AS n, string_agg('{"id":"c' || c_custkey || '","title":"' || c_name || '","children":[' || coalesce(j, '') || ']}', ',' ORDER BY 'c' || c_custkey) AS j FROM customer LEFT JOIN o ON o_custkey = c_custkey GROUP BY 1),
+  t AS (SELECT n_nationkey AS tree, '[{"id":"n' || n_nationkey || '","title":"' || n_name || '","children":[' || coalesce(j, '') || ']}]' AS json, 1 + coalesce(n, 0) AS nodes FROM nation LEFT JOIN c ON c_nationkey = n_nationkey)
+SELECT tree, sha256(json) AS json_hash, CAST(length(json) AS INT) AS chars, CAST(nodes AS BIGINT) AS nodes FROM t"""
+
+# Search structures
+
+
+@query
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as dense_topk_batch, by an inverted file that skips lists that can't hold a nearer vector."""
+    rows = table(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return rounded(index.VectorIndex.build(rows, "vec_id", "embedding").top_each(asked, 5, exact=True))
+
+
+ORACLES["vector_index_topk"] = oracles.ORACLES["dense_topk_batch"]
+
+
+@query
+def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the ten nearest of each query, how many the inverted file finds with as many probes as its own sample asks for (at least nine in ten over all)."""
+    rows = table(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    built = index.VectorIndex.build(rows, "vec_id", "embedding")
+    probes = built.probes_for(0.97)
+    found, all_ = (built.top_each(asked, 10, probes=probes, exact=exact).select("query_id", "vec_id") for exact in (False, True))
+    hits = all_.join(found.withColumn("hit", F.lit(1)), ["query_id", "vec_id"], "left")
+    return hits.agg(F.count("*").alias("pairs"), (F.sum(F.coalesce("hit", F.lit(0))) >= 0.9 * F.count("*")).alias("enough"))
+
+
+ORACLES["vector_index_recall"] = "SELECT 10 * count(*) AS pairs, true AS enough FROM embeddings WHERE vec_id % 100 = 0"
+
+
+@query
+def postings_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as lexical_topk, by posting lists."""
+    return rounded(index.Postings.build(table(spark, sf_dir, "documents"), "doc_id", "text").top(TERMS, 60))
+
+
+ORACLES["postings_topk"] = oracles.ORACLES["lexical_topk"]
+
+# Splitters (U5, U6, U7, U11; their queries are in queries and store_queries)
+
+_DOT = "chr(64976)"
+
+
+def _list_sql(key: str, parts: str, source: str) -> str:
+    """The non-blank parts of a list, trimmed and with stops turned back, with their places."""
+    kept = f"list_filter(list_transform({parts}, lambda x: regexp_replace(replace(x, {_DOT}, '.'), '{oracles.WS}', '', 'g')), lambda x: x <> '')"
+    return f"SELECT {key}, CAST(i - 1 AS INT) AS pos, p[i] AS sentence FROM (SELECT {key}, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT {key}, {kept} AS p FROM {source}))"
+
+
+#: The spans of documents are decimal numbers: their stops are hidden, two numbers at a time from the left.
+_HIDDEN = f"docs AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), '([0-9]+)\\.([0-9]+)', '\\1' || {_DOT} || '\\2', 'g') AS t FROM documents)"
+ORACLES["masked_sentence_split"] = f"WITH {_HIDDEN} {_list_sql('doc_id', chr(39).join(['string_split_regex(t, ', '[.!?。！？…]+', ')']), 'docs')}"
+
+_TITLES = sentences.TITLES
+_ONCE = f"regexp_replace({{0}}, '(?i)(^|[^\\p{{{{L}}}}\\p{{{{N}}}}_])({_TITLES})\\.(\\s)', '\\1\\2' || {_DOT} || '\\3', 'g')"
+_INITIALS = f"regexp_replace({{0}}, '(^|[^\\p{{{{L}}}}\\p{{{{N}}}}_.])(\\p{{{{Lu}}}})\\.(\\s+\\p{{{{Lu}}}})', '\\1\\2' || {_DOT} || '\\3', 'g')"
+_SPACES = "[\\s\\x{0B}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+_CLOSED = f"regexp_replace(u, '([.!?。！？…][\"''”’»)\\]]{{{{0,3}}}}){_SPACES}+', '\\1' || chr(30), 'g')"
+ORACLES["language_aware_split"] = (
+    f"WITH {_HIDDEN}, calm AS (SELECT doc_id, regexp_replace({_INITIALS.format(_INITIALS.format(_ONCE.format(_ONCE.format('t'))))}, '\\.{{2,}}(\\s+\\p{{Ll}})', repeat({_DOT}, 3) || '\\1', 'g') AS u FROM docs) "
+    + _list_sql("doc_id", f"string_split_regex({_CLOSED}, chr(30) || '|\\n+')".replace("{{", "{").replace("}}", "}"), "calm")
+)
+
+
+def _cuts_sql(key: str, source: str, most: int) -> str:
+    """Pieces one after the other: the farthest break of each kind in what is left."""
+    window, wider = f"left(rest, {most})", f"left(rest, {most + 1})"
+    plain = " , ".join([f"length(regexp_extract({window}, '(?s)^(.*[\\n,|;)}}])', 1))", f"length(regexp_extract({wider}, '(?s)^(.*[.!?]){_SPACES}', 1))", f"length(regexp_extract({window}, '(?s)^(.*\\n-)', 1))", f"CASE WHEN 2 * length(regexp_extract({window}, '(?s)^(.*{_SPACES})', 1)) >= {most} THEN length(regexp_extract({window}, '(?s)^(.*{_SPACES})', 1)) ELSE 0 END"])
+    bracket = f"length(regexp_extract({window}, '(?s)^(.+[({{])', 1))"
+    cut = f"CASE WHEN length(rest) <= {most} THEN length(rest) WHEN b > a THEN b - 1 WHEN a > 0 THEN a ELSE {most} END"
+    step = f"SELECT {key}, n, rest, {cut} AS e FROM (SELECT *, greatest({plain}) AS a, {bracket} AS b FROM r WHERE rest <> '')"
+    trimmed = f"regexp_replace({{0}}, '{oracles.WS}', '', 'g')"
+    return f"""WITH RECURSIVE r AS (SELECT {key}, 0 AS n, '' AS piece, {trimmed.format("coalesce(text, '')")} AS rest FROM {source}
+    UNION ALL SELECT {key}, n + 1, {trimmed.format("left(rest, e)")}, {trimmed.format("substr(rest, e + 1)")} FROM ({step}))
+  SELECT {key}, 's' || (n - 1) AS section_id, CAST(n - 1 AS INT) AS chunk_no, piece AS text FROM r WHERE n > 0"""
+
+
+ORACLES["fixed_size_chunks"] = _cuts_sql("doc_id", "documents", 1000)
+ORACLES["fixed_cuts"] = _cuts_sql("id", "(SELECT conv_id || '-' || turn AS id, text FROM conversations)", 60)
+
+_SPANS = ["'v' || n || '.2.3'", "'core/p' || k || '.md'", "'https://a.b/' || k || '.html'", "'[x. ' || n || '](y. z)'", "'1.' || n", "'4.1.' || n || '~4.2.' || n", "'e.g.'"]
+_NOTE = "'1. See v' || n || '.2.3 and core/p' || k || '.md. Open https://a.b/' || k || '.html now! [x. ' || n || '](y. z) is 1.' || n || '? Then 4.1.' || n || '~4.2.' || n || ', e.g. here.' || chr(10) || chr(10) || 'Last'"
+_PARTS = "p AS (SELECT p_partkey, CAST(p_size AS VARCHAR) AS n, CAST(p_partkey AS VARCHAR) AS k FROM part)"
+ORACLES["protected_spans"] = f"WITH {_PARTS}, s AS (SELECT p_partkey, note, unnest(spans) AS span FROM (SELECT p_partkey, {_NOTE} AS note, [{', '.join(_SPANS)}] AS spans FROM p)) SELECT p_partkey, CAST(CASE WHEN span LIKE '1.%' THEN strpos(note, 'is ' || span) + 2 ELSE strpos(note, span) - 1 END AS INT) AS start, span, true AS restored FROM s"
+_SAID = ["'1. See v' || n || '.2.3 and core/p' || k || '.md{0}'", "'Open https://a.b/' || k || '.html now{1}'", "'[x. ' || n || '](y. z) is 1.' || n || '{2}'", "'Then 4.1.' || n || '~4.2.' || n || ', e.g. here{0}'", "'Last'"]
+ORACLES["split_cases"] = f"WITH {_PARTS}, s AS (SELECT p_partkey, false AS ends, [{', '.join(x.format('', '', '') for x in _SAID)}] AS l FROM p UNION ALL SELECT p_partkey, true, [{', '.join(x.format('.', '!', '?') for x in _SAID)}] FROM p) SELECT p_partkey, ends, CAST(i - 1 AS INT) AS pos, l[i] AS sentence FROM (SELECT *, unnest(range(1, 6)) AS i FROM s)"
