@@ -4,12 +4,19 @@ Words (lower-cased A-Z) are known by a 64-bit hash, and every word of the traini
 has a class. Exchange clustering moves the `cluster` most frequent words between `classes`
 classes as long as that raises the likelihood of the class bigrams. The other ones of the
 `class_words` most frequent words join the class that fits the classes beside them best,
-and so then does each remaining word, whatever the vocabulary's size: tasks send the classes beside
-its occurrences to the fragment of the hash space that holds its count. (A word with
-no classed neighbour joins the largest class; a word that training lacks counts as one
-of the class with most rare words.) A word's probability is that of its class after the class
-before, times that of the word in its class by its smoothed count. All counts are over all
-training documents.
+and so then does each remaining word, whatever the vocabulary's size, by these and by how
+frequent the classes are: tasks send how often a word has which classes beside it to the
+fragment of the hash space that holds its count. (A word with no classed neighbour joins the
+largest class.) Words that training has once are a class of their own, as two neighbours tell
+nothing that holds elsewhere; a word that training lacks is taken for one of them when it
+comes before others. After either the class before them is remembered.
+
+A word's probability is that of its class after what came before (Witten-Bell smoothing
+with the classes' own frequencies), times that of the word in its class: its count less a
+discount (n1 / (n1 + 2 n2), by how many words are there once and twice). What is
+discounted is the class's share of unseen words; an unseen word has the sum over all
+classes. So the probabilities of all words, unseen ones as one, sum up to 1, as those of the
+base do. All counts are over all training documents.
 
 Scores take two passes: a chunk of documents asks the fragments once for the classes and
 counts of its words that aren't in the lexicon, and gets its class sequences; the class
@@ -229,63 +236,105 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = 8) -> np.ndarray:
 
 @dataclass
 class Classes:
-    """Classes 0 to k - 1 are of words, k is the end's. `of`: the class of each symbol (k + 1 for other words)."""
+    """Classes 0 to k - 1 are of words, k is the end's, k + 1 that of words that training has once. `of`: the class of each symbol (k + 1 for other words too)."""
 
     lexicon: Lexicon
     k: int
     of: np.ndarray
     p_after: np.ndarray  # k x (k + 1): log P(class after | class)
     p_before: np.ndarray  # k x k: log P(class before | class)
-    largest: int
+    prior: np.ndarray  # log of each class's share of the tokens that have a class so far
+
+    @property
+    def once(self) -> int:
+        return self.k + 1
+
+    @property
+    def unseen(self) -> int:
+        """Stands in class sequences for a word that training lacks."""
+        return self.k + 2
 
 
 @dataclass
 class Scorer:
     classes: Classes
     count: np.ndarray  # of each symbol but the one of other words
-    unseen: int  # the class of words that training lacks
-    norm: np.ndarray  # log10 of N_c + 0.5 (V_c + 1) of each class
+    discount: float
+    tokens: np.ndarray  # N_c, by class
+    types: np.ndarray  # V_c
     base: float  # log10 of N + 0.5 (V + 1)
 
+    def emission(self, cls: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """log10 P(word | its class) of words that training has n times; 0 for ends, and for words that it lacks."""
+        seen = np.log10(np.maximum(n - self.discount, 1e-9)) - np.log10(self.tokens + 0.5)[np.minimum(cls, self.classes.once)]
+        return np.where((cls == self.classes.k) | (n == 0), 0.0, seen)
+
+    def share_unseen(self) -> np.ndarray:
+        """P(a word that training lacks | class)."""
+        out = (self.discount * self.types + 0.5) / (self.tokens + 0.5)
+        out[self.classes.k] = 0.0
+        return out
+
 
 def _beside_requests(parts: int, held):
-    """text -> frag, ids, before, after: each occurrence of a word outside the lexicon, with the classes on either side (k + 1: none known)."""
+    """text -> frag, ids, before, after, counts: how often a chunk has each word outside the lexicon with which classes on either side (k + 1: none known). In a row without counts each is there once."""
+
+    def flush(held_words: list, held_pairs: list) -> pa.RecordBatch:
+        word, pair = np.concatenate(held_words), np.concatenate(held_pairs)
+        order = np.lexsort((pair, word))
+        word, pair = word[order], pair[order]
+        starts = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (pair[1:] != pair[:-1])]) if len(word) else np.zeros(0, np.int64)
+        count = np.diff(np.r_[starts, len(word)])
+        word, pair = word[starts], pair[starts]
+        rows: list[tuple] = []
+        for often in (False, True):
+            w, p, n = (x[(count > 1) == often] for x in (word, pair, count))
+            cuts = np.searchsorted(frag_of(w, parts), np.arange(parts + 1))  # rising hashes are rising fragments
+            for f in np.flatnonzero(np.diff(cuts)).tolist():
+                x, y = cuts[f], cuts[f + 1]
+                rows.append((f, w[x:y].tobytes(), (p[x:y] >> 8).astype(np.uint8).tobytes(), (p[x:y] & 255).astype(np.uint8).tobytes(), n[x:y].astype("<u4").tobytes() if often else b""))
+        columns = zip(*rows, strict=True) if rows else [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), *[pa.binary()] * 4), strict=True)], ["frag", "ids", "before", "after", "counts"])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c: Classes = held.value
-        none = c.k + 1
+        none = c.once
+        words_held, pairs_held, n = [], [], 0
         for b in batches:
             for _, _, words in tv.slices(b.column(0), lower=True):
                 s, ends, ids, place = sequences(words, c.lexicon)
-                own = c.of[s].astype(np.uint8)
-                before = np.r_[np.uint8(none), own[:-1]] if len(own) else own
+                own = c.of[s].astype(np.uint16)
+                before = np.r_[np.uint16(none), own[:-1]] if len(own) else own
                 before[ends[:-1] + 1] = none
-                after = np.r_[own[1:], np.uint8(none)] if len(own) else own
+                after = np.r_[own[1:], np.uint16(none)] if len(own) else own
                 rare = s[place] == c.lexicon.other
-                word, at = ids[rare], place[rare]
-                by = np.argsort(frag_of(word, parts).astype(np.int32), kind="stable")
-                cuts = np.searchsorted(frag_of(word[by], parts), np.arange(parts + 1))
-                filled = np.flatnonzero(np.diff(cuts))
-                columns = [word[by], before[at[by]], after[at[by]]]
-                yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), *(pa.array([x[cuts[f] : cuts[f + 1]].tobytes() for f in filled], pa.binary()) for x in columns)], ["frag", "ids", "before", "after"])
+                at = place[rare]
+                words_held.append(ids[rare])
+                pairs_held.append(before[at] << 8 | after[at])
+                n += len(at)
+                if n >= CHUNK:
+                    yield flush(words_held, pairs_held)
+                    words_held, pairs_held, n = [], [], 0
+        if n:
+            yield flush(words_held, pairs_held)
 
     return apply
 
 
-def best_classes(index: np.ndarray, n: int, before: np.ndarray, after: np.ndarray, c: Classes) -> np.ndarray:
-    """Of n words, the class under which the classes beside their occurrences (`index` names the word) are likeliest; the first of ties."""
-    out = np.full(n, c.largest, dtype=np.uint8)
+def best_classes(index: np.ndarray, n: int, before: np.ndarray, after: np.ndarray, count: np.ndarray, c: Classes) -> np.ndarray:
+    """Of n words, the class under which the classes beside their occurrences (`index` names the word, `count` says how often) and the class itself are likeliest; the first of ties."""
+    out = np.full(n, int(c.prior.argmax()), dtype=np.uint8)
     width = c.k + 2
     order = np.argsort(index, kind="stable")
-    index, before, after = index[order], before[order].astype(np.int64), after[order].astype(np.int64)
+    index, before, after, count = index[order], before[order].astype(np.int64), after[order].astype(np.int64), count[order]
     for start in range(0, n, 20_000):
         stop = min(n, start + 20_000)
         x, y = np.searchsorted(index, [start, stop])
         rows = (index[x:y] - start) * width
-        a = np.bincount(rows + after[x:y], minlength=(stop - start) * width).reshape(-1, width)[:, : c.k + 1]
-        b = np.bincount(rows + before[x:y], minlength=(stop - start) * width).reshape(-1, width)[:, : c.k]
+        a = np.bincount(rows + after[x:y], count[x:y], minlength=(stop - start) * width).reshape(-1, width)[:, : c.k + 1]
+        b = np.bincount(rows + before[x:y], count[x:y], minlength=(stop - start) * width).reshape(-1, width)[:, : c.k]
         told = (a.sum(axis=1) + b.sum(axis=1)) > 0
-        out[start:stop][told] = (a @ c.p_after.T + b @ c.p_before.T).argmax(axis=1)[told]
+        out[start:stop][told] = (a @ c.p_after.T + b @ c.p_before.T + c.prior).argmax(axis=1)[told]
     return out
 
 
@@ -300,8 +349,10 @@ def _classify(held, own: np.ndarray):
         rest = ~np.isin(ids, c.lexicon.ids)
         ids, n = ids[rest], n[rest]
         word, before, after = (np.frombuffer(b"".join(asked[x].to_pylist()), kind) for x, kind in (("ids", "<u8"), ("before", "u1"), ("after", "u1")))
-        cls = best_classes(np.searchsorted(ids, word), len(ids), before, after, c)
-        tokens, types = np.bincount(cls, n, minlength=c.k).astype(np.int64), np.bincount(cls, minlength=c.k)
+        often = [np.frombuffer(x, "<u4") if x else np.ones(len(w) // 8, "<u4") for w, x in zip(asked["ids"].to_pylist(), asked["counts"].to_pylist(), strict=True)]
+        cls = best_classes(np.searchsorted(ids, word), len(ids), before, after, np.concatenate(often) if often else np.zeros(0, "<u4"), c)
+        cls[n == 1] = c.once
+        tokens, types = np.bincount(cls, n, minlength=c.k + 2).astype(np.int64), np.bincount(cls, minlength=c.k + 2)
         return pa.table({"frag": counts["frag"].combine_chunks()[:1], **{x: pa.array([y.tobytes()], pa.binary()) for x, y in (("ids", ids), ("counts", n), ("cls", cls))}, **{x: pa.array([y.tolist()], pa.list_(pa.int64())) for x, y in (("tokens", tokens), ("types", types))}})
 
     return apply
@@ -319,7 +370,10 @@ def fit(df: DataFrame, training: Column, text_col: str = "text", classes: int =
     docs = train.count()
     sums = counts.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
     total, distinct = sums["n"] + docs, sums["v"] + (docs > 0)
-    ids, n = frequent(counts, _summed(counts, "hist", HIST), class_words)
+    hist = _summed(counts, "hist", HIST)
+    n1, n2 = int(hist[bin_of(np.array(1))]), int(hist[bin_of(np.array(2))])
+    discount = min(0.9, max(0.1, n1 / (n1 + 2 * n2))) if n1 + n2 else 0.5
+    ids, n = frequent(counts, hist, class_words)
     by = np.lexsort((ids, -n))
     rank = np.empty(len(ids), dtype=np.int32)
     rank[by] = np.arange(len(ids))
@@ -377,15 +431,17 @@ def fit(df: DataFrame, training: Column, text_col: str = "text", classes: int =
     p_after, p_before = odds()
     size = np.r_[n[by], 0, docs]
     mass = np.bincount(cls[: len(ids)], size[: len(ids)], minlength=k)
-    known = Classes(lexicon, k, cls, p_after, p_before, int(mass.argmax()))
+    prior = np.log((mass + 1) / (mass + 1).sum())
+    cls[: len(ids)][size[: len(ids)] == 1] = k + 1
+    known = Classes(lexicon, k, cls, p_after, p_before, prior)
     held_known = spark.sparkContext.broadcast(known)
-    asked = train.mapInArrow(tidy(_beside_requests(parts, held_known)), "frag int, ids binary, before binary, after binary")
+    asked = train.mapInArrow(tidy(_beside_requests(parts, held_known)), "frag int, ids binary, before binary, after binary, counts binary")
     others = materialize(asked.groupBy("frag").cogroup(counts.select("frag", "ids", "counts").groupBy("frag")).applyInArrow(tidy_group(_classify(held_known, ids)), "frag int, ids binary, counts binary, cls binary, tokens array<long>, types array<long>"))
-    tokens, types = (_summed(others, c, k) for c in ("tokens", "types"))
-    tokens_of = np.r_[mass + tokens, docs]
-    types_of = np.r_[np.bincount(cls[: len(ids)], minlength=k) + types, docs > 0]
-    scorer = Scorer(known, size, int(types.argmax()), np.log10(tokens_of + 0.5 * (types_of + 1)), float(np.log10(total + 0.5 * (distinct + 1))))
-    return scorer, others, parts, total
+    tokens, types = (_summed(others, c, k + 2) for c in ("tokens", "types"))
+    tokens += np.bincount(cls[: len(ids)], size[: len(ids)], minlength=k + 2).astype(np.int64)
+    types += np.bincount(cls[: len(ids)], minlength=k + 2)
+    tokens[k], types[k] = docs, docs > 0
+    return Scorer(known, size, discount, tokens, types, float(np.log10(total + 0.5 * (distinct + 1)))), others, parts, total
 
 
 SEQUENCE = ["chunk", "frag", "cls", "counts", "ids", "flags", "lengths", "symbols"]
@@ -425,12 +481,12 @@ def _ask_classes(parts: int, held, id_kind: pa.DataType):
     return apply
 
 
-def _tell_classes(unseen_class):
+def _tell_classes(held):
     def apply(table: pa.Table, others: pa.Table) -> pa.Table:
         """One fragment: the class and count of each word asked for; rows of chunks pass."""
         asked = table.filter(pa.compute.is_valid(table["words"]))
         passed = table.filter(pa.compute.is_null(table["words"])).select(["chunk", "frag", "ids", "flags", "lengths", "symbols"])
-        unseen = unseen_class.value.unseen
+        unseen = held.value.classes.unseen
         ids, n, cls = (np.frombuffer(others[c][0].as_py() if len(others) else b"", kind) for c, kind in (("ids", "<u8"), ("counts", "<i8"), ("cls", "u1")))
         out: dict[str, list] = {"chunk": [], "frag": [], "cls": [], "counts": []}
         for frag, chunk, words in zip(*(asked[c].to_pylist() for c in ("frag", "chunk", "words")), strict=True):
@@ -462,7 +518,7 @@ def _sequence(held):
         c[asked], n[asked] = cls[-1 - s[asked]], counts[-1 - s[asked]]
         c[~asked], n[~asked] = m.classes.of[s[~asked]], m.count[s[~asked]]
         log_n = np.log10(n + 0.5)
-        sums, emits, known = (np.r_[0, np.cumsum(x)] for x in (log_n, log_n - m.norm[c], n > 0))
+        sums, emits, known = (np.r_[0, np.cumsum(x)] for x in (log_n, m.emission(c, n), n > 0))
         ends = np.cumsum(lengths)
         starts = ends - lengths
         held_classes = c.tobytes()
@@ -473,30 +529,42 @@ def _sequence(held):
 
 
 def _steps(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class before, class, document) of each token; before a text's first one stands k + 1."""
+    """(state before, class, document) of each token.
+
+    A state is the class before, k + 2 at the start of a text, or, after words seen once or never,
+    k + 3 and the last state that was none of these.
+    """
     c = np.frombuffer(b"".join(column.to_pylist()), "u1").astype(np.int64)
     ends = np.flatnonzero(c == k)
-    before = np.r_[k + 1, c[:-1]] if len(c) else c
-    before[ends[:-1] + 1] = k + 1
+    first = np.zeros(len(c), bool)
+    first[:1] = True
+    first[ends[:-1] + 1] = True
+    told = c <= k
+    last = np.where(told, c, k + 2)[np.maximum.accumulate(np.where(told | first, np.arange(len(c)), 0))]
+    before = np.r_[k + 2, np.where(told, c, k + 3 + last)[:-1]] if len(c) else c
+    before[first] = k + 2
     return before, c, np.repeat(np.arange(len(ends)), np.diff(np.r_[-1, ends]))
 
 
 def transitions(rows: DataFrame, k: int) -> np.ndarray:
-    """log10 P(class | class before), by the class sequences of training documents; the last row is a text's start."""
+    """P(class | state), by the class sequences of training documents; smoothed with the classes' own frequencies by how many classes follow a state."""
+    shape = (2 * k + 6, k + 2)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((k + 2, k + 1), dtype=np.int64)
+        total = np.zeros(shape, dtype=np.int64)
         for b in batches:
             if len(b):
                 before, c, _ = _steps(b.column(0), k)
-                total += _pairs(before, c, total.shape)
+                total += _pairs(before, c, shape)
         x, y = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()), pa.array(y, pa.int32()), pa.array(total[x, y])], ["x", "y", "n"])
 
-    seen = np.zeros((k + 2, k + 1))
-    for x, y, n in rows.where("not held_out").select("classes").mapInArrow(tidy(count), "x int, y int, n long").groupBy("x", "y").agg(F.sum("n")).collect():  # one for each pair of classes
+    seen = np.zeros(shape)
+    for x, y, n in rows.where("not held_out").select("classes").mapInArrow(tidy(count), "x int, y int, n long").groupBy("x", "y").agg(F.sum("n")).collect():  # one for each pair of state and class
         seen[x, y] = n
-    return np.log10((seen + 0.5) / (seen + 0.5).sum(axis=1, keepdims=True))
+    share = (seen.sum(axis=0) + 0.5) / (seen.sum(axis=0) + 0.5).sum()
+    kinds = (seen > 0).sum(axis=1, keepdims=True) + 1
+    return (seen + kinds * share) / (seen.sum(axis=1, keepdims=True) + kinds)
 
 
 def class_sequences(df: DataFrame, held_out: Column, scorer: Scorer, others: DataFrame, parts: int, id_col: str, text_col: str) -> DataFrame:
@@ -517,7 +585,8 @@ def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
     scorer, others, parts, total = fit(df, ~held_out, text_col, **options)
     rows = class_sequences(df, held_out, scorer, others, parts, id_col, text_col)
     k = scorer.classes.k
-    after = df.sparkSession.sparkContext.broadcast(transitions(rows, k))
+    p = transitions(rows, k)
+    after = df.sparkSession.sparkContext.broadcast(np.log10(np.c_[p, p @ scorer.share_unseen()]))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
