@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm.common import crc_of_id, small_batches
+from strata.oracles import CRC_SQL, CRC_TABLE
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,10 +137,6 @@ WITH docs AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM docu
 SELECT d.doc_id, coalesce(n, 0) AS n_words, coalesce(r, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM documents d LEFT JOIN summed s ON s.doc_id = d.doc_id"""
 
 
-#: SQL: the table of crc32, one number for each byte; and the crc32 of the bytes whose hex digits are {0}, with that table in the column `crcs`.
-CRC_TABLE = "SELECT list(r ORDER BY b) AS crcs FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda v, _: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END) AS r FROM (SELECT unnest(range(256)) AS b))"
-CRC_SQL = "xor(4294967295, list_reduce(list_prepend(4294967295, [CAST('0x' || substr({0}, 2 * k + 1, 2) AS BIGINT) FOR k IN range(length({0}) // 2)]), lambda c, x: xor(c >> 8, crcs[1 + (xor(c, x) & 255)])))"
-
 IMPORTANCE_SQL = f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
   ones AS (SELECT r, unnest(w) AS f FROM docs),
