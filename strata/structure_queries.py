@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata import oracles
-from strata.operators import graphs, index, parse, sentences
+from strata.operators import embedding, graphs, index, parse, rank, sentences
 from strata.queries import TERMS, query, rounded, table
 
 ORACLES: dict[str, str] = {}
@@ -155,6 +155,35 @@ def postings_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["postings_topk"] = oracles.ORACLES["lexical_topk"]
 
+
+
+@query
+def benchmark_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the first half of each benchmark text finds the text, by a hashed embedding fitted on all of them."""
+    rows = table(spark, sf_dir, "benchmark")
+    embed = embedding.HashedModel.fit(rows, "text", 4096, 64).embedder()
+    vectors = rows.select("item_id", embed(F.col("text")).alias("vector"))
+    half = F.substring("text", F.lit(1), (F.length("text") / 2).cast("int"))
+    asked = rows.select(F.col("item_id").alias("query_id"), embed(half).alias("query_vector"))
+    run = rank.dense_top_each(vectors, asked, 10, "item_id", "vector").select("query_id", F.col("item_id").alias("id"), "rank")
+    relevant = rows.select(F.col("item_id").alias("query_id"), F.col("item_id").alias("id"))
+    found = rank.retrieval_metrics(run, relevant)
+    return found.select(*(F.round(c, 4).alias(c) for c in found.columns))
+
+
+_WORDS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+')"
+ORACLES["benchmark_retrieval"] = f"""
+WITH t AS (SELECT item_id, 0 AS half, {_WORDS.format("text")} AS w FROM benchmark UNION ALL SELECT item_id, 1, {_WORDS.format("left(text, CAST(floor(length(text) / 2) AS INT))")} FROM benchmark),
+  f AS (SELECT item_id, half, unnest(w) AS word FROM t),
+  k AS (SELECT word, {oracles.CRC_SQL.format("h")} % 4096 AS b FROM (SELECT DISTINCT word, hex(encode(word)) AS h FROM f), ({oracles.CRC_TABLE})),
+  d AS (SELECT b, ln((SELECT count(*) FROM benchmark) + 1.0::DOUBLE) - ln(count(DISTINCT item_id) + 1.0::DOUBLE) AS weight FROM f JOIN k USING (word) WHERE half = 0 GROUP BY b),
+  v AS (SELECT item_id, half, b % 64 AS dim, sum(CASE WHEN (b // 64) % 2 = 0 THEN weight ELSE -weight END) AS x FROM f JOIN k USING (word) JOIN d USING (b) GROUP BY 1, 2, 3),
+  n AS (SELECT item_id, half, sqrt(sum(x * x)) AS n FROM v GROUP BY 1, 2),
+  s AS (SELECT a.item_id AS q, c.item_id AS i, sum(a.x * c.x) / (any_value(na.n) * any_value(nc.n)) AS s FROM v a JOIN v c ON a.dim = c.dim JOIN n na ON na.item_id = a.item_id AND na.half = 1 JOIN n nc ON nc.item_id = c.item_id AND nc.half = 0 WHERE a.half = 1 AND c.half = 0 GROUP BY 1, 2),
+  r AS (SELECT q, i, row_number() OVER (PARTITION BY q ORDER BY s DESC, i) AS rank FROM s),
+  m AS (SELECT item_id, rank FROM benchmark LEFT JOIN r ON q = item_id AND i = item_id AND rank <= 10)
+SELECT round(avg(CASE WHEN rank <= 5 THEN 1.0::DOUBLE ELSE 0 END), 4) AS recall_5, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 4) AS mrr_10, round(avg(coalesce(1.0::DOUBLE / log2(rank + 1), 0)), 4) AS ndcg_10, round(avg(CASE WHEN rank <= 3 THEN 1.0::DOUBLE / 3 ELSE 0 END), 4) AS p_3 FROM m"""
+
 # Splitters (U5, U6, U7, U11; their queries are in queries and store_queries)
 
 _DOT = "chr(64976)"
