@@ -2,11 +2,17 @@
 
 Sources weigh 5, 2, 1, repeating, by code point order (null last) and share the words of
 the whole corpus; a target is at most `most` times its source, and the excess is shared
-again. Each source's documents, shuffled by a hash of their id, form one line of words
-that is cut into blocks of equal size and starts anew when used up. A van der Corput
-sequence mapped through the cumulative weights names the source of each slot; a
-slot's rank among its source's slots names the block. Ranks have a closed form, so that
-no task ever sees a source as a whole.
+again. The mix is a run of equal slots, as many as it takes to hold the corpus. The point of
+each slot in a van der Corput sequence, mapped through the cumulative targets, names its
+source; any stretch of slots has each source about as often as its target says, and so does
+the whole (but for a few slots, at most about the logarithm of their number, which is 65,536
+or more unless the corpus has fewer words).
+
+Each source's documents, shuffled by a hash of their id, form one line of words that is cut
+into blocks of a slot's size and starts anew when used up. A slot's rank among its source's
+slots names the block that it takes; what no slot names isn't taken, nor is a
+document more than `most` times. Ranks have a closed form, so that no task ever sees a
+source as a whole.
 
 Null texts have size 0 and are taken 0 times. A null source is a source of its own. Rows
 that repeat an id are placed one by one. An empty table gives an empty result. The
@@ -19,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import running_sum
+from strata.llm.common import materialize, running_sum
 from strata.llm.textvec import slices, tidy
 
 WEIGHTS = (5, 2, 1)
@@ -77,49 +83,75 @@ def points_below(n: np.ndarray, c: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def schedule(spark, slots: list[int]) -> DataFrame:
-    """slot, source (an index into `slots`), rank: `slots[s]` slots of each source s, spread evenly over time."""
-    edges = np.concatenate([[0], np.cumsum(np.array(slots, dtype=np.int64))]) if slots else np.zeros(1, np.int64)
-    total = int(edges[-1])
-    bits = max(1, (total - 1).bit_length()) if total else 1
+def cumulative(targets_: list[float], bits: int) -> np.ndarray:
+    """The cumulative shares of the targets, times 2^bits."""
+    total = sum(targets_)
+    sums = np.concatenate([[0.0], np.cumsum(np.array(targets_, dtype=float))])
+    edges = np.round(sums / total * (1 << bits)).astype(np.int64) if total else np.zeros(len(sums), np.int64)
+    edges[-1] = (1 << bits) if total else 0
+    return edges
+
+
+def bits_of(slots: int) -> int:
+    """Bits of the points: as many as tell the slots and, for fine shares, 32 at least."""
+    return max(32, slots.bit_length())
+
+
+def schedule(spark: SparkSession, targets_: list[float], slots: int) -> DataFrame:
+    """slot, source_no (an index into the targets), rank: the source that each of the first `slots` points names, and how many slots before name it too."""
+    bits = bits_of(slots)
+    edges = cumulative(targets_, bits)
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = np.asarray(b.column(0)).astype(np.int64)
-            point = reverse_bits(n, bits)
-            n, point = n[point < total], point[point < total]
-            source = np.searchsorted(edges, point, "right") - 1
+            source = np.searchsorted(edges, reverse_bits(n, bits), "right") - 1
             rank = points_below(n, edges[source + 1], bits) - points_below(n, edges[source], bits)
             yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(source.astype(np.int32)), pa.array(rank)], ["slot", "source_no", "rank"])
 
-    return spark.range(1 << bits if total else 0).mapInArrow(tidy(name), "slot long, source_no int, rank long")
+    return spark.range(slots if edges[-1] else 0).mapInArrow(tidy(name), "slot long, source_no int, rank long")
 
 
-def mix(df: DataFrame, block_words: int = 1024, most: int = 3, weights: tuple[int, ...] = WEIGHTS, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", buckets: int = 256) -> tuple[DataFrame, DataFrame]:
+def slots_of(targets_: list[float], slots: int) -> list[int]:
+    """How many of the slots name each source."""
+    bits = bits_of(slots)
+    edges = cumulative(targets_, bits)
+    below = points_below(np.full(len(edges), slots, np.int64), edges, bits)
+    return np.diff(below).tolist()
+
+
+def mix(df: DataFrame, block_words: int = 1024, least_slots: int = 1 << 16, most: int = 3, weights: tuple[int, ...] = WEIGHTS, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, uses).
 
-    documents: doc_id, source, size, source_size, target, taken. uses: slot, doc_id,
-    from_word, to_word, one row for each part of a document that a slot's block holds.
+    documents: doc_id, source, size, source_size, target, taken, first_slot (the first slot
+    that takes of it; null if none does). uses: slot, doc_id, from_word, to_word, one row for
+    each part of a document that a slot's block holds. A slot has `block_words` words, or
+    fewer, so that there are `least_slots`. buckets: into how many a source's line is cut to be
+    added up, by default one for each 200,000 rows and 256 at least.
     """
-    from strata.llm.common import materialize
-
     spark = df.sparkSession
     sized = materialize(word_counts(df, id_col, text_col, source_col).withColumnRenamed(source_col, "source"))
-    sizes = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()}
+    held = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()
+    sizes = {r["source"]: r["n"] for r in held}
     aim = targets(sizes, weights, most)
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    words = {s: int(aim[s] + 1e-6) for s in order}
+    aims, total = [aim[s] for s in order], sum(sizes.values())
+    block = max(1, min(block_words, total // least_slots))
+    slots = -(-total // block)
+    named = slots_of(aims, slots)
     kind = sized.schema["source"].dataType.simpleString()
-    table = spark.createDataFrame([(s, i, sizes[s], float(aim[s]), words[s]) for i, s in enumerate(order)], f"source {kind}, source_no int, source_size long, target double, words long")
+    table = spark.createDataFrame([(s, i, sizes[s], float(aim[s]), named[i] * block) for i, s in enumerate(order)], f"source {kind}, source_no int, source_size long, target double, words long")
     docs = sized.join(table, sized["source"].eqNullSafe(table["source"])).drop(table["source"])
+    buckets = buckets or max(256, sum(r["rows"] for r in held) // 200_000)
     docs = running_sum(docs.withColumn("_key", F.xxhash64("doc_id", "size", F.lit(seed))), ["source_no"], "_key", "size", "start", buckets).withColumn("_row", F.xxhash64("_key", "start"))
     docs = materialize(docs.drop("_key"))
     lap = F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("lap")
     lines = docs.where("size > 0").select("doc_id", "_row", "source_no", "source_size", "size", "start", "words", lap)
+    # what lies beyond the words of the source's slots could meet none of them
     lines = lines.withColumn("lo", F.expr("start + lap * source_size")).withColumn("hi", F.expr("least(lo + size, words)")).where("lo < hi")
-    blocks = lines.withColumn("rank", F.explode(F.expr(f"sequence(lo div {block_words}, (hi - 1) div {block_words})")))
-    blocks = blocks.withColumn("from_word", F.expr(f"greatest(lo, rank * {block_words}) - lo")).withColumn("to_word", F.expr(f"least(hi, (rank + 1) * {block_words}) - lo"))
-    uses = blocks.join(schedule(spark, [-(-words[s] // block_words) for s in order]), ["source_no", "rank"]).select("slot", "doc_id", "_row", "from_word", "to_word")
-    taken = uses.groupBy("_row").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
-    out = docs.join(taken, "_row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    blocks = lines.withColumn("rank", F.explode(F.expr(f"sequence(lo div {block}, (hi - 1) div {block})")))
+    blocks = blocks.withColumn("from_word", F.expr(f"greatest(lo, rank * {block}) - lo")).withColumn("to_word", F.expr(f"least(hi, (rank + 1) * {block}) - lo"))
+    uses = blocks.join(schedule(spark, aims, slots), ["source_no", "rank"]).select("slot", "doc_id", "_row", "from_word", "to_word")
+    taken = uses.groupBy("_row").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"), F.min("slot").alias("first_slot"))
+    out = docs.join(taken, "_row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "first_slot")
     return out, uses.drop("_row")

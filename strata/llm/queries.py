@@ -52,7 +52,7 @@ def op5_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strata.llm import mixing
 
-    return mixing.mix(documents(spark, sf_dir))[0].select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(documents(spark, sf_dir))[0].select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op7_brown_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from conftest import words
 from strata.llm import mixing, packing, tiff, winnow
@@ -123,32 +124,51 @@ def test_targets():
 
 
 def test_schedule_is_even(spark):
-    slots = [50, 20, 1, 30]
-    rows = mixing.schedule(spark, slots).orderBy("slot").collect()
-    for s, n in enumerate(slots):
-        own = [r["slot"] for r in rows if r["source_no"] == s]
-        assert [r["rank"] for r in rows if r["source_no"] == s] == list(range(n))
-        for k, at in enumerate(own):
-            assert abs((k + 0.5) / n - at / 128) < 8 / n + 0.1
-    assert mixing.schedule(spark, []).count() == 0
-
-
-def test_mixing(frame, empty):
-    out, uses = mixing.mix(frame, block_words=16, buckets=4)
+    """Each source has its share of every stretch of slots, and ranks count on."""
+    aims = [50.0, 20.0, 0.0, 1.0, 29.0]
+    rows = mixing.schedule(spark, aims, 1000).orderBy("slot").collect()
+    assert [r["slot"] for r in rows] == list(range(1000)) and mixing.slots_of(aims, 1000) == [sum(r["source_no"] == s for r in rows) for s in range(5)]
+    for s, aim in enumerate(aims):
+        own = [r for r in rows if r["source_no"] == s]
+        assert [r["rank"] for r in own] == list(range(len(own)))
+        for start in range(0, 1000, 125):
+            assert abs(sum(start <= r["slot"] < start + 125 for r in own) - 1.25 * aim) <= 8
+        assert abs(len(own) - 10 * aim) <= 6
+    assert mixing.schedule(spark, [], 0).count() == 0 and mixing.schedule(spark, [0.0], 0).count() == 0
+
+
+def test_mixing(spark, frame, empty):
+    """Each document's words, and its first slot, by going through the slots one after the other."""
+    out, uses = mixing.mix(frame, block_words=16, least_slots=200, buckets=4)
     rows = out.collect()
     text = {r["doc_id"]: r["text"] for r in frame.collect()}
     assert len(rows) == frame.count()
     by = {}
     for r in rows:
         assert r["size"] == len(words(text[r["doc_id"]])) and r["taken"] <= 3 * r["size"]
-        x = by.setdefault(r["source"], [0, 0, r["target"], r["source_size"]])
-        x[0] += r["taken"]
-        x[1] += r["size"]
-    want = mixing.targets({s: x[1] for s, x in by.items()})
-    for s, (taken, size, target, source_size) in by.items():
-        assert size == source_size and target == pytest.approx(want[s]) and abs(taken - target) <= 1
-    key = lambda r: (str(r["doc_id"]), r["taken"])
-    assert sorted(map(key, rows)) == sorted(map(key, mixing.mix(frame.repartition(2), block_words=16, buckets=4)[0].collect()))
+        by.setdefault(r["source"], []).append(r)
+    sizes = {s: sum(r["size"] for r in own) for s, own in by.items()}
+    want, total = mixing.targets(sizes), sum(sizes.values())
+    block = max(1, min(16, total // 200))
+    keys = {(r["doc_id"], r["size"]): r["k"] % 2**64 for r in out.select("doc_id", "size", F.xxhash64("doc_id", "size", F.lit(17)).alias("k")).collect()}
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    lines = {s: [(place, word) for lap in range(3) for place, r in enumerate(sorted(own, key=lambda r: keys[r["doc_id"], r["size"]])) for word in range(r["size"])] for s, own in by.items()}
+    taken, first, at = {}, {}, dict.fromkeys(order, 0)
+    edges = [sum(want[s] for s in order[: i + 1]) / total for i in range(len(order))]
+    slots = -(-total // block)
+    for slot in range(slots):
+        point = sum((slot >> j & 1) / 2 ** (j + 1) for j in range(32))
+        s = next((s for s, e in zip(order, edges, strict=True) if point < round(e * 2**32) / 2**32), order[-1])
+        for place, _ in lines[s][at[s] : at[s] + block]:
+            taken[s, place] = taken.get((s, place), 0) + 1
+            first.setdefault((s, place), slot)
+        at[s] += block
+    for s, own in by.items():
+        line = sorted(own, key=lambda r: keys[r["doc_id"], r["size"]])
+        assert sorted((str(r["doc_id"]), r["size"], r["taken"], str(r["first_slot"])) for r in line) == sorted((str(r["doc_id"]), r["size"], taken.get((s, i), 0), str(first.get((s, i)))) for i, r in enumerate(line))
+        assert all(r["target"] == pytest.approx(want[s]) and r["source_size"] == sizes[s] for r in own) and abs(sum(r["taken"] for r in own) - want[s]) <= block * (slots.bit_length() + 1)
+    key = lambda r: (str(r["doc_id"]), r["taken"], r["first_slot"])
+    assert sorted(map(str, map(key, rows))) == sorted(map(str, map(key, mixing.mix(frame.repartition(2), block_words=16, least_slots=200, buckets=4)[0].collect())))
     assert all(r["from_word"] < r["to_word"] for r in uses.collect()) and mixing.mix(empty)[0].count() == 0
 
 
