@@ -32,6 +32,28 @@ def positive_project(meta: Column, fallback: int | None = None) -> Column:
     return F.coalesce(F.when(own > 0, own), F.lit(fallback).cast("bigint"))
 
 
+def resolved(explicit: Column, meta: Column, env: Column, default: str) -> Column:
+    """C7 for columns: the explicit value if there is one, else the metadata's if it isn't blank (trimmed), else the environment's, else the default."""
+    held = F.nullif(F.trim(meta), F.lit(""))
+    return F.coalesce(explicit, held, env, F.lit(default))
+
+
+INTEGER = r"^\s*[+-]?[0-9]{1,18}\s*$"
+
+
+def hits_wanted(value: Column, default: int = 5) -> Column:
+    """F16 for a text column: a whole number from 1 to 100; anything else counts as not given."""
+    n = F.when(value.rlike(INTEGER), F.trim(value).cast("bigint"))
+    return F.when(n.between(1, 100), n).otherwise(F.lit(default).cast("bigint"))
+
+
+def project_asked(value: Column) -> Column:
+    """F16 for a text column: struct(id, error): null and blank ask for no project, and what is no whole number is an error."""
+    blank = F.coalesce(F.trim(value), F.lit("")) == ""
+    n = F.when(value.rlike(INTEGER), F.trim(value).cast("bigint"))
+    return F.struct(n.alias("id"), F.when(~blank & n.isNull(), "bad_request").alias("error"))
+
+
 def first_set(*values: str | None, default: str = "") -> str:
     """The first that is neither None nor blank."""
     return next((v for v in values if v and v.strip()), default)

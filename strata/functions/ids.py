@@ -84,3 +84,9 @@ VECTOR_SIZES = {"text-embedding-3-small": 1536, "text-embedding-3-large": 3072,
 
 def vector_size(model: str, default: int = 1536) -> int:
     return VECTOR_SIZES.get(model, default)
+
+
+def vector_size_of(model: Column, default: int = 1536) -> Column:
+    """H9 for a column of model names."""
+    known = F.create_map(*(F.lit(x) for pair in VECTOR_SIZES.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, F.coalesce(model, F.lit(""))), F.lit(default))

@@ -101,9 +101,10 @@ def roots(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id") -
 
 
 def nodes(l1: DataFrame, project_id: int) -> DataFrame:
-    """Id, title, source_type, document of a project's snapshots, by creation, then id."""
+    """Id, title, source_type, document of a project's snapshots, and their position (from 1) by creation, then id."""
     own = l1.where(F.col("project_id") == project_id)
-    return own.orderBy("created_at", "l1_id").select(F.col("l1_id").alias("id"), "title", "source_type", F.col("doc_key").alias("document_id"), "created_at")
+    place = F.row_number().over(Window.partitionBy("project_id").orderBy("created_at", "l1_id"))
+    return own.select(F.col("l1_id").alias("id"), "title", "source_type", F.col("doc_key").alias("document_id"), "created_at", place.alias("position")).orderBy("position")
 
 
 def unsynced(l1: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.functions.text import HANGUL_ALL
+from strata.functions.text import HANGUL_ALL, let
 
 # Words that are no search terms.
 STOP = frozenset("a an the of in on at to is or".split())
@@ -73,6 +73,21 @@ def search_terms(query: str) -> list[str]:
     return list(out)
 
 
+def terms(query: Column) -> Column:
+    """F10, X11, X12 for a column: as search_terms, natively; null queries have no terms."""
+
+    def is_term(t: Column) -> Column:
+        ascii_n, hangul_n = F.length(F.regexp_replace(t, "[^A-Za-z0-9]", "")), F.length(F.regexp_replace(t, f"[^{HANGUL_ALL}]", ""))
+        return ~t.isin(*STOP) & (F.length(t) >= 2) & (ascii_n > 0) & (ascii_n >= (ascii_n + hangul_n) * 0.6)
+
+    def each(raw: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(raw, r"^[^a-z0-9가-힣\-_.]+|[^a-z0-9가-힣\-_.]+$", ""), f"[{HANGUL_ALL}]+$", "")
+        return let(bare, lambda t: F.when(is_term(t), F.concat(F.array(t), F.filter(F.split(t, "[-_]"), is_term))).otherwise(F.array().cast("array<string>")))
+
+    raw = F.split(F.lower(F.trim(F.coalesce(query, F.lit("")))), r"[\s,()\[\]{}?!#@=><|&]+")
+    return F.array_distinct(F.flatten(F.transform(raw, each)))
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters, digits and _, and the compounds of such runs with hyphens."""
     lowered = F.lower(F.coalesce(text, F.lit("")))

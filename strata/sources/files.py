@@ -86,3 +86,17 @@ def as_records(files: DataFrame, project_id: int = 0) -> DataFrame:
     path = F.create_map(F.lit("path"), F.col("path"))
     meta = F.map_concat(F.map_filter("source_metadata", lambda k, v: k != "path"), path)
     return rows.select("title", "content", meta.alias("source_metadata"), "domain", F.lit(project_id).cast("bigint").alias("project_id"))
+
+
+def write_texts(df: DataFrame, root: str, name: str, content: str, file_name: str) -> None:
+    """A file for each row: root/NAME=value/file_name, by the values of the column `name`, with a line feed after the content.
+
+    Spark's text writer writes them, whatever their number, and each is then renamed; only names come to the driver.
+    """
+    spark = df.sparkSession
+    df.select(name, F.col(content).alias("value")).repartition(name).write.partitionBy(name).mode("append").text(root)
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}=*/part-*")
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.globStatus(place) or []:
+        old = status.getPath()
+        fs.rename(old, spark._jvm.org.apache.hadoop.fs.Path(old.getParent(), file_name))

@@ -79,25 +79,15 @@ PROSE = "'# ' || doc || chr(10) || 'Parts of the brand. See v1.2.3 of list.md!'
 RULE = "'| --- | ---: |'"
 
 STORE_ORACLES: dict[str, str] = {
-    "file_records": values(
-        "path, title, content, tags, domain, project_id",
-        ("a-first_page.markdown", "A First Page", "no head\n", None, "wiki", 7), ("b/broken.md", "Broken", "bytes �� that are none\n", None, "wiki", 7), ("b/deep/er/x.rs", "b/deep/er/x.rs", "fn main() {}\n", None, "code", 7), ("b/notes.md", "The notes", "# One\ntext é\n", "x", "wiki", 7),
-        ("code/main.go", "code/main.go", "package main\n", None, "code", 7), ("code/main.py", "code/main.py", "import os\n\n\ndef f(x):\n    return x\n", None, "code", 7),
-    ),
-    "domain_chunks": values("title, chunks, type, ok, message", ("wiki", 1, "heading", True, ""), ("code", 2, "code", True, ""), ("pdf", 1, "heading", True, ""), ("video", 0, "", False, "unknown domain: video")),
-    "store_catalog": values("table_name, present", *((n, n == "documents") for n in ("projects", "documents", "l1", "l2", "l3", "keywords", "l1_vectors", "l3_vectors", "edges", "versions", "collections"))),
     "ingest_documents": f"WITH {HIER} SELECT doc_key, {folded('sha256(doc_key)')} AS machine_id, 7::BIGINT AS project_id, title, title AS path, 'md' AS source_type, content_hash, l1_id AS current_l1_id, 1 AS version FROM d",
     "ingest_snapshots": f"WITH {HIER} SELECT l1_id, doc_key, 7::BIGINT AS project_id, content_hash, l2_child_hash, toc, true AS created, false AS synced FROM d JOIN kids USING (l1_id) JOIN tocs USING (l1_id)",
     "ingest_sections": f"""WITH {HIER} SELECT l2_id, l1_id, section_id, parent_id, sort_order, 'heading' AS section_type, path, text, '{{"block_type": "heading"}}' AS source_metadata, sha256(text) AS summary_hash, summary, CASE WHEN head IS NOT NULL THEN {natural("l2_id", "'0'")} END AS title_id, l3_child_hash FROM l2b JOIN brief USING (l2_id) LEFT JOIN sums USING (l2_id)""",
     "ingest_atoms": f"WITH {HIER} SELECT l3_id, l2_id, l1_id, parent_id, sort_order, content, sha256(content) AS content_hash, embedded FROM l3",
     "ingest_document_vectors": f"WITH {HIER}, v AS (SELECT l1_id, {unit(chr(39) + 'passage: ' + chr(39) + ' || title || chr(10) || substr(content, 1, 500)')} AS v FROM d) SELECT l1_id, 7::BIGINT AS project_id, CAST(len(v) AS INT) AS size, round(list_sum(list_transform(v, lambda x: CAST(x AS DOUBLE))), 5) AS total FROM v",
     "ingest_atom_vectors": f"""WITH {HIER}, v AS (SELECT *, {unit("'passage: ' || content")} AS v, len(list_distinct(list_filter(regexp_extract_all(lower(content), '[a-z0-9][a-z0-9_-]{{2,}}'), lambda k: length(k) >= 4))) AS k FROM l3 WHERE embedded) SELECT {uuid('sha256(l3_id)')} AS point_id, l1_id, l2_id, l3_id, section_id, 'heading' AS section_type, 'md' AS source_type, 7::BIGINT AS project_id, CAST(k AS INT) AS keywords, round(list_sum(list_transform(v, lambda x: CAST(x AS DOUBLE))), 5) AS total FROM v""",
-    "vector_collections": values("name, size, distance, refused", ("l1_vectors", 36, "cosine", True), ("l3_vectors", 36, "cosine", True)),
     "ingest_edges": f"WITH {HIER} SELECT '/' AS src, 'directory' AS src_type, l1_id AS dst, 'file' AS dst_type, 7::BIGINT AS project_id, 'contains' AS rel FROM d UNION ALL SELECT l1_id, 'file', l2_id, 'section', 7, 'contains' FROM l2b UNION ALL SELECT l2_id, 'section', l3_id, 'chunk', 7, 'contains' FROM l3",
-    "pipeline_versions": "SELECT 1::BIGINT AS id, 'masked-1' AS name, '{}' AS metadata",
     "sync_marks": f"WITH {HIER} SELECT l1_id, title FROM d WHERE doc % 2 = 1",
     "reset_and_ingest_again": f"WITH {HIER}, n AS (SELECT (SELECT count(*) FROM d) AS d, (SELECT count(*) FROM l2b) AS s) SELECT 'first' AS step, d AS written, 0::BIGINT AS skipped, 0::BIGINT AS failed FROM n UNION ALL SELECT 'other', d, 0, 0 FROM n UNION ALL SELECT 'again', 0, d, 0 FROM n UNION ALL SELECT 'after reset', d, 0, 0 FROM n UNION ALL SELECT 'gone and left', s, s, d FROM n",
-    "project_nodes": "SELECT o_orderkey AS id, o_orderpriority AS title, o_orderstatus AS source_type FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders)",
     "project_audit": "SELECT CAST(n_nationkey AS VARCHAR) AS doc_key, CAST(n_regionkey AS BIGINT) AS project_id, r_name AS root_path, r_regionkey AS project_machine_id FROM nation JOIN region ON n_regionkey = r_regionkey",
     "section_versions": "WITH e AS (SELECT user_id, event_type, event_id, floor(value / 50) AS t, lag(floor(value / 50)) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY event_id)) SELECT user_id AS l1_id, event_type AS section_id, event_id AS chunk_no, CAST(row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS INT) AS section_version FROM e WHERE b IS NULL OR b <> t",
     "search_store": f"WITH {found(ASKED, 10)} SELECT rank, l3_id, score, l1_title, section_heading, matched_content, breadcrumb, surrounding_context FROM hits",
@@ -109,11 +99,6 @@ STORE_ORACLES: dict[str, str] = {
     "restore_documents": f"WITH {HIER}, b AS (SELECT l1_id, sec, coalesce(head, '') || CASE WHEN head IS NOT NULL AND len(p) > 0 THEN chr(10) || chr(10) ELSE '' END || array_to_string(p, ' ') AS block FROM l2b JOIN said USING (l2_id)) SELECT l1_id, title, string_agg(block, chr(10) || chr(10) ORDER BY sec) AS content FROM b JOIN d USING (l1_id) GROUP BY 1, 2",
     "restore_code_sections": f"WITH {CODE}, n AS (SELECT *, sum(CAST(is_anchor AS INT)) OVER (PARTITION BY doc ORDER BY line_num) AS g, max(CAST(is_anchor AS INT)) OVER (PARTITION BY doc) AS a FROM code) SELECT CAST(doc AS VARCHAR) AS title, CASE WHEN a = 0 THEN 'f1' WHEN g = 0 THEN 'pre' ELSE 'fn' || CAST(g AS BIGINT) END AS section_id, string_agg(content, chr(10) ORDER BY line_num) AS content FROM n GROUP BY doc, g, a HAVING g > 0 OR a = 0 OR bool_or(trim(content) <> '')",
     "answer_loop": f"WITH {found(ASKED, 5)}, firsts AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY l2_id ORDER BY rank) = 1), top AS (SELECT * FROM firsts ORDER BY rank LIMIT 1) SELECT 'answered' AS status, 'found' AS answer, 3::BIGINT AS turns, top.l3_id AS source, (SELECT count(*) FROM firsts) AS hits, substr(coalesce(head || chr(10) || chr(10), '') || array_to_string(p, ' '), 1, 3000) AS restored FROM top JOIN l2b USING (l2_id) JOIN said USING (l2_id)",
-    "service_states": "SELECT * FROM (VALUES ('empty', 'degraded'), ('filled', 'ok'), ('path:' || substr(sha256('/data/x'), 1, 16), 'succeeded 3'), ('same', 'True'), ('hk:k', 'failed'), ('times', 'True')) AS t(what, state)",
-    "query_terms": values("query, terms", ("The user-id of an API?", "user-id user id api"), ("GraphDB에서 검색을 v1.2_beta", "graphdb v1.2_beta v1.2 beta"), ("to be or not", "be not"), ("", ""), ("a b cc-d", "cc-d cc"), ("한국어 검색", ""), ("(foo) [bar_baz] {x}", "foo bar_baz bar baz")),
-    "checked_parameters": values("given, taken", ("1", "1"), ("7", "7"), ("0", "5"), ("101", "5"), ("100", "100"), ("x", "5"), ("None", "5"), ("project ", "None"), ("project None", "None"), ("project 12", "12"), ("project x", "bad_request")),
-    "settings_cases": values("name, value", ("host", "own"), ("port", "1"), ("collection", "env"), ("vector_name", "None"), ("model", "text-embedding-3-small"), ("first", "b"), ("none", "d"), ("size", "3072"), ("other size", "5"), ("p1", "12"), ("p2", "9"), ("p3", "9"), ("p4", "9")),
-    "json_cases": values("id, json, b, summary", (1, '{"a":"x","b":[1,2]}', "[1,2]", "bytes é"), (2, "{}", None, "bad �"), (3, "{}", None, ""), (4, "[1]", None, "")),
     "single_toc": "SELECT r_regionkey, 'document' AS text, 1 AS level, 's0' AS section_id, 'document' AS path FROM region",
     "toc_trees": f"""WITH {REGION_MD}, n AS (SELECT n_regionkey, string_agg('{{"text":"' || n_name || '","level":2,"children":[{{"text":"Notes","level":3}}]}}', ',' ORDER BY n_nationkey) AS c FROM nation GROUP BY 1) SELECT r_regionkey AS doc, '[{{"text":"' || r_name || '","level":1' || coalesce(',"children":[' || c || ']', '') || '}}]' AS toc FROM region LEFT JOIN n ON n_regionkey = r_regionkey""",
     "toc_of_code": f"WITH {CODE} SELECT doc, line_num, regexp_extract(content, '^def (\\w+)', 1) AS text, 2 AS level, node_type FROM code WHERE is_anchor",
@@ -134,3 +119,34 @@ STORE_ORACLES: dict[str, str] = {
 }
 
 STORE_ORACLES |= structure_queries.ORACLES
+STORE_ORACLES |= {
+    "file_records": f"""WITH {REGION_MD} SELECT 'name=b-' || doc || '/page.md' AS path, 'Region ' || doc AS title, content || chr(10) AS content, 'x' AS tags, 'wiki' AS domain, 7::BIGINT AS project_id FROM md
+      UNION ALL SELECT 'name=code-' || doc || '/main.py', 'name=code-' || doc || '/main.py', content || chr(10), NULL, 'code', 7 FROM (WITH {CODE} SELECT * FROM src)""",
+    "domain_chunks": "SELECT n_name AS title, CASE n_regionkey WHEN 1 THEN 2 WHEN 3 THEN 0 ELSE 1 END AS chunks, CASE n_regionkey WHEN 1 THEN 'code' WHEN 3 THEN '' ELSE 'heading' END AS type, n_regionkey <> 3 AS ok, CASE WHEN n_regionkey = 3 THEN 'unknown domain: video' ELSE '' END AS message FROM nation",
+    "store_catalog": f"WITH {HIER} SELECT t AS table_name, t <> 'projects' AS present, CASE t WHEN 'documents' THEN (SELECT count(*) FROM d) WHEN 'l1' THEN (SELECT count(*) FROM d) WHEN 'l2' THEN (SELECT count(*) FROM l2b) WHEN 'l3' THEN (SELECT count(*) FROM l3) END AS n, t = 'documents' AS again FROM (SELECT unnest(['projects', 'documents', 'l1', 'l2', 'l3', 'keywords', 'l1_vectors', 'l3_vectors', 'edges', 'versions', 'collections']) AS t)",
+    "vector_collections": f"WITH {HIER} SELECT 'l1_vectors' AS name, 36 AS size, 'cosine' AS distance, true AS refused, count(*) AS vectors FROM d UNION ALL SELECT 'l3_vectors', 36, 'cosine', true, count(*) FROM l3 WHERE embedded",
+    "pipeline_versions": "SELECT 1::BIGINT AS id, 'masked-1' AS name, '{}' AS metadata, count(*) AS snapshots FROM region",
+    "project_nodes": "SELECT o_orderkey AS id, o_orderpriority AS title, o_orderstatus AS source_type, CAST(row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS INT) AS position FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders)",
+    "service_states": "SELECT * FROM (VALUES ('snapshots', CAST((SELECT count(*) FROM region) AS VARCHAR)), ('empty', 'degraded'), ('filled', 'ok'), ('path:' || substr(sha256('/data/x'), 1, 16), 'succeeded 3'), ('same', 'True'), ('hk:k', 'failed'), ('times', 'True')) AS t(what, state)",
+    "query_terms": r"""WITH q AS (SELECT item_id, string_split_regex(lower('Of the text-item ' || item_id || '_x: ' || text || ' (end) v1.2_beta?'), '[\s,()\[\]{}?!#@=><|&]+') AS raw FROM benchmark),
+      bare AS (SELECT item_id, list_transform(raw, lambda x: regexp_replace(x, '^[^a-z0-9_.-]+|[^a-z0-9_.-]+$', '', 'g')) AS b FROM q),
+      every AS (SELECT item_id, flatten(list_transform(list_filter(b, lambda t: length(t) >= 2 AND t NOT IN ('a', 'an', 'the', 'of', 'in', 'on', 'at', 'to', 'is', 'or') AND length(regexp_replace(t, '[^a-z0-9]', '', 'g')) > 0),
+        lambda t: list_prepend(t, list_filter(string_split_regex(t, '[-_]'), lambda p: length(p) >= 2 AND p NOT IN ('a', 'an', 'the', 'of', 'in', 'on', 'at', 'to', 'is', 'or') AND length(regexp_replace(p, '[^a-z0-9]', '', 'g')) > 0)))) AS e FROM bare),
+      seen AS (SELECT item_id, term, min(i) AS i FROM (SELECT item_id, unnest(e) AS term, unnest(range(len(e))) AS i FROM every) GROUP BY 1, 2)
+      SELECT item_id, string_agg(term, ' ' ORDER BY i) AS terms FROM seen GROUP BY 1""",
+    "checked_parameters": r"""WITH g AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN CAST(user_id AS VARCHAR) WHEN 1 THEN CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) WHEN 2 THEN '' WHEN 3 THEN event_type END AS g FROM events), n AS (SELECT event_id, g, TRY_CAST(CASE WHEN regexp_matches(g, '^[+-]?[0-9]+$') THEN g END AS BIGINT) AS n FROM g)
+      SELECT event_id, CASE WHEN n BETWEEN 1 AND 100 THEN n ELSE 5 END AS hits, n AS project, CASE WHEN g <> '' AND n IS NULL THEN 'bad_request' END AS error FROM n""",
+    "settings_cases": """SELECT c_custkey, coalesce(CASE WHEN c_custkey % 5 = 0 THEN lower(c_mktsegment) END, CASE WHEN c_custkey % 3 = 0 THEN c_name END, CASE WHEN c_custkey % 2 = 0 THEN 'env' || c_nationkey END, 'none') AS host,
+      coalesce(CASE WHEN c_custkey % 5 = 0 THEN lower(c_mktsegment) END, CASE WHEN c_custkey % 3 = 0 THEN ' ' || c_name || ' ' END, CASE WHEN c_custkey % 2 = 0 THEN 'env' || c_nationkey END, '') AS first, CASE WHEN c_custkey % 7 <> 0 AND c_custkey > 50 THEN c_custkey - 50 ELSE 9 END AS project, CASE WHEN c_custkey % 4 = 0 THEN 3072 ELSE 1536 END AS size FROM customer""",
+    "json_cases": """SELECT event_id, CASE event_id % 4 WHEN 0 THEN replace(props, ' ', '') WHEN 2 THEN '[1]' ELSE '{}' END AS json, CASE WHEN event_id % 4 = 0 THEN regexp_extract(props, '"k": ?([0-9]+)', 1) END AS k, event_type || CASE WHEN event_id % 4 = 3 THEN chr(65533) ELSE 'é' END AS summary FROM events""",
+    "search_hybrid": f"""WITH {HIER}, q AS (SELECT {unit(f"'query: {ASKED}'")} AS v),
+      scored AS (SELECT l3.*, {dots("e", "v")} / (sqrt({dots("e", "e")}) * sqrt({dots("v", "v")})) AS ds FROM (SELECT *, {unit("'passage: ' || content")} AS e FROM l3 WHERE embedded) l3, q),
+      dense AS (SELECT l3_id, ds, row_number() OVER (ORDER BY ds DESC, l3_id) - 1 AS dr FROM scored QUALIFY dr < 8),
+      said_ AS (SELECT l3_id, 0.1 * len(list_filter(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}_]+'), lambda t: t IN ('supplier', 'number', 'not', 'here'))) AS ss FROM l3),
+      sparse AS (SELECT l3_id, ss, row_number() OVER (ORDER BY ss DESC, l3_id) - 1 AS sr FROM said_ WHERE ss > 0 QUALIFY sr < 60),
+      fused AS (SELECT l3_id, coalesce(0.5::DOUBLE / (61 + dr), 0) + coalesce(0.5::DOUBLE / (61 + sr), 0) AS f, coalesce(ds, ss) AS score, dr, sr FROM dense FULL JOIN sparse USING (l3_id)),
+      cut AS (SELECT * FROM fused ORDER BY f DESC, dr NULLS LAST, sr NULLS LAST LIMIT 8),
+      best AS (SELECT l3.*, c.score, CAST(row_number() OVER (ORDER BY f DESC, l3_id) AS INT) AS rank FROM cut c JOIN l3 USING (l3_id) QUALIFY rank <= 5),
+      around AS (SELECT b.l3_id, string_agg(a.content, chr(10) || chr(10) ORDER BY a.sort_order) AS surrounding_context FROM best b JOIN l3 a ON a.l2_id = b.l2_id AND a.sort_order BETWEEN b.sort_order - 2000 AND b.sort_order + 2000 GROUP BY 1)
+      SELECT rank, b.l3_id, round(score, 5) AS score, b.title AS l1_title, coalesce(s.head, '') AS section_heading, b.content AS matched_content, '[문서: ' || b.title || '] > [섹션: ' || coalesce(s.head, '(section)') || ']' AS breadcrumb, surrounding_context FROM best b JOIN l2b s ON s.l2_id = b.l2_id JOIN around USING (l3_id)""",
+}

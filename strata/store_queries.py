@@ -5,6 +5,7 @@ The documents of the store are the Markdown of `queries.region_markdown`, one fo
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.errors import PySparkException
@@ -19,7 +20,7 @@ from strata import structure_queries  # noqa: F401  registers its queries
 from strata.queries import QUERIES as QUERIES
 from strata.queries import customer_tables, nation_code, part_markdown, query, region_markdown, table
 from strata.sources import files
-from strata.sources.scratch import folder, write_bytes
+from strata.sources.scratch import folder
 from strata.sources.store import Store
 
 PROJECT = 7
@@ -58,21 +59,15 @@ def regions(spark: SparkSession, sf_dir: str) -> Store:
 
 # Sources (S1-S5, S7, S14, T12)
 
-PAGES = {
-    "b/notes.md": "---\ntitle: The notes\ntags: x\n---\n# One\ntext é\n", "a-first_page.markdown": "no head\n", "b/.git/hidden.md": "# hidden\n", "code/main.py": "import os\n\n\ndef f(x):\n    return x\n",
-    "code/main.go": "package main\n", "b/deep/er/x.rs": "fn main() {}\n", "b/skip.txt": "not read\n",
-}
-BROKEN = {"b/broken.md": b"bytes \xff\xfe that are none\n"}
 
 
 @query
 def file_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A folder of fixed files as ingest records, in order of paths."""
+    """Regions as Markdown files with a head and nations as source files, written out and read as ingest records, in order of paths."""
     root = f"{folder(spark)}/files-{uuid.uuid4().hex}"
-    for name, text in PAGES.items():
-        write_bytes(spark, f"{root}/{name}", text.encode())
-    for name, data in BROKEN.items():
-        write_bytes(spark, f"{root}/{name}", data)
+    title = F.concat(F.lit("---\ntitle: Region "), "doc", F.lit("\ntags: x\n---\n"))
+    files.write_texts(region_markdown(spark, sf_dir).select(F.concat(F.lit("b-"), "doc").alias("name"), F.concat(title, "content").alias("content")), root, "name", "content", "page.md")
+    files.write_texts(nation_code(spark, sf_dir).select(F.concat(F.lit("code-"), "doc").alias("name"), "content"), root, "name", "content", "main.py")
     rows = files.records(spark, root, PROJECT)
     meta = F.col("source_metadata")
     return rows.select(F.try_element_at(meta, F.lit("path")).alias("path"), "title", "content", F.try_element_at(meta, F.lit("tags")).alias("tags"), "domain", "project_id").orderBy("path")
@@ -80,9 +75,11 @@ def file_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def domain_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of one text in three domains, and the failure of a fourth."""
-    text = "# Head\nbody\n\ndef f(x):\n    return x"
-    rows = hierarchy.normalise(hierarchy.records_of(spark, [(d, text, {}, d, 1) for d in ("wiki", "code", "pdf", "video")]))
+    """A text on each nation, whose region says its domain, in chunks; nations of two regions have a domain that no chunker takes."""
+    domain = F.get(F.array(*map(F.lit, ("wiki", "code", "pdf", "video", ""))), F.col("n_regionkey").cast("int"))
+    text = F.concat(F.lit("# "), "n_name", F.lit("\nbody\n\ndef f(x):\n    return "), "n_nationkey")
+    rows = table(spark, sf_dir, "nation").select(F.col("n_name").alias("title"), text.alias("content"), F.create_map().cast("map<string,string>").alias("source_metadata"), domain.alias("domain"), F.lit(1).cast("bigint").alias("project_id"))
+    rows = hierarchy.normalise(rows)
     registry = hierarchy.Registry()
     chunks = registry.chunks(rows).join(rows.select("doc_key", "title"), "doc_key").groupBy("title").agg(F.count("*").alias("chunks"), F.min("section_type").alias("type"), F.lit(True).alias("ok"), F.lit("").alias("message"))
     failed = registry.failures(rows).join(rows.select("doc_key", "title"), "doc_key").select("title", F.lit(0).cast("bigint").alias("chunks"), F.lit("").alias("type"), "ok", F.col("error_message").alias("message"))
@@ -91,12 +88,14 @@ def domain_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def store_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables of a store that was created, dropped, and had its documents created again."""
+    """The tables of the store of regions with the rows of four of them; and of a store that was created, dropped, and had its documents created again."""
+    filled = regions(spark, sf_dir)
     store = new_store(spark)
     store.create()
     store.drop()
-    store.replace("documents", store.read("documents"))
-    return store.catalog().select("table_name", "present")
+    store.replace("documents", filled.read("documents"))
+    again = store.catalog().select("table_name", F.col("present").alias("again"))
+    return filled.catalog().select("table_name", "present").join(filled.counts(), "table_name", "left").join(again, "table_name").select("table_name", "present", "n", "again")
 
 
 # Ingest (K2-K9, K11, K13-K18, P7, P12, T9, F13, J5, J12, J14, J15, R11, R12)
@@ -153,7 +152,8 @@ def vector_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
         refused = False
     except PySparkException:
         refused = True
-    return store.read("collections").withColumn("refused", F.lit(refused))
+    sizes = store.read("l1_vectors").select(F.lit("l1_vectors").alias("name")).unionByName(store.read("l3_vectors").select(F.lit("l3_vectors").alias("name"))).groupBy("name").agg(F.count("*").alias("vectors"))
+    return store.read("collections").join(sizes, "name").withColumn("refused", F.lit(refused))
 
 
 @query
@@ -164,8 +164,9 @@ def ingest_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pipeline_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K11."""
-    return regions(spark, sf_dir).read("versions")
+    """The pipeline's versions, and the snapshots that were written under them."""
+    store = regions(spark, sf_dir)
+    return store.read("versions").withColumn("snapshots", F.lit(store.read("l1").count()))
 
 
 @query
@@ -207,10 +208,10 @@ def reset_and_ingest_again(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def project_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as the snapshots of their customer's project, by time."""
+    """Orders as the snapshots of their customer's project, with their position by time."""
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l1_id"), F.col("o_custkey").alias("project_id"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("source_type"), F.col("o_custkey").alias("doc_key"), F.col("o_orderdate").alias("created_at"))
     customer = table(spark, sf_dir, "orders").agg(F.min("o_custkey").alias("c")).first()["c"]
-    return admin.nodes(rows, customer).select("id", "title", "source_type")
+    return admin.nodes(rows, customer).select("id", "title", "source_type", "position")
 
 
 @query
@@ -243,6 +244,12 @@ def search_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(service.retrieve(regions(spark, sf_dir), ASKED, None, 10, service.Search(embed=signs)))
 
 
+@query
+def search_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by dense and lexical rank together."""
+    return shown(service.retrieve(regions(spark, sf_dir), ASKED, PROJECT, 5, service.Search(embed=signs, hybrid=True, candidates=8)))
+
+
 @query
 def search_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same three hits at levels 0, 2 and 3."""
@@ -322,49 +329,47 @@ def service_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = service.Jobs()
     done, failed = jobs.submit(lambda: 3, "/data/x"), jobs.submit(lambda: 1 // 0, "/data/y", header=" k ")
     again = jobs.submit(lambda: 4, " /data/x ")
-    for job in (done, failed):
-        while job.ended is None:
-            pass
-    rows = [("empty", service.health(new_store(spark))["status"]), ("filled", service.health(regions(spark, sf_dir))["status"]), (done.id, f"{done.status} {done.result}"), ("same", str(again is done)), (failed.id, failed.status), ("times", str(done.created <= done.started <= done.ended))]
+    until = time.monotonic() + 60
+    while any(job.ended is None for job in (done, failed)) and time.monotonic() < until:
+        time.sleep(0.01)
+    rows = [("snapshots", str(regions(spark, sf_dir).read("l1").count())), ("empty", service.health(new_store(spark))["status"]), ("filled", service.health(regions(spark, sf_dir))["status"]), (done.id, f"{done.status} {done.result}"), ("same", str(again is done)), (failed.id, failed.status), ("times", str(done.created <= done.started <= done.ended))]
     return spark.createDataFrame(rows, "what string, state string")
 
 
 @query
 def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The search terms of fixed queries."""
-    asked = ["The user-id of an API?", "GraphDB에서 검색을 v1.2_beta", "to be or not", "", "a b cc-d", "한국어 검색", "(foo) [bar_baz] {x}"]
-    return spark.createDataFrame([(q, " ".join(rank.search_terms(q))) for q in asked], "query string, terms string")
+    """The search terms of benchmark texts, each with a compound and with stop words before it."""
+    asked = F.concat(F.lit("Of the text-item "), "item_id", F.lit("_x: "), "text", F.lit(" (end) v1.2_beta?"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(rank.terms(asked), " ").alias("terms"))
 
 
 @query
 def checked_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F16: what counts as a number of hits and as a project."""
-    tops = [(str(v), str(service.checked_top_k(v))) for v in (1, "7", 0, 101, 100, "x", None)]
-
-    def project(v: object) -> str:
-        try:
-            return str(service.checked_project(v))
-        except service.ServiceError as e:
-            return e.code
-
-    return spark.createDataFrame(tops + [(f"project {v}", project(v)) for v in ("", None, "12", "x")], "given string, taken string")
+    """F16: what of events counts as a number of hits and as a project."""
+    kind = F.col("event_id") % 5
+    given = F.when(kind == 0, F.col("user_id").cast("string")).when(kind == 1, F.concat(F.lit(" "), F.floor("value").cast("string"), F.lit(" "))).when(kind == 2, "").when(kind == 3, F.col("event_type"))
+    project = coerce.project_asked(given)
+    return table(spark, sf_dir, "events").select("event_id", coerce.hits_wanted(given).alias("hits"), project["id"].alias("project"), project["error"].alias("error"))
 
 
 @query
 def settings_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Settings by their precedence, projects of metadata, first set values, sizes of vectors."""
-    s = coerce.resolve_settings({"VECTOR_HOST": "meta", "VECTOR_PORT": " 1 "}, {"VECTOR_HOST": "env", "VECTOR_PORT": "2", "VECTOR_COLLECTION": "env"}, host="own", vector_name="")
-    rows = [("host", s.host), ("port", str(s.port)), ("collection", s.collection), ("vector_name", str(s.vector_name)), ("model", s.embedding_model), ("first", coerce.first_set(None, "  ", "b", "c")), ("none", coerce.first_set("", default="d")), ("size", str(ids.vector_size("text-embedding-3-large"))), ("other size", str(ids.vector_size("x", 5)))]
-    fixed = spark.createDataFrame(rows, "name string, value string")
-    meta = spark.createDataFrame([("p1", {"project_id": "12"}), ("p2", {"project_id": "-3"}), ("p3", {"project_id": "x"}), ("p4", {})], "name string, m map<string,string>")
-    return fixed.unionByName(meta.select("name", F.coalesce(coerce.positive_project(F.col("m"), 9).cast("string"), F.lit("")).alias("value")))
+    """Settings of customers by their precedence, projects of their metadata, the first value that is set, and sizes of vectors."""
+    key = F.col("c_custkey")
+    explicit = F.when(key % 5 == 0, F.lower("c_mktsegment"))
+    meta, env = F.when(key % 3 == 0, F.concat(F.lit(" "), "c_name", F.lit(" "))).otherwise("  "), F.when(key % 2 == 0, F.concat(F.lit("env"), F.col("c_nationkey").cast("string")))
+    model = F.get(F.array(F.lit("text-embedding-3-large"), F.lit("text-embedding-3-small"), F.col("c_name"), F.lit(None).cast("string")), (key % 4).cast("int"))
+    project = F.create_map(F.lit("project_id"), F.when(key % 7 == 0, F.col("c_name")).otherwise((key - 50).cast("string")))
+    return table(spark, sf_dir, "customer").select("c_custkey", coerce.resolved(explicit, meta, env, "none").alias("host"), X.or_empty(explicit, meta, env).alias("first"), coerce.positive_project(project, 9).alias("project"), ids.vector_size_of(model).alias("size"))
 
 
 @query
 def json_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON that may be none, and summaries as bytes."""
-    rows = spark.createDataFrame([(1, '{"a": "x", "b": [1, 2]}', b"bytes \xc3\xa9"), (2, "not json", b"bad \xff"), (3, None, None), (4, "[1]", b"")], "id int, s string, b binary")
-    return rows.select("id", F.to_json(coerce.json_or_empty(F.col("s"))).alias("json"), F.try_element_at(coerce.flat_metadata(F.col("s")), F.lit("b")).alias("b"), X.decode_summary(F.col("b")).alias("summary"))
+    """Properties of events as JSON that may be none, and types of events as bytes, some of which are no text."""
+    kind = F.col("event_id") % 4
+    held = F.when(kind == 0, F.col("props")).when(kind == 1, F.concat(F.lit("x"), "props")).when(kind == 2, "[1]")
+    blob = F.concat(F.encode("event_type", "UTF-8"), F.when(kind == 3, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("C3A9"))))
+    return table(spark, sf_dir, "events").select("event_id", F.to_json(coerce.json_or_empty(held)).alias("json"), F.try_element_at(coerce.flat_metadata(held), F.lit("k")).alias("k"), X.decode_summary(blob).alias("summary"))
 
 
 # Splitters and trees
