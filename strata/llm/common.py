@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,10 +13,12 @@ from strata.llm.textvec import tidy, tidy_group
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset a new temporary one (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset: a new temporary one if driver and executors are one process, else an error."""
     sc = spark.sparkContext
     kept = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not kept:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         kept = tempfile.mkdtemp(prefix="strata-checkpoints-")
         sc.setCheckpointDir(kept)
     return kept.rstrip("/")

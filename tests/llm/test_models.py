@@ -364,3 +364,23 @@ def test_estimation_tells_reliable_labelers():
     assert p[2, "++000+"] > 0.9 and p[2, "0-000-"] < 0.1 and p[2, "0+000+"] > p[2, "0-00--"]
     assert rates[1]["+"][0] > rates[1]["+"][1]
     assert len(pii.train({}, {})) == len(pii.feature_names())
+
+
+def test_a_small_language_is_in_the_sample(spark):
+    """A language with one row in thousands still teaches its words, wherever the hash of its id falls."""
+    rows = [(i, f"alpha beta gamma word{i % 9}", "en") for i in range(400)] + [(1000 + i, f"{w} {w} {w}", w) for i, w in enumerate(["uno", "duo", "tri", "quat", "pent"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, F.lit(True), max_rows=12, least_word=1)
+    assert model.langs == ["duo", "en", "pent", "quat", "tri", "uno"]
+    assert {model.predict(w)[0] for w in ("uno", "duo", "tri", "quat", "pent")} == {"uno", "duo", "tri", "quat", "pent"}
+
+
+def test_shared_folder_of_a_cluster_must_be_named():
+    from types import SimpleNamespace
+
+    from strata.llm.common import shared_dir
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    far = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://a:1", getConf=lambda: conf, getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError):
+        shared_dir(far)
