@@ -117,16 +117,6 @@ def audit(documents: DataFrame, projects: DataFrame) -> DataFrame:
     return documents.join(projects.select(F.col("id").alias("project_id"), "root_path", F.col("machine_id").alias("project_machine_id")), "project_id").select("doc_key", "project_id", "root_path", "project_machine_id")
 
 
-def tree(nodes: list[dict]) -> list[dict]:
-    """Nodes (id, parent_id, ..) of one project nested by `children`, in their order; unknown parents make roots."""
-    by_id = {n["id"]: {**n, "children": []} for n in nodes}
-    top = []
-    for n in by_id.values():
-        parent = by_id.get(n.get("parent_id"))
-        (parent["children"] if parent is not None and parent is not n else top).append(n)
-    return top
-
-
 def ingest_summary(log: DataFrame, line: str = "line") -> DataFrame:
     """A10: md, code, ok: how many lines of a log start with [md] and [code], and how many end in OK."""
     text = F.trim(F.col(line))

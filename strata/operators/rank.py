@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions.text import HANGUL_ALL, let
+from strata.sources.scratch import folder
 
 # Words that are no search terms.
 STOP = frozenset("a an the of in on at to is or".split())
@@ -40,17 +42,24 @@ def dense_top_each(vectors: DataFrame, queries: DataFrame, k: int, id_col: str,
     """T1 for a table of queries: query, id, score, rank.
 
     Queries go in blocks of about BLOCK rows, whatever their number, so that what is
-    broadcast is bounded. The rank is filtered, so Spark keeps the k best of each query in each
-    task (WindowGroupLimit) before scores are shuffled.
+    broadcast is bounded; each block is a job of its own that writes its best rows to the shared
+    folder, so that no plan grows with the blocks. The rank is filtered, so Spark keeps the k
+    best of each query in each task (WindowGroupLimit) before scores are shuffled. index.VectorIndex
+    reads less of the vectors.
     """
-    blocks = -(-queries.count() // BLOCK)
+    blocks = max(1, -(-queries.count() // BLOCK))
     order = Window.partitionBy(query_col).orderBy(F.desc("score"), id_col)
-    found: DataFrame | None = None
-    for b in range(max(1, blocks)):
-        part = queries.where(F.pmod(F.xxhash64(query_col), F.lit(max(1, blocks))) == b)
+
+    def best(part: DataFrame) -> DataFrame:
         rows = vectors.crossJoin(F.broadcast(part)).select(query_col, id_col, cosine(F.col(vector_col), F.col(query_vector)).alias("score"))
-        found = rows if found is None else found.unionByName(rows)
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    if blocks == 1:
+        return best(queries)
+    path = f"{folder(vectors.sparkSession)}/top-{uuid.uuid4().hex}"
+    for b in range(blocks):
+        best(queries.where(F.pmod(F.xxhash64(query_col), F.lit(blocks)) == b)).write.mode("append").parquet(path)
+    return vectors.sparkSession.read.parquet(path)
 
 
 def technical(token: str) -> bool:

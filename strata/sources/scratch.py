@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset (tests), a new temporary folder."""
+    """spark.checkpoint.dir; where that is unset, a new temporary folder if driver and executors are one process, else an error."""
     sc = spark.sparkContext
     kept = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not kept:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         kept = tempfile.mkdtemp(prefix="strata-")
         sc.setCheckpointDir(kept)
     return kept.rstrip("/")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from strata import structure_queries
 from strata.oracles import CODE, END, REGION_MD, WS, folded, uuid
 
@@ -150,3 +152,14 @@ STORE_ORACLES |= {
       around AS (SELECT b.l3_id, string_agg(a.content, chr(10) || chr(10) ORDER BY a.sort_order) AS surrounding_context FROM best b JOIN l3 a ON a.l2_id = b.l2_id AND a.sort_order BETWEEN b.sort_order - 2000 AND b.sort_order + 2000 GROUP BY 1)
       SELECT rank, b.l3_id, round(score, 5) AS score, b.title AS l1_title, coalesce(s.head, '') AS section_heading, b.content AS matched_content, '[문서: ' || b.title || '] > [섹션: ' || coalesce(s.head, '(section)') || ']' AS breadcrumb, surrounding_context FROM best b JOIN l2b s ON s.l2_id = b.l2_id JOIN around USING (l3_id)""",
 }
+
+
+def project_number(path: str) -> int:
+    """H3: the id of a project's path."""
+    n = int(hashlib.sha256(f"project:{path}".encode()).hexdigest()[:16], 16)
+    return max(1, min(n, 2**64 - n, 2**63 - 1))
+
+
+PLACES, OTHER = project_number("/data/places"), project_number("/data/other")
+STORE_ORACLES["project_registry"] = f"""WITH {hierarchy(PLACES)}, m AS (SELECT {folded("sha256(doc_key)")} AS machine_id, l2_child_hash AS h FROM d JOIN kids USING (l1_id)), merkle AS (SELECT sha256(unhex(string_agg(lpad(hex(machine_id), 16, '0') || h, '' ORDER BY machine_id))) AS content_hash FROM m)
+  SELECT {PLACES}::BIGINT AS id, 'places' AS name, '/data/places' AS root_path, '{{"owner":"me"}}' AS metadata, content_hash, true AS up_to_date FROM merkle UNION ALL SELECT {OTHER}, 'other', '/data/other', '{{}}', NULL, NULL"""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from strata.functions import coerce, ids
 from strata.functions import text as X
-from strata.operators import admin, code, markdown, rank, sentences
+from strata.operators import admin, code, graphs, markdown, rank, sentences
 from strata.plans import hierarchy, restore, service
 from strata import structure_queries  # noqa: F401  registers its queries
 from strata.queries import QUERIES as QUERIES
@@ -425,12 +425,13 @@ def toc_of_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def project_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions with their nations, nested, as JSON by root."""
-    import json
-
     from strata.queries import places
 
-    nodes = [r.asDict() for r in places(spark, sf_dir).orderBy("id").collect()]  # one project's nodes, for a viewer
-    return spark.createDataFrame([(n["id"], json.dumps(n, separators=(",", ":"))) for n in admin.tree(nodes)], "id string, json string")
+    nodes = places(spark, sf_dir)
+    rooted = graphs.tree_paths(nodes, []).withColumn("tree", F.regexp_extract("path", "^([^/]*)/", 1)).drop("depth", "path")
+    held = graphs.nested_json(rooted, "tree", ["id", "parent_id", "title"], [])
+    bare = F.substring("json", F.lit(2), F.length("json") - 2)
+    return held.select(F.get_json_object(bare, "$.id").alias("id"), bare.alias("json"))
 
 
 @query

@@ -236,9 +236,16 @@ def test_upserts_and_merkle(spark):
         assert admin.merkle(df.repartition(parts), "p", "m", "h").first()["content_hash"] == h.hexdigest()
 
 
-def test_tree_and_summary(spark):
-    top = admin.tree([{"id": "a", "parent_id": None}, {"id": "b", "parent_id": "a"}, {"id": "c", "parent_id": "zz"}])
-    assert [n["id"] for n in top] == ["a", "c"] and top[0]["children"][0]["id"] == "b"
+def test_batches_of_queries(spark, monkeypatch):
+    r = random.Random(2)
+    rows = spark.createDataFrame([(i, [r.random() for _ in range(4)]) for i in range(60)], "id int, v array<double>")
+    asked = rows.where("id % 3 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("query_vector"))
+    whole = sorted(map(tuple, rank.dense_top_each(rows, asked, 4, "id", "v").collect()))
+    monkeypatch.setattr(rank, "BLOCK", 6)
+    assert sorted(map(tuple, rank.dense_top_each(rows, asked, 4, "id", "v").collect())) == whole and len(whole) == 80
+
+
+def test_summary(spark):
     log = spark.createDataFrame([("[md] x OK",), ("[code] y",), ("OK",)], "line string")
     assert tuple(admin.ingest_summary(log).first()) == (1, 1, 2)
     assert admin.rolled_up(spark.createDataFrame([("ok",)], "status string")).first()[0] == "ok"
