@@ -137,6 +137,25 @@ WITH docs AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM docu
 SELECT d.doc_id, coalesce(n, 0) AS n_words, coalesce(r, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM documents d LEFT JOIN summed s ON s.doc_id = d.doc_id"""
 
 
+RUNS_SQL = f"""
+WITH own AS (SELECT row_number() OVER () AS r, doc_id, {WORDS.format("coalesce(text, '')")} AS w, hex(encode(CAST(doc_id AS VARCHAR))) AS hx FROM documents),
+  crc AS (SELECT r, doc_id, w, len(w) AS n, {CRC_SQL.format("hx")} AS h FROM own, ({CRC_TABLE})),
+  cut AS (SELECT *, (h // 10) % greatest(n, 1) AS a, 1 + (n - (h // 10) % greatest(n, 1)) // (3 + (h // 10) % 8) AS p FROM crc),
+  docs AS (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN [w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END] FOR i IN range(n)] ELSE w END AS w FROM cut),
+  words AS (SELECT r, unnest(w) AS x, unnest(range(n)) AS i FROM docs),
+  grams AS (SELECT r, i, md5(array_to_string(w[i + 1 : i + 16], ' ')) AS g FROM (SELECT r, w, unnest(range(n - 15)) AS i FROM docs WHERE n >= 24)),
+  often AS (SELECT * FROM grams QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+  periods AS (SELECT DISTINCT a.r, b.i - a.i AS q FROM often a JOIN often b ON a.r = b.r AND a.g = b.g AND a.i < b.i JOIN docs ON docs.r = a.r WHERE 3 * (b.i - a.i) <= n),
+  same AS (SELECT p.r, q, a.i, a.i - row_number() OVER (PARTITION BY p.r, q ORDER BY a.i) AS island FROM periods p JOIN words a ON a.r = p.r JOIN words b ON b.r = p.r AND b.i = a.i + q AND b.x = a.x),
+  stretches AS (SELECT r, q, min(i) AS s, count(*) + q AS n FROM same GROUP BY r, q, island HAVING count(*) + q >= greatest(24, 3 * q)),
+  runs AS (SELECT r, s, n, min(q) AS q FROM stretches GROUP BY r, s, n),
+  told AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY r),
+  best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY n / q DESC, s, q) = 1),
+  gone AS (SELECT DISTINCT r, unnest(range(s + q, s + n)) AS i FROM runs),
+  kept AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS k FROM words ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, b.n AS length, q AS period, 1000 * b.n // q AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(k, '')) AS collapsed_sha256
+FROM docs d LEFT JOIN told USING (r) LEFT JOIN best b USING (r) LEFT JOIN kept USING (r)"""
+
 IMPORTANCE_SQL = f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
   ones AS (SELECT r, unnest(w) AS f FROM docs),
@@ -157,4 +176,4 @@ SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= (SELECT cou
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that have an exact result; the others are tested in tests/llm."""
-    return {"op2_ngram_jaccard": JACCARD_SQL, "op4_substring_dedup": SUBSTRING_SQL, "op12_importance_resampling": IMPORTANCE_SQL}
+    return {"op2_ngram_jaccard": JACCARD_SQL, "op4_substring_dedup": SUBSTRING_SQL, "op11_periodic_runs": RUNS_SQL, "op12_importance_resampling": IMPORTANCE_SQL}
