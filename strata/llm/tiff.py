@@ -14,6 +14,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -63,96 +64,100 @@ def unpack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
+RUN = re.compile(rb"(.)\1{2,127}", re.S)
+
+
 def pack_bits(data: bytes) -> bytes:
-    out, i, n = bytearray(), 0, len(data)
-    while i < n:
-        run = 1
-        while run < 128 and i + run < n and data[i + run] == data[i]:
-            run += 1
-        if run > 2:
-            out += bytes((257 - run, data[i]))
-            i += run
-            continue
-        j = i
-        while j < n and j - i < 128 and not (j + 2 < n and data[j] == data[j + 1] == data[j + 2]):
-            j += 1
-        out += bytes((j - i - 1,)) + data[i:j]
-        i = j
+    out, at = bytearray(), 0
+    for m in [*RUN.finditer(data), None]:
+        literals = data[at : m.start() if m else len(data)]
+        for i in range(0, len(literals), 128):
+            piece = literals[i : i + 128]
+            out.append(len(piece) - 1)
+            out += piece
+        if m:
+            out += bytes((257 - (m.end() - m.start()), data[m.start()]))
+            at = m.end()
     return bytes(out)
 
 
 CLEAR, END = 256, 257
+#: Width of the j-th code after a clear (codes of 9 to 12 bits, the width grows one code early), and bits before it.
+WIDTHS = np.repeat([9, 10, 11, 12], [254, 512, 1024, 8192 - 1790])
+BEFORE = np.cumsum(WIDTHS) - WIDTHS
 
 
 def unpack_lzw(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, high bit first; the width grows one code early."""
-    out, table, width = bytearray(), [bytes((i,)) for i in range(256)] + [b"", b""], 9
-    held, bits, last = 0, 0, b""
-    for byte in data:
-        held, bits = (held << 8) | byte, bits + 8
-        if bits < width:
-            continue
-        bits -= width
-        code, held = held >> bits, held & ((1 << bits) - 1)
-        if code == END:
-            break
-        if code == CLEAR:
-            del table[258:]
-            width, last = 9, b""
-            continue
-        if not last:
-            if code > 255:
+    """High bit first. All codes up to the next clear are taken out at once."""
+    raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64)
+    out, at, done, table, last = bytearray(), 0, 0, [*LETTERS], b""
+    while True:
+        width = WIDTHS[done:] if done < len(WIDTHS) else np.full(len(WIDTHS), 12)
+        place = at + np.cumsum(width) - width
+        n = int(np.searchsorted(place + width, 8 * len(data), "right"))
+        place, width = place[:n], width[:n]
+        byte = place >> 3
+        codes = ((raw[byte] << 16 | raw[byte + 1] << 8 | raw[byte + 2]) >> (24 - width - (place & 7))) & ((1 << width) - 1)
+        ends = np.flatnonzero((codes == CLEAR) | (codes == END))
+        stop = int(ends[0]) if len(ends) else n
+        for code in codes[:stop].tolist():
+            if last:
+                if code > len(table):
+                    raise TiffError("bad LZW code")
+                entry = table[code] if code < len(table) else last + last[:1]
+                table.append(last + entry[:1])
+            elif code > 255:
                 raise TiffError("bad LZW code")
-            entry = table[code]
-        else:
-            if code > len(table):
-                raise TiffError("bad LZW code")
-            entry = table[code] if code < len(table) else last + last[:1]
-            table.append(last + entry[:1])
-        out += entry
-        last = entry
-        if len(table) + 1 >= 1 << width and width < 12:
-            width += 1
-    return bytes(out)
+            else:
+                entry = table[code]
+            out += entry
+            last = entry
+        if stop == n and not n or stop < n and codes[stop] == END:
+            return bytes(out)
+        at, done = int(place[min(stop, n - 1)] + width[min(stop, n - 1)]), done + stop
+        if stop < n:
+            done, table, last = 0, [*LETTERS], b""
+
+
+LETTERS = [bytes((i,)) for i in range(256)] + [b"", b""]
 
 
 def pack_lzw(data: bytes) -> bytes:
-    out, held, bits = bytearray(), 0, 0
-
-    def put(code: int, width: int) -> None:
-        nonlocal held, bits
-        held, bits = (held << width) | code, bits + width
-        while bits >= 8:
-            bits -= 8
-            out.append((held >> bits) & 255)
-            held &= (1 << bits) - 1
-
-    table: dict[bytes, int] = {bytes((i,)): i for i in range(256)}
-    width, following, word = 9, 258, b""
-    put(CLEAR, width)
-    for i in range(len(data)):
-        longer = word + data[i : i + 1]
-        if longer in table:
-            word = longer
+    """The longest known words' codes; a clear before the table is full."""
+    codes, widths = [CLEAR], [9]
+    table: dict[int, int] = {}
+    width, following, code = 9, 258, -1
+    for byte in data:
+        if code < 0:
+            code = byte
             continue
-        put(table[word], width)
-        table[longer] = following
+        key = code << 8 | byte
+        known = table.get(key)
+        if known is not None:
+            code = known
+            continue
+        codes.append(code)
+        widths.append(width)
+        table[key] = following
         following += 1
         if following + 1 > 1 << width:
             width += 1
         if following >= 4094:
-            put(CLEAR, 12 if width > 12 else width)
-            table, width, following = {bytes((k,)): k for k in range(256)}, 9, 258
-        word = data[i : i + 1]
-    if word:
-        put(table[word], width)
+            codes.append(CLEAR)
+            widths.append(min(width, 12))
+            table, width, following = {}, 9, 258
+        code = byte
+    if code >= 0:
+        codes.append(code)
+        widths.append(width)
         following += 1
         if following + 1 > 1 << width:
             width += 1
-    put(END, min(width, 12))
-    if bits:
-        out.append((held << (8 - bits)) & 255)
-    return bytes(out)
+    codes.append(END)
+    widths.append(min(width, 12))
+    held, size = np.array(codes, dtype=">u2").view(np.uint8), np.array(widths)
+    bits = np.unpackbits(held).reshape(-1, 16)
+    return np.packbits(bits[np.arange(16) >= 16 - size[:, None]]).tobytes()
 
 
 def _inflate(data: bytes, most: int) -> bytes:
