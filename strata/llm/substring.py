@@ -30,11 +30,17 @@ from strata.llm.common import Bitmap, bitmap_of_longs, fragments, materialize, s
 from strata.llm.textvec import tidy, tidy_group
 
 U64 = np.uint64
-CHUNK = 600_000
+#: Hashes that a task holds before it sends them on: CHUNK, or as many as give each fragment EACH of them, MOST at most.
+CHUNK, EACH, MOST = 600_000, 64, 4_000_000
 ANCHOR_BITS = 1 << 26
 OTHER_BASE = 0xD1342543DE82EF95
 
 
+def chunk_size(parts: int) -> int:
+    """A chunk sends a row to each fragment, so chunks grow along with the fragments."""
+    return min(MOST, max(CHUNK, EACH * parts))
+
+
 def sliding(x: np.ndarray, k: int, pick) -> np.ndarray:
     """pick.reduce of each k values from x[i] on; shorter by k - 1."""
     if len(x) < k:
@@ -87,7 +93,7 @@ def _anchor_requests(size: int, gram: int, parts: int):
                 *_, anchors = minima(words, size, gram)
                 held.append(anchors)
                 n += len(anchors)
-                if n >= CHUNK:
+                if n >= chunk_size(parts):
                     yield flush(held)
                     held, n = [], 0
         if n:
@@ -169,7 +175,7 @@ def _window_requests(size: int, gram: int, parts: int, repeated):
                 for x, y in zip(held, (tv.rolling(h, at, size), tv.rolling(h, at, size, OTHER_BASE).astype("<u4"), keys[i:j][who], first - who - words.first[who], length), strict=True):
                     x.append(y)
                 n += len(at)
-                if n >= CHUNK:
+                if n >= chunk_size(parts):
                     yield flush(chunk, *held)
                     chunk, n, held = chunk + 1, 0, [[], [], [], [], []]
         if n:
