@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: White space for trimming: what Java's \\s has, and the other Unicode spaces.
 SPACE = r"[\s\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+#: The same as signs.
+WHITE = "\t\n\x0b\f\r \u0085\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 SENTENCE_END = "[.!?。！？…]+"
 HEADING = r"^(#{1,6})\s+(.+)$"
 ORDERED_ITEM = r"^\s{0,3}(\d+)\.\s+(\S.*)$"
@@ -31,7 +33,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def trim_ws(s: Column) -> Column:
     """s without white space at its ends."""
-    return F.regexp_replace(s, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(s, F.lit(WHITE))
 
 
 def blank(s: Column) -> Column:
@@ -176,7 +178,7 @@ def strip_hangul_end(token: Column) -> Column:
 
 def hangul_ratio(s: Column) -> Column:
     """Hangul syllables in all characters; 0 for ''."""
-    return F.length(F.regexp_replace(s, f"[^{HANGUL}]", "")) / F.greatest(F.length(s), F.lit(1))
+    return F.length(F.regexp_replace(s, f"[^{HANGUL}]+", "")) / F.greatest(F.length(s), F.lit(1))
 
 
 def join_path(parts: Column) -> Column:

@@ -85,14 +85,17 @@ def block_lines(body: Column) -> Column:
     """U4: (line, kind, no) of each line of a section's body: fenced code (c), lone images (i), pipe tables (t) and ordered lists (o) are blocks, numbered from 1; other lines are prose ('' and 0).
 
     One fold over the lines. Its state is the block that a line may belong to, and for a
-    table whether the separator is still to come. A fence without an end goes on to the last line.
+    table whether the separator is still to come; it writes a sign for each line (a capital
+    where a block begins, a full stop for prose), which is cut into blocks afterwards. A fence
+    without an end goes on to the last line.
     """
     held = F.when(body == "", F.array().cast("array<string>")).otherwise(X.lines(body))
 
     def looked(lines: Column) -> Column:
         def seen(line: Column, i: Column) -> Column:
             t = X.trim_ws(line)
-            table = line.contains("|") & F.coalesce(X.is_separator_row(F.get(lines, i + 1)), F.lit(False))
+            following = F.coalesce(F.get(lines, i + 1), F.lit(""))
+            table = line.contains("|") & following.rlike(r"^[-:|\s]+$") & X.is_separator_row(following)
             return F.struct(line.alias("line"), t.alias("t"), line.rlike(FENCE).alias("fence"), t.rlike(IMAGE).alias("image"), table.alias("table"), line.rlike(ORDERED).alias("ordered"), t.rlike(X.HEADING).alias("head"))
 
         return F.transform(lines, seen)
@@ -101,14 +104,26 @@ def block_lines(body: Column) -> Column:
         state = acc["state"]
         in_list = (state == "o") & (x["t"] != "") & ~x["head"] & ~x["fence"] & ~x["image"] & ~x["table"]
         goes_on = state.isin("c", "T") | ((state == "t") & (x["t"] != "") & x["line"].contains("|")) | in_list
-        kind = F.when(goes_on, F.lower(state)).when(x["fence"], "c").when(x["image"], "i").when(x["table"], "t").when(x["ordered"], "o").otherwise("")
-        no = acc["no"] + F.when(goes_on | (kind == ""), 0).otherwise(1)
-        after = F.when(goes_on, F.when(state == "T", "t").when((state == "c") & x["fence"], "").otherwise(state)).otherwise(F.when(kind == "t", "T").when(kind == "i", "").otherwise(kind))
-        line = F.array(F.struct(x["line"].alias("line"), kind.alias("kind"), F.when(kind == "", 0).otherwise(no).alias("no")))
-        return F.struct(after.alias("state"), no.alias("no"), F.concat(acc["out"], line).alias("out"))
-
-    zero = F.struct(F.lit("").alias("state"), F.lit(0).alias("no"), F.array().cast("array<struct<line:string,kind:string,no:int>>").alias("out"))
-    return F.aggregate(X.let(held, looked), zero, step, lambda acc: acc["out"])
+        fresh = F.when(x["fence"], "c").when(x["image"], "i").when(x["table"], "t").when(x["ordered"], "o").otherwise("")
+        kind = F.when(goes_on, F.lower(state)).otherwise(fresh)
+        after = F.when(goes_on, F.when(state == "T", "t").when((state == "c") & x["fence"], "").otherwise(state)).when(fresh == "t", "T").when(fresh == "i", "").otherwise(fresh)
+        sign = F.when(goes_on, kind).when(fresh == "", ".").otherwise(F.upper(fresh))
+        return F.struct(after.alias("state"), F.concat(acc["signs"], sign).alias("signs"))
+
+    def blocks(signs: Column) -> Column:
+        """(kind, no) of each sign: each piece is prose and one block after it."""
+
+        def piece(text: Column, i: Column) -> Column:
+            bare = F.regexp_replace(text, r"^\.+", "")
+            prose = F.struct(F.lit("").alias("kind"), F.lit(0).alias("no"))
+            block = F.struct(F.lower(F.substring(bare, 1, 1)).alias("kind"), (i + 1).alias("no"))
+            return F.concat(F.array_repeat(prose, F.length(text) - F.length(bare)), F.array_repeat(block, F.length(bare)))
+
+        return F.flatten(F.transform(F.regexp_extract_all(signs, F.lit(r"\.*+[CTIO][ctio]*+|\.++"), 0), piece))
+
+    zero = F.struct(F.lit("").alias("state"), F.lit("").alias("signs"))
+    signs = F.aggregate(X.let(held, looked), zero, step, lambda acc: acc["signs"])
+    return F.zip_with(held, blocks(signs), lambda line, b: F.struct(line.alias("line"), b["kind"].alias("kind"), b["no"].alias("no")))
 
 
 def quoted(s: Column) -> Column:

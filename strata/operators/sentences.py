@@ -26,12 +26,14 @@ SPANS = [
 LIST_MARK = r"(?m)^(\s{0,3}[0-9]+)\.(?=\s|\z)"
 #: Runs without white space, but for that within links; none of the spans (list marks are apart) goes over the border of two.
 RUN = r"(?:\[[^\]]*+\]\([^)]*+\)|[^\s\[]++|\[++)++"
-#: Runs that may have a span.
-MAY_PROTECT = r"(?i)\]\(|https?://|[0-9]\.[0-9]|\.(?:md|go|py|txt|yml|yaml|json|proto)|e\.g\.|i\.e\.|etc\."
+#: Texts and runs that may have a span: looked for from the sign that each has, as few signs are one.
+MAY_PROTECT = r"(?i)[.:(](?:(?<=\]\()|(?<=https?:)//|(?<=[0-9]\.)[0-9]|(?<=\.)(?:md|go|py|txt|yml|yaml|json|proto)|(?<=[ei]\.)[ge]\.|(?<=etc\.))"
 
 #: Signs at which texts are cut, and the noncharacters that stand for them in protected spans.
 SIGNS = ".!?。！？…\n"
 STAND_INS = "".join(chr(0xFDD0 + i) for i in range(len(SIGNS)))
+CUT = chr(0xFDDF)
+HAS_STAND_INS = f"[{STAND_INS[0]}-{STAND_INS[-1]}]"
 ENDS = "[.!?。！？…]"
 CLOSERS = r"[\"'”’»)\]]"
 #: Words before a full stop that ends no sentence (fixed values).
@@ -109,13 +111,21 @@ def _parts(text: Column, pattern: str) -> Column:
     return F.filter(F.transform(F.split(text, pattern, -1), lambda s: trim_ws(restore(s))), lambda s: s != "")
 
 
+def _kept_parts(text: Column) -> Column:
+    """Parts with their ends: cut at white space behind an end, and at blank lines."""
+    return _parts(F.regexp_replace(text, rf"({ENDS}){SPACE}+", f"$1{CUT}"), rf"{CUT}|\n{{2,}}")
+
+
 def masked_sentences(text: Column, keep_ends: bool = False) -> Column:
     """The sentences of a text column, without their ends (or with them; then blank lines end sentences too); null texts have none."""
-    whole = unify(text)
-    special = whole.rlike(MAY_PROTECT) | whole.rlike(LIST_MARK) | whole.rlike(f"[{STAND_INS}]")
-    if keep_ends:
-        return let(F.when(special, protect(whole)).otherwise(whole), lambda t: _parts(t, rf"(?<={ENDS}){SPACE}+|\n{{2,}}"))
-    return F.when(special, let(protect(whole), lambda t: _parts(t, f"{ENDS}+"))).otherwise(sentences(F.coalesce(text, F.lit(""))))
+
+    def split(whole: Column) -> Column:
+        special = whole.rlike(MAY_PROTECT) | whole.rlike(LIST_MARK) | whole.rlike(HAS_STAND_INS)
+        if keep_ends:
+            return let(F.when(special, protect(whole)).otherwise(whole), _kept_parts)
+        return F.when(special, let(protect(whole), lambda t: _parts(t, f"{ENDS}+"))).otherwise(sentences(whole))
+
+    return let(unify(text), split)
 
 
 def segments(text: Column) -> Column:
@@ -124,13 +134,15 @@ def segments(text: Column) -> Column:
     No sentence ends within straight quotes on one line, after a title or an initial before a
     capital letter, or at dots that a small letter follows.
     """
-    quoted = _each(text, "\"[^\"\n]*+\"", lambda q: F.concat(_shielded(F.substring(q, F.lit(1), F.greatest(F.length(q) - 2, F.lit(0)))), F.right(q, F.least(F.length(q), F.lit(2)))))
-    calm = F.regexp_replace(quoted, rf"(?i)(?<![\p{{L}}\p{{N}}_])({TITLES})\.(?=\s)", f"$1{STAND_INS[0]}")
-    calm = F.regexp_replace(calm, rf"(?<![\p{{L}}\p{{N}}_.])(\p{{Lu}})\.(?=\s+\p{{Lu}})", f"$1{STAND_INS[0]}")
+    hidden = _each(text, "\"[^\"\n]*+\"", lambda q: F.concat(_shielded(F.substring(q, F.lit(1), F.greatest(F.length(q) - 2, F.lit(0)))), F.right(q, F.least(F.length(q), F.lit(2)))))
+    quoted = F.when(text.contains('"'), hidden).otherwise(text)
+    # both look back from the stop, as there are fewer stops than words
+    calm = F.regexp_replace(quoted, rf"\.(?<=(?<![\p{{L}}\p{{N}}_])(?i:{TITLES})\.)(?=\s)", STAND_INS[0])
+    calm = F.regexp_replace(calm, r"\.(?<=(?<![\p{L}\p{N}_.])\p{Lu}\.)(?=\s+\p{Lu})", STAND_INS[0])
     calm = F.regexp_replace(calm, r"\.{2,}(?=\s+\p{Ll})", STAND_INS[0] * 3)
-    return F.when(quoted.isNotNull(), _parts(calm, rf"(?<={ENDS}{CLOSERS}{{0,3}}){SPACE}+|\n+"))
+    return F.when(quoted.isNotNull(), _parts(F.regexp_replace(calm, rf"({ENDS}{CLOSERS}{{0,3}}){SPACE}+", "$1\n"), r"\n+"))
 
 
 def language_aware(text: Column, hangul_from: float = 0.12) -> Column:
     """Sentences with their ends; texts in which Hangul makes up less than `hangul_from` by the rules of `segments`, others at ends and blank lines. Protected spans stay whole."""
-    return let(protect(unify(text)), lambda t: F.when(hangul_ratio(t) >= hangul_from, _parts(t, rf"(?<={ENDS}){SPACE}+|\n{{2,}}")).otherwise(segments(t)))
+    return let(protect(unify(text)), lambda t: F.when(hangul_ratio(t) >= hangul_from, _kept_parts(t)).otherwise(segments(t)))
